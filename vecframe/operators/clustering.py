@@ -9,14 +9,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.operators.kernel import TopK, groups, list_matrix, usable
+from vecframe.operators.kernel import CellSums, list_matrix, nearest
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.sampling import train_prefix
 from vecframe.session import ship
 
 CENTROIDS = "cell int, centroid array<double>"
-# Centroid values (rows * dimensions) that may be sent to every task.
-_MODEL_VALUES = 8 << 20
+# Centroids that may be sent to every task.
+_MODEL_ROWS, _MODEL_BYTES = 50_000, 64 << 20
 
 
 def centroid_table(spark: SparkSession, centers) -> DataFrame:
@@ -27,25 +27,15 @@ def centroid_table(spark: SparkSession, centers) -> DataFrame:
 
 def _centers(centroids: DataFrame):
     """(cells, matrix) on the driver if the model is small enough to send around, else None."""
-    head = centroids.select(F.col("cell").cast("long"), "centroid").limit(2).toArrow()
-    if head.num_rows == 0:
+    rows = centroids.select(F.col("cell").cast("long"), "centroid").limit(_MODEL_ROWS + 1).toArrow()
+    if rows.num_rows == 0:
         raise ValueError("no centroids")
-    width = max(1, len(head.column("centroid")[0].as_py()))
-    most = _MODEL_VALUES // width
-    rows = centroids.select(F.col("cell").cast("long"), "centroid").limit(most + 1).toArrow()
-    if rows.num_rows > most:
+    if rows.num_rows > _MODEL_ROWS or rows.nbytes > _MODEL_BYTES:
         return None
     rows = rows.sort_by("cell")
     return rows.column("cell").to_numpy(), list_matrix(rows.column("centroid"))
 
 
-def _nearest(vectors, cells, centers):
-    """Cell of the nearest centroid per row, the lower cell on a tie; -1 for unusable rows."""
-    lists = TopK(np.arange(len(vectors)), vectors, 1, "l2")
-    lists.update(None, cells, centers)
-    return np.where(np.isfinite(lists.distance[:, 0]), lists.neighbor[:, 0], -1)
-
-
 def assign_cells(
     df: DataFrame, centroids: DataFrame, features: str = "features", column: str = "cell"
 ) -> DataFrame:
@@ -60,15 +50,15 @@ def assign_cells(
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("int")
-    def nearest(vectors: pa.Array) -> pa.Array:
+    def cell_of(vectors: pa.Array) -> pa.Array:
         cells, centers = shared.value
         present = np.asarray(vectors.is_valid())
         out = np.full(len(vectors), -1)
         if present.any():
-            out[present] = _nearest(list_matrix(vectors.filter(pa.array(present))), cells, centers)
+            out[present] = nearest(list_matrix(vectors.filter(pa.array(present))), cells, centers)
         return pa.array(out, pa.int32(), mask=out < 0)
 
-    return df.withColumn(column, nearest(F.col(features)))
+    return df.withColumn(column, cell_of(F.col(features)))
 
 
 def _assign_by_join(df, centroids, features, column, id_col="id"):
@@ -79,54 +69,35 @@ def _assign_by_join(df, centroids, features, column, id_col="id"):
     return df.join(cells, id_col, "left")
 
 
-def _partial_sums(df: DataFrame, value_columns: list, key_of) -> DataFrame:
-    """Per task and cell: number of vectors and their component sums."""
+def _mean_values(df: DataFrame, columns: list, cells_of) -> DataFrame:
+    """`cell, pos, mean`: tasks sum their rows, one short row per task and cell is shuffled."""
 
     def sums(batches):
-        total: dict[int, list] = {}
+        total = CellSums()
         for batch in batches:
             vectors = list_matrix(batch.column("vec"))
-            if not len(vectors):
-                continue
-            ok = usable(vectors, "l2")
-            keys = key_of(batch, vectors)
-            for key, rows in groups(keys):
-                rows = rows[ok[rows]]
-                if key < 0 or not len(rows):
-                    continue
-                held = total.setdefault(int(key), [0, np.zeros(vectors.shape[1])])
-                held[0] += len(rows)
-                held[1] += vectors[rows].sum(axis=0)
-        cells = sorted(total)
-        yield pa.RecordBatch.from_pydict({
-            "cell": pa.array(cells, pa.int32()),
-            "n": pa.array([total[c][0] for c in cells], pa.int64()),
-            "sums": pa.array([total[c][1].tolist() for c in cells], pa.list_(pa.float64())),
-        })
-
-    return df.select(*value_columns).where("vec is not null").mapInArrow(
+            if len(vectors):
+                total.add(cells_of(batch, vectors), vectors)
+        yield total.batch()
+
+    partial = df.select(*columns).where("vec is not null").mapInArrow(
         sums, "cell int, n long, sums array<double>"
     )
-
-
-def _means(partial: DataFrame) -> DataFrame:
-    """`cell, centroid, n` from partial sums, one small row per task and cell."""
     by_value = partial.select("cell", "n", F.posexplode("sums").alias("pos", "value"))
-    mean = by_value.groupBy("cell", "pos").agg(
-        (F.sum("value") / F.sum("n")).alias("mean"), F.sum("n").alias("n")
-    )
-    pair = F.struct("pos", "mean")
-    return mean.groupBy("cell").agg(
-        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["mean"]).alias("centroid"),
-        F.max("n").alias("n"),
-    )
+    return by_value.groupBy("cell", "pos").agg((F.sum("value") / F.sum("n")).alias("mean"))
 
 
 def mean_vectors(df: DataFrame, key: str, features: str = "features") -> DataFrame:
-    """`cell, centroid, n`: the mean vector of every value of an integer column."""
+    """`cell, centroid`: the mean vector of every value of a non-negative integer column."""
     ship(df.sparkSession)
     columns = [F.col(features).alias("vec"), F.coalesce(F.col(key).cast("int"), F.lit(-1)).alias("key")]
-    return _means(_partial_sums(df, columns, lambda batch, _: batch.column("key").to_numpy(False)))
+    means = _mean_values(
+        df, columns, lambda batch, _: batch.column("key").to_numpy(zero_copy_only=False)
+    )
+    pair = F.struct("pos", "mean")
+    return means.groupBy("cell").agg(
+        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["mean"]).alias("centroid")
+    )
 
 
 def kmeans_lloyd(
@@ -145,13 +116,13 @@ def kmeans_lloyd(
     cells, centers = model
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast((cells, centers))
-
-        def key_of(batch, vectors, shared=shared):
-            return _nearest(vectors, *shared.value)
-
-        new = _means(_partial_sums(df, [F.col(features).alias("vec")], key_of)).toArrow()
+        step = _mean_values(
+            df, [F.col(features).alias("vec")],
+            lambda batch, vectors, model=shared: nearest(vectors, *model.value),
+        ).toArrow()
         centers = centers.copy()
-        centers[np.searchsorted(cells, new.column("cell").to_numpy())] = list_matrix(new.column("centroid"))
+        row = np.searchsorted(cells, step.column("cell").to_numpy())
+        centers[row, step.column("pos").to_numpy()] = step.column("mean").to_numpy()
     rows = [(int(c), [float(x) for x in v]) for c, v in zip(cells, centers)]
     return spark.createDataFrame(rows, CENTROIDS)
 

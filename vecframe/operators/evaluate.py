@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecframe.operators.knn import ranked_distance
+
 
 def neighbor_lists(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """`qid, neighbors` from exploded rows `qid, neighbor, rank`."""
@@ -105,7 +107,7 @@ def sweep_recall(
     """
     position = routed.select("qid", F.posexplode("probes").alias("position", "part"))
     grid = F.explode(F.array(*[F.lit(p) for p in sorted(set(probe_counts))])).alias("probes")
-    depth = Window.partitionBy("qid", "probes").orderBy("distance", "neighbor")
+    depth = Window.partitionBy("qid", "probes").orderBy(ranked_distance(), "neighbor")
     ranked = (
         per_part.drop("rank")
         .join(position, ["qid", "part"])

@@ -38,6 +38,11 @@ def usable(vectors: np.ndarray, metric: str) -> np.ndarray:
     return ok
 
 
+def rounded(distance: np.ndarray) -> np.ndarray:
+    """Distances as they are ranked."""
+    return np.round(distance, DECIMALS) + 0.0
+
+
 def groups(keys: np.ndarray):
     """(key, row numbers) for every distinct key, rows in their given order."""
     order = np.argsort(keys, kind="stable")
@@ -47,6 +52,13 @@ def groups(keys: np.ndarray):
         yield ordered[start], order[start:stop]
 
 
+def _kth_largest(score: np.ndarray, k: int) -> np.ndarray:
+    if k == 1:
+        return score.max(axis=1)
+    at = score.shape[1] - k
+    return np.partition(score, at, axis=1)[:, at]
+
+
 class TopK:
     """The k nearest base rows seen so far for each row of a query matrix.
 
@@ -94,13 +106,12 @@ class TopK:
             slack = np.sqrt(2 * scale) * _TIE + scale * 1e-12
         else:
             slack = np.full(len(rows), _TIE)
-        limit = np.minimum(self.distance[rows, -1], self.bound[rows])
+        limit = np.minimum(rounded(self.distance[rows, -1]), self.bound[rows])
         floor = self._floor(rows, limit) - slack
         need = self.k + int(self.exclude_self)
         open_rows = np.flatnonzero(np.isinf(limit))
         if len(open_rows) and len(ids) > need:
-            kth = np.partition(score[open_rows], len(ids) - need, axis=1)[:, len(ids) - need]
-            floor[open_rows] = kth - slack[open_rows]
+            floor[open_rows] = _kth_largest(score[open_rows], need) - slack[open_rows]
         hit_row, hit_base = np.nonzero(score >= floor[:, None])
         query = rows[hit_row]
         if self.metric == "l2":
@@ -109,8 +120,7 @@ class TopK:
             distance = 1 - score[hit_row, hit_base]
             if self.metric == "cosine":
                 distance = np.maximum(distance, 0.0)
-        distance = np.round(distance, DECIMALS) + 0.0
-        keep = distance <= limit[hit_row]
+        keep = rounded(distance) <= limit[hit_row]
         if self.exclude_self:
             keep &= self.query_ids[query] != ids[hit_base]
         self._merge(query[keep], ids[hit_base[keep]], distance[keep])
@@ -136,7 +146,7 @@ class TopK:
         query = np.concatenate([np.repeat(touched, old.sum(axis=1)), query])
         ids = np.concatenate([self.neighbor[touched][old], ids])
         distance = np.concatenate([self.distance[touched][old], distance])
-        order = np.lexsort((ids, distance, query))
+        order = np.lexsort((ids, rounded(distance), query))
         query, ids, distance = query[order], ids[order], distance[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         top = place < self.k
@@ -148,3 +158,34 @@ class TopK:
         """Arrays (query row, neighbour id, distance, rank from 1) of all entries held."""
         row, place = np.nonzero(np.isfinite(self.distance))
         return row, self.neighbor[row, place], self.distance[row, place], place + 1
+
+
+def nearest(vectors, cells, centers) -> np.ndarray:
+    """Cell of the nearest centroid per row, the lower cell on a tie; -1 for unusable rows."""
+    lists = TopK(np.arange(len(vectors)), vectors, 1, "l2")
+    lists.update(None, cells, centers)
+    return np.where(np.isfinite(lists.distance[:, 0]), lists.neighbor[:, 0], -1)
+
+
+class CellSums:
+    """Number of vectors and their component sums per cell."""
+
+    def __init__(self):
+        self.total: dict[int, list] = {}
+
+    def add(self, cells, vectors):
+        ok = usable(vectors, "l2") & (cells >= 0)
+        for cell, rows in groups(np.where(ok, cells, -1)):
+            if cell < 0:
+                continue
+            held = self.total.setdefault(int(cell), [0, np.zeros(vectors.shape[1])])
+            held[0] += len(rows)
+            held[1] += vectors[rows].sum(axis=0)
+
+    def batch(self):
+        cells = sorted(self.total)
+        return pa.RecordBatch.from_pydict({
+            "cell": pa.array(cells, pa.int32()),
+            "n": pa.array([self.total[c][0] for c in cells], pa.int64()),
+            "sums": pa.array([self.total[c][1] for c in cells], pa.list_(pa.float64())),
+        })

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecframe.operators.kernel import TopK, groups, list_matrix
+from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix
 from vecframe.session import MODEL_ROWS, ship
 
 STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "blocks")
@@ -157,6 +157,11 @@ class _Job:
         return topk_per_query(partial.drop("rank"), self.k, self.keys)
 
 
+def ranked_distance(distance="distance"):
+    """Distances are ranked to nine decimals, so that forms differing in the last bits agree."""
+    return F.round(distance, DECIMALS)
+
+
 def topk_per_query(
     candidates: DataFrame, k: int, keys: list[str] | None = None, neighbor: str = "neighbor"
 ) -> DataFrame:
@@ -164,7 +169,7 @@ def topk_per_query(
 
     Spark limits every map task to k rows per query before the shuffle (WindowGroupLimit).
     """
-    order = Window.partitionBy(*(keys or ["qid"])).orderBy("distance", neighbor)
+    order = Window.partitionBy(*(keys or ["qid"])).orderBy(ranked_distance(), neighbor)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

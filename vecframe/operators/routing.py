@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecframe.functions.arrays import refill, truncate_vector, unique_refill
-from vecframe.operators.knn import Limits, knn_join
+from vecframe.operators.knn import Limits, knn_join, ranked_distance
 
 PROBE_ORDERS = ("id", "distance")
 
@@ -41,7 +41,7 @@ def route_queries(
     placed = hits.join(
         sample.select(F.col("id").cast("long").alias("neighbor"), F.col("part").cast("int")), "neighbor"
     )
-    best = placed.groupBy("qid").agg(F.collect_list(F.struct("distance", "part")).alias("hits"))
+    best = placed.groupBy("qid").agg(F.collect_list(F.struct(ranked_distance().alias("distance"), "part")).alias("hits"))
     parts = F.transform(F.array_sort("hits"), lambda h: h["part"])
     if probe_order == "distance":
         probes = refill(F.array_distinct(parts), n_probes, n_parts)
