@@ -19,10 +19,13 @@ CENTROIDS = "cell int, centroid array<double>"
 _MODEL_ROWS, _MODEL_BYTES = 50_000, 64 << 20
 
 
-def centroid_table(spark: SparkSession, centers) -> DataFrame:
-    """`cell, centroid` from a sequence of vectors, numbered in order."""
-    rows = [(cell, [float(x) for x in center]) for cell, center in enumerate(centers)]
-    return spark.createDataFrame(rows, CENTROIDS)
+def centroid_table(spark: SparkSession, centers, cells=None) -> DataFrame:
+    """`cell, centroid` from a sequence of vectors, numbered in order unless `cells` is given."""
+    table = pa.table({
+        "cell": pa.array(range(len(centers)) if cells is None else cells, pa.int32()),
+        "centroid": pa.array([np.asarray(c, dtype=np.float64) for c in centers], pa.list_(pa.float64())),
+    })
+    return spark.createDataFrame(table, CENTROIDS)
 
 
 def _centers(centroids: DataFrame):
@@ -120,11 +123,10 @@ def kmeans_lloyd(
             df, [F.col(features).alias("vec")],
             lambda batch, vectors, model=shared: nearest(vectors, *model.value),
         ).toArrow()
-        centers = centers.copy()
+        centers = np.array(centers, dtype=np.float64)
         row = np.searchsorted(cells, step.column("cell").to_numpy())
         centers[row, step.column("pos").to_numpy()] = step.column("mean").to_numpy()
-    rows = [(int(c), [float(x) for x in v]) for c, v in zip(cells, centers)]
-    return spark.createDataFrame(rows, CENTROIDS)
+    return centroid_table(spark, centers, cells)
 
 
 def fit_kmeans(

@@ -17,7 +17,7 @@ METRICS = ("cosine", "l2", "ip")
 
 
 def list_matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as an (n, d) matrix of doubles."""
+    """A numeric list column without nulls as an (n, d) matrix; float32 stays float32."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -27,15 +27,19 @@ def list_matrix(column: pa.Array) -> np.ndarray:
     if length["min"] != length["max"]:
         raise ValueError(f"vectors differ in length: {length['min']} to {length['max']}")
     values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64, copy=False).reshape(n, length["max"])
+    if values.dtype != np.float32:
+        values = values.astype(np.float64, copy=False)
+    return values.reshape(n, length["max"])
 
 
-def usable(vectors: np.ndarray, metric: str) -> np.ndarray:
+def squares(vectors: np.ndarray) -> np.ndarray:
+    """Squared length of every row, in double precision."""
+    return np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64, casting="safe")
+
+
+def usable(square: np.ndarray, metric: str) -> np.ndarray:
     """Rows that have a distance at all: finite, and not of zero length under cosine."""
-    ok = np.isfinite(vectors).all(axis=1)
-    if metric == "cosine":
-        ok &= np.einsum("ij,ij->i", vectors, vectors) > 0
-    return ok
+    return np.isfinite(square) & ((square > 0) | (metric != "cosine"))
 
 
 def rounded(distance: np.ndarray) -> np.ndarray:
@@ -45,98 +49,134 @@ def rounded(distance: np.ndarray) -> np.ndarray:
 
 def groups(keys: np.ndarray):
     """(key, row numbers) for every distinct key, rows in their given order."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else []
-    for start, stop in zip(starts, np.r_[starts[1:], len(keys)].astype(int) if len(keys) else []):
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    for start, stop in zip(starts, np.r_[starts[1:], len(keys)]):
         yield ordered[start], order[start:stop]
 
 
-def _kth_largest(score: np.ndarray, k: int) -> np.ndarray:
-    if k == 1:
-        return score.max(axis=1)
-    at = score.shape[1] - k
-    return np.partition(score, at, axis=1)[:, at]
-
-
 class TopK:
     """The k nearest base rows seen so far for each row of a query matrix.
 
-    Base rows arrive in batches. A matrix product scores a tile of pairs; only pairs that can
-    still enter a list get their exact distance computed and merged.
+    Base rows arrive in batches. A single-precision matrix product scores a tile of pairs, larger
+    meaning nearer. Its rounding error has a proven bound, so every pair that could enter a list
+    is found; only those get their distance computed, in double precision, and merged.
     """
 
     def __init__(self, ids, vectors, k, metric="cosine", exclude_self=False, bound=None):
         if metric not in METRICS:
             raise ValueError(f"metric must be one of {METRICS}")
+        n = len(ids)
         self.query_ids = np.asarray(ids, dtype=np.int64)
         self.metric, self.k, self.exclude_self = metric, k, exclude_self
-        self.live = usable(vectors, metric) if len(vectors) else np.zeros(0, bool)
-        if metric == "cosine" and len(vectors):
-            length = np.linalg.norm(vectors, axis=1, keepdims=True)
-            vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
         self.vectors = vectors
-        self.square = np.einsum("ij,ij->i", vectors, vectors)
-        n = len(self.query_ids)
+        self.square = squares(vectors) if n else np.zeros(0)
+        self.length = np.sqrt(self.square)
+        self.live = usable(self.square, metric)
+        self.scoring = self._scoring(vectors, self.square, query=True) if n else vectors
         self.bound = np.full(n, np.inf) if bound is None else np.asarray(bound) + _TIE
         self.distance = np.full((n, k), np.inf)
         self.neighbor = np.full((n, k), _NO_ID, dtype=np.int64)
 
+    def _scoring(self, vectors, square, query):
+        """Rows prepared so that a product of both sides is the score."""
+        if self.metric == "cosine":
+            length = np.sqrt(np.where(square > 0, square, 1.0))
+            return (vectors / length[:, None]).astype(np.float32)
+        dtype = np.float32 if not len(square) or np.nanmax(square) < 1e30 else np.float64
+        if self.metric == "ip":
+            return vectors.astype(dtype, copy=False)
+        extra = np.ones(len(vectors)) if query else -square / 2
+        return np.concatenate([vectors, extra[:, None]], axis=1, dtype=dtype, casting="same_kind")
+
     def update(self, rows, ids, vectors):
         """Offer base rows (`ids`, `vectors`) to the queries numbered `rows` (None: all)."""
-        ok = usable(vectors, self.metric)
-        if not ok.all():
-            ids, vectors = ids[ok], vectors[ok]
         rows = np.flatnonzero(self.live) if rows is None else rows[self.live[rows]]
         if not len(ids) or not len(rows):
             return
-        if self.metric == "cosine":
-            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        square = squares(vectors)
+        ok = usable(square, self.metric)
+        if not ok.all():
+            ids, vectors, square = ids[ok], vectors[ok], square[ok]
+        if not len(ids):
+            return
+        base = (ids, vectors, np.sqrt(square), self._scoring(vectors, square, query=False))
         for b in range(0, len(ids), _BASE_TILE):
-            tile_ids, tile = ids[b:b + _BASE_TILE], vectors[b:b + _BASE_TILE]
+            tile = tuple(x[b:b + _BASE_TILE] for x in base)
             for q in range(0, len(rows), _QUERY_TILE):
-                self._tile(rows[q:q + _QUERY_TILE], tile_ids, tile)
+                self._tile(rows[q:q + _QUERY_TILE], tile)
 
-    def _tile(self, rows, ids, base):
-        score = self.vectors[rows] @ base.T
-        if self.metric == "l2":
-            half = np.einsum("ij,ij->i", base, base) / 2
-            score -= half
-            scale = self.square[rows] + 2 * half.max()
-            slack = np.sqrt(2 * scale) * _TIE + scale * 1e-12
-        else:
-            slack = np.full(len(rows), _TIE)
+    def _tile(self, rows, tile, distinct=False):
+        ids, base, length, scoring = tile
+        score = self.scoring[rows] @ scoring.T
+        slack = self._slack(rows, length.max(), score.dtype)
         limit = np.minimum(rounded(self.distance[rows, -1]), self.bound[rows])
         floor = self._floor(rows, limit) - slack
         need = self.k + int(self.exclude_self)
-        open_rows = np.flatnonzero(np.isinf(limit))
-        if len(open_rows) and len(ids) > need:
-            floor[open_rows] = _kth_largest(score[open_rows], need) - slack[open_rows]
-        hit_row, hit_base = np.nonzero(score >= floor[:, None])
-        query = rows[hit_row]
-        if self.metric == "l2":
-            distance = self._l2(query, base, hit_base)
-        else:
-            distance = 1 - score[hit_row, hit_base]
-            if self.metric == "cosine":
-                distance = np.maximum(distance, 0.0)
-        keep = rounded(distance) <= limit[hit_row]
+        unbounded = np.flatnonzero(np.isinf(limit))
+        if len(unbounded) and len(ids) > need:
+            # Twice the error: the k-th best score and the scores compared with it are both off.
+            floor[unbounded] = _kth_largest(score[unbounded], need) - 2 * slack[unbounded]
+        hits = np.flatnonzero(score >= floor.astype(score.dtype)[:, None])
+        if not distinct and len(hits) > 16 * need * len(rows):
+            return self._tile(rows, self._without_copies(tile, need), distinct=True)
+        hit_row, hit_base = np.divmod(hits, len(ids))
+        query, ids = rows[hit_row], ids[hit_base]
+        distance = self._distance(query, base, length, hit_base)
+        rank = rounded(distance)
+        worst = rounded(self.distance[query, -1])
+        keep = (rank < worst) | ((rank == worst) & (ids < self.neighbor[query, -1]))
+        keep &= rank <= self.bound[query]
         if self.exclude_self:
-            keep &= self.query_ids[query] != ids[hit_base]
-        self._merge(query[keep], ids[hit_base[keep]], distance[keep])
+            keep &= self.query_ids[query] != ids
+        self._merge(query[keep], ids[keep], distance[keep])
+
+    @staticmethod
+    def _without_copies(tile, need):
+        """Of equal vectors only the `need` lowest ids can make a list; leave out the others."""
+        ids, base = tile[:2]
+        order = np.argsort(ids, kind="stable")
+        rows = np.ascontiguousarray(base[order] + 0.0)
+        key = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).reshape(-1)
+        _, copy_of = np.unique(key, return_inverse=True)
+        kept = np.sort(np.concatenate([members[:need] for _, members in groups(copy_of)]))
+        return tuple(x[order[kept]] for x in tile)
+
+    def _slack(self, rows, longest, dtype):
+        """A bound on the error of a score, and room for distances that round to the same value."""
+        size = self.vectors.shape[1] + 8
+        unit = np.finfo(dtype).eps * size + np.finfo(np.float64).eps * size
+        if self.metric == "cosine":
+            return np.full(len(rows), unit + _TIE)
+        if self.metric == "ip":
+            return self.length[rows] * longest * unit + _TIE
+        reach = self.length[rows] + longest
+        return reach * reach * unit + 2 * reach * _TIE + _TIE
 
     def _floor(self, rows, limit):
         """The lowest score whose distance is still within `limit`."""
         if self.metric == "l2":
-            return (self.square[rows] - (limit + _TIE) ** 2) / 2
+            return (self.square[rows] - limit**2) / 2
         return 1 - limit
 
-    def _l2(self, query, base, hit_base):
+    def _distance(self, query, base, length, hit_base):
         out = np.empty(len(query))
-        for s in range(0, len(query), 65536):
-            gap = self.vectors[query[s:s + 65536]] - base[hit_base[s:s + 65536]]
-            out[s:s + 65536] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-        return out
+        for s in range(0, len(query), 32768):
+            at = slice(s, s + 32768)
+            left = self.vectors[query[at]].astype(np.float64, copy=False)
+            right = base[hit_base[at]].astype(np.float64, copy=False)
+            if self.metric == "l2":
+                gap = left - right
+                out[at] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                continue
+            product = np.einsum("ij,ij->i", left, right)
+            if self.metric == "cosine":
+                product /= self.length[query[at]] * length[hit_base[at]]
+            out[at] = 1 - product
+        return np.maximum(out, 0.0) if self.metric == "cosine" else out
 
     def _merge(self, query, ids, distance):
         if not len(query):
@@ -160,6 +200,13 @@ class TopK:
         return row, self.neighbor[row, place], self.distance[row, place], place + 1
 
 
+def _kth_largest(score: np.ndarray, k: int) -> np.ndarray:
+    if k == 1:
+        return score.max(axis=1)
+    at = score.shape[1] - k
+    return np.partition(score, at, axis=1)[:, at]
+
+
 def nearest(vectors, cells, centers) -> np.ndarray:
     """Cell of the nearest centroid per row, the lower cell on a tie; -1 for unusable rows."""
     lists = TopK(np.arange(len(vectors)), vectors, 1, "l2")
@@ -174,13 +221,13 @@ class CellSums:
         self.total: dict[int, list] = {}
 
     def add(self, cells, vectors):
-        ok = usable(vectors, "l2") & (cells >= 0)
+        ok = usable(squares(vectors), "l2") & (cells >= 0)
         for cell, rows in groups(np.where(ok, cells, -1)):
             if cell < 0:
                 continue
             held = self.total.setdefault(int(cell), [0, np.zeros(vectors.shape[1])])
             held[0] += len(rows)
-            held[1] += vectors[rows].sum(axis=0)
+            held[1] += vectors[rows].sum(axis=0, dtype=np.float64)
 
     def batch(self):
         cells = sorted(self.total)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix
-from vecframe.session import MODEL_ROWS, ship
+from vecframe.session import model_table, ship
 
 STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "blocks")
 
@@ -220,7 +220,6 @@ def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
 
 
 def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> DataFrame:
-    spark = base.sparkSession
     if job.pruned:
         queries = queries.withColumn("part", F.explode("parts")).drop("parts")
     else:
@@ -237,13 +236,9 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
         F.ceil(F.col("n_base") / limits.base_block_rows).cast("int").alias("base_blocks"),
         F.ceil(F.col("n_query") / limits.query_block_rows).cast("int").alias("query_blocks"),
     )
-    rows = layout.limit(MODEL_ROWS + 1).collect()
-    if len(rows) <= MODEL_ROWS:
-        total = sum(r.base_blocks * r.query_blocks for r in rows)
-        layout = F.broadcast(spark.createDataFrame(rows, layout.schema))
-    else:
-        total = layout.agg(F.sum(F.col("base_blocks") * F.col("query_blocks"))).first()[0]
-    n_tasks = max(1, min(total, limits.max_shuffle_partitions))
+    layout = model_table(layout)
+    total = layout.agg(F.sum(F.col("base_blocks").cast("long") * F.col("query_blocks"))).first()[0]
+    n_tasks = max(1, min(total or 0, limits.max_shuffle_partitions))
 
     def blocks(column):
         return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
