@@ -21,6 +21,7 @@ def route_queries(
     probe_order: str = "id",
     truncate: bool = False,
     bound_k: int | None = None,
+    cells: str | None = None,
     strategy: str = "auto",
     limits: Limits = Limits(),
 ) -> DataFrame:
@@ -32,12 +33,17 @@ def route_queries(
     `truncate` drops the fractions of the sample vectors first. With `bound_k`, a column `bound`
     is added: the distance of the query's bound_k-th nearest sample row that lies in one of its
     probed partitions. Sample rows are base rows, so no true bound_k-th neighbour is farther.
+    `cells` names a query column with the fine cells whose sample rows are looked at; without it
+    the whole sample is, which grows with the base.
     """
     if probe_order not in PROBE_ORDERS:
         raise ValueError(f"probe_order must be one of {PROBE_ORDERS}")
     if truncate:
         sample = sample.withColumn("features", truncate_vector("features").cast("array<double>"))
-    hits = knn_join(queries, sample, neighbors, metric, strategy=strategy, limits=limits)
+    hits = knn_join(
+        queries, sample, neighbors, metric,
+        probes=cells, part="cell", strategy=strategy, limits=limits,
+    )
     placed = hits.join(
         sample.select(F.col("id").cast("long").alias("neighbor"), F.col("part").cast("int")), "neighbor"
     )

@@ -31,10 +31,10 @@ def sample_per_cell(
 ) -> DataFrame:
     """Exactly round-half-even(rows * rate) rows of every cell, the same ones on every run.
 
-    A cell keeps its rows of smallest (md5("id:seed"), id). No cell is ever sorted: a histogram
-    over leading digits of the hash finds the slice that holds a cell's last sampled row, only
-    that slice is ranked, and the rows are then taken by one filter on the cut value. Vectors are
-    read by that last filter alone.
+    A cell keeps its rows of smallest (md5("id:seed"), id). A large cell is never sorted: a
+    histogram over leading digits of the hash finds the slice that holds the cell's last sampled
+    row, and only that slice (`ranked_rows` rows or so) is ranked. The rows are then taken by one
+    filter on the cut value, which alone reads vectors.
     """
     hashed = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     slim = df.select(F.col(cell).alias("cell"), F.col(id_col).alias("id"), hashed.alias("hash"))
@@ -47,18 +47,11 @@ def sample_per_cell(
     largest = quota.agg(F.max("rows")).first()[0]
     if largest is None:
         return df.limit(0)
-    digits = max(1, math.ceil(math.log(max(largest / ranked_rows, 1), 16)))
-
-    slices = slim.withColumn("slice", F.substring("hash", 1, digits)).groupBy("cell", "slice").agg(
-        F.count("*").alias("in_slice")
-    )
-    upto = Window.partitionBy("cell").orderBy("slice")
-    cut_slice = model_table(
-        slices.withColumn("upto", F.sum("in_slice").over(upto))
-        .join(quota, "cell")
-        .where("upto >= quota and upto - in_slice < quota")
-        .select("cell", "slice", (F.expr("quota - (upto - in_slice)")).alias("left"))
-    )
+    digits = math.ceil(math.log(max(largest / ranked_rows, 1), 16))
+    if digits == 0:  # every cell is small enough to be ranked whole
+        cut_slice = quota.select("cell", F.lit("").alias("slice"), F.col("quota").alias("left"))
+    else:
+        cut_slice = _cut_slices(slim, quota, digits)
     order = Window.partitionBy("cell").orderBy("hash", "id")
     last = model_table(
         slim.join(cut_slice, "cell")
@@ -71,6 +64,21 @@ def sample_per_cell(
     return df.join(last, F.col(cell) == F.col("_cell")).where(inside).select(*[F.col(c) for c in df.columns])
 
 
+def _cut_slices(slim: DataFrame, quota: DataFrame, digits: int) -> DataFrame:
+    """Per cell, the hash slice in which its quota is reached, and how many rows to take of it."""
+    counted = (
+        slim.withColumn("slice", F.substring("hash", 1, digits))
+        .groupBy("cell", "slice").agg(F.count("*").alias("in_slice"))
+    )
+    upto = Window.partitionBy("cell").orderBy("slice")
+    return model_table(
+        counted.withColumn("upto", F.sum("in_slice").over(upto))
+        .join(quota, "cell")
+        .where("upto >= quota and upto - in_slice < quota")
+        .select("cell", "slice", F.expr("quota - (upto - in_slice)").alias("left"))
+    )
+
+
 def sample_bernoulli(df: DataFrame, fraction: float, cell: str = "cell", seed: int = 42) -> DataFrame:
     """Keep each row with the given probability, stratum by stratum."""
     strata = df.select(cell).distinct().withColumn("fraction", F.lit(float(fraction)))

@@ -30,6 +30,10 @@ from vecframe.session import fresh_path, model_table, write_and_read
 from vecframe.sources.tables import load_model, save_model
 
 
+# Pairs of coarse and fine cells that one packing may look at; it runs in a single task.
+MAX_RANKS = 20_000_000
+
+
 @dataclass(frozen=True)
 class SearchConfig:
     """Parameters of an index and of the searches on it."""
@@ -42,6 +46,7 @@ class SearchConfig:
     sample_rate: float = 0.05
     sample_seed: int = 42
     route_neighbors: int = 30
+    route_cells: int | None = None  # search the sample only in this many nearest fine cells
     metric: str = "cosine"
     probe_order: str = "distance"  # "id" keeps the lowest partition ids instead
     truncate_sample: bool = False
@@ -57,6 +62,7 @@ class SearchIndex:
     """Base rows stored by cell, the partition of each cell, and the routing sample."""
 
     config: SearchConfig
+    centroids: DataFrame  # cell, centroid of the cells
     base: DataFrame  # id, features, cell, part
     cell_map: DataFrame  # cell, part
     counts: DataFrame  # cell, n
@@ -79,11 +85,14 @@ def build_index(
             base, config.n_parts, config.n_parts * config.cells_per_part,
             config.train_rate, config.seed, config.max_iter,
         )
+    fine = model_table(fine)
     n_cells = fine.count()
+    if n_cells * config.n_parts > MAX_RANKS:
+        raise ValueError(f"more than {MAX_RANKS} (partition, cell) pairs; use fewer cells per partition")
     stored = _store(base, fine)
     counts = model_table(cell_counts(stored, n_cells))
     packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
-    return _finish(config, stored, model_table(cell_to_part(packed, n_cells)), counts)
+    return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts)
 
 
 def build_index_1level(
@@ -97,7 +106,7 @@ def build_index_1level(
     stored = _store(base, centroids)
     counts = model_table(cell_counts(stored, config.n_parts))
     cell_map = model_table(counts.select("cell", F.col("cell").alias("part")))
-    return _finish(config, stored, cell_map, counts)
+    return _finish(config, centroids, stored, cell_map, counts)
 
 
 def _store(base, centroids):
@@ -107,10 +116,11 @@ def _store(base, centroids):
     return write_by_cell(rows, fresh_path(base.sparkSession, "cells"))
 
 
-def _finish(config, stored, cell_map, counts):
+def _finish(config, centroids, stored, cell_map, counts):
     sample = sample_per_cell(stored, config.sample_rate, seed=config.sample_seed)
     return SearchIndex(
         config,
+        centroids,
         remap_cells(stored, cell_map),
         cell_map,
         counts,
@@ -121,10 +131,14 @@ def _finish(config, stored, cell_map, counts):
 def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """`queries` (`qid, features`) with the partitions each is searched in, stored once."""
     c = config or index.config
+    near = None
+    if c.route_cells is not None:
+        queries = queries.join(nearest_cells(queries, index.centroids, c.route_cells, c.metric), "qid")
+        near = "cells"
     routed = route_queries(
         queries, index.sample, c.n_parts, c.n_probes, c.route_neighbors, c.metric,
         c.probe_order, c.truncate_sample,
-        bound_k=None if c.exclude_self else c.k,
+        bound_k=None if c.exclude_self else c.k, cells=near,
         strategy=c.strategy, limits=c.limits,
     )
     return write_and_read(routed, "routed")
@@ -205,6 +219,15 @@ def exact_search(
     )
 
 
+def nearest_cells(
+    queries: DataFrame, centroids: DataFrame, n_cells: int, metric: str = "cosine", **options
+) -> DataFrame:
+    """`qid, cells`: the `n_cells` cells whose centroids are nearest each query, nearest first."""
+    centers = centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("features"))
+    found = knn_join(queries, centers, n_cells, metric, **options)
+    return neighbor_lists(found).withColumnRenamed("neighbors", "cells")
+
+
 def knn_cells(
     queries: DataFrame,
     base: DataFrame,
@@ -215,14 +238,8 @@ def knn_cells(
     **options,
 ) -> DataFrame:
     """The k nearest rows within the `n_cells` fine cells whose centroids are nearest the query."""
-    nearest = knn_join(
-        queries, centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("features")),
-        n_cells, metric, **options,
-    )
-    probes = neighbor_lists(nearest).withColumnRenamed("neighbors", "cells")
-    return knn_join(
-        queries.join(probes, "qid"), base, k, metric, probes="cells", part="cell", **options
-    )
+    probing = queries.join(nearest_cells(queries, centroids, n_cells, metric, **options), "qid")
+    return knn_join(probing, base, k, metric, probes="cells", part="cell", **options)
 
 
 def recall_sweep(
