@@ -158,7 +158,9 @@ def fit_two_levels(
     df: DataFrame, k1: int, k2: int, train_rate: float = 0.05, seed: int = 0, max_iter: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """(fine, coarse) centroids: two independent fits on the same training prefix."""
-    train = train_prefix(df, train_rate).select("id", "features").persist()
+    # A prefix sits in few files; spread it, because every iteration passes over it.
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    train = train_prefix(df, train_rate).select("id", "features").repartition(tasks, "id").persist()
     try:
         fine = fit_kmeans(train, k2, seed, max_iter=max_iter).clusterCenters()
         coarse = fit_kmeans(train, k1, seed, max_iter=max_iter).clusterCenters()

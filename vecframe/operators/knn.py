@@ -4,10 +4,10 @@ One operator, `knn_join`, serves them all. It never forms a table of pairs: a nu
 blocks inside tasks and only running top-k lists leave a task. It has three physical forms, and
 all three give the same rows:
 
-* ``broadcast_queries``: the query side is small (measured, in bytes). Every task streams its
+* ``broadcast_base``: the base is small (a sample, centroids; measured, in bytes). Every task
+  streams queries and emits final lists, so nothing is shuffled at all.
+* ``broadcast_queries``: the query side is small (measured likewise). Every task streams its
   share of the base once, without a shuffle of the base, and emits its top-k per query.
-* ``broadcast_base``: the base is small (a sample, centroids). Every task streams queries and
-  emits final lists, so nothing is shuffled at all.
 * ``blocks``: neither side is small. Rows are counted per partition, a partition is cut into as
   many base blocks and query blocks as its size asks for (a partition that holds a third of all
   rows simply gets more blocks), and each pair of blocks is one shuffle group. Queries of a group
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix
+from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix, rounded
 from vecframe.session import model_table, ship
 
 STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "blocks")
@@ -81,14 +81,22 @@ def knn_join(
     b = base.select(*b).where("vec is not null" + (" and part is not null" if probes else ""))
     job = _Job(k, metric, exclude_self, per_part, probes is not None)
 
-    if strategy in ("auto", "broadcast_queries"):
-        table = _bounded(q, limits.broadcast_bytes if strategy == "auto" else None)
-        if table is not None:
-            return _broadcast_queries(job, table, b)
-    if strategy in ("auto", "broadcast_base"):
-        table = _bounded(b, limits.broadcast_bytes if strategy == "auto" else None)
-        if table is not None:
-            return _broadcast_base(job, q, table)
+    if strategy == "blocks":
+        return _blocks(job, q, b, limits)
+    if strategy == "broadcast_queries":
+        return _broadcast_queries(job, q.toArrow(), b)
+    if strategy == "broadcast_base":
+        return _broadcast_base(job, q, b.toArrow())
+    few_queries = _bounded(q, "qid", limits.broadcast_bytes)
+    if few_queries is not None and few_queries.num_rows < 100:
+        return _broadcast_queries(job, few_queries, b)
+    few_rows = _bounded(b, "id", limits.broadcast_bytes)
+    if few_rows is not None:
+        if few_queries is not None:  # already here: spread it over all tasks
+            q = q.sparkSession.createDataFrame(few_queries, q.schema)
+        return _broadcast_base(job, q, few_rows)
+    if few_queries is not None:
+        return _broadcast_queries(job, few_queries, b)
     return _blocks(job, q, b, limits)
 
 
@@ -109,6 +117,11 @@ class _Job:
         part = "part long, " if self.per_part else ""
         return f"qid long, {part}neighbor long, distance double, rank int"
 
+    @property
+    def partial_schema(self) -> str:
+        """`key` is the distance as it is ranked."""
+        return self.schema.replace("rank int", "key double")
+
     def open(self, queries):
         """Empty lists for a batch of queries, and which of them search which partition."""
         ids = queries.column("qid").to_numpy(zero_copy_only=False) if isinstance(
@@ -143,18 +156,25 @@ class _Job:
             if key in searchers:
                 lists.update(searchers[key], ids[rows], vectors[rows])
 
-    def emit(self, lists, part=None):
+    def emit(self, lists, part=None, final=False):
         row, neighbor, distance, rank = lists.result()
         columns = {"qid": pa.array(lists.query_ids[row], pa.int64())}
         if self.per_part:
             columns["part"] = pa.array(np.broadcast_to(part, len(lists.query_ids))[row], pa.int64())
         columns["neighbor"] = pa.array(neighbor, pa.int64())
         columns["distance"] = pa.array(distance, pa.float64())
-        columns["rank"] = pa.array(rank, pa.int32())
+        if final:
+            columns["rank"] = pa.array(rank, pa.int32())
+        else:
+            columns["key"] = pa.array(rounded(distance), pa.float64())
         return pa.RecordBatch.from_pydict(columns)
 
     def merge(self, partial: DataFrame) -> DataFrame:
-        return topk_per_query(partial.drop("rank"), self.k, self.keys)
+        """Final lists from per-task lists. These hold k rows per query already, so they go
+        straight to the shuffle; ranking before it would sort them for nothing."""
+        order = Window.partitionBy(*self.keys).orderBy("key", "neighbor")
+        ranked = partial.repartition("qid").withColumn("rank", F.row_number().over(order))
+        return ranked.where(F.col("rank") <= self.k).drop("key")
 
 
 def ranked_distance(distance="distance"):
@@ -173,19 +193,20 @@ def topk_per_query(
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _bounded(df: DataFrame, max_bytes: int | None) -> pa.Table | None:
-    """All rows of `df` if they fit in `max_bytes`, else None. Reads only as much as it must."""
-    if max_bytes is None:
-        return df.toArrow()
+def _bounded(df: DataFrame, key: str, max_bytes: int) -> pa.Table | None:
+    """All rows of `df` if they fit in `max_bytes`, else None.
+
+    A large table costs two short jobs: its first rows tell the width of a row, and a limited
+    count of its keys, without vectors, tells that there are too many.
+    """
     first = 2000
     head = df.limit(first + 1).toArrow()
     if head.num_rows <= first:
         return head if head.nbytes <= max_bytes else None
     rows = int(max_bytes / (head.nbytes / head.num_rows))
-    if rows <= first:
+    if rows <= first or df.select(key).limit(rows + 1).toArrow().num_rows > rows:
         return None
-    head = df.limit(rows + 1).toArrow()
-    return head if head.num_rows <= rows else None
+    return df.toArrow()
 
 
 def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
@@ -202,7 +223,7 @@ def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFra
             job.offer(lists, searchers, batch)
         yield job.emit(lists, part)
 
-    return job.merge(base.mapInArrow(search, job.schema))
+    return job.merge(base.mapInArrow(search, job.partial_schema))
 
 
 def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
@@ -214,7 +235,7 @@ def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
             lists, searchers, part = job.open(batch)
             for chunk in rows:
                 job.offer(lists, searchers, chunk)
-            yield job.emit(lists, part)
+            yield job.emit(lists, part, final=True)
 
     return queries.mapInArrow(search, job.schema)
 
@@ -291,7 +312,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
         if lists is not None:
             yield job.emit(lists, current[0])
 
-    return job.merge(placed.mapInArrow(search, job.schema))
+    return job.merge(placed.mapInArrow(search, job.partial_schema))
 
 
 def as_predictions(neighbors: DataFrame, queries: DataFrame | None = None, query_id: str = "qid") -> DataFrame:

@@ -95,7 +95,9 @@ def write_by_cell(df: DataFrame, path: str, cell: str = "cell") -> DataFrame:
     Rebalancing lets adaptive execution split a cell that is too large for one task and join
     small ones, so a hot cell becomes several files, not one long task.
     """
-    df.hint("rebalance", F.col(cell)).write.partitionBy(cell).parquet(path)
+    placed = df.hint("rebalance", F.col(cell)).write.partitionBy(cell)
+    # Components hardly repeat, so a dictionary of them costs time and saves nothing.
+    placed.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
