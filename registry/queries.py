@@ -37,8 +37,11 @@ CONFIG = plan.SearchConfig(
 )
 
 
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = spark.read.schema(SCHEMA).parquet(f"{sf}/embeddings.parquet")
     return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
 
 
@@ -205,12 +208,12 @@ def q_parquet_scan(spark, sf):
 
 
 def q_with_row_id(spark, sf):
-    rows = tables.with_row_id(spark.read.parquet(f"{sf}/embeddings.parquet"), "row_id")
+    rows = tables.with_row_id(spark.read.schema(SCHEMA).parquet(f"{sf}/embeddings.parquet"), "row_id")
     return rows.select("row_id", "vec_id", "label")
 
 
 def q_zip_join(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = spark.read.schema(SCHEMA).parquet(f"{sf}/embeddings.parquet")
     zipped = tables.zip_join(rows.select("vec_id"), rows.select("label"))
     return zipped.select("id", "vec_id", "label")
 
@@ -367,9 +370,11 @@ def q_neighbor_ids(spark, sf):
 
 
 def q_knn_result(spark, sf):
-    """Nested predictions in query order."""
+    """Nested predictions, stored and read back in query order."""
+    path = fresh_path(spark, "result")
     found = plan.exact_search(base(spark, sf), asked(spark, sf), CONFIG)
-    nested = knn.ordered_result(knn.as_predictions(found, asked(spark, sf)))
+    tables.save_result(knn.as_predictions(found, asked(spark, sf)), path)
+    nested = knn.ordered_result(spark.read.parquet(path))
     rows = nested.select("qid", F.posexplode("prediction").alias("pos", "hit"))
     return rows.select("qid", "pos", F.col("hit.neighbor"), F.round("hit.distance", 6).alias("distance"))
 

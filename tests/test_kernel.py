@@ -70,3 +70,14 @@ def test_ragged_vectors_are_refused():
 
     with pytest.raises(ValueError, match="differ in length"):
         list_matrix(pa.array([[1.0], [1.0, 2.0]]))
+
+
+def test_tags_travel_with_rows():
+    rng = np.random.default_rng(6)
+    base, asked = rng.normal(size=(300, 4)).astype(np.float32), rng.normal(size=(9, 4)).astype(np.float32)
+    lists = TopK(np.arange(9), asked, 4)
+    for s in range(0, 300, 50):
+        ids = np.arange(s, s + 50)
+        lists.update(None, ids, base[ids], ids * 10)
+    _, neighbor, _, _, tag = lists.result()
+    assert (tag == neighbor * 10).all() and len(tag) == 36

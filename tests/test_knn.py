@@ -127,3 +127,25 @@ def test_topk_per_query(spark):
     rows = [(1, 5, 0.3), (1, 4, 0.3), (1, 6, 0.1), (2, 9, 0.5)]
     candidates = spark.createDataFrame(rows, "qid long, neighbor long, distance double")
     assert as_lists(knn.topk_per_query(candidates, 2)) == {1: [6, 4], 2: [9]}
+
+
+def test_forced_broadcast_is_checked(tables):
+    base, queries, _, _ = tables
+    for strategy in ("broadcast_queries", "broadcast_base"):
+        with pytest.raises(ValueError, match="larger than"):
+            knn_join(queries, base, 3, strategy=strategy, limits=Limits(broadcast_bytes=100))
+
+
+@pytest.mark.parametrize("strategy", FORMS)
+def test_carry_and_many_partitions(make, strategy):
+    """More than 64 partitions, mixed within the stored rows."""
+    rng = np.random.default_rng(8)
+    vectors, asked = rng.normal(size=(800, 4)).astype(np.float32), rng.normal(size=(30, 4)).astype(np.float32)
+    part = [int(x) for x in rng.integers(0, 150, 800)]
+    probes = [[int(x) for x in rng.choice(150, 40, replace=False)] for _ in range(30)]
+    got = knn_join(
+        make(asked, id_col="qid", probes=probes), make(vectors, part=part), 5,
+        probes="probes", carry="part", strategy=strategy, limits=SMALL,
+    )
+    assert as_lists(got) == brute(asked, vectors, 5, allowed=lambda i, j: part[j] in probes[i])
+    assert all(r.tag == part[r.neighbor] for r in got.collect())

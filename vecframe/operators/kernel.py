@@ -80,6 +80,7 @@ class TopK:
         self.bound = np.full(n, np.inf) if bound is None else np.asarray(bound) + _TIE
         self.distance = np.full((n, k), np.inf)
         self.neighbor = np.full((n, k), _NO_ID, dtype=np.int64)
+        self.tag = np.zeros((n, k), dtype=np.int64)
 
     def _scoring(self, vectors, square, query):
         """Rows prepared so that a product of both sides is the score."""
@@ -92,25 +93,29 @@ class TopK:
         extra = np.ones(len(vectors)) if query else -square / 2
         return np.concatenate([vectors, extra[:, None]], axis=1, dtype=dtype, casting="same_kind")
 
-    def update(self, rows, ids, vectors):
-        """Offer base rows (`ids`, `vectors`) to the queries numbered `rows` (None: all)."""
+    def update(self, rows, ids, vectors, tags=None):
+        """Offer base rows (`ids`, `vectors`) to the queries numbered `rows` (None: all).
+
+        `tags` are integers that travel with the rows into the lists.
+        """
         rows = np.flatnonzero(self.live) if rows is None else rows[self.live[rows]]
         if not len(ids) or not len(rows):
             return
         square = squares(vectors)
+        tags = np.zeros(len(ids), dtype=np.int64) if tags is None else tags
         ok = usable(square, self.metric)
         if not ok.all():
-            ids, vectors, square = ids[ok], vectors[ok], square[ok]
+            ids, vectors, square, tags = ids[ok], vectors[ok], square[ok], tags[ok]
         if not len(ids):
             return
-        base = (ids, vectors, np.sqrt(square), self._scoring(vectors, square, query=False))
+        base = (ids, vectors, np.sqrt(square), self._scoring(vectors, square, query=False), tags)
         for b in range(0, len(ids), _BASE_TILE):
             tile = tuple(x[b:b + _BASE_TILE] for x in base)
             for q in range(0, len(rows), _QUERY_TILE):
                 self._tile(rows[q:q + _QUERY_TILE], tile)
 
     def _tile(self, rows, tile, distinct=False):
-        ids, base, length, scoring = tile
+        ids, base, length, scoring, tags = tile
         score = self.scoring[rows] @ scoring.T
         slack = self._slack(rows, length.max(), score.dtype)
         limit = np.minimum(rounded(self.distance[rows, -1]), self.bound[rows])
@@ -132,7 +137,7 @@ class TopK:
         keep &= rank <= self.bound[query]
         if self.exclude_self:
             keep &= self.query_ids[query] != ids
-        self._merge(query[keep], ids[keep], distance[keep])
+        self._merge(query[keep], ids[keep], distance[keep], tags[hit_base[keep]])
 
     @staticmethod
     def _without_copies(tile, need):
@@ -178,26 +183,28 @@ class TopK:
             out[at] = 1 - product
         return np.maximum(out, 0.0) if self.metric == "cosine" else out
 
-    def _merge(self, query, ids, distance):
+    def _merge(self, query, ids, distance, tags):
         if not len(query):
             return
         touched = np.unique(query)
         old = np.isfinite(self.distance[touched])
         query = np.concatenate([np.repeat(touched, old.sum(axis=1)), query])
         ids = np.concatenate([self.neighbor[touched][old], ids])
+        tags = np.concatenate([self.tag[touched][old], tags])
         distance = np.concatenate([self.distance[touched][old], distance])
         order = np.lexsort((ids, rounded(distance), query))
-        query, ids, distance = query[order], ids[order], distance[order]
+        query = query[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         top = place < self.k
+        at, order = (query[top], place[top]), order[top]
         self.distance[touched], self.neighbor[touched] = np.inf, _NO_ID
-        self.distance[query[top], place[top]] = distance[top]
-        self.neighbor[query[top], place[top]] = ids[top]
+        self.distance[at], self.neighbor[at], self.tag[at] = distance[order], ids[order], tags[order]
 
     def result(self):
-        """Arrays (query row, neighbour id, distance, rank from 1) of all entries held."""
+        """Arrays (query row, neighbour id, distance, rank from 1, tag) of all entries held."""
         row, place = np.nonzero(np.isfinite(self.distance))
-        return row, self.neighbor[row, place], self.distance[row, place], place + 1
+        at = (row, place)
+        return row, self.neighbor[at], self.distance[at], place + 1, self.tag[at]
 
 
 def _kth_largest(score: np.ndarray, k: int) -> np.ndarray:

@@ -51,6 +51,8 @@ def knn_join(
     bound: str | None = None,
     exclude_self: bool = False,
     per_part: bool = False,
+    carry: str | None = None,
+    clustered: bool = False,
     strategy: str = "auto",
     limits: Limits = Limits(),
     query_id: str = "qid",
@@ -61,7 +63,9 @@ def knn_join(
 
     `probes` names a query column with the list of `part` values to search; without it the whole
     base is searched. `bound` names a query column with a distance that the k-th neighbour is
-    known not to exceed. `per_part` keeps k rows per (query, partition) and adds `part`.
+    known not to exceed. `per_part` keeps k rows per (query, partition) and adds `part`. `carry`
+    names an integer column of the base that comes along as `tag`. `clustered` says that the base
+    is stored with the rows of a partition together.
     Rows are ordered by (distance to nine decimals, id). Rows without a distance (NULL vector,
     zero vector under cosine) are never neighbours.
     """
@@ -75,18 +79,20 @@ def knn_join(
     if probes is not None:
         q.append(F.array_distinct(F.col(probes).cast("array<long>")).alias("parts"))
         b.append(F.col(part).cast("long").alias("part"))
+    if carry is not None:
+        b.append(F.col(carry).cast("long").alias("tag"))
     if bound is not None:
         q.append(F.coalesce(F.col(bound).cast("double"), F.lit(float("inf"))).alias("bound"))
     q = queries.select(*q).where("vec is not null" + (" and parts is not null" if probes else ""))
     b = base.select(*b).where("vec is not null" + (" and part is not null" if probes else ""))
-    job = _Job(k, metric, exclude_self, per_part, probes is not None)
+    job = _Job(k, metric, exclude_self, per_part, probes is not None, carry is not None, clustered)
 
     if strategy == "blocks":
         return _blocks(job, q, b, limits)
     if strategy == "broadcast_queries":
-        return _broadcast_queries(job, q.toArrow(), b)
+        return _broadcast_queries(job, _required(_bounded(q, "qid", limits.broadcast_bytes)), b)
     if strategy == "broadcast_base":
-        return _broadcast_base(job, q, b.toArrow())
+        return _broadcast_base(job, q, _required(_bounded(b, "id", limits.broadcast_bytes)))
     few_queries = _bounded(q, "qid", limits.broadcast_bytes)
     if few_queries is not None and few_queries.num_rows < 100:
         return _broadcast_queries(job, few_queries, b)
@@ -107,6 +113,8 @@ class _Job:
     exclude_self: bool
     per_part: bool
     pruned: bool
+    tagged: bool
+    clustered: bool
 
     @property
     def keys(self) -> list[str]:
@@ -115,7 +123,8 @@ class _Job:
     @property
     def schema(self) -> str:
         part = "part long, " if self.per_part else ""
-        return f"qid long, {part}neighbor long, distance double, rank int"
+        tag = "tag long, " if self.tagged else ""
+        return f"qid long, {part}neighbor long, {tag}distance double, rank int"
 
     @property
     def partial_schema(self) -> str:
@@ -149,19 +158,27 @@ class _Job:
             return
         ids = base.column("id").to_numpy(zero_copy_only=False)
         vectors = list_matrix(base.column("vec"))
+        tags = self.tags(base)
         if searchers is None:
-            lists.update(None, ids, vectors)
+            lists.update(None, ids, vectors, tags)
             return
         for key, rows in groups(base.column("part").to_numpy(zero_copy_only=False)):
             if key in searchers:
-                lists.update(searchers[key], ids[rows], vectors[rows])
+                lists.update(searchers[key], ids[rows], vectors[rows], tags[rows])
+
+    def tags(self, base):
+        if not self.tagged:
+            return np.zeros(base.num_rows, dtype=np.int64)
+        return base.column("tag").to_numpy(zero_copy_only=False)
 
     def emit(self, lists, part=None, final=False):
-        row, neighbor, distance, rank = lists.result()
+        row, neighbor, distance, rank, tag = lists.result()
         columns = {"qid": pa.array(lists.query_ids[row], pa.int64())}
         if self.per_part:
             columns["part"] = pa.array(np.broadcast_to(part, len(lists.query_ids))[row], pa.int64())
         columns["neighbor"] = pa.array(neighbor, pa.int64())
+        if self.tagged:
+            columns["tag"] = pa.array(tag, pa.int64())
         columns["distance"] = pa.array(distance, pa.float64())
         if final:
             columns["rank"] = pa.array(rank, pa.int32())
@@ -209,12 +226,20 @@ def _bounded(df: DataFrame, key: str, max_bytes: int) -> pa.Table | None:
     return df.toArrow()
 
 
+def _required(table: pa.Table | None) -> pa.Table:
+    if table is None:
+        raise ValueError("the side to broadcast is larger than limits.broadcast_bytes")
+    return table
+
+
 def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
     spark = base.sparkSession
     if job.pruned:
         wanted = pc.unique(pc.list_flatten(queries.column("parts"))).to_pylist()
         if len(wanted) <= 1000:  # reaches the scan as a partition or row-group filter
             base = base.where(F.col("part").isin(wanted) if wanted else F.lit(False))
+        if len(wanted) > 64 and not job.clustered:  # few rows of a partition per batch otherwise
+            base = base.sortWithinPartitions("part")
     shared = spark.sparkContext.broadcast(queries)
 
     def search(batches):
@@ -248,6 +273,8 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
         base = base.withColumn("part", F.lit(0).cast("long"))
     if "bound" not in queries.columns:
         queries = queries.withColumn("bound", F.lit(float("inf")))
+    if not job.tagged:
+        base = base.withColumn("tag", F.lit(0).cast("long"))
 
     # How many blocks each partition is cut into: counts only, no vectors are read for it.
     n_base = base.groupBy("part").agg(F.count("*").alias("n_base"))
@@ -269,13 +296,14 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
         base.join(layout, "part")
         .withColumn("base_block", F.pmod(F.xxhash64("id"), F.col("base_blocks")).cast("int"))
         .withColumn("query_block", blocks("query_blocks"))
-        .select(*key, F.lit(1).alias("side"), "id", "vec", F.lit(0.0).alias("bound"))
+        .select(*key, F.lit(1).alias("side"), "id", "vec", "tag", F.lit(0.0).alias("bound"))
     )
     query_side = (
         queries.join(layout, "part")
         .withColumn("query_block", F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int"))
         .withColumn("base_block", blocks("base_blocks"))
-        .select(*key, F.lit(0).alias("side"), F.col("qid").alias("id"), "vec", "bound")
+        .select(*key, F.lit(0).alias("side"), F.col("qid").alias("id"), "vec",
+                F.lit(0).cast("long").alias("tag"), "bound")
     )
     placed = (
         query_side.unionByName(base_side)
@@ -308,7 +336,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
                     held = []
                 if lists is not None:
                     lists.update(None, run.column("id").to_numpy(zero_copy_only=False),
-                                 list_matrix(run.column("vec")))
+                                 list_matrix(run.column("vec")), job.tags(run))
         if lists is not None:
             yield job.emit(lists, current[0])
 

@@ -42,12 +42,10 @@ def route_queries(
         sample = sample.withColumn("features", truncate_vector("features").cast("array<double>"))
     hits = knn_join(
         queries, sample, neighbors, metric,
-        probes=cells, part="cell", strategy=strategy, limits=limits,
+        probes=cells, part="cell", carry="part", strategy=strategy, limits=limits,
     )
-    placed = hits.join(
-        sample.select(F.col("id").cast("long").alias("neighbor"), F.col("part").cast("int")), "neighbor"
-    )
-    best = placed.groupBy("qid").agg(F.collect_list(F.struct(ranked_distance().alias("distance"), "part")).alias("hits"))
+    hit = F.struct(ranked_distance().alias("distance"), F.col("tag").cast("int").alias("part"))
+    best = hits.groupBy("qid").agg(F.collect_list(hit).alias("hits"))
     parts = F.transform(F.array_sort("hits"), lambda h: h["part"])
     if probe_order == "distance":
         probes = refill(F.array_distinct(parts), n_probes, n_parts)

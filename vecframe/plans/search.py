@@ -74,11 +74,12 @@ def build_index(
     config: SearchConfig = SearchConfig(),
     fine: DataFrame | None = None,
     coarse: DataFrame | None = None,
+    path: str | None = None,
 ) -> SearchIndex:
     """Two-level index: fine cells, packed into partitions of even size around coarse centroids.
 
     Centroids are fitted on the training prefix unless given. A base that already carries a
-    `cell` column keeps it.
+    `cell` column keeps it. The rows are stored under `path`, by default in the shared folder.
     """
     if fine is None or coarse is None:
         fine, coarse = fit_two_levels(
@@ -89,31 +90,34 @@ def build_index(
     n_cells = fine.count()
     if n_cells * config.n_parts > MAX_RANKS:
         raise ValueError(f"more than {MAX_RANKS} (partition, cell) pairs; use fewer cells per partition")
-    stored = _store(base, fine)
+    stored = _store(base, fine, path)
     counts = model_table(cell_counts(stored, n_cells))
     packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
     return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts)
 
 
 def build_index_1level(
-    base: DataFrame, config: SearchConfig = SearchConfig(), centroids: DataFrame | None = None
+    base: DataFrame,
+    config: SearchConfig = SearchConfig(),
+    centroids: DataFrame | None = None,
+    path: str | None = None,
 ) -> SearchIndex:
     """One-level index: the k-means cells are the partitions."""
     if centroids is None:
         train = train_prefix(base, config.train_rate)
         model = fit_kmeans(train, config.n_parts, config.seed, max_iter=config.max_iter)
         centroids = centroid_table(base.sparkSession, model.clusterCenters())
-    stored = _store(base, centroids)
+    stored = _store(base, centroids, path)
     counts = model_table(cell_counts(stored, config.n_parts))
     cell_map = model_table(counts.select("cell", F.col("cell").alias("part")))
     return _finish(config, centroids, stored, cell_map, counts)
 
 
-def _store(base, centroids):
+def _store(base, centroids, path):
     if "cell" not in base.columns:
         base = assign_cells(base, centroids)
     rows = base.select(F.col("id").cast("long"), "features", F.coalesce("cell", F.lit(0)).alias("cell"))
-    return write_by_cell(rows, fresh_path(base.sparkSession, "cells"))
+    return write_by_cell(rows, path or fresh_path(base.sparkSession, "cells"))
 
 
 def _finish(config, centroids, stored, cell_map, counts):
@@ -157,7 +161,8 @@ def search(
     return knn_join(
         routed, index.base, c.k, c.metric, probes="probes",
         bound=None if per_part or "bound" not in routed.columns else "bound",
-        exclude_self=c.exclude_self, per_part=per_part, strategy=c.strategy, limits=c.limits,
+        exclude_self=c.exclude_self, per_part=per_part, clustered=True,
+        strategy=c.strategy, limits=c.limits,
     )
 
 
@@ -250,7 +255,8 @@ def recall_sweep(
     routed = route(index, queries, widest)
     found = knn_join(
         routed, index.base, widest.k, widest.metric, probes="probes", per_part=True,
-        exclude_self=widest.exclude_self, strategy=widest.strategy, limits=widest.limits,
+        exclude_self=widest.exclude_self, clustered=True,
+        strategy=widest.strategy, limits=widest.limits,
     )
     sizes = part_sizes(remap_cells(index.counts, index.cell_map).select(
         "part", F.col("n")

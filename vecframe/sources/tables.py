@@ -118,3 +118,8 @@ def load_model(base: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFr
         load_centroids(spark, f"{path}/centroids2"),
         load_centroids(spark, f"{path}/centroids1"),
     )
+
+
+def save_result(predictions: DataFrame, path: str) -> None:
+    """Store predictions as Parquet in query order."""
+    predictions.orderBy("qid").write.parquet(path)
