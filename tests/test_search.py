@@ -112,3 +112,13 @@ def test_zero_query_gets_an_empty_result(index, make):
     queries = make({0: [0] * 16, 1: [1] * 16}, id_col="qid")
     assert set(as_lists(plan.search(index, queries))) == {1}
     assert plan.route(index, queries).where(F.size("probes") == 2).count() == 2
+
+
+@pytest.mark.parametrize("strategy", ["broadcast_queries", "blocks"])
+def test_search_reads_only_probed_folders(index, data, strategy):
+    """The probed partitions must reach the scan of the table stored by cell."""
+    found = plan.search(index, data[1].where("qid = 3"), plan.replace(CONFIG, n_probes=1, strategy=strategy))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    scans = [s.split("]", 1)[0] for s in text.split("PartitionFilters: [isnotnull(cell")[1:]]
+    assert any("isnotnull([" in s for s in scans), text
+    assert "Nested" not in text and "Cartesian" not in text

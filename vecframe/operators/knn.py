@@ -16,6 +16,7 @@ all three give the same rows:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,6 +227,13 @@ def _bounded(df: DataFrame, key: str, max_bytes: int) -> pa.Table | None:
     return df.toArrow()
 
 
+def _only_parts(base: DataFrame, wanted: list[int]) -> DataFrame:
+    """Base rows of the given partitions; the condition reaches the scan as a folder or row-group filter."""
+    if len(wanted) > 1000:
+        return base
+    return base.where(F.col("part").isin(wanted) if wanted else F.lit(False))
+
+
 def _required(table: pa.Table | None) -> pa.Table:
     if table is None:
         raise ValueError("the side to broadcast is larger than limits.broadcast_bytes")
@@ -236,8 +244,7 @@ def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFra
     spark = base.sparkSession
     if job.pruned:
         wanted = pc.unique(pc.list_flatten(queries.column("parts"))).to_pylist()
-        if len(wanted) <= 1000:  # reaches the scan as a partition or row-group filter
-            base = base.where(F.col("part").isin(wanted) if wanted else F.lit(False))
+        base = _only_parts(base, wanted)
         if len(wanted) > 64 and not job.clustered:  # few rows of a partition per batch otherwise
             base = base.sortWithinPartitions("part")
     shared = spark.sparkContext.broadcast(queries)
@@ -265,6 +272,27 @@ def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
     return queries.mapInArrow(search, job.schema)
 
 
+def _block_tasks(layout: DataFrame, limits: Limits) -> int:
+    """Shuffle partitions for the block pairs: about one full pair of blocks, and no more shuffled
+    rows than a base block, per task. Small pairs share tasks."""
+    n_base, n_query, s, t = (
+        F.col(c).cast("double") for c in ("n_base", "n_query", "base_blocks", "query_blocks")
+    )
+    total = layout.agg(
+        F.sum(s * t).alias("pairs"),
+        F.sum(n_base * n_query).alias("work"),
+        F.sum(n_base * t + n_query * s).alias("rows"),
+    ).first()
+    if total["pairs"] is None:
+        return 1
+    tasks = max(
+        total["work"] / (limits.base_block_rows * limits.query_block_rows),
+        total["rows"] / limits.base_block_rows,
+        layout.sparkSession.sparkContext.defaultParallelism,
+    )
+    return int(min(math.ceil(tasks), total["pairs"], limits.max_shuffle_partitions))
+
+
 def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> DataFrame:
     if job.pruned:
         queries = queries.withColumn("part", F.explode("parts")).drop("parts")
@@ -279,14 +307,15 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
     # How many blocks each partition is cut into: counts only, no vectors are read for it.
     n_base = base.groupBy("part").agg(F.count("*").alias("n_base"))
     n_query = queries.groupBy("part").agg(F.count("*").alias("n_query"))
-    layout = n_base.join(n_query, "part").select(
-        "part",
+    layout = model_table(n_base.join(n_query, "part").select(
+        "part", "n_base", "n_query",
         F.ceil(F.col("n_base") / limits.base_block_rows).cast("int").alias("base_blocks"),
         F.ceil(F.col("n_query") / limits.query_block_rows).cast("int").alias("query_blocks"),
-    )
-    layout = model_table(layout)
-    total = layout.agg(F.sum(F.col("base_blocks").cast("long") * F.col("query_blocks"))).first()[0]
-    n_tasks = max(1, min(total or 0, limits.max_shuffle_partitions))
+    ))
+    n_tasks = _block_tasks(layout, limits)
+    if job.pruned:
+        base = _only_parts(base, [r["part"] for r in layout.select("part").limit(1001).collect()])
+    layout = layout.drop("n_base", "n_query")
 
     def blocks(column):
         return F.explode(F.sequence(F.lit(0), F.col(column) - 1))

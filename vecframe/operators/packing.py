@@ -6,7 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.session import MODEL_ROWS, model_table, ship
+from vecframe.session import ship
+
+
+# Cells whose partitions fit an array literal in a plan.
+_LITERAL_CELLS = 50_000
 
 
 def pack(preference: list[list[int]], sizes: list[int]) -> list[int]:
@@ -75,20 +79,36 @@ def cell_to_part(packed: DataFrame, n_cells: int) -> DataFrame:
 
 
 def remap_cells(df: DataFrame, cell_map: DataFrame, cell: str = "cell", part: str = "part") -> DataFrame:
-    """Add the partition of each row's cell; the map is model-sized."""
-    lookup = model_table(cell_map.select(F.col("cell").alias("_cell"), F.col("part").alias(part)))
+    """Add the partition of each row's cell.
+
+    The map becomes an array literal, so `part` is an expression of `cell`: on a table stored by
+    cell, a condition on `part` selects folders. A map too large for that is joined.
+    """
+    parts = _as_literal(cell_map)
+    if parts is not None:
+        return df.withColumn(part, F.get(parts, F.col(cell)))
+    lookup = cell_map.select(F.col("cell").alias("_cell"), F.col("part").alias(part))
     return df.join(lookup, F.col(cell) == F.col("_cell"), "left").drop("_cell")
 
 
 def remap_cell_lists(df: DataFrame, cell_map: DataFrame, column: str, out: str) -> DataFrame:
     """Map every cell in an array column to its partition, keeping order and repetitions."""
-    rows = cell_map.orderBy("cell").limit(MODEL_ROWS + 1).collect()
-    if len(rows) > MODEL_ROWS or [r.cell for r in rows] != list(range(len(rows))):
-        raise ValueError(f"the map must hold the cells 0..n-1, at most {MODEL_ROWS} of them")
-    parts = F.array(*[F.lit(r.part) for r in rows])
+    parts = _as_literal(cell_map)
+    if parts is None:
+        raise ValueError(f"the map must hold the cells 0..n-1, at most {_LITERAL_CELLS} of them")
     return df.withColumn(out, F.transform(column, lambda c: F.get(parts, c)))
 
 
+def _as_literal(cell_map: DataFrame):
+    """The partitions of cells 0, 1, 2, ... as a constant array, if the map is dense and small."""
+    rows = cell_map.select("cell", "part").limit(_LITERAL_CELLS + 1).collect()
+    part_of = {r["cell"]: r["part"] for r in rows}
+    if not rows or len(rows) > _LITERAL_CELLS or sorted(part_of) != list(range(len(rows))):
+        return None
+    listed = ",".join(str(part_of[c]) for c in range(len(rows)))
+    return F.split(F.lit(listed), ",").cast("array<int>")
+
+
 def write_by_cell(df: DataFrame, path: str, cell: str = "cell") -> DataFrame:
     """Store rows by cell (one folder each) and read them back.
 
@@ -96,8 +116,9 @@ def write_by_cell(df: DataFrame, path: str, cell: str = "cell") -> DataFrame:
     small ones, so a hot cell becomes several files, not one long task.
     """
     placed = df.hint("rebalance", F.col(cell)).write.partitionBy(cell)
-    # Components hardly repeat, so a dictionary of them costs time and saves nothing.
-    placed.option("parquet.enable.dictionary", "false").parquet(path)
+    # Components hardly repeat, so a dictionary of them costs time and saves nothing. Short row
+    # groups let a search split a cell over more tasks.
+    placed.option("parquet.enable.dictionary", "false").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

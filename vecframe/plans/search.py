@@ -137,7 +137,7 @@ def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None =
     c = config or index.config
     near = None
     if c.route_cells is not None:
-        queries = queries.join(nearest_cells(queries, index.centroids, c.route_cells, c.metric), "qid")
+        queries = _near(queries, index.centroids, c.route_cells, c.metric)
         near = "cells"
     routed = route_queries(
         queries, index.sample, c.n_parts, c.n_probes, c.route_neighbors, c.metric,
@@ -233,6 +233,12 @@ def nearest_cells(
     return neighbor_lists(found).withColumnRenamed("neighbors", "cells")
 
 
+def _near(queries, centroids, n_cells, metric, **options):
+    """`queries` with their nearest cells, stored because a join reads its query side repeatedly."""
+    cells = nearest_cells(queries, centroids, n_cells, metric, **options)
+    return write_and_read(queries.join(cells, "qid", "left"), "near")
+
+
 def knn_cells(
     queries: DataFrame,
     base: DataFrame,
@@ -243,7 +249,7 @@ def knn_cells(
     **options,
 ) -> DataFrame:
     """The k nearest rows within the `n_cells` fine cells whose centroids are nearest the query."""
-    probing = queries.join(nearest_cells(queries, centroids, n_cells, metric, **options), "qid")
+    probing = _near(queries, centroids, n_cells, metric, **options)
     return knn_join(probing, base, k, metric, probes="cells", part="cell", **options)
 
 
