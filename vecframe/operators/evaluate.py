@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.operators.knn import ranked_distance
+from vecframe.session import RESULT_ROWS, model_table
 
 
 def neighbor_lists(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -75,6 +76,7 @@ def partition_coverage(truth: DataFrame, parts: DataFrame, n_parts: int, k: int)
     a query's non-empty counts simply take its last ranks.
     """
     exploded = truth.select("qid", F.explode(F.slice("neighbors", 1, k)).alias("id"))
+    exploded = model_table(exploded, RESULT_ROWS)  # so that `parts`, as long as the base, stays put
     counted = exploded.join(parts.select("id", "part"), "id").groupBy("qid", "part").agg(
         F.count("*").alias("n")
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix, rounded
-from vecframe.session import model_table, ship
+from vecframe.session import RESULT_ROWS, model_table, ship
 
 STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "blocks")
 
@@ -67,6 +67,7 @@ def knn_join(
     known not to exceed. `per_part` keeps k rows per (query, partition) and adds `part`. `carry`
     names an integer column of the base that comes along as `tag`. `clustered` says that the base
     is stored with the rows of a partition together.
+    Both sides may be read more than once, so a side that is costly to compute should be stored.
     Rows are ordered by (distance to nine decimals, id). Rows without a distance (NULL vector,
     zero vector under cosine) are never neighbours.
     """
@@ -403,8 +404,11 @@ def neighbor_ids(predictions: DataFrame) -> DataFrame:
 def lookup_labels(
     neighbors: DataFrame, labels: DataFrame, label: str, base_id: str = "id"
 ) -> DataFrame:
-    """`qid, labels`: the label of each neighbour, nearest first, by an equi-join on the id."""
-    found = neighbors.join(
+    """`qid, labels`: the label of each neighbour, nearest first, by an equi-join on the id.
+
+    A result of moderate size is sent to the labels, which are as many as the base rows.
+    """
+    found = model_table(neighbors.select("qid", "neighbor", "rank"), RESULT_ROWS).join(
         labels.select(F.col(base_id).cast("long").alias("neighbor"), F.col(label).alias("label")),
         "neighbor",
     )

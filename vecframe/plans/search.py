@@ -36,7 +36,7 @@ MAX_RANKS = 20_000_000
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Parameters of an index and of the searches on it."""
+    """Parameters of an index and of the searches on it. The numbers are fixed defaults."""
 
     k: int = 10
     n_parts: int = 8
@@ -57,6 +57,10 @@ class SearchConfig:
     limits: Limits = Limits()
 
 
+# Fixed values of the one-level search: fewer routing neighbours, one more partition.
+ONE_LEVEL = SearchConfig(n_probes=4, route_neighbors=10)
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """Base rows stored by cell, the partition of each cell, and the routing sample."""
@@ -98,7 +102,7 @@ def build_index(
 
 def build_index_1level(
     base: DataFrame,
-    config: SearchConfig = SearchConfig(),
+    config: SearchConfig = ONE_LEVEL,
     centroids: DataFrame | None = None,
     path: str | None = None,
 ) -> SearchIndex:
@@ -180,7 +184,7 @@ def pruned_search(
 def pruned_search_1level(
     base: DataFrame,
     queries: DataFrame,
-    config: SearchConfig = SearchConfig(),
+    config: SearchConfig = ONE_LEVEL,
     centroids: DataFrame | None = None,
 ) -> DataFrame:
     """Build a one-level index and search it."""

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A table is treated as model-sized (collected, sent to every task) up to this many rows.
 MODEL_ROWS = 100_000
+# Search results (a few numbers per row) may be sent to every task up to this many rows.
+RESULT_ROWS = 1_000_000
 
 _shipped: set[str] = set()
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecframe.session import model_table
 from vecframe.sources.vecs import read_fvecs, read_ivecs
 
+# Input splits whose row offsets are sent to every task, at 16 bytes each.
+_SPLITS = 2_000_000
+
 
 class Dataset(NamedTuple):
     base: DataFrame  # id, features
@@ -54,21 +57,22 @@ def with_row_id(scan: DataFrame, column: str = "id") -> DataFrame:
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mono"),
-    )
-    splits = placed.groupBy("_file", "_block").agg(
+    ).withColumn("_split", F.xxhash64("_file", "_block"))
+    splits = placed.groupBy("_file", "_block", "_split").agg(
         F.count("*").alias("_rows"), F.min("_mono").alias("_first")
     )
     # One row per input split, so this unpartitioned window sees metadata only.
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = model_table(
-        splits.select(
-            "_file", "_block", "_first",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        )
-    )
-    numbered = placed.join(offsets, ["_file", "_block"])
-    return numbered.select(
-        (F.col("_offset") + F.col("_mono") - F.col("_first")).alias(column),
+    shift = (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    shifts = splits.select("_file", "_block", "_split", shift)
+    key = ["_file", "_block"]
+    head = shifts.select("_split", "_shift").limit(_SPLITS + 1).toArrow()
+    if head.num_rows <= _SPLITS and pc.count_distinct(head.column("_split")).as_py() == head.num_rows:
+        shifts, key = F.broadcast(scan.sparkSession.createDataFrame(head, "_split long, _shift long")), ["_split"]
+    else:
+        shifts = shifts.drop("_split")
+    return placed.join(shifts, key).select(
+        (F.col("_mono") + F.col("_shift")).alias(column),
         *[F.col(c) for c in scan.columns if c != column],
     )
 
@@ -111,7 +115,11 @@ def save_model(path: str, assigned: DataFrame, fine: DataFrame, coarse: DataFram
 
 
 def load_model(base: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base with its saved cell, fine centroids, coarse centroids)."""
+    """(base with its saved cell, fine centroids, coarse centroids).
+
+    Attaching saved cells joins the base by id. Assigning cells anew from the saved fine centroids
+    gives the same cells without moving the base.
+    """
     spark = base.sparkSession
     return (
         load_assignment(base, f"{path}/partition"),

@@ -37,6 +37,8 @@ _BATCH_BYTES = 4 << 20
 def _open_fs(path: str):
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path[len("file:"):]
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     return pafs.FileSystem.from_uri(path)
 
 
