@@ -24,6 +24,16 @@ def test_fvecs_in_several_splits(spark, tmp_path):
     assert by_id(df, "features") == {i: r.tolist() for i, r in enumerate(rows)}
 
 
+def test_both_ways_of_reading_agree(spark, tmp_path):
+    rows = np.random.default_rng(7).normal(size=(700, 5)).astype(np.float32)
+    dump(tmp_path / "a.fvecs", rows, "<f4")
+    dump(tmp_path / "a.ivecs", [[3, 1], [2, 7]], "<i4")
+    got = vecs.read_fvecs(spark, str(tmp_path / "a.fvecs"), through="hadoop")
+    assert by_id(got, "features") == {i: r.tolist() for i, r in enumerate(rows)}
+    got = vecs.read_ivecs(spark, str(tmp_path / "a.ivecs"), through="hadoop")
+    assert by_id(got, "neighbors") == {0: [3, 1], 1: [2, 7]}
+
+
 def test_ivecs(spark, tmp_path):
     dump(tmp_path / "a.ivecs", [[3, 1], [2, 7]], "<i4")
     assert by_id(vecs.read_ivecs(spark, str(tmp_path / "a.ivecs")), "neighbors") == {0: [3, 1], 1: [2, 7]}
@@ -45,6 +55,8 @@ def test_bad_header_names_the_record(spark, tmp_path):
     rows.tofile(tmp_path / "bad.fvecs")
     with pytest.raises(Exception, match="record 4 has length 2, expected 3"):
         vecs.read_fvecs(spark, str(tmp_path / "bad.fvecs")).collect()
+    with pytest.raises(Exception, match="record 4 has length 2, expected 3"):
+        vecs.read_fvecs(spark, str(tmp_path / "bad.fvecs"), through="hadoop").collect()
     rows.reshape(-1)[:-1].tofile(tmp_path / "cut.fvecs")
     with pytest.raises(Exception, match="not a multiple"):
         vecs.read_fvecs(spark, str(tmp_path / "cut.fvecs")).collect()

@@ -96,12 +96,7 @@ class _VecsReader(DataSourceReader):
                 raw = stream.read_at(n * record, partition.offset + start * record)
                 rows = np.frombuffer(raw, "<i4").reshape(n, width + 1)
                 first = partition.first_id + start
-                wrong = np.flatnonzero(rows[:, 0] != width)
-                if len(wrong):
-                    raise ValueError(
-                        f"{partition.path}: record {first + int(wrong[0])} has length "
-                        f"{int(rows[wrong[0], 0])}, expected {width}"
-                    )
+                _check_lengths(rows[:, 0], width, np.arange(first, first + n), partition.path)
                 values = np.ascontiguousarray(rows[:, 1:]).view(self.dtype).reshape(-1)
                 offsets = np.arange(n + 1, dtype=np.int32) * width
                 yield pa.RecordBatch.from_arrays(
@@ -192,18 +187,57 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_fvecs(spark: SparkSession, path: str, normalize: bool = False, **options) -> DataFrame:
-    """`id, features`; with `normalize`, every vector divided by its largest absolute value."""
-    rows = register(spark).read.format("fvecs").options(**options).load(path)
+def read_fvecs(
+    spark: SparkSession, path: str, normalize: bool = False, through: str = "arrow", **options
+) -> DataFrame:
+    """`id, features`; with `normalize`, every vector divided by its largest absolute value.
+
+    ``through="hadoop"`` reads one file with Hadoop's own file systems instead, for storage that
+    the Python workers cannot open.
+    """
+    rows = _read(spark, path, FvecsSource, through, options)
     return rows.withColumn("features", max_normalize("features")) if normalize else rows
 
 
-def read_ivecs(spark: SparkSession, path: str, normalize: bool = False, **options) -> DataFrame:
+def read_ivecs(
+    spark: SparkSession, path: str, normalize: bool = False, through: str = "arrow", **options
+) -> DataFrame:
     """`id, neighbors`; with `normalize`, every row divided by its largest absolute value."""
-    rows = register(spark).read.format("ivecs").options(**options).load(path)
+    rows = _read(spark, path, IvecsSource, through, options)
     return rows.withColumn("neighbors", max_normalize("neighbors")) if normalize else rows
 
 
+def _read(spark, path, source, through, options):
+    if through == "hadoop":
+        return _read_records(spark, path, source)
+    return register(spark).read.format(source.name()).options(**options).load(path)
+
+
+def _read_records(spark, path, source):
+    """Fixed-length records of one file, numbered in file order."""
+    sc = ship(spark).sparkContext
+    width = int(np.frombuffer(sc.binaryRecords(path, 4).first(), "<i4")[0])
+    records = sc.binaryRecords(path, 4 * (width + 1)).zipWithIndex()
+    rows = spark.createDataFrame(records, "record binary, id long")
+    dtype, name = source.dtype, path
+
+    @F.arrow_udf(f"array<{source.element}>")
+    def decode(record: pa.Array, ids: pa.Array) -> pa.Array:
+        raw = np.frombuffer(b"".join(record.to_pylist()), "<i4").reshape(len(record), width + 1)
+        _check_lengths(raw[:, 0], width, ids.to_numpy(), name)
+        values = np.ascontiguousarray(raw[:, 1:]).view(dtype).reshape(-1)
+        return pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * width, pa.array(values))
+
+    return rows.select("id", decode("record", "id").alias(source.column))
+
+
+def _check_lengths(lengths, width, ids, path):
+    wrong = np.flatnonzero(lengths != width)
+    if len(wrong):
+        at = wrong[0]
+        raise ValueError(f"{path}: record {int(ids[at])} has length {int(lengths[at])}, expected {width}")
+
+
 def write_fvecs(df: DataFrame, path: str, order_by: str = "id", column: str = "features") -> None:
     _write(df, path, order_by, F.col(column).cast("array<float>").alias("features"), "fvecs")
 
