@@ -66,17 +66,19 @@ class TopK:
     is found; only those get their distance computed, in double precision, and merged.
     """
 
-    def __init__(self, ids, vectors, k, metric="cosine", exclude_self=False, bound=None):
+    def __init__(self, ids, vectors, k, metric="cosine", exclude_self=False, bound=None, member=None):
+        """`member` lets several lists share a vector: list i belongs to vector member[i]."""
         if metric not in METRICS:
             raise ValueError(f"metric must be one of {METRICS}")
         n = len(ids)
+        self.of = np.arange(n) if member is None else member
         self.query_ids = np.asarray(ids, dtype=np.int64)
         self.metric, self.k, self.exclude_self = metric, k, exclude_self
         self.vectors = vectors
-        self.square = squares(vectors) if n else np.zeros(0)
+        self.square = squares(vectors) if len(vectors) else np.zeros(0)
         self.length = np.sqrt(self.square)
-        self.live = usable(self.square, metric)
-        self.scoring = self._scoring(vectors, self.square, query=True) if n else vectors
+        self.live = usable(self.square, metric)[self.of]
+        self.scoring = self._scoring(vectors, self.square, query=True) if len(vectors) else vectors
         self.bound = np.full(n, np.inf) if bound is None else np.asarray(bound) + _TIE
         self.distance = np.full((n, k), np.inf)
         self.neighbor = np.full((n, k), _NO_ID, dtype=np.int64)
@@ -116,7 +118,7 @@ class TopK:
 
     def _tile(self, rows, tile, distinct=False):
         ids, base, length, scoring, tags = tile
-        score = self.scoring[rows] @ scoring.T
+        score = self.scoring[self.of[rows]] @ scoring.T
         slack = self._slack(rows, length.max(), score.dtype)
         limit = np.minimum(rounded(self.distance[rows, -1]), self.bound[rows])
         floor = self._floor(rows, limit) - slack
@@ -157,21 +159,22 @@ class TopK:
         if self.metric == "cosine":
             return np.full(len(rows), unit + _TIE)
         if self.metric == "ip":
-            return self.length[rows] * longest * unit + _TIE
-        reach = self.length[rows] + longest
+            return self.length[self.of[rows]] * longest * unit + _TIE
+        reach = self.length[self.of[rows]] + longest
         return reach * reach * unit + 2 * reach * _TIE + _TIE
 
     def _floor(self, rows, limit):
         """The lowest score whose distance is still within `limit`."""
         if self.metric == "l2":
-            return (self.square[rows] - limit**2) / 2
+            return (self.square[self.of[rows]] - limit**2) / 2
         return 1 - limit
 
     def _distance(self, query, base, length, hit_base):
         out = np.empty(len(query))
         for s in range(0, len(query), 32768):
             at = slice(s, s + 32768)
-            left = self.vectors[query[at]].astype(np.float64, copy=False)
+            asked = self.of[query[at]]
+            left = self.vectors[asked].astype(np.float64, copy=False)
             right = base[hit_base[at]].astype(np.float64, copy=False)
             if self.metric == "l2":
                 gap = left - right
@@ -179,7 +182,7 @@ class TopK:
                 continue
             product = np.einsum("ij,ij->i", left, right)
             if self.metric == "cosine":
-                product /= self.length[query[at]] * length[hit_base[at]]
+                product /= self.length[asked] * length[hit_base[at]]
             out[at] = 1 - product
         return np.maximum(out, 0.0) if self.metric == "cosine" else out
 

@@ -135,43 +135,35 @@ class _Job:
 
     def open(self, queries):
         """Empty lists for a batch of queries, and which of them search which partition."""
-        ids = queries.column("qid").to_numpy(zero_copy_only=False) if isinstance(
-            queries, pa.RecordBatch) else queries.column("qid").to_numpy()
-        vectors = list_matrix(queries.column("vec"))
-        bound = None
-        if "bound" in queries.schema.names:
-            bound = np.asarray(queries.column("bound").to_pylist(), dtype=np.float64)
+        ids, vectors = _numpy(queries.column("qid")), list_matrix(queries.column("vec"))
+        bound = _numpy(queries.column("bound")) if "bound" in queries.schema.names else None
         if not self.pruned:
             return TopK(ids, vectors, self.k, self.metric, self.exclude_self, bound), None, None
-        lists = queries.column("parts")
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        member = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(False))
-        part = lists.flatten().to_numpy(zero_copy_only=False)
-        if self.per_part:
-            ids, vectors = ids[member], vectors[member]
-            bound = None if bound is None else bound[member]
-            member = np.arange(len(part))
-        lists = TopK(ids, vectors, self.k, self.metric, self.exclude_self, bound)
-        return lists, {p: member[rows] for p, rows in groups(part)}, part
+        probes = queries.column("parts")
+        length = _numpy(pc.list_value_length(probes))
+        member, part = np.repeat(np.arange(len(ids)), length), _numpy(pc.list_flatten(probes))
+        if not self.per_part:
+            lists = TopK(ids, vectors, self.k, self.metric, self.exclude_self, bound)
+            return lists, {p: member[rows] for p, rows in groups(part)}, None
+        bound = None if bound is None else bound[member]
+        lists = TopK(ids[member], vectors, self.k, self.metric, self.exclude_self, bound, member)
+        return lists, dict(groups(part)), part
 
     def offer(self, lists, searchers, base):
         """Show a batch of base rows to the queries that search their partition."""
         if base.num_rows == 0:
             return
-        ids = base.column("id").to_numpy(zero_copy_only=False)
-        vectors = list_matrix(base.column("vec"))
-        tags = self.tags(base)
+        ids, vectors, tags = _numpy(base.column("id")), list_matrix(base.column("vec")), self.tags(base)
         if searchers is None:
             lists.update(None, ids, vectors, tags)
             return
-        for key, rows in groups(base.column("part").to_numpy(zero_copy_only=False)):
+        for key, rows in groups(_numpy(base.column("part"))):
             if key in searchers:
-                lists.update(searchers[key], ids[rows], vectors[rows], tags[rows])
+                own = None if tags is None else tags[rows]
+                lists.update(searchers[key], ids[rows], vectors[rows], own)
 
     def tags(self, base):
-        if not self.tagged:
-            return np.zeros(base.num_rows, dtype=np.int64)
-        return base.column("tag").to_numpy(zero_copy_only=False)
+        return _numpy(base.column("tag")) if self.tagged else None
 
     def emit(self, lists, part=None, final=False):
         row, neighbor, distance, rank, tag = lists.result()
@@ -196,6 +188,12 @@ class _Job:
         return ranked.where(F.col("rank") <= self.k).drop("key")
 
 
+def _numpy(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        return column.to_numpy()
+    return column.to_numpy(zero_copy_only=False)
+
+
 def ranked_distance(distance="distance"):
     """Distances are ranked to nine decimals, so that forms differing in the last bits agree."""
     return F.round(distance, DECIMALS)
@@ -225,7 +223,8 @@ def _bounded(df: DataFrame, key: str, max_bytes: int) -> pa.Table | None:
     rows = int(max_bytes / (head.nbytes / head.num_rows))
     if rows <= first or df.select(key).limit(rows + 1).toArrow().num_rows > rows:
         return None
-    return df.toArrow()
+    table = df.toArrow()
+    return table if table.nbytes <= 2 * max_bytes else None  # later rows may have longer lists
 
 
 def _only_parts(base: DataFrame, wanted: list[int]) -> DataFrame:
@@ -344,7 +343,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
     def search(batches):
         current, held, lists = None, [], None
         for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [*key, "side"]])
+            marks = np.stack([_numpy(batch.column(c)) for c in [*key, "side"]])
             change = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
             for start, stop in zip(np.r_[0, change], np.r_[change, batch.num_rows]):
                 if start == stop:
@@ -359,14 +358,13 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
                     held.append(run)
                     continue
                 if lists is None and held:
-                    table = pa.Table.from_batches(held).combine_chunks()
-                    lists = TopK(table.column("id").to_numpy(), list_matrix(table.column("vec")),
-                                 job.k, job.metric, job.exclude_self,
-                                 table.column("bound").to_numpy())
+                    table = pa.Table.from_batches(held)
+                    lists = TopK(_numpy(table.column("id")), list_matrix(table.column("vec")), job.k,
+                                 job.metric, job.exclude_self, _numpy(table.column("bound")))
                     held = []
                 if lists is not None:
-                    lists.update(None, run.column("id").to_numpy(zero_copy_only=False),
-                                 list_matrix(run.column("vec")), job.tags(run))
+                    lists.update(None, _numpy(run.column("id")), list_matrix(run.column("vec")),
+                                 job.tags(run))
         if lists is not None:
             yield job.emit(lists, current[0])
 
