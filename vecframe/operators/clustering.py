@@ -154,19 +154,26 @@ def attach_cells(df: DataFrame, model, features: str = "features") -> DataFrame:
     return model.transform(_as_vector(df, features)).drop("vector")
 
 
-def fit_two_levels(
-    df: DataFrame, k1: int, k2: int, train_rate: float = 0.05, seed: int = 0, max_iter: int = 20
-) -> tuple[DataFrame, DataFrame]:
-    """(fine, coarse) centroids: two independent fits on the same training prefix."""
+def fit_levels(
+    df: DataFrame, sizes: list[int], train_rate: float = 0.05, seed: int = 0, max_iter: int = 20
+) -> list[DataFrame]:
+    """Centroid tables of independent fits with the given numbers of cells, on one training prefix."""
     # A prefix sits in few files; spread it, because every iteration passes over it.
     tasks = df.sparkSession.sparkContext.defaultParallelism
     train = train_prefix(df, train_rate).select("id", "features").repartition(tasks, "id").persist()
     try:
-        fine = fit_kmeans(train, k2, seed, max_iter=max_iter).clusterCenters()
-        coarse = fit_kmeans(train, k1, seed, max_iter=max_iter).clusterCenters()
+        models = [fit_kmeans(train, k, seed, max_iter=max_iter) for k in sizes]
     finally:
         train.unpersist()
-    return centroid_table(df.sparkSession, fine), centroid_table(df.sparkSession, coarse)
+    return [centroid_table(df.sparkSession, m.clusterCenters()) for m in models]
+
+
+def fit_two_levels(
+    df: DataFrame, k1: int, k2: int, train_rate: float = 0.05, seed: int = 0, max_iter: int = 20
+) -> tuple[DataFrame, DataFrame]:
+    """(fine, coarse) centroids: k2 cells for assignment, k1 anchors for packing."""
+    fine, coarse = fit_levels(df, [k2, k1], train_rate, seed, max_iter)
+    return fine, coarse
 
 
 def cell_counts(df: DataFrame, n_cells: int, cell: str = "cell") -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from vecframe.operators.clustering import (
     assign_cells,
     cell_counts,
-    centroid_table,
-    fit_kmeans,
+    fit_levels,
     fit_two_levels,
     rank_cells,
 )
@@ -25,7 +24,7 @@ from vecframe.operators.packing import (
     write_by_cell,
 )
 from vecframe.operators.routing import route_queries
-from vecframe.operators.sampling import sample_per_cell, train_prefix
+from vecframe.operators.sampling import sample_per_cell
 from vecframe.session import fresh_path, model_table, write_and_read
 from vecframe.sources.tables import load_model, save_model
 
@@ -86,10 +85,7 @@ def build_index(
     `cell` column keeps it. The rows are stored under `path`, by default in the shared folder.
     """
     if fine is None or coarse is None:
-        fine, coarse = fit_two_levels(
-            base, config.n_parts, config.n_parts * config.cells_per_part,
-            config.train_rate, config.seed, config.max_iter,
-        )
+        fine, coarse = _fit(base, config)
     fine = model_table(fine)
     n_cells = fine.count()
     if n_cells * config.n_parts > MAX_RANKS:
@@ -108,15 +104,22 @@ def build_index_1level(
 ) -> SearchIndex:
     """One-level index: the k-means cells are the partitions."""
     if centroids is None:
-        train = train_prefix(base, config.train_rate)
-        model = fit_kmeans(train, config.n_parts, config.seed, max_iter=config.max_iter)
-        centroids = centroid_table(base.sparkSession, model.clusterCenters())
+        (centroids,) = fit_levels(
+            base, [config.n_parts], config.train_rate, config.seed, config.max_iter
+        )
     stored = _store(base, centroids, path)
     counts = model_table(cell_counts(stored, config.n_parts))
     cell_map = model_table(counts.select("cell", F.col("cell").alias("part")))
     return _finish(config, centroids, stored, cell_map, counts)
 
 
+def _fit(base, config):
+    return fit_two_levels(
+        base, config.n_parts, config.n_parts * config.cells_per_part,
+        config.train_rate, config.seed, config.max_iter,
+    )
+
+
 def _store(base, centroids, path):
     if "cell" not in base.columns:
         base = assign_cells(base, centroids)
@@ -197,10 +200,7 @@ def build_and_save(
 ) -> None:
     """Fit the two-level clustering and save cells and both sets of centroids under `path`."""
     if fine is None or coarse is None:
-        fine, coarse = fit_two_levels(
-            base, config.n_parts, config.n_parts * config.cells_per_part,
-            config.train_rate, config.seed, config.max_iter,
-        )
+        fine, coarse = _fit(base, config)
     save_model(path, assign_cells(base, fine), fine, coarse)
 
 
