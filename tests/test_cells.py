@@ -100,6 +100,13 @@ def test_rank_cells(spark):
     assert [r.cell for r in rows] == [1, 0, 2, 3, 3, 0, 2, 1]
 
 
+def test_ranking_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(cl, "MAX_RANKS", 3)
+    centers = cl.centroid_table(spark, [[1, 0], [0, 1]])
+    with pytest.raises(ValueError, match="exceed 3 pairs"):
+        cl.rank_cells(centers, centers)
+
+
 def rule(preference, sizes):
     """The packing rule in its plainest form: a walk over bins, one claim per visit."""
     bins, share = len(preference), sum(sizes) // len(preference)

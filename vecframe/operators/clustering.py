@@ -17,6 +17,13 @@ from vecframe.session import ship
 CENTROIDS = "cell int, centroid array<double>"
 # Centroids that may be sent to every task.
 _MODEL_ROWS, _MODEL_BYTES = 50_000, 64 << 20
+# Pairs of coarse and fine cells a ranking may hold; one packing looks at all of them in one task.
+MAX_RANKS = 20_000_000
+
+
+def check_ranks(n_coarse: int, n_fine: int) -> None:
+    if n_coarse * n_fine > MAX_RANKS:
+        raise ValueError(f"{n_coarse} x {n_fine} cells exceed {MAX_RANKS} pairs; use fewer cells")
 
 
 def centroid_table(spark: SparkSession, centers, cells=None) -> DataFrame:
@@ -188,6 +195,7 @@ def rank_cells(
 ) -> DataFrame:
     """`coarse, cell, distance, rank`: all fine cells in order of distance from each coarse one."""
     n_fine = fine.count()
+    check_ranks(coarse.count(), n_fine)
     ranked = knn_join(
         coarse, fine, n_fine, metric,
         query_id="cell", base_id="cell", features="centroid", limits=limits,

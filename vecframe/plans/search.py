@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecframe.operators.clustering import (
     assign_cells,
     cell_counts,
+    check_ranks,
     fit_levels,
     fit_two_levels,
     rank_cells,
@@ -29,10 +30,6 @@ from vecframe.session import fresh_path, model_table, write_and_read
 from vecframe.sources.tables import load_model, save_model
 
 
-# Pairs of coarse and fine cells that one packing may look at; it runs in a single task.
-MAX_RANKS = 20_000_000
-
-
 @dataclass(frozen=True)
 class SearchConfig:
     """Parameters of an index and of the searches on it. The numbers are fixed defaults."""
@@ -88,8 +85,7 @@ def build_index(
         fine, coarse = _fit(base, config)
     fine = model_table(fine)
     n_cells = fine.count()
-    if n_cells * config.n_parts > MAX_RANKS:
-        raise ValueError(f"more than {MAX_RANKS} (partition, cell) pairs; use fewer cells per partition")
+    check_ranks(config.n_parts, n_cells)
     stored = _store(base, fine, path)
     counts = model_table(cell_counts(stored, n_cells))
     packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
