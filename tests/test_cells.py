@@ -100,6 +100,19 @@ def test_rank_cells(spark):
     assert [r.cell for r in rows] == [1, 0, 2, 3, 3, 0, 2, 1]
 
 
+def test_zero_centroids_rank_last(spark):
+    coarse = cl.centroid_table(spark, [[1, 0], [0, 0]])
+    fine = cl.centroid_table(spark, [[0, 0], [0, 1], [1, 1]])
+    ranks = cl.rank_cells(coarse, fine)
+    rows = sorted(ranks.collect(), key=lambda r: (r.coarse, r["rank"]))
+    assert [(r.coarse, r.cell, r["rank"]) for r in rows] == [
+        (0, 2, 1), (0, 1, 2), (0, 0, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3)
+    ]
+    counts = spark.createDataFrame([(0, 5), (1, 5), (2, 5)], "cell int, n long")
+    packed = packing.balance_cells(ranks, counts)
+    assert {r.cell: r.part for r in packed.collect()} == {2: 0, 0: 1, 1: 0}
+
+
 def test_ranking_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(cl, "MAX_RANKS", 3)
     centers = cl.centroid_table(spark, [[1, 0], [0, 1]])

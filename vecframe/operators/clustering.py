@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecframe.operators.kernel import CellSums, list_matrix, nearest
+from vecframe.operators.kernel import CellSums, list_matrix, nearest, squares, usable
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.sampling import train_prefix
 from vecframe.session import ship
@@ -193,14 +193,24 @@ def cell_counts(df: DataFrame, n_cells: int, cell: str = "cell") -> DataFrame:
 def rank_cells(
     coarse: DataFrame, fine: DataFrame, metric: str = "cosine", limits: Limits = Limits()
 ) -> DataFrame:
-    """`coarse, cell, distance, rank`: all fine cells in order of distance from each coarse one."""
-    n_fine = fine.count()
-    check_ranks(coarse.count(), n_fine)
+    """`coarse, cell, distance, rank`: all fine cells in order of distance from each coarse one.
+
+    Pairs without a distance (a zero centroid under cosine) come last, in cell order.
+    """
+    anchors, cells = _centers(coarse), _centers(fine)
+    if anchors is None or cells is None:
+        raise ValueError("the centroids are too many to be ranked")
+    check_ranks(len(anchors[0]), len(cells[0]))
     ranked = knn_join(
-        coarse, fine, n_fine, metric,
+        coarse, fine, len(cells[0]), metric,
         query_id="cell", base_id="cell", features="centroid", limits=limits,
-    )
-    return ranked.select(
+    ).select(
         F.col("qid").cast("int").alias("coarse"), F.col("neighbor").cast("int").alias("cell"),
-        "distance", "rank",
+        "distance", F.col("rank").cast("int"),
     )
+    if all(usable(squares(centers), metric).all() for _, centers in (anchors, cells)):
+        return ranked
+    listed = F.split(F.lit(",".join(str(c) for c in cells[0])), ",").cast("array<int>")
+    pairs = coarse.select(F.col("cell").cast("int").alias("coarse"), F.explode(listed).alias("cell"))
+    order = Window.partitionBy("coarse").orderBy(F.col("rank").asc_nulls_last(), "cell")
+    return pairs.join(ranked, ["coarse", "cell"], "left").withColumn("rank", F.row_number().over(order))
