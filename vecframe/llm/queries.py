@@ -5,11 +5,11 @@ Each query applies an operator to whole tables and derives the contract's column
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import decontamination, exact_dedup, sharding
+from vecframe.llm import decontamination, exact_dedup, secret_scan, sharding, toxicity
+from vecframe.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +31,41 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    fold = held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(toxicity.labelled(docs, _table(spark, sf, "labels"), usable=~fold))
+    scored, name = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        fold.alias("held_out"),
+        F.col(name)["score"].alias("score"),
+        (F.col(name)["score"] >= 0.5).cast("int").alias("predicted"),
+        F.col(name)["sentences"].alias("offending"),
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found, name = secret_scan.find_secrets(docs)
+    spans, base = F.col(name), F.filter(F.col(name), lambda s: s["kind"] != "value")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(some):
+        return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs).select(
@@ -45,6 +80,8 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
