@@ -5,13 +5,28 @@ Each query applies an operator to whole tables and derives the contract's column
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import decontamination, exact_dedup, secret_scan, sharding, toxicity
+from vecframe.llm import (
+    decontamination,
+    exact_dedup,
+    html_text,
+    language_model,
+    packing,
+    secret_scan,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from vecframe.llm.common import held_out
 
 
+# Name of the vocabulary file of the token queries.
+VOCABULARY = "byte_bpe_50k.json"
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -31,6 +46,23 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return language_model.score_texts(docs, held_out(F.col("doc_id"), 7, 2))
+
+
+def op3_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages, name = html_text.extract(_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select(
+        "page_id", "url", F.col(name).alias("text"), F.char_length(F.col(name)).cast("long").alias("n_chars")
+    )
+
+
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(VOCABULARY)))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     fold = held_out(F.col("doc_id"), 5, 0)
@@ -74,15 +106,25 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    counted, name = token_counts.with_token_counts(docs, public_tokenizers.path(VOCABULARY))
+    return counted.select("doc_id", f"{name}.n_bytes", f"{name}.n_tokens", f"{name}.over_limit")
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_model": op2_language_model,
+    "op3_html_text": op3_html_text,
+    "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
