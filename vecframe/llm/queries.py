@@ -14,6 +14,7 @@ from vecframe.llm import (
     exact_dedup,
     html_text,
     language_model,
+    near_dedup,
     packing,
     secret_scan,
     sharding,
@@ -112,6 +113,11 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("doc_id", f"{name}.n_bytes", f"{name}.n_tokens", f"{name}.over_limit")
 
 
+def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -125,6 +131,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
