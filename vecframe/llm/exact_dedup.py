@@ -29,6 +29,8 @@ def frequent_digests(digests: DataFrame, column: str = "digest", tracked: int =
         digests.select(col(column).alias("item"), (F.spark_partition_id() % GROUPS).alias("part"))
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("sketch"))
+        # Grouped by a constant: tasks without rows then give no (empty) summary, which could not be combined.
+        .groupBy(F.lit(0).alias("all"))
         .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {tracked})")).alias("top"))
         .select(F.col("top.item").alias("item"))
