@@ -6,11 +6,10 @@ a shingle's frequency is off by about its bucket's load, a fixed fraction of the
 Improved consistent weighted sampling draws samples that two sets share with the probability of their weighted
 Jaccard similarity; samples are banded, and texts that share a band are candidates, verified by that similarity.
 
-In a bucket, texts are compared with one leader, not with each other. A text that is close to its leader needs
-no look at others that are; by the triangle inequality (1 - similarity is a metric) only those go on to the next
-round, with a new leader, that could still be close to a text that has not matched. So no pairs are listed within
-large groups, and no link between different texts of a bucket is lost for the classes, which are the connected
-components of the links.
+In a bucket, texts are compared with a few leaders, not with each other. After each round the classes (connected
+components of the links so far) are brought up to date, and only texts of a bucket that are not yet in one class
+meet again, with new leaders, until every two texts of a bucket are in one class or have been compared. So no pairs
+are listed within large groups of near copies, and no link of a bucket is lost for the classes.
 
 Defined results: equal texts are one class (null is the empty text); a text without words is near no other text;
 one of fewer than five words is a single shingle; null ids lose against any id; an empty table gives no rows.
@@ -40,8 +39,10 @@ SPREAD = 0.25
 BANDS, ROWS = 12, 4
 # Cells of each of the two rows of the frequency sketch, and the parts in which rows of it travel.
 WIDTH, PARTS = 1 << 20, 32
-# Unmatched texts of a bucket that are compared with each other at once; larger buckets take one leader a round.
-FEW = 8
+# Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.00001; such pairs are left out.
+ALIKE = 26
+# Leaders of a bucket in a round after the first, about.
+FEW = 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                 dtype=np.uint64)
@@ -180,9 +181,9 @@ class Sampler:
             out[better] = _mix(h[i] + steps * _ODD[3])[better]
         return out
 
-    def buckets(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One key for each band."""
-        drawn = self.sample(hashes, weights).reshape(self.bands, self.rows)
+    def buckets(self, drawn: np.ndarray) -> np.ndarray:
+        """One key for each band of samples."""
+        drawn = drawn.reshape(self.bands, self.rows)
         keys = np.arange(self.bands, dtype=np.uint64) * _ODD[2]
         for j in range(self.rows):
             keys = _mix(keys * _ODD[0] + drawn[:, j])
@@ -201,24 +202,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, node (half a SHA-256 of the text), buckets (empty without words)."""
+    """doc_id, row, text_hash (half a SHA-256), buckets (empty without words), print (16 bits of every sample)."""
 
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("buckets array<long>, print array<short>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         sampler, found = Sampler(), sent.value
-        out = []
+        rows = []
         for text in texts:
             hashes, times = shingles(text)
-            out.append(sampler.buckets(hashes, found.weights(hashes, times)) if len(hashes) else [])
-        return pd.Series(out, dtype=object)
+            if len(hashes):
+                drawn = sampler.sample(hashes, found.weights(hashes, times))
+                rows.append((sampler.buckets(drawn), (drawn >> np.uint64(48)).astype(np.uint16).view(np.int16)))
+            else:
+                rows.append(([], []))
+        return pd.DataFrame(rows, columns=["buckets", "print"])
 
     return docs.select(
         col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-        _node(text_col).alias("node"), run(text_or_empty(text_col)).alias("buckets"),
-    )
+        _text_hash(text_col).alias("text_hash"), run(text_or_empty(text_col)).alias("drawn"),
+    ).select("doc_id", "row", "text_hash", "drawn.buckets", "drawn.print")
 
 
-def _node(text_col: str):
+def _text_hash(text_col: str):
     return F.unhex(F.substring(F.sha2(text_or_empty(text_col), 256), 1, 32))
 
 
@@ -234,68 +239,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent) -> DataFrame:
 
         for batch in batches:
             values = []
-            for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if b != last:
-                    last, held = b, weighted(text_b)
-                values.append(similarity(weighted(text_a), held))
+            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
+                if a != last:
+                    last, held = a, weighted(text_a)
+                values.append(similarity(weighted(text_b), held))
             yield batch[["a", "b"]].assign(similarity=values)
 
     texts_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     texts_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(texts_a, "a").join(texts_b, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary, similarity double")
+    joined = pairs.join(texts_b, "b").join(texts_a, "a")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long, similarity double")
 
 
-def links(members: DataFrame, texts: DataFrame, sent, similar: float = SIMILAR, few: int = FEW) -> DataFrame:
-    """a, b of near texts that connect all near texts of each bucket. `members` has bucket and node, distinct rows."""
-    far = 1 - similar
-    edges = None
-    # open: has matched no leader of this bucket. A bucket is done when none of its open members can match another.
-    left = members.withColumn("open", F.lit(True))
-    first = True
-    while True:
-        sizes = left.groupBy("bucket").agg(
-            F.min(F.when(F.col("open"), F.col("node"))).alias("leader"),
-            F.count(F.lit(1)).alias("n"),
-        ).filter("n > 1 and leader is not null")
-        held = left.join(sizes, "bucket")
-        star = held.filter(F.col("node") != F.col("leader")).select("bucket", "node", "open", "leader", "n")
-        if first:
-            pairs = star.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        else:
-            # Few are left in a bucket: all of its open members lead at once.
-            small = held.filter(F.col("n") <= few)
-            others = small.filter("open").select("bucket", F.col("node").alias("other"), F.col("open").alias("other_open"))
-            at_once = small.join(others, "bucket").filter(
-                (F.col("node") != F.col("other")) & (~F.col("open") | (F.col("node") > F.col("other")))
-            ).select(F.col("node").alias("a"), F.col("other").alias("b"))
-            star = star.filter(F.col("n") > few)
-            pairs = star.select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(at_once)
-        compared = write_and_read(_verified(pairs.distinct(), texts, sent), "compared")
-        found = compared.filter(F.col("similarity") >= similar).select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        seen = star.join(
-            compared.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("d")),
-            ["node", "leader"],
-        ).withColumn("open", F.col("open") & (F.col("d") > far))
-        reach = seen.filter("open").groupBy("bucket").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"))
-        slack = far + 1e-9
-        rest = seen.join(reach, "bucket").filter(
-            F.col("open") | ((F.col("d") >= F.col("nearest") - slack) & (F.col("d") <= F.col("farthest") + slack))
-        )
-        left = write_and_read(rest.select("bucket", "node", "open"), "left")
-        first = False
-        if left.groupBy("bucket").count().filter("count > 1").isEmpty():
-            return edges
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have at least ALIKE samples in common."""
+    prints = nodes.select("node", "print")
+    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("print").alias("pa")), "a").join(
+        prints.select(F.col("node").alias("b"), F.col("print").alias("pb")), "b"
+    )
+    same = F.size(F.filter(F.zip_with("pa", "pb", lambda x, y: x == y), lambda s: s))
+    return both.filter(same >= ALIKE).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its connected component) of every node that has an edge."""
+    """node, label (the least node of its connected component) of every node of the edges (a, b)."""
     both = write_and_read(
         edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
     labels = write_and_read(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels"
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        .select("node", F.least("near", "node").alias("label")), "labels"
     )
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
@@ -303,62 +276,106 @@ def components(edges: DataFrame) -> DataFrame:
         )
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        moved = stepped.join(jump, "label").select("node", "old", F.least("label", "beyond").alias("label"))
-        moved = write_and_read(moved, "labels")
+        moved = write_and_read(
+            stepped.join(jump, "label").select("node", "old", F.least("label", "beyond").alias("label")), "labels"
+        )
         labels = moved.select("node", "label")
         if moved.filter("old != label").isEmpty():
             return labels
 
 
+def _merged(left: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label of what `left` (node, label) says, after the classes that `edges` link have become one."""
+    label_a = left.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    label_b = left.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    crossing = edges.join(label_a, "a").join(label_b, "b").filter("la != lb").select(
+        F.col("la").alias("a"), F.col("lb").alias("b")
+    )
+    found = components(crossing).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return left.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def link_classes(
+    members: DataFrame, nodes: DataFrame, texts: DataFrame, sent, similar: float = SIMILAR, few: int = FEW
+) -> DataFrame:
+    """node, label of the classes of near texts. `members`: bucket and node, in buckets of two at least."""
+    labels = write_and_read(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    left, seen, step = members, None, 0
+    while True:
+        left = left.join(labels, "node")
+        parts = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"))
+        state = parts.groupBy("bucket").agg(
+            F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"), F.min("least").alias("least")
+        ).withColumn("outside", F.col("n") - F.col("main.m")).filter("outside > 0")
+        held = left.join(state, "bucket")
+        # One leader at first. Later: all that lie outside the bucket's largest class, if they are few, else some of all.
+        some = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("n")) < few)
+        leads = F.col("node") == F.col("least") if not step else F.when(
+            F.col("outside") <= few, F.col("label") != F.col("main.label")
+        ).otherwise(some)
+        held = write_and_read(held.select("bucket", "node", "label", leads.alias("leads")), "buckets")
+        if held.isEmpty():
+            return labels
+        leaders = held.filter("leads").select("bucket", F.col("node").alias("leader"), F.col("label").alias("its"))
+        pairs = held.join(leaders, "bucket").filter("label != its").select(
+            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+        ).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = write_and_read(_alike(pairs, nodes), "pairs")
+        compared = write_and_read(_verified(pairs, texts, sent), "compared")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        labels = write_and_read(_merged(labels, compared.filter(F.col("similarity") >= similar)), "labels")
+        # A leader has met all of its bucket that were not of its class: it need not be met again.
+        left = held.filter("not leads").select("bucket", "node")
+        step += 1
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """For every row: doc_id, node (of its text), class_id (least id of its class), class_size, n_links, kept.
+    """For every row: doc_id, row, text_hash, class_id (least id of its class), class_size, kept.
 
-    n_links counts the links to other texts that were verified; kept is true for one row of each class, that of
-    the least id.
+    kept is true for one row of each class, that of the least id.
     """
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(frequencies(docs, text_col))
     rows = write_and_read(signatures(docs, sent, id_col, text_col), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("buckets").alias("buckets"))
+    # Equal texts are one node.
+    nodes = write_and_read(
+        rows.groupBy("text_hash").agg(F.first("buckets").alias("buckets"), F.first("print").alias("print"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes"
+    )
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = write_and_read(members.join(shared, "bucket", "left_semi").distinct(), "members")
-    wanted = members.select("node").distinct()
-    texts = docs.select(_node(text_col).alias("node"), text_or_empty(text_col).alias("text"))
-    texts = write_and_read(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    edges = write_and_read(links(members, texts, sent, similar).distinct(), "links")
-    labels = components(edges)
-    degrees = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_links")
+    members = write_and_read(members.join(shared, "bucket", "left_semi"), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = docs.select(_text_hash(text_col).alias("text_hash"), text_or_empty(text_col).alias("text"))
+    texts = write_and_read(
+        texts.join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")), "texts"
     )
-    known = labels.join(degrees, "node")
-    marked = rows.select("doc_id", "row", "node").join(known, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")
+    labels = link_classes(members, nodes, texts, sent, similar)
+    known = nodes.select("text_hash", "node").join(labels, "node", "left").select(
+        "text_hash", F.coalesce("label", "node").alias("label")
     )
-    marked = write_and_read(marked, "marked")
+    marked = write_and_read(rows.select("doc_id", "row", "text_hash").join(known, "text_hash"), "marked")
     # Null ids come last: a struct that starts with a flag orders them.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = marked.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
     return marked.join(best, "label").select(
-        "doc_id", "row", "node",
-        F.col("best.doc_id").alias("class_id"),
-        "class_size",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "row", "text_hash", F.col("best.doc_id").alias("class_id"), "class_size",
         (F.col("row") == F.col("best.row")).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows that stay, whole and with their columns: of each class one, that of the least id."""
-    kept = classes(docs, id_col, text_col, similar).filter("kept").select("node", "doc_id")
-    node, rank = free_name(docs, "node"), free_name(docs, "rank")
-    marked = docs.withColumn(node, _node(text_col))
-    kept = kept.select(F.col("node").alias(node), F.col("doc_id").alias("kept_id"))
-    stays = marked.join(
-        kept, (marked[node] == kept[node]) & col(id_col).eqNullSafe(F.col("kept_id")), "left_semi"
-    )
+    found = classes(docs, id_col, text_col, similar).filter("kept").select("text_hash", "doc_id")
+    text_hash, rank = free_name(docs, "text_hash"), free_name(docs, "rank")
+    kept_id = free_name(docs, "kept_id")
+    marked = docs.withColumn(text_hash, _text_hash(text_col))
+    kept = found.select(F.col("text_hash").alias(text_hash), F.col("doc_id").alias(kept_id))
+    stays = marked.join(kept, text_hash).filter(col(id_col).eqNullSafe(col(kept_id)))
     # Rows equal in text and id: one of them.
-    order = Window.partitionBy(col(node)).orderBy(F.lit(0))
+    order = Window.partitionBy(col(text_hash)).orderBy(F.lit(0))
     return stays.withColumn(rank, F.row_number().over(order)).filter(col(rank) == 1).select(
         *[col(c) for c in docs.columns]
     )

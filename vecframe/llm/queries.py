@@ -115,7 +115,7 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
