@@ -39,10 +39,12 @@ SPREAD = 0.25
 BANDS, ROWS = 12, 4
 # Cells of each of the two rows of the frequency sketch, and the parts in which rows of it travel.
 WIDTH, PARTS = 1 << 20, 32
-# Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.00001; such pairs are left out.
-ALIKE = 26
-# Leaders of a bucket in a round after the first, about.
-FEW = 16
+# Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.0003; such pairs are left out.
+ALIKE = 28
+# About half as many leaders a bucket has in the second round; every round has twice as many as the one before.
+FEW = 4
+# Shingles of texts that a task keeps while it verifies pairs.
+HELD = 2_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                 dtype=np.uint64)
@@ -231,18 +233,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent) -> DataFrame:
     """a, b, similarity of distinct pairs; `texts` has one row (node, text) for each node of a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, last, held = sent.value, None, None
-
-        def weighted(text: str):
-            hashes, times = shingles(text)
-            return hashes, found.weights(hashes, times)
+        found = sent.value
+        held: dict[int, tuple] = {}
+        size = 0
+
+        def weighted(node: int, text: str):
+            nonlocal size
+            if node not in held:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                hashes, times = shingles(text)
+                held[node] = hashes, found.weights(hashes, times)
+                size += len(hashes)
+            return held[node]
 
         for batch in batches:
-            values = []
-            for a, text_a, text_b in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
-                if a != last:
-                    last, held = a, weighted(text_a)
-                values.append(similarity(weighted(text_b), held))
+            pairs = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True)
+            values = [similarity(weighted(a, text_a), weighted(b, text_b)) for a, b, text_a, text_b in pairs]
             yield batch[["a", "b"]].assign(similarity=values)
 
     texts_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -309,9 +317,10 @@ def link_classes(
         ).withColumn("outside", F.col("n") - F.col("main.m")).filter("outside > 0")
         held = left.join(state, "bucket")
         # One leader at first. Later: all that lie outside the bucket's largest class, if they are few, else some of all.
-        some = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("n")) < few)
+        now = few << step
+        some = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("n")) < now)
         leads = F.col("node") == F.col("least") if not step else F.when(
-            F.col("outside") <= few, F.col("label") != F.col("main.label")
+            F.col("outside") <= now, F.col("label") != F.col("main.label")
         ).otherwise(some)
         held = write_and_read(held.select("bucket", "node", "label", leads.alias("leads")), "buckets")
         if held.isEmpty():
