@@ -253,6 +253,8 @@ UNION ALL SELECT 'truth', count(DISTINCT qid), sum(neighbor)::DOUBLE FROM exact"
         f"""SELECT '{name}' AS level, cell, (generate_subscripts(c, 1) - 1)::INT AS pos,
   round(unnest(c), 6) AS value FROM {name}""" for name in ("fine", "coarse")),
     "train_prefix": "SELECT vec_id AS id FROM embeddings WHERE vec_id < (SELECT floor(count(*) * 0.05) FROM embeddings)",
+    "sample_bernoulli": """SELECT vec_id AS id, label FROM embeddings
+        WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT < floor(0.2 * 4294967296)""",
     "sample_per_cell": with_(E, sample(source="e", cell="label", rate=0.05)) + "SELECT id, label FROM sample",
     "assign_cells": with_(*LABEL_MEANS, assign("a", "f0")) + "SELECT id, cell FROM a",
     "cell_counts": with_(*ASSIGNED) + f"""SELECT r.cell::INT AS cell, count(a.id) AS n

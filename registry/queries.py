@@ -247,7 +247,7 @@ def q_sample_per_cell(spark, sf):
 
 
 def q_sample_bernoulli(spark, sf):
-    return sampling.sample_bernoulli(base(spark, sf), 0.2, cell="label").select("id", "label")
+    return sampling.sample_bernoulli(base(spark, sf), 0.2).select("id", "label")
 
 
 # Clustering and packing

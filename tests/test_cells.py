@@ -45,6 +45,16 @@ def test_bernoulli_is_repeatable(spark):
     assert 800 < len(a) < 1200
 
 
+def test_bernoulli_does_not_depend_on_the_layout(spark):
+    rows = spark.range(4000)
+    a = {r.id for r in sampling.sample_bernoulli(rows.repartition(3), 0.25).collect()}
+    assert a == {r.id for r in sampling.sample_bernoulli(rows.coalesce(1), 0.25).collect()}
+
+
+def test_packing_ends_without_a_claim():
+    assert sorted(packing.pack([[0], [1, 2]], [1, 10, 1])) == [0, 0, 1]
+
+
 def test_assign_and_count_with_empty_cell(spark, make):
     base = make({0: [0, 0], 1: [9, 9], 2: [5, 5], 3: None, 4: [1, 0]})
     centers = cl.centroid_table(spark, [[0, 0], [10, 10], [-50, -50]])

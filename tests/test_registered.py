@@ -22,13 +22,13 @@ def con():
 
 
 def test_keys():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "sample_bernoulli", "kmeans_ml", "two_level_fit", "pruned_search_fitted"
+    assert set(entry.ORACLES) <= set(entry.QUERIES)
+    assert set(entry.QUERIES) - set(entry.ORACLES) == {
+        "kmeans_ml", "two_level_fit", "pruned_search_fitted"
     }
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, con, name):
     same, note, _ = compare(spark, con, name, SF)
     assert same, note

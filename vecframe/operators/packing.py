@@ -18,7 +18,7 @@ def pack(preference: list[list[int]], sizes: list[int]) -> list[int]:
 
     Bins are served in turn. A bin that holds fewer rows than an even share (rounded down) takes
     the cell it ranks first among those still free; it may overshoot by that one cell. When a
-    whole round passes with every bin full, each cell still free goes, in cell order, to the bin
+    whole round passes with every bin full, or without a claim, each cell still free goes, in cell order, to the bin
     that holds the fewest rows (the lowest such bin).
     """
     n_bins = len(preference)
@@ -26,7 +26,9 @@ def pack(preference: list[list[int]], sizes: list[int]) -> list[int]:
     bin_of: dict[int, int] = {}
     load = [0] * n_bins
     waiting = [iter(cells) for cells in preference]
-    while len(bin_of) < len(sizes) and min(load) < share:
+    claimed = -1
+    while claimed < len(bin_of) < len(sizes) and min(load) < share:
+        claimed = len(bin_of)
         for b in (b for b in range(n_bins) if load[b] < share):
             cell = next((c for c in waiting[b] if c not in bin_of), None)
             if cell is not None:

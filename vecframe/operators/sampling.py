@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecframe.session import MODEL_ROWS, model_table
+from vecframe.session import model_table
 
 # Rows of one cell that may be ranked exactly in one task when a sample is cut.
 _RANKED_ROWS = 200_000
@@ -79,10 +79,10 @@ def _cut_slices(slim: DataFrame, quota: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def sample_bernoulli(df: DataFrame, fraction: float, cell: str = "cell", seed: int = 42) -> DataFrame:
-    """Keep each row with the given probability, stratum by stratum."""
-    strata = df.select(cell).distinct().withColumn("fraction", F.lit(float(fraction)))
-    rows = strata.limit(MODEL_ROWS + 1).collect()
-    if len(rows) > MODEL_ROWS:
-        raise ValueError(f"more than {MODEL_ROWS} strata")
-    return df.sampleBy(cell, {r[cell]: r["fraction"] for r in rows}, seed)
+def sample_bernoulli(df: DataFrame, fraction: float, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """Keep each row with the given probability, in every stratum alike.
+
+    A hash of seed and id decides, so the sample does not depend on how the rows are laid out.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    return df.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < int(fraction * 2**32))

@@ -257,7 +257,9 @@ def recall_sweep(
     index: SearchIndex, queries: DataFrame, truth: DataFrame, ks: list[int], probe_counts: list[int]
 ) -> DataFrame:
     """Recall and compared rows for every (k, number of probes), from a single search."""
-    widest = replace(index.config, k=max(ks), n_probes=max(probe_counts), probe_order="distance")
+    if index.config.probe_order != "distance":
+        raise ValueError("a sweep needs probe_order='distance': only then is the search with few probes part of it")
+    widest = replace(index.config, k=max(ks), n_probes=max(probe_counts))
     routed = route(index, queries, widest)
     found = knn_join(
         routed, index.base, widest.k, widest.metric, probes="probes", per_part=True,

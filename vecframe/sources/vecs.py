@@ -239,6 +239,7 @@ def _check_lengths(lengths, width, ids, path):
 
 
 def write_fvecs(df: DataFrame, path: str, order_by: str = "id", column: str = "features") -> None:
+    """Write vectors in the order of `order_by`. A path that holds files already is refused."""
     _write(df, path, order_by, F.col(column).cast("array<float>").alias("features"), "fvecs")
 
 
@@ -248,4 +249,7 @@ def write_ivecs(df: DataFrame, path: str, order_by: str = "id", column: str = "n
 
 def _write(df, path, order_by, values, name):
     register(df.sparkSession)
+    fs, root = _open_fs(path)
+    if fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        raise FileExistsError(f"{path} holds files already")
     df.orderBy(order_by).select(F.lit(0).cast("long").alias("id"), values).write.format(name).mode("append").save(path)
