@@ -196,3 +196,24 @@ def test_hot_cell_is_written_as_several_files(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert back.count() == 40_000 and back.columns == ["id", "features", "cell"]
     assert len(list((tmp_path / "cells" / "cell=3").glob("*.parquet"))) > 3
+
+
+def test_large_models_give_the_same_rows_by_join(spark, make, blobs, monkeypatch):
+    from vecframe.operators import clustering, packing
+
+    rows = make(blobs[0][:200])
+    twice = rows.unionByName(rows).withColumnRenamed("id", "qid")
+    model = clustering.centroid_table(spark, blobs[0][:7])
+    lists = spark.createDataFrame([([0, 2, 2, 9],), ([],), (None,)], "cells array<int>")
+    cell_map = spark.createDataFrame([(0, 4), (1, 5), (2, 6)], "cell int, part int")
+
+    def results():
+        cells = clustering.assign_cells(twice, model).select("qid", "cell").collect()
+        mapped = packing.remap_cell_lists(lists, cell_map, "cells", "parts").select("parts").collect()
+        return sorted(map(tuple, cells)), sorted(map(str, mapped))
+
+    small = results()
+    assert len(small[0]) == 400
+    monkeypatch.setattr(clustering, "_MODEL_BYTES", 100)
+    monkeypatch.setattr(packing, "_LITERAL_CELLS", 2)
+    assert results() == small

@@ -122,3 +122,30 @@ def test_search_reads_only_probed_folders(index, data, strategy):
     scans = [s.split("]", 1)[0] for s in text.split("PartitionFilters: [isnotnull(cell")[1:]]
     assert any("isnotnull([" in s for s in scans), text
     assert "Nested" not in text and "Cartesian" not in text
+
+
+def test_partitions_follow_the_centroids(spark, data):
+    from vecframe.operators.clustering import centroid_table
+
+    base, queries = data
+    vectors = np.array([r.features for r in base.orderBy("id").limit(12).collect()])
+    twelve = centroid_table(spark, vectors)
+    built = plan.build_index_1level(base, plan.SearchConfig(k=5, n_parts=8, n_probes=8), twelve)
+    assert built.config.n_parts == 12
+    assert built.base.where("part is null").count() == 0 and built.base.count() == base.count()
+    four = centroid_table(spark, vectors[:4])
+    built = plan.build_index(base, plan.SearchConfig(k=1, n_parts=2, n_probes=4), twelve, four)
+    mine = base.where("id < 30").select(F.col("id").alias("qid"), "features")
+    assert as_lists(plan.search(built, mine)) == {i: [i] for i in range(30)}
+
+
+def test_cells_without_centroid_are_refused(spark, data):
+    from vecframe.operators.clustering import centroid_table
+
+    base, _ = data
+    vectors = np.array([r.features for r in base.orderBy("id").limit(12).collect()])
+    own = base.withColumn("cell", (F.col("id") % 20).cast("int"))
+    with pytest.raises(ValueError, match="cells outside"):
+        plan.build_index(own, CONFIG, centroid_table(spark, vectors), centroid_table(spark, vectors[:6]))
+    with pytest.raises(ValueError, match="must run from 0"):
+        plan.build_index_1level(base, CONFIG, centroid_table(spark, vectors[:2], [0, 5]))

@@ -132,3 +132,36 @@ def test_model_round_trip(spark, make, tmp_path):
     assert sorted(coarse2.collect()) == sorted(coarse.collect())
     first = next((tmp_path / "m" / "centroids1").glob("part-*")).read_text().splitlines()
     assert len(first) == 2 and len(first[0].split(",")) == 4
+
+
+@pytest.mark.parametrize("form", ["text", "parquet"])
+def test_row_ids_do_not_depend_on_the_splits_of_a_job(spark, tmp_path, form):
+    path = str(tmp_path / form)
+    spark.range(40000).select(F.col("id").cast("string").alias("value")).coalesce(1).write.format(form).save(path)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        rows = tables.with_row_id(spark.read.format(form).load(path), "n")
+        for splits in ("3", "7"):
+            spark.conf.set("spark.sql.files.minPartitionNum", splits)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+            assert rows.count() == 40000
+            assert rows.where("n <> cast(value as long)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_positional_rules_refuse_other_ids(make, spark, tmp_path):
+    from vecframe.operators.clustering import centroid_table
+    from vecframe.operators.sampling import train_prefix
+
+    shifted = make(np.ones((5, 2))).withColumn("id", F.col("id") + 100)
+    with pytest.raises(ValueError, match="must run from 0"):
+        tables.save_assignment(shifted.withColumn("cell", F.lit(1)), str(tmp_path / "a"))
+    (tmp_path / "cells.csv").write_text("2\n1\n3\n")
+    with pytest.raises(ValueError, match="must run from 0"):
+        tables.load_assignment(shifted, str(tmp_path / "cells.csv"))
+    with pytest.raises(ValueError, match="must run from 0"):
+        train_prefix(shifted, 0.5)
+    with pytest.raises(ValueError, match="must run from 0"):
+        tables.save_centroids(centroid_table(spark, np.ones((2, 2)), [0, 2]), str(tmp_path / "c"))

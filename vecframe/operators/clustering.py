@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vecframe.operators.kernel import CellSums, list_matrix, nearest, squares, usable
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.sampling import train_prefix
-from vecframe.session import ship
+from vecframe.session import ship, write_and_read
 
 CENTROIDS = "cell int, centroid array<double>"
 # Centroids that may be sent to every task.
@@ -37,12 +37,12 @@ def centroid_table(spark: SparkSession, centers, cells=None) -> DataFrame:
 
 def _centers(centroids: DataFrame):
     """(cells, matrix) on the driver if the model is small enough to send around, else None."""
-    rows = centroids.select(F.col("cell").cast("long"), "centroid").limit(_MODEL_ROWS + 1).toArrow()
-    if rows.num_rows == 0:
+    n, values = centroids.agg(F.count("*"), F.sum(F.size("centroid"))).first()
+    if n == 0:
         raise ValueError("no centroids")
-    if rows.num_rows > _MODEL_ROWS or rows.nbytes > _MODEL_BYTES:
+    if n > _MODEL_ROWS or 8 * values > _MODEL_BYTES:
         return None
-    rows = rows.sort_by("cell")
+    rows = centroids.select(F.col("cell").cast("long"), "centroid").toArrow().sort_by("cell")
     return rows.column("cell").to_numpy(), list_matrix(rows.column("centroid"))
 
 
@@ -71,12 +71,14 @@ def assign_cells(
     return df.withColumn(column, cell_of(F.col(features)))
 
 
-def _assign_by_join(df, centroids, features, column, id_col="id"):
-    vectors = df.select(id_col, F.col(features).alias("vector"))
+def _assign_by_join(df, centroids, features, column):
+    # Rows get a number of their own, stored, so that repeated or missing ids make no difference.
+    rows = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "unassigned")
+    vectors = rows.select("_row", F.col(features).alias("vector"))
     centers = centroids.select("cell", F.col("centroid").alias("vector"))
-    found = knn_join(vectors, centers, 1, "l2", query_id=id_col, base_id="cell", features="vector")
-    cells = found.select(F.col("qid").alias(id_col), F.col("neighbor").cast("int").alias(column))
-    return df.join(cells, id_col, "left")
+    found = knn_join(vectors, centers, 1, "l2", query_id="_row", base_id="cell", features="vector")
+    cells = found.select(F.col("qid").alias("_row"), F.col("neighbor").cast("int").alias(column))
+    return rows.drop(column).join(cells, "_row", "left").drop("_row")
 
 
 def _mean_values(df: DataFrame, columns: list, cells_of) -> DataFrame:

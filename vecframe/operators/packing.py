@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.session import ship
+from vecframe.session import ship, write_and_read
 
 
 # Cells whose partitions fit an array literal in a plan.
@@ -94,11 +94,21 @@ def remap_cells(df: DataFrame, cell_map: DataFrame, cell: str = "cell", part: st
 
 
 def remap_cell_lists(df: DataFrame, cell_map: DataFrame, column: str, out: str) -> DataFrame:
-    """Map every cell in an array column to its partition, keeping order and repetitions."""
+    """Map every cell in an array column to its partition, keeping order and repetitions.
+
+    A cell that the map lacks becomes null. A map too large for an array literal is joined.
+    """
     parts = _as_literal(cell_map)
-    if parts is None:
-        raise ValueError(f"the map must hold the cells 0..n-1, at most {_LITERAL_CELLS} of them")
-    return df.withColumn(out, F.transform(column, lambda c: F.get(parts, c)))
+    if parts is not None:
+        return df.withColumn(out, F.transform(column, lambda c: F.get(parts, c)))
+    rows = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "unmapped")
+    cells = rows.select("_row", F.posexplode(column).alias("_pos", "_cell"))
+    lookup = cell_map.select(F.col("cell").alias("_cell"), F.col("part").alias("_part"))
+    lists = cells.join(lookup, "_cell", "left").groupBy("_row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_part"))), lambda x: x["_part"]).alias("_parts")
+    )
+    none = F.when(F.col(column).isNotNull(), F.array().cast("array<int>"))
+    return rows.join(lists, "_row", "left").withColumn(out, F.coalesce("_parts", none)).drop("_row", "_parts")
 
 
 def _as_literal(cell_map: DataFrame):

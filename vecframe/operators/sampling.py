@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.session import model_table
+from vecframe.sources.tables import check_dense
 
 # Rows of one cell that may be ranked exactly in one task when a sample is cut.
 _RANKED_ROWS = 200_000
 
 
 def train_prefix(df: DataFrame, rate: float, id_col: str = "id") -> DataFrame:
-    """The first int(rows * rate) rows by their dense positional id.
+    """The first int(rows * rate) rows by their positional id; ids must run from 0 to rows - 1.
 
-    The row count comes from file metadata, and the id filter reaches the scan.
+    One pass over the id column counts the rows and checks that; on Parquet the id filter reaches the scan.
     """
-    return df.where(F.col(id_col) < int(df.count() * rate))
+    return df.where(F.col(id_col) < int(check_dense(df, id_col) * rate))
 
 
 def sample_per_cell(

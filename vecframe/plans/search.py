@@ -27,7 +27,7 @@ from vecframe.operators.packing import (
 from vecframe.operators.routing import route_queries
 from vecframe.operators.sampling import sample_per_cell
 from vecframe.session import fresh_path, model_table, write_and_read
-from vecframe.sources.tables import load_model, save_model
+from vecframe.sources.tables import check_dense, load_model, save_model
 
 
 @dataclass(frozen=True)
@@ -79,14 +79,16 @@ def build_index(
     """Two-level index: fine cells, packed into partitions of even size around coarse centroids.
 
     Centroids are fitted on the training prefix unless given. A base that already carries a
-    `cell` column keeps it. The rows are stored under `path`, by default in the shared folder.
+    `cell` column keeps it; a cell that has no centroid is an error. There are as many partitions as
+    coarse centroids. The rows are stored under `path`, by default in the shared folder.
     """
     if fine is None or coarse is None:
         fine, coarse = _fit(base, config)
-    fine = model_table(fine)
-    n_cells = fine.count()
+    fine, coarse = model_table(fine), model_table(coarse)
+    n_cells = check_dense(fine, "cell")
+    config = replace(config, n_parts=check_dense(coarse, "cell"))
     check_ranks(config.n_parts, n_cells)
-    stored = _store(base, fine, path)
+    stored = _store(base, fine, path, n_cells)
     counts = model_table(cell_counts(stored, n_cells))
     packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
     return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts)
@@ -98,12 +100,14 @@ def build_index_1level(
     centroids: DataFrame | None = None,
     path: str | None = None,
 ) -> SearchIndex:
-    """One-level index: the k-means cells are the partitions."""
+    """One-level index: the k-means cells are the partitions, as many as there are centroids."""
     if centroids is None:
         (centroids,) = fit_levels(
             base, [config.n_parts], config.train_rate, config.seed, config.max_iter
         )
-    stored = _store(base, centroids, path)
+    centroids = model_table(centroids)
+    config = replace(config, n_parts=check_dense(centroids, "cell"))
+    stored = _store(base, centroids, path, config.n_parts)
     counts = model_table(cell_counts(stored, config.n_parts))
     cell_map = model_table(counts.select("cell", F.col("cell").alias("part")))
     return _finish(config, centroids, stored, cell_map, counts)
@@ -116,11 +120,15 @@ def _fit(base, config):
     )
 
 
-def _store(base, centroids, path):
+def _store(base, centroids, path, n_cells):
     if "cell" not in base.columns:
         base = assign_cells(base, centroids)
     rows = base.select(F.col("id").cast("long"), "features", F.coalesce("cell", F.lit(0)).alias("cell"))
-    return write_by_cell(rows, path or fresh_path(base.sparkSession, "cells"))
+    stored = write_by_cell(rows, path or fresh_path(base.sparkSession, "cells"))
+    # Cells are folders of the stored table, so this looks at those out of range only.
+    if not stored.where((F.col("cell") < 0) | (F.col("cell") >= n_cells)).isEmpty():
+        raise ValueError(f"the base has cells outside 0 to {n_cells - 1}, the cells of the centroids")
+    return stored
 
 
 def _finish(config, centroids, stored, cell_map, counts):
@@ -143,7 +151,7 @@ def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None =
         queries = _near(queries, index.centroids, c.route_cells, c.metric)
         near = "cells"
     routed = route_queries(
-        queries, index.sample, c.n_parts, c.n_probes, c.route_neighbors, c.metric,
+        queries, index.sample, index.config.n_parts, c.n_probes, c.route_neighbors, c.metric,
         c.probe_order, c.truncate_sample,
         bound_k=None if c.exclude_self else c.k, cells=near,
         strategy=c.strategy, limits=c.limits,
@@ -268,5 +276,5 @@ def recall_sweep(
     )
     sizes = part_sizes(remap_cells(index.counts, index.cell_map).select(
         "part", F.col("n")
-    ), widest.n_parts, weight="n")
+    ), index.config.n_parts, weight="n")
     return sweep_recall(found, routed, sizes, truth, ks, probe_counts)

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecframe.session import write_and_read
 from vecframe.sources.vecs import read_fvecs, read_ivecs
 
 # Input splits whose row offsets are sent to every task, at 16 bytes each.
@@ -46,35 +47,50 @@ def read_dataset(
 
 
 def with_row_id(scan: DataFrame, column: str = "id") -> DataFrame:
-    """Number the rows of a file scan 0, 1, 2, ... in file-name and in-file order.
+    """Number the rows of a file scan 0, 1, 2, ... in file-name and in-file order, without a shuffle of the rows.
 
-    `scan` must be a plain file read (Parquet, CSV, text, ...), so that two passes see the same
-    splits. The first pass counts rows per split; the second adds each split's offset, without a
-    shuffle of the rows. `monotonically_increasing_id` alone would leave gaps.
+    `scan` must be a plain file read. The numbers do not depend on how a job splits the files: Parquet gives
+    every row its place in its file, so only rows per file are counted; other formats are stored once with
+    their places (file, split, place in the split), and all later reads see that table. A row of a file that
+    was not there when the rows were counted is an error, not a lost row.
     """
-    placed = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mono"),
-    ).withColumn("_split", F.xxhash64("_file", "_block"))
+    spark = scan.sparkSession
+    others = [c for c in scan.columns if c != column]
+    if "row_index" in scan.select("_metadata").schema[0].dataType.names:
+        place = F.col("_metadata.row_index")
+        placed = scan.select(*others, F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_block"), place.alias("_place"))
+    else:
+        placed = write_and_read(
+            scan.select(
+                *others, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_place"),
+            ), "numbered",
+        )
+    placed = placed.withColumn("_split", F.xxhash64("_file", "_block"))
     splits = placed.groupBy("_file", "_block", "_split").agg(
-        F.count("*").alias("_rows"), F.min("_mono").alias("_first")
+        F.count("*").alias("_rows"), F.min("_place").alias("_first")
     )
-    # One row per input split, so this unpartitioned window sees metadata only.
+    # One row per file or input split, so this unpartitioned window sees metadata only.
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     shifts = splits.select("_file", "_block", "_split", shift)
     key = ["_file", "_block"]
     head = shifts.select("_split", "_shift").limit(_SPLITS + 1).toArrow()
     if head.num_rows <= _SPLITS and pc.count_distinct(head.column("_split")).as_py() == head.num_rows:
-        shifts, key = F.broadcast(scan.sparkSession.createDataFrame(head, "_split long, _shift long")), ["_split"]
+        shifts, key = F.broadcast(spark.createDataFrame(head, "_split long, _shift long")), ["_split"]
     else:
-        shifts = shifts.drop("_split")
-    return placed.join(shifts, key).select(
-        (F.col("_mono") + F.col("_shift")).alias(column),
-        *[F.col(c) for c in scan.columns if c != column],
-    )
+        shifts = write_and_read(shifts.drop("_split"), "offsets")
+    lost = F.raise_error(F.concat(F.lit("rows were added after the files were counted: "), F.col("_file")))
+    number = F.col("_place") + F.coalesce("_shift", lost.cast("long"))
+    return placed.join(shifts, key, "left").select(number.alias(column), *others)
+
+
+def check_dense(df: DataFrame, column: str = "id") -> int:
+    """The number of rows; an error unless `column` runs from 0 to that number less one, as positional rules need."""
+    n, least, most = df.agg(F.count("*"), F.min(column), F.max(column)).first()
+    if n and (least != 0 or most != n - 1):
+        raise ValueError(f"`{column}` must run from 0 to {n - 1}, not from {least} to {most}; see with_row_id")
+    return n
 
 
 def zip_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -83,7 +99,11 @@ def zip_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def save_centroids(centroids: DataFrame, path: str) -> None:
-    """Headerless CSV, one line per cell in cell order. A model-sized table: one file."""
+    """Headerless CSV, one line per cell in cell order. A model-sized table: one file.
+
+    The line number is the cell, so cells must be numbered 0, 1, 2, ...
+    """
+    check_dense(centroids, "cell")
     line = F.concat_ws(",", F.transform("centroid", lambda x: x.cast("string")))
     centroids.coalesce(1).sortWithinPartitions("cell").select(line).write.text(path)
 
@@ -96,12 +116,14 @@ def load_centroids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_assignment(assigned: DataFrame, path: str) -> None:
-    """Headerless CSV of one cell number per line, line i belonging to vector i."""
+    """Headerless CSV of one cell number per line, line i belonging to vector i; ids must be 0, 1, 2, ..."""
+    check_dense(assigned)
     assigned.orderBy("id").select(F.col("cell").cast("string")).write.text(path)
 
 
 def load_assignment(base: DataFrame, path: str) -> DataFrame:
-    """Attach saved cells to `base` by position; rows past the end of the file get cell 0."""
+    """Attach saved cells to `base` by position; rows past the end of the file get cell 0. Ids must be 0, 1, 2, ..."""
+    check_dense(base)
     lines = with_row_id(base.sparkSession.read.text(path), "id")
     cells = lines.select("id", F.trim("value").cast("double").cast("int").alias("cell"))
     return base.join(cells, "id", "left").withColumn("cell", F.coalesce("cell", F.lit(0)))
