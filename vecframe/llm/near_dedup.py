@@ -41,7 +41,7 @@ BANDS, ROWS = 12, 4
 WIDTH, PARTS = 1 << 20, 32
 # Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.0003; such pairs are left out.
 ALIKE = 28
-# About half as many leaders a bucket has in the second round; every round has twice as many as the one before.
+# A quarter as many leaders a bucket has in the second round; every round has four times as many as the one before.
 FEW = 4
 # Shingles of texts that a task keeps while it verifies pairs.
 HELD = 2_000_000
@@ -317,7 +317,7 @@ def link_classes(
         ).withColumn("outside", F.col("n") - F.col("main.m")).filter("outside > 0")
         held = left.join(state, "bucket")
         # One leader at first. Later: all that lie outside the bucket's largest class, if they are few, else some of all.
-        now = few << step
+        now = few << 2 * step
         some = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("n")) < now)
         leads = F.col("node") == F.col("least") if not step else F.when(
             F.col("outside") <= now, F.col("label") != F.col("main.label")
