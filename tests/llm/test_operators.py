@@ -198,6 +198,54 @@ def test_hmm_against_enumeration():
         assert np.allclose(language_model.log_likelihoods(model, texts, direct, far), want)
 
 
+def test_training_counts_are_those_of_uncut_texts():
+    chance = np.random.default_rng(1)
+    rows = lambda a: a / a.sum(1, keepdims=True)
+    model = language_model.Hmm(*rows(chance.random((2, 3))), rows(chance.random((3, 3))), rows(chance.random((3, 6))).T)
+    texts = [chance.integers(0, 6, n) for n in (1, 8, 2, 7, 5, 3)]
+    emitted, moved, begun, total = np.zeros((6, 3)), np.zeros((3, 3)), np.zeros(3), 0.0
+    for o in texts:
+        paths = list(itertools.product(range(3), repeat=len(o)))
+        chances = np.array([
+            model.start[p[0]] * model.emit[o[0], p[0]]
+            * math.prod(model.step[a, b] * model.emit[w, b] for a, b, w in zip(p, p[1:], o[1:])) for p in paths
+        ])
+        total += math.log10(chances.sum())
+        for p, c in zip(paths, chances / chances.sum()):
+            begun[p[0]] += c
+            for w, b in zip(o, p):
+                emitted[w, b] += c
+            for a, b in zip(p, p[1:]):
+                moved[a, b] += c
+    for direct, far in ((2048, 128), (4, 2), (1, 3), (2, 1)):
+        got = language_model.text_counts(model, texts, direct, far)
+        for have, want in zip((got[0], got[1], got[2], got[4]), (emitted, moved, begun, total)):
+            assert np.allclose(have, want, atol=1e-5)
+
+
+def test_every_training_pass_reads_all_texts_until_it_levels_off(spark, monkeypatch):
+    chance = random.Random(8)
+    # What tells the texts apart comes after 300 equal words.
+    rows = [
+        (i, "same " * 300 + " ".join(chance.choice(("a b c d" if i % 2 else "x y z q").split()) for _ in range(60)))
+        for i in range(40)
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, one_pass = [], language_model.one_pass
+
+    def watched(*args):
+        counts = one_pass(*args)
+        seen.append((counts[0].sum(), counts[2].sum(), counts[4]))
+        return counts
+
+    monkeypatch.setattr(language_model, "one_pass", watched)
+    language_model.score_texts(table, F.lit(False)).count()
+    tokens = 40 * 361
+    assert all(n == pytest.approx(tokens, rel=1e-4) and m == pytest.approx(40, rel=1e-4) for n, m, _ in seen)
+    gains = np.diff([x for _, _, x in seen]) / tokens
+    assert (gains[:-1] >= language_model.TOLERANCE).all() and gains[-1] < language_model.TOLERANCE
+
+
 def test_language_model(spark, docs, none):
     chance = random.Random(4)
     rows = [(i, " ".join(chance.choice(("a b c d" if i % 2 else "x y z Q").split()) for _ in range(40))) for i in range(300)]

@@ -5,10 +5,11 @@ probabilities of their own in every state; all other words share the class "tail
 follows its training count. What is sent to the tasks (head words and parameters) is bounded by `HEAD` and
 `STATES`; counts of tail words meet the texts in a shuffle join.
 
-Training: the words are counted over all training texts; a bounded sample gives a starting point; then every
-pass is one Spark job in which tasks run forward-backward over segments of all training texts and the expected
-counts are summed by token. Scores: the scaled forward recursion over the whole text; beyond `DIRECT` tokens the
-text falls into segments whose transfer matrices are multiplied, which is the same recursion.
+Training: the words are counted over all training texts and give seeded random emissions near the corpus shares;
+then every pass is one Spark job in which tasks run forward-backward over all training texts, whole, and the
+expected counts are summed by token, until a pass gains less than `TOLERANCE`. Scores: the scaled forward recursion
+over the whole text. In both, beyond `DIRECT` tokens the text falls into segments whose transfer matrices carry the
+state weights over the cuts, which is the same recursion.
 
 Defined results: a null or empty text is the end alone; repeated rows are scored and learned one by one; a null
 id is training data; with no training texts N is 0 and every token is unknown.
@@ -29,12 +30,12 @@ from pyspark.sql import functions as F
 from vecframe.llm.common import col
 from vecframe.session import ship, write_and_read
 
-# States, words with emissions of their own (at most 65,000), passes over all training texts.
-STATES, HEAD, PASSES = 8, 50_000, 2
-# Texts and tokens of each that give the starting point, and passes over them.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_PASSES = 2_000, 256, 20
-# Tokens of a segment in training; tokens that are scored directly, and of a segment beyond.
-SEGMENT, DIRECT, FAR_SEGMENT = 128, 2048, 128
+# States, words with emissions of their own (at most 65,000).
+STATES, HEAD = 8, 50_000
+# Training ends with the pass that gains less than this log10 likelihood per token (a thousandth of a nat).
+TOLERANCE = 1e-3 / math.log(10)
+# Tokens of a text that one lane runs over, and of a segment of a longer text.
+DIRECT, FAR_SEGMENT = 2048, 128
 # Tokens that are held as arrays at once; distinct words that a task counts before it hands them on.
 TOKENS, DISTINCT = 400_000, 500_000
 # Weight of the corpus shares in every state's emissions, and of even transitions.
@@ -78,7 +79,7 @@ class Vocabulary:
 
 @dataclass
 class Hmm:
-    """start: of a text; inner: of a segment within a text; step: transitions; emit: tokens by states."""
+    """start: of a text; inner: of any token at a cut (known for reference); step: transitions; emit: tokens by states."""
 
     start: np.ndarray
     inner: np.ndarray
@@ -170,10 +171,15 @@ def _lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, tokens, running
 
 
-def expected_counts(model: Hmm, sequences: list[np.ndarray], first: np.ndarray) -> tuple:
-    """Baum-Welch counts of segments: (emissions, transitions, starts of texts, starts within texts, log10 likelihood).
+def expected_counts(
+    model: Hmm, sequences: list[np.ndarray], first: np.ndarray, before: np.ndarray | None = None,
+    after: np.ndarray | None = None,
+) -> tuple:
+    """Baum-Welch counts of segments: (emissions, transitions, starts of texts, states after cuts, log10 likelihood).
 
-    `first` says which segments begin a text. No segment is empty.
+    `first` says which segments begin a text. `before` has the state weights at the token before each of the others,
+    `after` the backward weights at each segment's last token (absent: every segment is a whole text). No segment is
+    empty.
     """
     order, tokens, running = _lanes(sequences)
     first = first[order]
@@ -182,14 +188,23 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], first: np.ndarray)
     alpha = np.zeros((longest, n, s), dtype=np.float32)
     ahead = np.zeros((longest, n, s), dtype=np.float32)
     scale = np.ones((longest, n), dtype=np.float32)
+    begin = np.repeat(model.start[None], n, 0)
+    if before is not None:
+        before = before[order]
+        begin[~first] = before[~first] @ model.step
     for t in range(longest):
         k = running[t]
-        now = np.where(first[:, None], model.start, model.inner) if t == 0 else alpha[t - 1, :k] @ step
+        now = begin if t == 0 else alpha[t - 1, :k] @ step
         now = now * emit[tokens[t, :k]]
         scale[t, :k] = now.sum(1)
         alpha[t, :k] = now / scale[t, :k, None]
     beta = np.ones((n, s), dtype=np.float32)
     gamma = alpha.copy()
+    if after is not None:
+        last = (np.array([len(x) for x in sequences])[order] - 1, np.arange(n))
+        beta = after[order] / (alpha[last] * after[order]).sum(1, keepdims=True)
+        beta = beta.astype(np.float32)
+        gamma[last] *= beta
     for t in range(longest - 2, -1, -1):
         k = running[t + 1]
         ahead[t + 1, :k] = emit[tokens[t + 1, :k]] * beta[:k] / scale[t + 1, :k, None]
@@ -201,11 +216,57 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray], first: np.ndarray)
     size = len(model.emit)
     emitted = np.stack([np.bincount(seen, weights[:, i], size) for i in range(s)], axis=1)
     moved = (alpha[:-1].reshape(-1, s).T.astype(np.float64) @ ahead[1:].reshape(-1, s)) * model.step
-    begun = gamma[0] / gamma[0].sum(1, keepdims=True)
+    begun = gamma[0].astype(np.float64)
+    begun /= begun.sum(1, keepdims=True)
+    if before is not None:
+        moved += (before[~first].T @ (begun[~first] / begin[~first])) * model.step
     likelihood = float(np.log10(scale[alive].astype(np.float64)).sum())
     return emitted, moved, begun[first].sum(0), begun[~first].sum(0), likelihood
 
 
+def text_counts(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, far: int = FAR_SEGMENT) -> tuple:
+    """`expected_counts` of whole texts (none is empty); those beyond `direct` tokens in segments with carried weights."""
+    total = None
+    short = [t for t in texts if len(t) <= direct]
+    if short:
+        total = expected_counts(model, short, np.ones(len(short), dtype=bool))
+    cut = [segments(t, far) for t in texts if len(t) > direct]
+    if cut:
+        before, after = carried(model, cut)
+        first = np.array([i == 0 for parts in cut for i in range(len(parts))])
+        flat = [part for parts in cut for part in parts]
+        many = max(1, TOKENS // far)
+        for i in range(0, len(flat), many):
+            part = slice(i, i + many)
+            found = expected_counts(model, flat[part], first[part], before[part], after[part])
+            total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
+    return total
+
+
+def carried(model: Hmm, texts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The state weights before, and the backward weights at the last token of, each segment of each cut text."""
+    s = len(model.start)
+    now = model.start * model.emit[[parts[0][0] for parts in texts]]
+    heads, _ = _advance(model, (now / now.sum(1, keepdims=True))[:, None, :], [parts[0][1:] for parts in texts])
+    rest = [part for parts in texts for part in parts[1:]]
+    moves, _ = _advance(model, np.repeat(np.eye(s)[None], len(rest), 0), rest)
+    n = sum(map(len, texts))
+    before, after = np.zeros((n, s)), np.ones((n, s))
+    at = 0
+    for k, parts in enumerate(texts):
+        mine, end = moves[at - k:], at + len(parts)
+        now = heads[k, 0] / heads[k, 0].sum()
+        for i in range(1, len(parts)):
+            before[at + i] = now
+            now = now @ mine[i - 1]
+            now /= now.sum()
+        for i in range(len(parts) - 1, 0, -1):
+            back = mine[i - 1] @ after[at + i]
+            after[at + i - 1] = back / back.sum()
+        at = end
+    return before, after
+
+
 def new_model(counts: tuple, shares: np.ndarray) -> Hmm:
     """The model of expected counts. Emissions lean on the corpus shares, transitions on even ones."""
     emitted, moved, start, inner = (np.asarray(c, dtype=np.float64) for c in counts[:4])
@@ -217,22 +278,30 @@ def new_model(counts: tuple, shares: np.ndarray) -> Hmm:
     )
 
 
-def segments(ids: np.ndarray, size: int = SEGMENT) -> list[np.ndarray]:
+def segments(ids: np.ndarray, size: int) -> list[np.ndarray]:
     return [ids[i:i + size] for i in range(0, len(ids), size)]
 
 
-def first_model(sample: list[np.ndarray], shares: np.ndarray, states: int, passes: int, seed: int = 7) -> Hmm:
-    """Passes over a few sequences from random emissions near the corpus shares, with states that tend to stay."""
+def random_model(shares: np.ndarray, states: int, seed: int = 7) -> Hmm:
+    """Seeded random emissions around the corpus shares, and states that tend to stay."""
     chance = np.random.default_rng(seed)
     emit = shares[:, None] * chance.uniform(0.2, 1.8, (len(shares), states))
     even = np.full(states, 1 / states)
-    model = Hmm(even, even, 0.6 * np.eye(states) + 0.4 / states, emit / emit.sum(0))
-    cut = [segments(ids, 64) for ids in sample if len(ids)]
-    flat = [s for c in cut for s in c]
-    if flat:
-        first = np.array([i == 0 for c in cut for i in range(len(c))])
-        for _ in range(passes):
-            model = new_model(expected_counts(model, flat, first), shares)
+    return Hmm(even, even, 0.6 * np.eye(states) + 0.4 / states, emit / emit.sum(0))
+
+
+def fit(encoded: DataFrame, words: Vocabulary, states: int, tolerance: float = TOLERANCE) -> Hmm:
+    """Passes over all rows of `encoded` from a random model until one gains less than `tolerance` per token."""
+    sc, shares = encoded.sparkSession.sparkContext, words.shares()
+    model, last = random_model(shares, states), -math.inf
+    while words.tokens:
+        sent = sc.broadcast(model)
+        counts = one_pass(encoded, sent, states, len(shares))
+        sent.unpersist()
+        model = new_model(counts, shares)
+        if counts[4] - last < tolerance * words.tokens:
+            break
+        last = counts[4]
     return model
 
 
@@ -242,8 +311,8 @@ def one_pass(encoded: DataFrame, model, states: int, size: int) -> tuple:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
-        for sequences, first in _training_batches(batches):
-            found = expected_counts(model.value, sequences, first)
+        for texts in _training_batches(batches):
+            found = text_counts(model.value, texts)
             total = found if total is None else tuple(a + b for a, b in zip(total, found, strict=True))
         if total is not None:
             emitted, moved, start, inner, likelihood = total
@@ -264,19 +333,17 @@ def one_pass(encoded: DataFrame, model, states: int, size: int) -> tuple:
     return table[:size], rest[:states], rest[states], rest[states + 1], rest[states + 2][0]
 
 
-def _training_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, np.ndarray]]:
-    held, first, tokens = [], [], 0
+def _training_batches(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    held, tokens = [], 0
     for batch in batches:
         for raw in batch["ids"]:
-            cut = segments(np.frombuffer(raw, dtype="<u2"))
-            held += cut
-            first += [True] + [False] * (len(cut) - 1)
-            tokens += len(raw) // 2
+            held.append(np.frombuffer(raw, dtype="<u2").astype(np.int64))
+            tokens += len(held[-1])
             if tokens > TOKENS:
-                yield held, np.array(first)
-                held, first, tokens = [], [], 0
+                yield held
+                held, tokens = [], 0
     if held:
-        yield held, np.array(first)
+        yield held
 
 
 def _advance(model: Hmm, state: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +385,7 @@ def log_likelihoods(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, f
 
 def score_texts(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES,
-    head: int = HEAD, passes: int = PASSES,
+    head: int = HEAD, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from those not held out."""
     spark = ship(docs.sparkSession)
@@ -327,17 +394,10 @@ def score_texts(
     counts = write_and_read(word_counts(training, text_col), "words")
     words = vocabulary(counts, training.count(), head)
     sent_words = sc.broadcast(words)
-    encoded = write_and_read(encode(docs, sent_words, held_out, id_col, text_col), "encoded")
-    seen = encoded.filter(~F.col("held_out"))
-    sample = [
-        np.frombuffer(r["ids"], dtype="<u2")
-        for r in seen.select("row", F.substring("ids", 1, 2 * SAMPLE_TOKENS).alias("ids"))
-        .orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()
-    ]
-    shares = words.shares()
-    model = first_model(sample, shares, states, SAMPLE_PASSES)
-    for _ in range(passes if sample else 0):
-        model = new_model(one_pass(seen, sc.broadcast(model), states, len(shares)), shares)
+    # Texts of like lengths side by side: the lanes of a batch then end together.
+    coded = encode(docs, sent_words, held_out, id_col, text_col).sortWithinPartitions(F.length("ids"))
+    encoded = write_and_read(coded, "encoded")
+    model = fit(encoded.filter(~F.col("held_out")), words, states, tolerance)
     sent = sc.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
