@@ -137,6 +137,17 @@ def test_secrets(docs):
     assert spans.filter(F.size(name) > 0).count() == 0 and secret_scan.redact(docs).count() == 8
 
 
+def test_secrets_of_one_kind_of_characters(spark):
+    values = ["kqzxvbtrwmplfhgd", "739182650417", "QZXKVBNWMRTPLH", "well-known", "something"]
+    rows = [(i, "a well known thing is something to know") for i in range(9)]
+    rows += [(100 + i, f"{w}: {v}") for i, (w, v) in enumerate(zip(("pwd", "pin", "auth", "key", "login"), values))]
+    rows += [(200 + i, "pwd: kqzxvbtrwmplfhgd") for i in range(9)]
+    spans, name = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [r["text"][x["start"]:x["end"]] for x in r[name]] for r in spans.collect()}
+    assert [got[100 + i] for i in range(5)] == [[v] for v in values[:3]] + [[], []]
+    assert all(got[200 + i] == values[:1] for i in range(9))
+
+
 def test_html(spark):
     tree = html_text.train_tree(spark)
     page = (

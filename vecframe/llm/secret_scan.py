@@ -2,7 +2,9 @@
 
 A value that follows a credential word is split into words, dates, repeats, keyboard walks and brute-force
 spans so that the guesses an attacker needs are fewest (dynamic programming over its characters). A value
-that still costs many guesses is a secret.
+that still costs many guesses is a secret. Words are the fixed list and the words of the documents themselves: a
+Spark job counts the documents of every word outside credential values, and a word's rank is its guess number. The
+`WORDS` words of most documents are sent to the tasks; a rarer one costs brute force.
 
 Defined results: a null or empty text has no spans; spans are in code points with the end left out, by start
 and then by kind; repeated rows are scanned one by one.
@@ -12,6 +14,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +29,9 @@ KINDS = ("assign", "access", "hex", "value")
 # log10 of the guesses from which on a value counts as a secret, and the characters of a value that are weighed;
 # a longer one is a secret if any part of so many characters is.
 COSTLY, LONGEST = 9.0, 128
+# Documents that a word of the table is in at least, words of the table, and distinct words a task counts before it
+# hands them on.
+LEAST, WORDS, DISTINCT = 5, 100_000, 200_000
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -56,7 +63,7 @@ december company office email phone number computer internet security network ma
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 
 _RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
+_WORD = re.compile(r"[^\W\d_]{3,24}")
 _WALKS = [r for row in KEYBOARD for r in (row, row[::-1])]
 _PLAIN = str.maketrans("@4310$57!", "aaeiosstl")
 _DATES = [re.compile(p) for p in (
@@ -70,7 +77,37 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def ranks(words: list[str]) -> dict[str, int]:
+    """Guess numbers: of words, the commonest first, and of the fixed ones."""
+    table = {w: i + 1 for i, w in enumerate(words)}
+    return table | {w: min(r, table.get(w, r)) for w, r in _RANK.items()}
+
+
+def word_table(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[str]:
+    """The words of the most documents, the commonest first; values in a credential context do not count."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                lower = (text or "").lower()
+                if any(h in lower for h in _CONTEXT_HINTS):
+                    lower = _CONTEXT.sub(" ", lower)
+                held.update(set(_WORD.findall(lower)))
+                if len(held) > DISTINCT:
+                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    held = Counter()
+        yield pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": list(held.values())})
+
+    counts = (
+        docs.select(col(text_col).alias("text")).mapInPandas(run, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    )
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def guess_cost(value: str, known: dict[str, int] = _RANK) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the fewest guesses, and the parts (start, end, kind) of the cheapest segmentation."""
     n = len(value)
     lower = value.lower()
@@ -78,9 +115,9 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     brute = [math.log10(_alphabet(c)) for c in value]
     edges: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            rank = _RANK.get(lower[i:j])
-            turned = rank is None and _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + 24) + 1):
+            rank = known.get(lower[i:j])
+            turned = rank is None and known.get(plain[i:j])
             if rank or turned:
                 cost = math.log10(rank or turned) + 0.3 * (value[i:j] != lower[i:j]) + 0.6 * bool(turned)
                 edges[i].append((j, cost, "word"))
@@ -118,16 +155,13 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], parts[::-1]
 
 
-def is_secret(value: str, costly: float = COSTLY) -> bool:
-    """Whether a value costs at least 10 ** `costly` guesses and mixes kinds of characters as made-up ones do."""
-    mixed = any(c.isdigit() for c in value) + any(c.isalpha() for c in value) + any(not c.isalnum() for c in value)
-    if mixed < 2 or not any(c.isalnum() for c in value):
-        return False
+def is_secret(value: str, costly: float = COSTLY, known: dict[str, int] = _RANK) -> bool:
+    """Whether a value costs at least 10 ** `costly` guesses."""
     pieces = [value[i:i + LONGEST] for i in range(0, len(value), LONGEST)]
-    return any(guess_cost(p)[0] >= costly for p in pieces)
+    return any(guess_cost(p, known)[0] >= costly for p in pieces)
 
 
-def scan(text: str | None, costly: float = COSTLY) -> list[tuple[str, int, int]]:
+def scan(text: str | None, costly: float = COSTLY, known: dict[str, int] = _RANK) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start and then by kind."""
     if not text:
         return []
@@ -141,19 +175,19 @@ def scan(text: str | None, costly: float = COSTLY) -> list[tuple[str, int, int]]
         a, b = m.span(1)
         value = m[1].rstrip(".:!?")
         b = a + len(value)
-        if len(value) >= 6 and not any(x < b and a < y for x, y in covered) and is_secret(value, costly):
+        if len(value) >= 6 and not any(x < b and a < y for x, y in covered) and is_secret(value, costly, known):
             found.append(("value", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", costly: float = COSTLY) -> tuple[DataFrame, str]:
     """`docs` with an array of (kind, start, end) more, and the name of that column."""
-    ship(docs.sparkSession)
+    sent = ship(docs.sparkSession).sparkContext.broadcast(ranks(word_table(docs, text_col)))
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(
-            [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, costly)] for t in texts], dtype=object
+            [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, costly, sent.value)] for t in texts], dtype=object
         )
 
     name = free_name(docs, "secrets")
@@ -162,14 +196,14 @@ def find_secrets(docs: DataFrame, text_col: str = "text", costly: float = COSTLY
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", costly: float = COSTLY) -> DataFrame:
     """`docs` with every span replaced by `mark`; overlapping spans by one."""
-    ship(docs.sparkSession)
+    sent = ship(docs.sparkSession).sparkContext.broadcast(ranks(word_table(docs, text_col)))
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             pieces, at = [], 0
-            for _, a, b in scan(text, costly):
+            for _, a, b in scan(text, costly, sent.value):
                 if a >= at:
                     pieces += [text[at:a], mark]
                 at = max(at, b)
