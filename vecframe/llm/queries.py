@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecframe.llm import (
+    centroid_clusters,
     decontamination,
     exact_dedup,
     html_text,
@@ -18,14 +19,16 @@ from vecframe.llm import (
     packing,
     secret_scan,
     sharding,
+    token_alignment,
     token_counts,
     toxicity,
+    window_packing,
 )
 from vecframe.llm.common import held_out
 
 
-# Name of the vocabulary file of the token queries.
-VOCABULARY = "byte_bpe_50k.json"
+# Names of the vocabulary files of the token queries.
+VOCABULARY, WORDS, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -122,6 +125,23 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op11_window_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return window_packing.pack(window_packing.pieces(docs, public_tokenizers.path(WORDS)))
+
+
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return token_alignment.align_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))[0]
+
+
+def op13_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return centroid_clusters.with_inertia(*centroid_clusters.cluster(vectors)).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_model": op2_language_model,
@@ -133,9 +153,49 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_window_packing": op11_window_packing,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
+
+def _rounds_of_clusters(rounds: int) -> str:
+    """Every vector against every centroid, `rounds` times and once more."""
+
+    def assigned(at: int) -> str:
+        return f"""
+        a{at} AS MATERIALIZED (
+            SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d
+            FROM (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint AS d
+                  FROM kept, c{at}) GROUP BY r)"""
+
+    def moved(at: int) -> str:
+        return f"""
+        s{at} AS MATERIALIZED (
+            SELECT c, list(f ORDER BY i) AS m FROM (
+                SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS f
+                FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM kept JOIN a{at} USING (r)) GROUP BY c, i)
+            GROUP BY c),
+        c{at + 1} AS MATERIALIZED (
+            SELECT c, coalesce(s.m, o.m)::bigint[] AS m FROM c{at} o LEFT JOIN s{at} s USING (c))"""
+
+    steps = [f"{assigned(i)},{moved(i)}" for i in range(rounds)] + [assigned(rounds)]
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::varchar) NULLS LAST, v) - 1 AS c, v AS m
+            FROM kept ORDER BY sha256('2:' || vec_id::varchar) NULLS LAST, v LIMIT 40),{",".join(steps)}
+        SELECT vec_id, a.c::int AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::bigint AS cluster_inertia,
+               (sum(a.d) OVER ())::bigint AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM kept JOIN a{rounds} a USING (r) JOIN c{rounds} USING (c)
+    """
+
+
 ORACLES = {
+    "op13_centroid_clusters": _rounds_of_clusters(centroid_clusters.ROUNDS),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
