@@ -33,6 +33,8 @@ DIMS, SCALE, CLUSTERS, ROUNDS, SEED = 64, 256, 40, 5, 2
 # Vectors that walk together; pairs of vector and centroid whose distances are taken at once.
 BLOCK, PAIRS = 4096, 16_384
 LARGEST = 1 << 27
+# A cluster of so many vectors could pass the range of a long in its sums.
+MOST = 1 << 36
 
 
 def whole_vectors(vectors: DataFrame, dims: int, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -134,23 +136,35 @@ def _moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
     k, dims = centroids.shape
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(count: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(count)
+        sums = pa.ListArray.from_arrays(np.arange(0, len(some) * dims + 1, dims, dtype=np.int32), total[some].ravel())
+        return pa.RecordBatch.from_pydict({"cluster": pa.array(some, pa.int32()), "n": count[some], "vec": sums})
+
+    def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = np.zeros(k, dtype=np.int64), np.zeros((k, dims), dtype=np.int64)
         for batch in batches:
             matrix = _matrix(batch)
             cluster = nearest(matrix, shared.value)[0]
             count += np.bincount(cluster, minlength=k)
             np.add.at(total, cluster, matrix)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_pydict(
-            {"cluster": pa.array(some, pa.int32()), "n": count[some], "total": pa.array(total[some].tolist(), pa.list_(pa.int64()))}
-        )
+        yield rows_of(count, total)
+
+    def by_cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(k, dtype=np.int64), np.zeros((k, dims), dtype=np.int64)
+        for batch in batches:
+            cluster = batch.column("cluster").to_numpy()
+            np.add.at(count, cluster, batch.column("n").to_numpy())
+            np.add.at(total, cluster, _matrix(batch))
+        yield rows_of(count, total)
 
-    partial = vectors.select("vec").mapInArrow(run, "cluster int, n long, total array<long>")
-    wide = F.array(*[F.sum(F.col("total")[d].cast("decimal(38,0)")) for d in range(dims)])
+    partial = vectors.select("vec").mapInArrow(by_task, "cluster int, n long, vec array<long>")
+    summed = partial.repartition("cluster").mapInArrow(by_cluster, partial.schema)
     moved = centroids.copy()
-    for r in partial.groupBy("cluster").agg(F.sum("n").alias("n"), wide.alias("total")).collect():
-        moved[r["cluster"]] = [int(t) // r["n"] for t in r["total"]]
+    for r in summed.collect():
+        if r["n"] >= MOST:
+            raise OverflowError(f"cluster {r['cluster']} has too many vectors for exact sums")
+        moved[r["cluster"]] = [total // r["n"] for total in r["vec"]]
     shared.unpersist()
     return moved
 
