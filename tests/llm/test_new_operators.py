@@ -45,6 +45,8 @@ def test_words_tokenize_as_the_library_does():
     chance = random.Random(1)
     alpha = list("aAbB 's 1Σ́éÉß\t\n\x0b\x1c\x85\xa0 　<|>日🙂'İ​﻿") + ["<|endoftext|>", " ", " the"]
     texts = ["".join(chance.choice(alpha) for _ in range(chance.randrange(0, 40))) for _ in range(4000)]
+    latin = [chr(c) for c in (*range(33, 127), *range(160, 384))] + [" "] * 40 + ["'s", "'LL", "SS"]
+    texts += ["".join(chance.choice(latin) for _ in range(chance.randrange(0, 40))) for _ in range(4000)]
     encoder, library = window_packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
     for _ in range(2):  # new words, then known ones
         found = encoder.encode(texts)

@@ -18,8 +18,11 @@ one, in the order in which tasks meet them; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +41,13 @@ CAPACITY, END = 2048, 1
 REMEMBERED, LONGEST = 500_000, 64
 # Characters that are tokenized at once.
 CHARS = 2_000_000
-# Characters that Python takes for white space but the tokenizers' patterns do not.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+# Fixed value: the pattern of pre-tokens of the word-level tokenizer, on text in lower case.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same pattern for text of these characters, whose letters have one lower case and no other form.
+_PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*").fullmatch
+_LOWER = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
+# A word with another character: white space that is not listed here, such as U+00A0, counts as such.
+_ODD = re.compile("(?<![^ \t-\r])([!-~À-ÖØ-öø-ÿ]*+[^ \t-\r!-~À-ÖØ-öø-ÿ][^ \t-\r]*+)")
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -48,42 +56,61 @@ _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 class WordEncoder:
     """Ids of texts, as little-endian 32-bit numbers, by a tokenizer that drops white space.
 
-    White space ends every pre-token there, so words tokenize on their own, and those met before are looked up.
-    Texts with special strings or odd separators go through the tokenizer whole.
+    White space ends every pre-token there, so parts of a text tokenize on their own. Stretches of plain Latin
+    letters are put into lower case and cut into pre-tokens here, as the tokenizer would; only pre-tokens not met
+    before go through its merges. Words with other characters, and texts with special strings, go through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Words()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        spec = json.loads(self.tokenizer.to_str())
+        normal, splits = spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]
+        shapes = [n["type"] for n in normal], [p.get("pattern", {}).get("Regex") for p in splits]
+        if shapes != (["NFC", "Replace", "Lowercase"], [PRETOKENS, None]):
+            raise ValueError(f"{path} does not cut words as expected")
+        # The same merges without what has been done to a pre-token already.
+        merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[-1], "added_tokens": []}))
+        self.parts, self.words = _Remembered(merges), _Remembered(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not _SEPARATORS.isdisjoint(t) or any(s in t for s in self.special) for t in texts]
-        words = [None if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*(w for w in words if w is not None)) - self.known.keys())
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        self.known.others = {w: i for w, i in fresh.items() if len(w) > LONGEST}
-        self.known.update((w, i) for w, i in fresh.items() if len(w) <= LONGEST)
-        others = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
-        get = self.known.__getitem__
-        out = [next(others) if w is None else b"".join(map(get, w)) for w in words]
-        if len(self.known) > REMEMBERED:
-            self.known = _Words()
-        return out
-
-
-class _Words(dict):
-    """The ids of words; those of very long ones are kept for one batch only, in `others`."""
-
-    others: dict[str, bytes] = {}
-
-    def __missing__(self, word):
-        return self.others[word]
+        whole = [any(s in t for s in self.special) for t in texts]
+        # Plain stretches and, between them, words with other characters.
+        split = [None if w else [t] if _PLAIN(t) else _ODD.split(t) for t, w in zip(texts, whole, strict=True)]
+        split = [s and [p if i % 2 else _LOWER.findall(p.lower()) for i, p in enumerate(s)] for s in split]
+        self.parts.learn([p for s in split if s for p in s[::2]])
+        self.words.learn([s[1::2] for s in split if s])
+        part, word = self.parts.__getitem__, self.words.__getitem__
+        others = iter(_ids(self.tokenizer, [t for t, w in zip(texts, whole, strict=True) if w]))
+        return [
+            next(others) if s is None else b"".join(word(p) if i % 2 else b"".join(map(part, p)) for i, p in enumerate(s))
+            for s in split
+        ]
+
+
+def _ids(tokenizer: Tokenizer, texts: list[str]) -> list[bytes]:
+    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [array("I", e.ids).tobytes() for e in found]
+
+
+class _Remembered(dict):
+    """The ids of strings. Very long ones, and all when they become too many, are kept for one batch only."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.long = tokenizer, {}
+
+    def learn(self, groups: list[list[str]]) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(set().union(*groups) - self.keys())
+        found = dict(zip(new, _ids(self.tokenizer, new), strict=True))
+        self.long = {s: found.pop(s) for s in new if len(s) > LONGEST}
+        self.update(found)
+
+    def __missing__(self, string):
+        return self.long[string]
 
 
 @lru_cache(maxsize=2)
