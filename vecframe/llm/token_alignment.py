@@ -42,7 +42,7 @@ from vecframe.session import ship, write_and_read
 
 HEAD, HEAVY = 1 << 18, 1000
 # Segments that a worker remembers; characters that are aligned at once, but for a single longer text.
-REMEMBERED, CHARS = 300_000, 2_000_000
+REMEMBERED, CHARS = 200_000, 1_000_000
 # Pairs that a task sums before it passes the sums on.
 SUMMED = 2_000_000
 
@@ -79,7 +79,9 @@ class Aligner:
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         # The file's own vocabulary, whose ids follow the ranks of its merges, in a quicker encoder.
         self.a = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_a = {i: t for t, i in ranks.items()}
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for spelt, i in ranks.items():
+            self.bytes_a[i] = spelt
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.size_b = self.b.get_piece_size()
         self.bytes_b = [self._bytes(i) for i in range(self.size_b)]
@@ -87,6 +89,11 @@ class Aligner:
         if any("▁" in n.lstrip("▁") for n in names):
             raise ValueError("a piece has a blank behind another character, so texts have no segments")
         self.blank = [self.b.piece_to_id("▁")]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        # How an id of either side is written within a group, and as the last one of its side there.
+        self.written = np.array([
+            f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (self.size_b, ",;")) for end in ends for i in range(n)
+        ], dtype=object)
         self.forget()
 
     def _bytes(self, i: int) -> bytes:
@@ -101,28 +108,48 @@ class Aligner:
         self.starts, self.pairs = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _learn(self, segments: list[str]) -> None:
-        """Remembers the alignments of segments, each with the blank before it."""
-        found_a = [self.a.encode_ordinary(" " + s) for s in segments]
+        """Remembers the alignments of segments, each with the blank before it, all found at once."""
+        self.known.update(zip(segments, range(len(self.groups), len(self.groups) + len(segments)), strict=True))
+        texts = [b" " + s.encode() for s in segments]
+        a = list(map(self.a.encode_ordinary, [" " + s for s in segments]))
         # An empty segment is the blank alone, which the piece model would not see.
-        found_b = [self.b.encode(s) if s else self.blank for s in segments]
-        numbers, pairs = [], []
-        for segment, a, b in zip(segments, found_a, found_b, strict=True):
-            self.known[segment] = len(self.groups)
-            text = b" " + segment.encode()
-            spelt_a, spelt_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(spelt_a) != text or b"".join(spelt_b) != text:
-                self.groups.append("")
-                numbers.append((0, 0, 0, 0, 1))
-                continue
-            groups, links = align(a, b, list(map(len, spelt_a)), list(map(len, spelt_b)))
-            self.groups.append(";".join(groups))
-            numbers.append((len(a), len(b), len(groups), len(links), 0))
-            pairs += [i * self.size_b + j for i, j in links]
-        fresh = np.array(numbers, dtype=np.int64).reshape(-1, 5)
+        b = [ids or self.blank for ids in self.b.encode(segments, num_threads=1)]
+        broken = np.zeros(len(segments), dtype=bool)
+        for ids, spelt in ((a, self.bytes_a), (b, self.bytes_b)):
+            if b"".join(map(spelt.__getitem__, chain.from_iterable(ids))) != b"".join(texts):
+                broken |= [b"".join(map(spelt.__getitem__, i)) != t for i, t in zip(ids, texts, strict=True)]
+        for i in np.flatnonzero(broken):
+            a[i], b[i], texts[i] = [], [], b""
+        groups, numbers, pairs = self._aligned(a, b, np.array(list(map(len, texts)), dtype=np.int64))
+        self.groups += groups
+        fresh = np.column_stack([numbers, broken])
         begin = len(self.pairs) + np.cumsum(fresh[:, 3]) - fresh[:, 3]
         self.numbers = np.concatenate([self.numbers, fresh])
         self.starts = np.concatenate([self.starts, begin])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, dtype=np.int64)])
+        self.pairs = np.concatenate([self.pairs, pairs])
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]], n_bytes: np.ndarray):
+        """Of segments whose tokens spell the same bytes: groups as `a1,a2|b1;`, (n_a, n_b, n_groups, links), pairs."""
+        n_a, n_b = (np.array(list(map(len, ids)), dtype=np.int64) for ids in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        # Segments lie one after the other, so byte offsets of all tokens are sums over all of them.
+        end_a, end_b, ends = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]), np.cumsum(n_bytes)
+        both = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        twice = np.append(both[1:] == both[:-1], False)[:len(both)]
+        shared, cuts = both[twice], both[~twice]
+        # The stretch before a cut lies in the tokens that end there or next.
+        pairs = ids_a[np.searchsorted(end_a, cuts)] * self.size_b + ids_b[np.searchsorted(end_b, cuts)]
+        n_links, n_groups = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (cuts, shared))
+        side = np.concatenate([2 * np.searchsorted(shared, end_a), 2 * np.searchsorted(shared, end_b) + 1])
+        order = np.argsort(side, kind="stable")
+        side, ids = side[order], np.concatenate([ids_a, ids_b])[order]
+        last = np.append(side[1:] != side[:-1], True)[:len(side)]
+        size_a = len(self.bytes_a)
+        place = np.where(side % 2 == 0, ids + last * size_a, ids + 2 * size_a + last * self.size_b)
+        written = self.written[place].tolist()
+        stops = np.cumsum(n_a + n_b).tolist()
+        groups = ["".join(written[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
+        return groups, np.column_stack([n_a, n_b, n_groups, n_links]), pairs
 
     def measure(self, texts: list[str]):
         """Of non-empty texts: n_a, n_b, n_groups, n_links, digest of the groups; pairs, times, pairs of each text."""
@@ -143,7 +170,7 @@ class Aligner:
         digests, at = [], 0
         names = list(map(self.groups.__getitem__, which.tolist()))
         for n, bad in zip(length.tolist(), broken.tolist(), strict=True):
-            digests.append("" if bad else hashlib.sha256(";".join(names[at:at + n]).encode()).hexdigest())
+            digests.append("" if bad else hashlib.sha256("".join(names[at:at + n])[:-1].encode()).hexdigest())
             at += n
         # Distinct segments of each text first, then their pairs.
         text = np.repeat(np.arange(len(texts)), length)
@@ -157,28 +184,6 @@ class Aligner:
         return numbers[:, :4], digests, key % span, times, np.bincount(key // span, minlength=len(texts))
 
 
-def align(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups as `a1,a2|b1`, and the linked id pairs, of two token sequences that spell the same bytes."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = sizes_a[0], sizes_b[0]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-            if i == len(a):
-                return groups, links
-            from_i, from_j = i, j
-            end_a, end_b = end_a + sizes_a[i], end_b + sizes_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += sizes_a[i]
-        else:
-            j += 1
-            end_b += sizes_b[j]
-
-
 @lru_cache(maxsize=2)
 def _aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
