@@ -164,15 +164,19 @@ PROBED = f"(b.label = q.label OR b.label = (q.label + 3) % {FINE})"
 EXACT = f"exact AS MATERIALIZED ({topk('cosine')})"
 PRUNED = f"pruned AS MATERIALIZED ({topk('cosine', PROBED)})"
 
-SEARCH = f"""SELECT qid, id AS neighbor, round(d, 6) AS distance,
+def search(where="true"):
+    return f"""SELECT qid, id AS neighbor, round(d, 6) AS distance,
   row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id)::INT AS rank
 FROM (
   SELECT r.qid, b.id, {dist("cosine", "e.v", "b.v")} AS d
   FROM (SELECT qid, unnest(probes) AS part FROM routed) r
-  JOIN e ON e.id = r.qid JOIN base b ON b.part = r.part)
+  JOIN e ON e.id = r.qid JOIN base b ON b.part = r.part WHERE {where})
 QUALIFY rank <= {K}"""
 
 
+SEARCH = search()
+
+
 def listed(expr, source, key="id", out="value"):
     """Rows (key, pos, value) of a list expression, pos from 0."""
     return f"""SELECT {key}, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS {out}
@@ -229,13 +233,15 @@ ORACLES = {
     "max_normalize": with_(E) + listed(NORMALIZED, f"(SELECT id, v, {PEAK} AS peak FROM e)"),
     "truncate_vectors": with_(E) + listed("list_transform(v, lambda x: trunc(x * 10)::INT)", "e"),
     "unique_refill": with_(
-        E,
-        """named AS (SELECT id, list_sort(list_distinct(list_transform(v[1:5],
-            lambda x: (floor(abs(x) * 30)::BIGINT) % 8))) AS u FROM e)""",
+        E, f"near AS MATERIALIZED ({topk('cosine', k=5)})",
+        """named AS (SELECT qid AS id, list_sort(list_distinct(list(label % 8))) AS u
+            FROM near JOIN e ON e.id = neighbor GROUP BY qid)""",
     ) + listed(
         "list_transform(list_slice(list_concat(list_slice(u, 1, 3), list_filter(range(8), "
         "lambda x: NOT list_contains(u, x))), 1, 3), lambda x: x::INT)", "named", out="part"),
     "fvecs_scan": with_(E) + listed(V6, "e"),
+    "fvecs_id_range": with_(E)
+    + listed(V6, "(SELECT * FROM e WHERE id >= 100 AND id < 250 AND id NOT IN (120, 130))"),
     "fvecs_scan_normalized": with_(E) + listed(NORMALIZED, f"(SELECT id, v, {PEAK} AS peak FROM e)"),
     "ivecs_scan": with_(E, EXACT) + "SELECT qid AS id, rank - 1 AS pos, neighbor::INT AS neighbor FROM exact",
     "ivecs_scan_normalized": with_(E, EXACT) + """SELECT qid AS id, rank - 1 AS pos,
@@ -255,6 +261,9 @@ UNION ALL SELECT 'truth', count(DISTINCT qid), sum(neighbor)::DOUBLE FROM exact"
     "train_prefix": "SELECT vec_id AS id FROM embeddings WHERE vec_id < (SELECT floor(count(*) * 0.05) FROM embeddings)",
     "sample_bernoulli": """SELECT vec_id AS id, label FROM embeddings
         WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT < floor(0.2 * 4294967296)""",
+    "stratum_fractions": "SELECT DISTINCT label, 0.3::DOUBLE AS fraction FROM embeddings",
+    "sample_by_stratum": """SELECT vec_id AS id, label FROM embeddings
+        WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT < floor(0.1::DOUBLE * label * 4294967296)""",
     "sample_per_cell": with_(E, sample(source="e", cell="label", rate=0.05)) + "SELECT id, label FROM sample",
     "assign_cells": with_(*LABEL_MEANS, assign("a", "f0")) + "SELECT id, cell FROM a",
     "cell_counts": with_(*ASSIGNED) + f"""SELECT r.cell::INT AS cell, count(a.id) AS n
@@ -280,6 +289,11 @@ FROM range({PARTS}) r(part) LEFT JOIN packed ON packed.part = r.part GROUP BY r.
     "knn_exact_l2": with_(E) + topk("l2"),
     "knn_exact_ip": with_(E) + topk("ip"),
     "knn_self_excluded": with_(E) + topk("cosine", "q.id <> b.id"),
+    "knn_exact_blocks": with_(E) + topk("l2"),
+    "knn_exact_query_groups": with_(E) + topk("l2"),
+    "knn_broadcast_queries": with_(E) + topk("cosine"),
+    "knn_cells_exact": with_(E) + topk("l2"),
+    "search_exact": with_(E) + topk("cosine"),
     "topk_per_query": with_(
         E, f"per_label AS MATERIALIZED ({topk('cosine', k=5, keys='q.id, b.label')})"
     ) + f"""SELECT qid, neighbor, distance, row_number() OVER (PARTITION BY qid ORDER BY
@@ -287,6 +301,7 @@ FROM range({PARTS}) r(part) LEFT JOIN packed ON packed.part = r.part GROUP BY r.
 FROM (SELECT qid, neighbor, distance FROM per_label) JOIN e q ON q.id = qid JOIN e b ON b.id = neighbor
 QUALIFY rank <= {K}""",
     "knn_pruned": with_(E) + topk("cosine", PROBED),
+    "knn_query_groups": with_(E) + topk("l2", PROBED),
     "knn_blocks": with_(E) + topk("l2", PROBED),
     "knn_cells": with_(
         *ASSIGNED,
@@ -305,6 +320,8 @@ QUALIFY rank <= {K}""",
     "pruned_search_by_id": with_(*PLACED, *routed("id"), recursive=True) + SEARCH,
     "pruned_search_1level": with_(*ONE_LEVEL, *routed("distance")) + SEARCH,
     "pruned_search_saved": with_(*PLACED, *routed("distance"), recursive=True) + SEARCH,
+    "pruned_search_self_excluded": with_(*PLACED, *routed("distance"), recursive=True) + search("b.id <> r.qid"),
+    "search_reopened_index": with_(*PLACED, *routed("distance"), recursive=True) + SEARCH,
     "recall_at_k": with_(E, EXACT, PRUNED) + f"""SELECT {K} AS k, (SELECT count(*) FROM e) AS queries,
   round((SELECT count(*) FROM exact JOIN pruned USING (qid, neighbor)) / ((SELECT count(*) FROM e) * {K}), 6) AS recall""",
     "positional_match": with_(E, EXACT, PRUNED) + f"""SELECT {K} AS k,

@@ -27,6 +27,7 @@ from vecframe.functions.distance import cosine_distance, ip_distance, l2_distanc
 from vecframe.operators import clustering as cl
 from vecframe.operators import evaluate as ev
 from vecframe.operators import knn, packing, routing, sampling
+from vecframe.operators.exact_cells import knn_cells_exact
 from vecframe.operators.spectrum import frame_spectrum
 from vecframe.plans import search as plan
 from vecframe.session import fresh_path, model_table, write_and_read
@@ -139,10 +140,11 @@ def q_truncate_vectors(spark, sf):
 
 
 def q_unique_refill(spark, sf):
-    named = F.transform(
-        F.slice("features", 1, 5), lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 30), F.lit(8))
-    )
-    return values(base(spark, sf).select("id", unique_refill(named, 3, 8).alias("v")), "id", "v", "part")
+    """Three partitions from those of each row's five nearest rows; labels, folded to eight, are the partitions."""
+    parts = base(spark, sf).withColumn("label", F.col("label") % 8)
+    near = knn.knn_join(asked(spark, sf), base(spark, sf), 5)
+    named = knn.lookup_labels(near, parts, "label").select(F.col("qid").alias("id"), "labels")
+    return values(named.select("id", unique_refill(F.col("labels"), 3, 8).alias("v")), "id", "v", "part")
 
 
 # Sources and sinks
@@ -154,6 +156,14 @@ def q_fvecs_scan(spark, sf):
     return values(vecs.read_fvecs(spark, path), "id", "features")
 
 
+def q_fvecs_id_range(spark, sf):
+    """A range of ids, of which only the byte ranges are read."""
+    path = fresh_path(spark, "base") + ".fvecs"
+    vecs.write_fvecs(base(spark, sf), path)
+    rows = vecs.read_fvecs(spark, path, splitBytes="8192")
+    return values(rows.where("id >= 100 and id < 250 and id not in (120, 130)"), "id", "features")
+
+
 def q_fvecs_scan_normalized(spark, sf):
     path = fresh_path(spark, "base") + ".fvecs"
     vecs.write_fvecs(base(spark, sf), path)
@@ -250,6 +260,19 @@ def q_sample_bernoulli(spark, sf):
     return sampling.sample_bernoulli(base(spark, sf), 0.2).select("id", "label")
 
 
+def q_stratum_fractions(spark, sf):
+    return sampling.stratum_fractions(base(spark, sf), "label", 0.3)
+
+
+def q_sample_by_stratum(spark, sf):
+    """Every label with a fraction of its own."""
+    fractions = sampling.stratum_fractions(base(spark, sf), "label", 0.1)
+    fractions = fractions.withColumn("fraction", F.col("fraction") * F.col("label"))
+    return sampling.sample_bernoulli(
+        base(spark, sf), 0.0, stratum="label", fractions=fractions
+    ).select("id", "label")
+
+
 # Clustering and packing
 
 
@@ -358,6 +381,26 @@ def q_knn_blocks(spark, sf):
     ))
 
 
+BLOCKS = knn.Limits(base_block_rows=150, query_block_rows=250, bound_rows=100, bound_share=4)
+GROUPED = knn.Limits(broadcast_bytes=40_000, bound_rows=100, bound_share=4)
+BOUNDED = knn.Limits(bound_rows=100, bound_share=4)
+
+
+def q_knn_query_groups(spark, sf):
+    """The join in two given labels, the queries sent to the base in groups."""
+    return shown(knn.knn_join(
+        probing(spark, sf), base(spark, sf), K, "l2", probes="probes", part="label",
+        strategy="query_groups", limits=GROUPED,
+    ))
+
+
+def q_knn_cells_exact(spark, sf):
+    """Exact search that leaves out cells by their radius."""
+    fine = fine_cells(spark, sf)
+    rows = cl.assign_cells(base(spark, sf), fine)
+    return shown(knn_cells_exact(asked(spark, sf), rows, fine, K))
+
+
 def q_knn_cells(spark, sf):
     fine = fine_cells(spark, sf)
     rows = cl.assign_cells(base(spark, sf), fine)
@@ -423,6 +466,28 @@ def q_pruned_search_saved(spark, sf):
     return shown(plan.pruned_search_saved(base(spark, sf).drop("label"), asked(spark, sf), path, CONFIG))
 
 
+def q_pruned_search_self_excluded(spark, sf):
+    config = plan.replace(CONFIG, exclude_self=True)
+    return shown(plan.pruned_search(
+        base(spark, sf), asked(spark, sf), config, fine_cells(spark, sf), coarse_cells(spark, sf)
+    ))
+
+
+def q_search_reopened_index(spark, sf):
+    """An index stored, opened again by its path, and searched."""
+    path = fresh_path(spark, "index")
+    built = plan.build_index(
+        base(spark, sf), CONFIG, fine_cells(spark, sf), coarse_cells(spark, sf), path=f"{path}/base"
+    )
+    plan.save_index(built, path)
+    return shown(plan.search(plan.load_index(spark, path), asked(spark, sf)))
+
+
+def q_search_exact(spark, sf):
+    """Exact search in an index, by the radii of its cells."""
+    return shown(plan.search_exact(index(spark, sf), asked(spark, sf)))
+
+
 def q_pruned_search_fitted(spark, sf):
     """Centroids fitted by the library on the training prefix."""
     config = plan.replace(CONFIG, cells_per_part=3)
@@ -483,6 +548,7 @@ QUERIES = {
     "truncate_vectors": q_truncate_vectors,
     "unique_refill": q_unique_refill,
     "fvecs_scan": q_fvecs_scan,
+    "fvecs_id_range": q_fvecs_id_range,
     "fvecs_scan_normalized": q_fvecs_scan_normalized,
     "ivecs_scan": q_ivecs_scan,
     "ivecs_scan_normalized": q_ivecs_scan_normalized,
@@ -495,6 +561,8 @@ QUERIES = {
     "train_prefix": q_train_prefix,
     "sample_per_cell": q_sample_per_cell,
     "sample_bernoulli": q_sample_bernoulli,
+    "stratum_fractions": q_stratum_fractions,
+    "sample_by_stratum": q_sample_by_stratum,
     "assign_cells": q_assign_cells,
     "cell_counts": q_cell_counts,
     "kmeans_lloyd": q_kmeans_lloyd,
@@ -511,10 +579,15 @@ QUERIES = {
     "knn_exact_l2": _exact("l2"),
     "knn_exact_ip": _exact("ip"),
     "knn_self_excluded": _exact("cosine", exclude_self=True),
+    "knn_exact_blocks": _exact("l2", strategy="blocks", limits=BLOCKS),
+    "knn_exact_query_groups": _exact("l2", strategy="query_groups", limits=GROUPED),
+    "knn_broadcast_queries": _exact("cosine", strategy="broadcast_queries", limits=BOUNDED),
     "topk_per_query": q_topk_per_query,
     "knn_pruned": q_knn_pruned,
     "knn_blocks": q_knn_blocks,
+    "knn_query_groups": q_knn_query_groups,
     "knn_cells": q_knn_cells,
+    "knn_cells_exact": q_knn_cells_exact,
     "neighbor_ids": q_neighbor_ids,
     "knn_result": q_knn_result,
     "lookup_labels": q_lookup_labels,
@@ -524,6 +597,9 @@ QUERIES = {
     "pruned_search_by_id": q_pruned_search_by_id,
     "pruned_search_1level": q_pruned_search_1level,
     "pruned_search_saved": q_pruned_search_saved,
+    "pruned_search_self_excluded": q_pruned_search_self_excluded,
+    "search_reopened_index": q_search_reopened_index,
+    "search_exact": q_search_exact,
     "pruned_search_fitted": q_pruned_search_fitted,
     "recall_at_k": q_recall_at_k,
     "positional_match": q_positional_match,

@@ -51,6 +51,23 @@ def test_bernoulli_does_not_depend_on_the_layout(spark):
     assert a == {r.id for r in sampling.sample_bernoulli(rows.coalesce(1), 0.25).collect()}
 
 
+def test_strata_have_fractions_of_their_own(spark):
+    rows = spark.range(4000).withColumn("s", F.when(F.col("id") % 4 < 3, F.col("id") % 4)).withColumn("_stratum", F.lit(1))
+    every = sampling.stratum_fractions(rows, "s", 0.5)
+    assert sorted((r.s is None, r.s, r.fraction) for r in every.where("s is not null").collect()) == [
+        (False, 0, 0.5), (False, 1, 0.5), (False, 2, 0.5)]
+    assert every.where("s is null").count() == 1
+    some = spark.createDataFrame([(0, 0.0), (1, 1.0), (None, 0.25), (1, 1.0)], "s long, fraction double")
+    kept = sampling.sample_bernoulli(rows, 0.5, stratum="s", fractions=some)
+    assert kept.columns == rows.columns
+    n = {r.s: r["count"] for r in kept.groupBy("s").count().collect()}
+    assert 0 not in n and n[1] == 1000 and 400 < n[2] < 600 and 180 < n[None] < 320
+    alike = sampling.sample_bernoulli(rows, 0.1, stratum="s", fractions=sampling.stratum_fractions(rows, "s", 0.5))
+    assert {r.id for r in alike.collect()} == {r.id for r in sampling.sample_bernoulli(rows, 0.5).collect()}
+    with pytest.raises(ValueError, match="stratum"):
+        sampling.sample_bernoulli(rows, 0.5, fractions=some)
+
+
 def test_packing_ends_without_a_claim():
     assert sorted(packing.pack([[0], [1, 2]], [1, 10, 1])) == [0, 0, 1]
 

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from vecframe.operators import knn
 from vecframe.operators.knn import Limits, knn_join
 
-FORMS = ("broadcast_queries", "broadcast_base", "blocks")
-SMALL = Limits(base_block_rows=200, query_block_rows=25)
+FORMS = ("broadcast_queries", "broadcast_base", "query_groups", "blocks")
+
+
+def small(strategy):
+    """Limits that cut small tables into several blocks or groups."""
+    size = 1500 if strategy == "query_groups" else 32 << 20
+    return Limits(broadcast_bytes=size, base_block_rows=200, query_block_rows=25)
+
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +34,7 @@ def tables(make, blobs):
 @pytest.mark.parametrize("strategy", FORMS)
 def test_exact(tables, blobs, strategy, metric):
     base, queries, _, _ = tables
-    got = knn_join(queries, base, 10, metric, strategy=strategy, limits=SMALL)
+    got = knn_join(queries, base, 10, metric, strategy=strategy, limits=small(strategy))
     assert as_lists(got) == brute(blobs[1], blobs[0], 10, metric)
 
 
@@ -36,14 +42,14 @@ def test_exact(tables, blobs, strategy, metric):
 def test_pruned_with_a_hot_partition(tables, blobs, strategy):
     """Partition 0 holds more than a third of the base."""
     base, queries, part, probes = tables
-    got = knn_join(queries, base, 10, probes="probes", strategy=strategy, limits=SMALL)
+    got = knn_join(queries, base, 10, probes="probes", strategy=strategy, limits=small(strategy))
     assert as_lists(got) == brute(blobs[1], blobs[0], 10, allowed=lambda i, j: part[j] in probes[i])
 
 
 @pytest.mark.parametrize("strategy", FORMS)
 def test_per_part(tables, blobs, strategy):
     base, queries, part, probes = tables
-    got = knn_join(queries, base, 4, probes="probes", per_part=True, strategy=strategy, limits=SMALL)
+    got = knn_join(queries, base, 4, probes="probes", per_part=True, strategy=strategy, limits=small(strategy))
     rows = {}
     for r in sorted(got.collect(), key=lambda r: (r.qid, r.part, r.rank)):
         rows.setdefault((r.qid, r.part), []).append(r.neighbor)
@@ -57,7 +63,7 @@ def test_per_part(tables, blobs, strategy):
 
 def test_auto_uses_the_form_for_two_large_sides(tables, blobs):
     base, queries, _, _ = tables
-    tiny = Limits(broadcast_bytes=1000, base_block_rows=400, query_block_rows=30)
+    tiny = Limits(broadcast_bytes=1000, base_block_rows=400, query_block_rows=30, query_groups=1)
     got = knn_join(queries, base, 5, limits=tiny)
     assert "side" in got._jdf.queryExecution().toString()
     assert as_lists(got) == brute(blobs[1], blobs[0], 5)
@@ -69,7 +75,7 @@ def test_hot_copies(make, strategy):
     rng = np.random.default_rng(3)
     base, asked = rng.normal(size=(900, 6)).astype(np.float32), rng.normal(size=(90, 6)).astype(np.float32)
     base[::3], asked[::3] = 1, 1
-    got = knn_join(make(asked, id_col="qid"), make(base), 6, strategy=strategy, limits=SMALL)
+    got = knn_join(make(asked, id_col="qid"), make(base), 6, strategy=strategy, limits=small(strategy))
     assert as_lists(got) == brute(asked, base, 6)
 
 
@@ -96,7 +102,7 @@ def test_bound_column(tables, blobs):
     exact = knn_join(queries, base, 5)
     bounded = queries.join(exact.where("rank = 5").select("qid", F.col("distance").alias("far")), "qid")
     for strategy in FORMS:
-        got = knn_join(bounded, base, 5, bound="far", strategy=strategy, limits=SMALL)
+        got = knn_join(bounded, base, 5, bound="far", strategy=strategy, limits=small(strategy))
         assert as_lists(got) == brute(blobs[1], blobs[0], 5)
 
 
@@ -145,7 +151,7 @@ def test_carry_and_many_partitions(make, strategy):
     probes = [[int(x) for x in rng.choice(150, 40, replace=False)] for _ in range(30)]
     got = knn_join(
         make(asked, id_col="qid", probes=probes), make(vectors, part=part), 5,
-        probes="probes", carry="part", strategy=strategy, limits=SMALL,
+        probes="probes", carry="part", strategy=strategy, limits=small(strategy),
     )
     assert as_lists(got) == brute(asked, vectors, 5, allowed=lambda i, j: part[j] in probes[i])
     assert all(r.tag == part[r.neighbor] for r in got.collect())

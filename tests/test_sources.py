@@ -165,3 +165,42 @@ def test_positional_rules_refuse_other_ids(make, spark, tmp_path):
         train_prefix(shifted, 0.5)
     with pytest.raises(ValueError, match="must run from 0"):
         tables.save_centroids(centroid_table(spark, np.ones((2, 2)), [0, 2]), str(tmp_path / "c"))
+
+
+def planned(df):
+    """How many tasks a scan has."""
+    return df.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("condition, ids", [
+    ("id < 40", range(40)), ("id <= 40 and id > 35", range(36, 41)), ("id = 77", [77]), ("40 > id and id >= 38", [38, 39]),
+    ("id in (3, 90, 5)", [3, 5, 90]), ("id = 500", []), ("id < 0", []), ("id > 5 and id < 5", []), ("id in (null)", []),
+    ("id < 10 or id > 95", [*range(10), *range(96, 100)]), ("id != 50 and id >= 49", range(49, 100)[:1]), ("id is null", []),
+])
+def test_conditions_on_id_reach_the_scan(spark, tmp_path, condition, ids):
+    rows = np.arange(400, dtype=np.float32).reshape(100, 4)
+    for i in range(4):  # a folder of four files, ten records a split
+        dump(tmp_path / f"{i}.fvecs", rows[25 * i:25 * i + 25], "<f4")
+    df = vecs.read_fvecs(spark, str(tmp_path), splitBytes=200)
+    assert planned(df) == 12 and vecs.count_records(str(tmp_path)) == 100
+    got = df.where(condition)
+    wanted = [*ids, *range(51, 100)] if condition.startswith("id != 50") else list(ids)
+    assert by_id(got, "features") == {i: rows[i].tolist() for i in wanted}
+    if condition in ("id < 40", "id = 77", "id = 500"):
+        assert planned(got) == {"id < 40": 5, "id = 77": 1, "id = 500": 1}[condition]
+
+
+def test_one_header_is_read(spark, tmp_path):
+    dump(tmp_path / "a.fvecs", np.ones((6, 3)), "<f4")
+    dump(tmp_path / "b.fvecs", np.ones((7, 2)), "<f4")
+    with pytest.raises(ValueError, match="not a multiple"):
+        vecs.count_records(str(tmp_path))
+    dump(tmp_path / "b.fvecs", np.ones((4, 7)), "<f4")  # as many bytes as eight records of three values
+    with pytest.raises(Exception, match="has length 7, expected 3"):
+        vecs.read_fvecs(spark, str(tmp_path)).collect()
+
+
+def test_plain_format_without_conditions(spark, tmp_path):
+    dump(tmp_path / "a.fvecs", np.ones((6, 3)), "<f4")
+    vecs.register(spark)
+    assert spark.read.format("fvecs").load(str(tmp_path / "a.fvecs")).where("id < 2").count() == 2

@@ -8,16 +8,28 @@ all three give the same rows:
   streams queries and emits final lists, so nothing is shuffled at all.
 * ``broadcast_queries``: the query side is small (measured likewise). Every task streams its
   share of the base once, without a shuffle of the base, and emits its top-k per query.
+* ``query_groups``: the queries fit into a moderate number of groups of broadcast size. Each group
+  is sent to the base in turn, which is read in place, never shuffled or copied; under pruning a
+  group holds queries of the same partitions, and its pass reads those partitions only.
 * ``blocks``: neither side is small. Rows are counted per partition, a partition is cut into as
   many base blocks and query blocks as its size asks for (a partition that holds a third of all
-  rows simply gets more blocks), and each pair of blocks is one shuffle group. Queries of a group
-  are held in memory, its base rows stream past them in sorted order and may spill.
+  rows simply gets more blocks), and each pair of blocks is one shuffle group. Pairs are numbered
+  and dealt to tasks by their work. Queries of a group are held in memory, its base rows stream
+  past them in sorted order and may spill.
+
+Lists of tasks meet in a shuffle. Without more, k rows per query and task would travel, however
+many tasks read the base. A search of the whole base therefore bounds every query's k-th distance
+first, by its k-th nearest row in a sample of one base row in `Limits.bound_share` (whose own
+search is bounded by a sample of the sample): tasks then emit rows within the bound only, about
+`k * bound_share` per query in all. Lists without a bound are merged in two stages, by query and
+group of tasks first.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.operators.kernel import DECIMALS, TopK, groups, list_matrix, rounded
-from vecframe.session import RESULT_ROWS, model_table, ship
+from vecframe.session import RESULT_ROWS, fresh_path, model_table, ship, write_and_read
 
-STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "blocks")
+STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "query_groups", "blocks")
+# Partitions that a condition on the base may name one by one.
+_NAMED_PARTS = 50_000
+# Groups of tasks whose lists are merged before the lists of a query meet.
+_MERGE_GROUPS = 16
 
 
 @dataclass(frozen=True)
@@ -39,6 +55,9 @@ class Limits:
     base_block_rows: int = 500_000  # base rows streamed per shuffle group
     query_block_rows: int = 16_384  # query rows held in memory per shuffle group
     max_shuffle_partitions: int = 100_000
+    query_groups: int = 64  # groups of queries, each of broadcast size, that are sent to the base in turn
+    bound_share: int = 64  # one base row in so many bounds the k-th distances
+    bound_rows: int = 2_000_000  # base rows from which on that is done: fewer are read by few tasks
 
 
 def knn_join(
@@ -89,22 +108,34 @@ def knn_join(
     b = base.select(*b).where("vec is not null" + (" and part is not null" if probes else ""))
     job = _Job(k, metric, exclude_self, per_part, probes is not None, carry is not None, clustered)
 
-    if strategy == "blocks":
-        return _blocks(job, q, b, limits)
-    if strategy == "broadcast_queries":
-        return _broadcast_queries(job, _required(_bounded(q, "qid", limits.broadcast_bytes)), b)
+    return _run(job, q, b, strategy, limits)
+
+
+def _run(job: _Job, q: DataFrame, b: DataFrame, strategy: str, limits: Limits, level: int = 0) -> DataFrame:
+    """The join in one of its forms; `level` counts the samples of samples that bound distances."""
     if strategy == "broadcast_base":
         return _broadcast_base(job, q, _required(_bounded(b, "id", limits.broadcast_bytes)))
+    if strategy == "blocks":
+        return _blocks(job, _with_bound(job, q, b, limits, level), b, limits)
+    if strategy == "query_groups":
+        groups = math.ceil((_bytes(q, "qid", None) or 1) / limits.broadcast_bytes)
+        return _query_groups(job, _with_bound(job, q, b, limits, level), b, groups, limits)
     few_queries = _bounded(q, "qid", limits.broadcast_bytes)
-    if few_queries is not None and few_queries.num_rows < 100:
-        return _broadcast_queries(job, few_queries, b)
+    if strategy == "broadcast_queries":
+        return _broadcast_queries(job, _with_bound(job, q, b, limits, level, _required(few_queries)), b)
+    if level == 0 and few_queries is not None and few_queries.num_rows < 100:
+        return _broadcast_queries(job, _with_bound(job, q, b, limits, level, few_queries), b)
     few_rows = _bounded(b, "id", limits.broadcast_bytes)
     if few_rows is not None:
         if few_queries is not None:  # already here: spread it over all tasks
             q = q.sparkSession.createDataFrame(few_queries, q.schema)
         return _broadcast_base(job, q, few_rows)
     if few_queries is not None:
-        return _broadcast_queries(job, few_queries, b)
+        return _broadcast_queries(job, _with_bound(job, q, b, limits, level, few_queries), b)
+    size = _bytes(q, "qid", limits.query_groups * limits.broadcast_bytes)
+    q = _with_bound(job, q, b, limits, level)
+    if size is not None:
+        return _query_groups(job, q, b, math.ceil(size / limits.broadcast_bytes), limits)
     return _blocks(job, q, b, limits)
 
 
@@ -180,12 +211,18 @@ class _Job:
             columns["key"] = pa.array(rounded(distance), pa.float64())
         return pa.RecordBatch.from_pydict(columns)
 
-    def merge(self, partial: DataFrame) -> DataFrame:
-        """Final lists from per-task lists. These hold k rows per query already, so they go
-        straight to the shuffle; ranking before it would sort them for nothing."""
-        order = Window.partitionBy(*self.keys).orderBy("key", "neighbor")
-        ranked = partial.repartition("qid").withColumn("rank", F.row_number().over(order))
-        return ranked.where(F.col("rank") <= self.k).drop("key")
+    def merge(self, partial: DataFrame, bounded: bool) -> DataFrame:
+        """Final lists from per-task lists. A task's lists hold k rows per query at most, so ranking
+        them before the shuffle would sort them for nothing. Without a bound on distances a query
+        may have lists in many tasks; those of a group of tasks are merged first."""
+        if not bounded:
+            tasks = partial.withColumn("_tasks", F.spark_partition_id() % _MERGE_GROUPS)
+            partial = self._top(tasks.repartition("qid", "_tasks"), [*self.keys, "_tasks"]).drop("_tasks", "rank")
+        return self._top(partial.repartition("qid"), self.keys).drop("key")
+
+    def _top(self, lists: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("key", "neighbor")
+        return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
 
 
 def _numpy(column) -> np.ndarray:
@@ -221,17 +258,59 @@ def _bounded(df: DataFrame, key: str, max_bytes: int) -> pa.Table | None:
     if head.num_rows <= first:
         return head if head.nbytes <= max_bytes else None
     rows = int(max_bytes / (head.nbytes / head.num_rows))
-    if rows <= first or df.select(key).limit(rows + 1).toArrow().num_rows > rows:
+    if rows <= first or not _at_most(df, key, rows):
         return None
     table = df.toArrow()
     return table if table.nbytes <= 2 * max_bytes else None  # later rows may have longer lists
 
 
+def _at_most(df: DataFrame, key: str, rows: int) -> bool:
+    """Whether `df` has at most so many rows, without reading more of it, or other columns, than needed."""
+    return df.select(key).limit(rows + 1).count() <= rows
+
+
+def _bytes(df: DataFrame, key: str, most: int | None) -> int | None:
+    """About how many bytes `df` takes in Arrow; None if more than `most`."""
+    head = df.limit(1000).toArrow()
+    width = head.nbytes / max(1, head.num_rows)
+    if most is not None and not _at_most(df, key, int(most / max(1, width))):
+        return None
+    return math.ceil(df.count() * width)
+
+
 def _only_parts(base: DataFrame, wanted: list[int]) -> DataFrame:
     """Base rows of the given partitions; the condition reaches the scan as a folder or row-group filter."""
-    if len(wanted) > 1000:
+    if len(wanted) > _NAMED_PARTS:
         return base
-    return base.where(F.col("part").isin(wanted) if wanted else F.lit(False))
+    # One text, as naming thousands of values one by one takes seconds.
+    return base.where(f"part IN ({','.join(str(int(p)) for p in wanted)})" if wanted else "false")
+
+
+def _with_bound(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits, level: int, table: pa.Table | None = None):
+    """The queries (or the same as a `table`) with a bound on their k-th distance, where one is worth its price.
+
+    Any base rows bound the distances, so a query's k-th nearest row in a sample does: no row of
+    its list is farther. The sample is chosen by a hash of the id and stored.
+    """
+    given = queries if table is None else table
+    names = queries.columns if table is None else table.schema.names
+    if job.pruned or "bound" in names or _at_most(base, "id", limits.bound_rows):
+        return given
+    share = limits.bound_share ** (level + 1)
+    sample = write_and_read(base.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("id", "vec"), "bound-sample")
+    inner = replace(job, tagged=False, clustered=False)
+    found = _run(inner, queries.select("qid", "vec"), sample, "auto", limits, level + 1)
+    bounds = found.where(F.col("rank") == job.k).select("qid", F.col("distance").alias("bound"))
+    if table is None:
+        infinite = F.coalesce("bound", F.lit(float("inf")))
+        # Every pass or block reads the queries again, so the bounds are not left to be found again.
+        return write_and_read(queries.join(bounds, "qid", "left").withColumn("bound", infinite), "bounded")
+    rows = bounds.toArrow().sort_by("qid")  # a row for each query of the table at most
+    known, value = _numpy(rows.column("qid")), _numpy(rows.column("bound"))
+    ids = _numpy(table.column("qid"))
+    at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
+    bound = np.where(known[at] == ids, value[at], np.inf) if len(known) else np.full(len(ids), np.inf)
+    return table.append_column("bound", pa.array(bound))
 
 
 def _required(table: pa.Table | None) -> pa.Table:
@@ -241,9 +320,14 @@ def _required(table: pa.Table | None) -> pa.Table:
 
 
 def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
+    return job.merge(_in_place(job, queries, base), "bound" in queries.schema.names)
+
+
+def _in_place(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
+    """Per-task lists of some queries, from a base that is read where it lies."""
     spark = base.sparkSession
     if job.pruned:
-        wanted = pc.unique(pc.list_flatten(queries.column("parts"))).to_pylist()
+        wanted = pc.unique(pc.list_flatten(queries.column("parts"))).drop_null().to_pylist()
         base = _only_parts(base, wanted)
         if len(wanted) > 64 and not job.clustered:  # few rows of a partition per batch otherwise
             base = base.sortWithinPartitions("part")
@@ -255,7 +339,29 @@ def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFra
             job.offer(lists, searchers, batch)
         yield job.emit(lists, part)
 
-    return job.merge(base.mapInArrow(search, job.partial_schema))
+    return base.mapInArrow(search, job.partial_schema)
+
+
+def _query_groups(job: _Job, queries: DataFrame, base: DataFrame, groups: int, limits: Limits) -> DataFrame:
+    """The queries in groups of broadcast size, each sent to the base in turn.
+
+    Under pruning, queries that begin with the same partition come together, so that a pass
+    reads few partitions; a partition that many queries begin with fills several groups.
+    """
+    near = [F.get("parts", F.lit(0))] if job.pruned else []
+    placed = queries.repartitionByRange(groups, *near, F.xxhash64("qid")).withColumn("_group", F.spark_partition_id())
+    path = fresh_path(queries.sparkSession, "query-groups")
+    placed.write.partitionBy("_group").parquet(path)
+    stored = queries.sparkSession.read.schema(placed.schema).parquet(path)
+    partial = []
+    for group in range(groups):
+        table = stored.where(F.col("_group") == group).drop("_group").toArrow()
+        # A group that came out larger than meant makes several passes.
+        step = math.ceil(table.num_rows / max(1, math.ceil(table.nbytes / (2 * limits.broadcast_bytes))))
+        partial += [_in_place(job, table.slice(i, step), base) for i in range(0, table.num_rows, max(1, step))]
+    if not partial:
+        return queries.sparkSession.createDataFrame([], job.schema)
+    return job.merge(reduce(DataFrame.unionByName, partial), "bound" in queries.columns)
 
 
 def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
@@ -293,7 +399,24 @@ def _block_tasks(layout: DataFrame, limits: Limits) -> int:
     return int(min(math.ceil(tasks), total["pairs"], limits.max_shuffle_partitions))
 
 
+def _dealt(layout: DataFrame, n_tasks: int, limits: Limits) -> DataFrame:
+    """`layout` with the place of a partition's pairs on the line of tasks, each as long as its work."""
+    pairs = F.col("base_blocks").cast("double") * F.col("query_blocks")
+    rows = F.col("n_base") / F.col("base_blocks") + F.col("n_query") / F.col("query_blocks")
+    work = F.col("n_base").cast("double") * F.col("n_query") / (pairs * limits.query_block_rows)
+    weighed = layout.withColumn("pair_work", rows + work)
+    # One row per partition, so this unpartitioned window sees metadata only.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    total = weighed.agg(F.sum(pairs * F.col("pair_work")).alias("total")).first()["total"] or 1.0
+    scale = F.lit(n_tasks / total)
+    placed = weighed.withColumn("first_task", F.coalesce(F.sum(pairs * F.col("pair_work")).over(before), F.lit(0.0)) * scale)
+    return model_table(placed.select(
+        "part", "base_blocks", "query_blocks", "first_task", (F.col("pair_work") * scale).alias("pair_tasks")
+    ))
+
+
 def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> DataFrame:
+    bounded = "bound" in queries.columns
     if job.pruned:
         queries = queries.withColumn("part", F.explode("parts")).drop("parts")
     else:
@@ -314,29 +437,31 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
     ))
     n_tasks = _block_tasks(layout, limits)
     if job.pruned:
-        base = _only_parts(base, [r["part"] for r in layout.select("part").limit(1001).collect()])
-    layout = layout.drop("n_base", "n_query")
+        base = _only_parts(base, [r["part"] for r in layout.select("part").limit(_NAMED_PARTS + 1).collect()])
+    layout = _dealt(layout, n_tasks, limits)
 
     def blocks(column):
         return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
 
+    pair = F.col("base_block") * F.col("query_blocks") + F.col("query_block")
+    task = F.least(F.floor(F.col("first_task") + pair * F.col("pair_tasks")), F.lit(n_tasks - 1)).cast("int").alias("task")
     key = ["part", "base_block", "query_block"]
     base_side = (
         base.join(layout, "part")
         .withColumn("base_block", F.pmod(F.xxhash64("id"), F.col("base_blocks")).cast("int"))
         .withColumn("query_block", blocks("query_blocks"))
-        .select(*key, F.lit(1).alias("side"), "id", "vec", "tag", F.lit(0.0).alias("bound"))
+        .select(task, *key, F.lit(1).alias("side"), "id", "vec", "tag", F.lit(0.0).alias("bound"))
     )
     query_side = (
         queries.join(layout, "part")
         .withColumn("query_block", F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int"))
         .withColumn("base_block", blocks("base_blocks"))
-        .select(*key, F.lit(0).alias("side"), F.col("qid").alias("id"), "vec",
+        .select(task, *key, F.lit(0).alias("side"), F.col("qid").alias("id"), "vec",
                 F.lit(0).cast("long").alias("tag"), "bound")
     )
     placed = (
         query_side.unionByName(base_side)
-        .repartition(n_tasks, *key)
+        .repartitionById(n_tasks, "task")
         .sortWithinPartitions(*key, "side")
     )
 
@@ -368,7 +493,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
         if lists is not None:
             yield job.emit(lists, current[0])
 
-    return job.merge(placed.mapInArrow(search, job.partial_schema))
+    return job.merge(placed.mapInArrow(search, job.partial_schema), bounded)
 
 
 def as_predictions(neighbors: DataFrame, queries: DataFrame | None = None, query_id: str = "qid") -> DataFrame:

@@ -80,10 +80,33 @@ def _cut_slices(slim: DataFrame, quota: DataFrame, digits: int) -> DataFrame:
     )
 
 
-def sample_bernoulli(df: DataFrame, fraction: float, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Keep each row with the given probability, in every stratum alike.
+def stratum_fractions(df: DataFrame, stratum: str, fraction: float) -> DataFrame:
+    """One row for each distinct value of a column, null included, with a constant `fraction`."""
+    return df.select(stratum).distinct().withColumn("fraction", F.lit(float(fraction)))
 
-    A hash of seed and id decides, so the sample does not depend on how the rows are laid out.
+
+def sample_bernoulli(
+    df: DataFrame, fraction: float, id_col: str = "id", seed: int = 42, stratum: str | None = None,
+    fractions: DataFrame | None = None,
+) -> DataFrame:
+    """Keep each row with the given probability, in every stratum alike unless `fractions` says otherwise.
+
+    `fractions` (of `stratum_fractions`, or any table of the `stratum` column and `fraction`) gives strata a
+    probability of their own; `fraction` holds for those it lacks. It is sent to the rows while it is of model
+    size and joined by shuffle beyond. A hash of seed and id decides, so the sample does not depend on how the
+    rows are laid out, and a higher fraction keeps the rows of a lower one.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
-    return df.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < int(fraction * 2**32))
+    draw = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+    if fractions is None:
+        return df.filter(draw < int(fraction * 2**32))
+    if stratum is None:
+        raise ValueError("fractions need the name of their stratum column")
+    name, share = "_stratum", "_fraction"
+    while {name, share} & {c.lower() for c in df.columns}:
+        name, share = f"_{name}", f"_{share}"
+    # Of a stratum that is named twice, the higher fraction holds; the rows are not doubled.
+    own = fractions.groupBy(F.col(stratum).alias(name)).agg(F.max("fraction").cast("double").alias(share))
+    joined = df.join(model_table(own), F.col(stratum).eqNullSafe(F.col(name)), "left")
+    limit = F.floor(F.coalesce(F.col(share), F.lit(float(fraction))) * 2**32)
+    return joined.filter(draw < limit).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vecframe.operators.clustering import (
     assign_cells,
@@ -15,6 +17,7 @@ from vecframe.operators.clustering import (
     fit_two_levels,
     rank_cells,
 )
+from vecframe.operators.exact_cells import cell_radii, knn_cells_exact
 from vecframe.operators.evaluate import neighbor_lists, sweep_recall
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.packing import (
@@ -67,6 +70,8 @@ class SearchIndex:
     cell_map: DataFrame  # cell, part
     counts: DataFrame  # cell, n
     sample: DataFrame  # id, features, cell, part
+    folder: str  # where the base rows are stored
+    radii: DataFrame | None = None  # cell, radius, n; for exact search under l2 and cosine
 
 
 def build_index(
@@ -88,10 +93,11 @@ def build_index(
     n_cells = check_dense(fine, "cell")
     config = replace(config, n_parts=check_dense(coarse, "cell"))
     check_ranks(config.n_parts, n_cells)
+    path = path or fresh_path(base.sparkSession, "cells")
     stored = _store(base, fine, path, n_cells)
     counts = model_table(cell_counts(stored, n_cells))
     packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
-    return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts)
+    return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts, path)
 
 
 def build_index_1level(
@@ -107,10 +113,11 @@ def build_index_1level(
         )
     centroids = model_table(centroids)
     config = replace(config, n_parts=check_dense(centroids, "cell"))
+    path = path or fresh_path(base.sparkSession, "cells")
     stored = _store(base, centroids, path, config.n_parts)
     counts = model_table(cell_counts(stored, config.n_parts))
     cell_map = model_table(counts.select("cell", F.col("cell").alias("part")))
-    return _finish(config, centroids, stored, cell_map, counts)
+    return _finish(config, centroids, stored, cell_map, counts, path)
 
 
 def _fit(base, config):
@@ -124,14 +131,14 @@ def _store(base, centroids, path, n_cells):
     if "cell" not in base.columns:
         base = assign_cells(base, centroids)
     rows = base.select(F.col("id").cast("long"), "features", F.coalesce("cell", F.lit(0)).alias("cell"))
-    stored = write_by_cell(rows, path or fresh_path(base.sparkSession, "cells"))
+    stored = write_by_cell(rows, path)
     # Cells are folders of the stored table, so this looks at those out of range only.
     if not stored.where((F.col("cell") < 0) | (F.col("cell") >= n_cells)).isEmpty():
         raise ValueError(f"the base has cells outside 0 to {n_cells - 1}, the cells of the centroids")
     return stored
 
 
-def _finish(config, centroids, stored, cell_map, counts):
+def _finish(config, centroids, stored, cell_map, counts, path):
     sample = sample_per_cell(stored, config.sample_rate, seed=config.sample_seed)
     return SearchIndex(
         config,
@@ -140,9 +147,75 @@ def _finish(config, centroids, stored, cell_map, counts):
         cell_map,
         counts,
         write_and_read(remap_cells(sample, cell_map), "sample"),
+        path,
     )
 
 
+# ---- stored indexes
+
+
+_TABLES = ("centroids", "cell_map", "counts", "sample", "radii")
+_FORMAT = 1
+
+
+def with_radii(index: SearchIndex) -> SearchIndex:
+    """The index with the radius of every cell, found in one pass over the base; unchanged under inner products."""
+    if index.radii is not None or index.config.metric == "ip":
+        return index
+    radii = write_and_read(cell_radii(index.base, index.centroids, index.config.metric), "radii")
+    return replace(index, radii=radii)
+
+
+def save_index(index: SearchIndex, path: str) -> SearchIndex:
+    """Store an index under `path`, to be opened by `load_index`; the stored index is returned.
+
+    Base rows that `build_index` has put under `path`/base already stay where they are; others are copied. The
+    manifest is written last, so a folder without one is not an index. A path that holds an index is refused.
+    """
+    index = with_radii(index)
+    spark = index.base.sparkSession
+    tables = {name: getattr(index, name) for name in _TABLES if getattr(index, name) is not None}
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{name}")
+    rows = index.base.drop("part")
+    if index.folder.rstrip("/") != f"{path.rstrip('/')}/base":
+        write_by_cell(rows, f"{path}/base")
+    manifest = {
+        "format": _FORMAT,
+        "config": asdict(index.config),
+        "schemas": {name: table.schema.jsonValue() for name, table in (tables | {"base": rows}).items()},
+    }
+    spark.range(1).coalesce(1).select(F.lit(json.dumps(manifest))).write.text(f"{path}/manifest")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> SearchIndex:
+    """Open an index that `save_index` has stored. Only its manifest and cell map are read; no base row is.
+
+    Schemas come from the manifest, and the rows are found by their folders, so nothing is fitted, assigned,
+    joined or rewritten.
+    """
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    if manifest["format"] != _FORMAT:
+        raise ValueError(f"{path} has format {manifest['format']}, not {_FORMAT}")
+    config = dict(manifest["config"])
+    config["limits"] = Limits(**config["limits"])
+
+    def table(name):
+        if name not in manifest["schemas"]:
+            return None
+        return spark.read.schema(StructType.fromJson(manifest["schemas"][name])).parquet(f"{path}/{name}")
+
+    cell_map = model_table(table("cell_map"))
+    return SearchIndex(
+        SearchConfig(**config), table("centroids"), remap_cells(table("base"), cell_map), cell_map,
+        table("counts"), table("sample"), f"{path}/base", table("radii"),
+    )
+
+
+# ---- searches
+
+
 def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
     """`queries` (`qid, features`) with the partitions each is searched in, stored once."""
     c = config or index.config
@@ -153,7 +226,8 @@ def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None =
     routed = route_queries(
         queries, index.sample, index.config.n_parts, c.n_probes, c.route_neighbors, c.metric,
         c.probe_order, c.truncate_sample,
-        bound_k=None if c.exclude_self else c.k, cells=near,
+        # Without the query's own row, the k-th of the others is the (k + 1)-th of all at most.
+        bound_k=c.k + int(c.exclude_self), cells=near,
         strategy=c.strategy, limits=c.limits,
     )
     return write_and_read(routed, "routed")
@@ -232,6 +306,21 @@ def exact_search(
     )
 
 
+def search_exact(index: SearchIndex, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
+    """The k nearest rows of the whole base, reading only cells that can hold one.
+
+    Inner products have no triangle inequality, so under them every row is compared.
+    """
+    c = config or index.config
+    if c.metric == "ip":
+        return exact_search(index.base, queries, c)
+    radii = index.radii if c.metric == index.config.metric else None
+    return knn_cells_exact(
+        queries, index.base, index.centroids, c.k, c.metric, radii, strategy=c.strategy, limits=c.limits,
+        exclude_self=c.exclude_self,
+    )
+
+
 def nearest_cells(
     queries: DataFrame, centroids: DataFrame, n_cells: int, metric: str = "cosine", **options
 ) -> DataFrame:

@@ -33,20 +33,18 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent, a local session gets a temporary folder and any other master
+    A folder given to setCheckpointDir counts as well. Where neither is there, a local session gets a temporary folder and any other master
     is refused, because executors on other machines could not see one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = named or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecframe-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecframe-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -2,12 +2,17 @@
 
     spark.read.format("fvecs").load(path)     id bigint, features array<float>
     spark.read.format("ivecs").load(path)     id bigint, neighbors array<int>
+    read_fvecs(spark, path)                   the same, with conditions on id reaching the scan
 
 A record is a little-endian int32 length d followed by d float32 (fvecs) or int32 (ivecs) values,
 and every record has the length of the first. Records are therefore at fixed offsets: a file is
 cut into byte ranges, each range is read by its own task as Arrow batches, and the positional id
 of a record follows from its offset. A folder is read file by file in name order, its ids running
 on. `max_normalize` is the normalised form of either scan.
+
+Conditions on `id` reach the scan of `read_fvecs` and `read_ivecs`: byte ranges outside of them are never planned, so `id < n` reads
+the first n records and nothing else. One header, that of the first file, is read on the driver;
+row counts follow from file sizes, and tasks check the length of every record they read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,13 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -32,6 +43,8 @@ from vecframe.session import ship
 
 _SPLIT_BYTES = 128 << 20
 _BATCH_BYTES = 4 << 20
+# Spark's switch for conditions that Python sources may see.
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def _open_fs(path: str):
@@ -56,32 +69,21 @@ class _VecsReader(DataSourceReader):
         self.path, self.dtype, self.column, self.split_bytes = path, dtype, column, split_bytes
 
     def partitions(self):
-        fs, root = _open_fs(self.path)
-        info = fs.get_file_info(root)
-        if info.type == pafs.FileType.NotFound:
-            raise FileNotFoundError(self.path)
-        files = [info]
-        if info.type == pafs.FileType.Directory:
-            found = fs.get_file_info(pafs.FileSelector(root))
-            files = sorted(
-                (f for f in found if f.is_file and not f.base_name.startswith(("_", "."))),
-                key=lambda f: f.path,
-            )
-        ranges, next_id = [], 0
-        for file in files:
-            if file.size == 0:
-                continue
-            with fs.open_input_file(file.path) as stream:
-                width = int(np.frombuffer(stream.read(4), "<i4")[0])
-            record = 4 * (width + 1)
-            if width <= 0 or file.size % record:
-                raise ValueError(f"{file.path}: size {file.size} is not a multiple of {record}")
-            total, step = file.size // record, max(1, self.split_bytes // record)
-            for start in range(0, total, step):
-                n = min(step, total - start)
-                ranges.append(ByteRange(file.path, start * record, n, width, next_id + start))
+        return [r for r in self._ranges(*files_of(self.path)) if r.records] or [ByteRange("", 0, 0, 1, 0)]
+
+    def wanted(self, first: int, stop: int) -> tuple[int, int]:
+        """The part of the ids from `first` to before `stop` that is to be read."""
+        return first, stop
+
+    def _ranges(self, files, width):
+        record, next_id = 4 * (width + 1), 0
+        step = max(1, self.split_bytes // record)
+        for path, size in files:
+            total = size // record
+            start, stop = self.wanted(next_id, next_id + total)
+            for at in range(start, stop, step):
+                yield ByteRange(path, (at - next_id) * record, min(step, stop - at), width, at)
             next_id += total
-        return ranges or [ByteRange("", 0, 0, 1, 0)]
 
     def read(self, partition):
         if partition.records == 0:
@@ -108,6 +110,76 @@ class _VecsReader(DataSourceReader):
                 )
 
 
+class _FilteringReader(_VecsReader):
+    """A reader that plans only the ranges which conditions on `id` leave."""
+
+    least, most = 0, None  # the ids to read, both included
+
+    def pushFilters(self, filters):
+        for condition in filters:
+            if getattr(condition, "attribute", None) == ("id",):
+                self._narrow(condition)
+            # Spark checks the rows that are read once more: an In list may have gaps.
+            yield condition
+
+    def _narrow(self, condition):
+        kind, value = type(condition), getattr(condition, "value", None)
+        if kind is EqualTo:
+            self._within(value, value)
+        elif kind is In:
+            # A list without any value that is not null matches no row.
+            present = [v for v in value if v is not None]
+            self._within(min(present, default=0), max(present, default=-1))
+        elif kind is LessThan:
+            self._within(0, value - 1)
+        elif kind is LessThanOrEqual:
+            self._within(0, value)
+        elif kind is GreaterThan:
+            self._within(value + 1, None)
+        elif kind is GreaterThanOrEqual:
+            self._within(value, None)
+
+    def _within(self, least, most):
+        self.least = max(self.least, least)
+        if most is not None:
+            self.most = most if self.most is None else min(self.most, most)
+
+    def wanted(self, first, stop):
+        most = stop - 1 if self.most is None else self.most
+        start = min(max(first, self.least), stop)
+        return start, max(start, min(stop, most + 1))
+
+
+def files_of(path: str) -> tuple[list[tuple[str, int]], int]:
+    """((file, bytes) in name order, values per record) of a file or folder; only the first header is read."""
+    fs, root = _open_fs(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    files = [info]
+    if info.type == pafs.FileType.Directory:
+        found = fs.get_file_info(pafs.FileSelector(root))
+        files = sorted(
+            (f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.path
+        )
+    files = [f for f in files if f.size]
+    if not files:
+        return [], 1
+    with fs.open_input_file(files[0].path) as stream:
+        width = int(np.frombuffer(stream.read(4), "<i4")[0])
+    record = 4 * (width + 1)
+    for file in files:
+        if width <= 0 or file.size % record:
+            raise ValueError(f"{file.path}: size {file.size} is not a multiple of {record}")
+    return [(f.path, f.size) for f in files], width
+
+
+def count_records(path: str) -> int:
+    """The number of records of a file or folder, from the sizes of its files; no record is read."""
+    files, width = files_of(path)
+    return sum(size for _, size in files) // (4 * (width + 1))
+
+
 @dataclass
 class _PartFile(WriterCommitMessage):
     path: str
@@ -159,7 +231,8 @@ class _VecsSource(DataSource):
 
     def reader(self, schema):
         split = int(self.options.get("splitBytes", _SPLIT_BYTES))
-        return _VecsReader(self.options["path"], self.dtype, self.column, split)
+        kind = _FilteringReader if self.options.get("idFilters", "").lower() == "true" else _VecsReader
+        return kind(self.options["path"], self.dtype, self.column, split)
 
     def writer(self, schema, overwrite):
         return _VecsWriter(self.options["path"], self.dtype, self.column, overwrite)
@@ -210,6 +283,10 @@ def read_ivecs(
 def _read(spark, path, source, through, options):
     if through == "hadoop":
         return _read_records(spark, path, source)
+    # A source that takes conditions must not meet a session that forbids it, so it is told to.
+    if spark.conf.get(_PUSHDOWN, "false") != "true":
+        spark.conf.set(_PUSHDOWN, "true")
+    options = {"idFilters": "true"} | options
     return register(spark).read.format(source.name()).options(**options).load(path)
 
 
