@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vecframe.llm import centroid_clusters, queries, token_alignment, window_packing
+from vecframe.llm import centroid_clusters, language_model, queries, token_alignment, window_packing
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(n) for n in (queries.WORDS, queries.VOCABULARY, queries.PIECES))
 SCHEMA = "doc_id long, text string, length string, task int, nth int, copies int, pairs int, digest string"
@@ -287,3 +287,37 @@ def test_component_too_large(spark):
     table = spark.createDataFrame([(1, [1e30] * 4)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="beyond"):
         centroid_clusters.cluster(table, k=2, dims=4)[0].collect()
+
+
+# ---- language model: memory of mixed lengths ---------------------------------------------------------------------
+
+
+def test_one_long_text_beside_many_short_ones_takes_its_own_room():
+    """Arrays grow with the tokens of a batch, not with its texts times the longest of them."""
+    import tracemalloc
+
+    chance = np.random.default_rng(8)
+    texts = [chance.integers(0, 50, 10) for _ in range(6000)]
+    model = language_model.random_model(np.full(52, 1 / 52), 8)
+
+    def peak(some):
+        tracemalloc.start()
+        language_model.text_counts(model, some)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    alone, mixed = peak(texts), peak([*texts, chance.integers(0, 50, 2000)])
+    assert mixed < 1.3 * alone < 100_000_000
+    both = language_model.text_counts(model, [texts[0], texts[1][:3], chance.integers(0, 50, 700)])
+    assert both[0].sum() == pytest.approx(713, rel=1e-4)
+
+
+def test_counts_of_mixed_lengths_are_sums_of_single_texts():
+    chance = np.random.default_rng(9)
+    texts = [chance.integers(0, 20, n) for n in (1, 7, 3, 1, 40, 2, 7)]
+    model = language_model.random_model(np.full(22, 1 / 22), 3)
+    together = language_model.text_counts(model, texts)
+    alone = [language_model.text_counts(model, [t]) for t in texts]
+    for got, parts in zip(together, zip(*alone, strict=True), strict=True):
+        assert np.allclose(got, sum(parts), rtol=1e-4, atol=1e-5)

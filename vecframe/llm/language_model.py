@@ -159,16 +159,22 @@ def encode(docs: DataFrame, vocabulary, held_out: Column, id_col: str, text_col:
 # ---- forward and backward ---------------------------------------------------------------------------------------
 
 
-def _lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order by falling length, tokens by time, sequences still running at each time)."""
-    lengths = np.array([len(s) for s in sequences])
+def _lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by falling length, tokens, sequences still running at each time, place of each time's first token).
+
+    Tokens lie by time, at each time those of the running sequences in that order, so nothing is padded: a long
+    sequence beside many short ones takes its own room only.
+    """
+    lengths = np.array([len(s) for s in sequences], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max(initial=0))
-    tokens = np.zeros((longest, len(sequences)), dtype=np.int64)
-    for lane, i in enumerate(order):
-        tokens[: lengths[i], lane] = sequences[i]
-    running = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
-    return order, tokens, running
+    lengths = lengths[order]
+    running = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
+    at = np.concatenate([[0], np.cumsum(running)])
+    flat = np.concatenate([sequences[i] for i in order]) if len(order) else np.empty(0, dtype=np.int64)
+    time = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    tokens = np.empty(len(flat), dtype=np.int64)
+    tokens[at[time] + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    return order, tokens, running, at
 
 
 def expected_counts(
@@ -181,46 +187,47 @@ def expected_counts(
     `after` the backward weights at each segment's last token (absent: every segment is a whole text). No segment is
     empty.
     """
-    order, tokens, running = _lanes(sequences)
+    order, tokens, running, at = _lanes(sequences)
     first = first[order]
-    longest, n, s = len(tokens), len(sequences), len(model.start)
+    n, s = len(sequences), len(model.start)
     emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
-    alpha = np.zeros((longest, n, s), dtype=np.float32)
-    ahead = np.zeros((longest, n, s), dtype=np.float32)
-    scale = np.ones((longest, n), dtype=np.float32)
+    alpha = np.empty((len(tokens), s), dtype=np.float32)
+    ahead = np.empty((len(tokens), s), dtype=np.float32)
+    scale = np.empty(len(tokens), dtype=np.float32)
     begin = np.repeat(model.start[None], n, 0)
     if before is not None:
         before = before[order]
         begin[~first] = before[~first] @ model.step
-    for t in range(longest):
-        k = running[t]
-        now = begin if t == 0 else alpha[t - 1, :k] @ step
-        now = now * emit[tokens[t, :k]]
-        scale[t, :k] = now.sum(1)
-        alpha[t, :k] = now / scale[t, :k, None]
+    for t, k in enumerate(running):
+        here = slice(at[t], at[t] + k)
+        now = begin if t == 0 else alpha[at[t - 1]:at[t - 1] + k] @ step
+        now = now * emit[tokens[here]]
+        scale[here] = now.sum(1)
+        alpha[here] = now / scale[here, None]
     beta = np.ones((n, s), dtype=np.float32)
     gamma = alpha.copy()
     if after is not None:
-        last = (np.array([len(x) for x in sequences])[order] - 1, np.arange(n))
+        last = at[np.array([len(x) for x in sequences])[order] - 1] + np.arange(n)
         beta = after[order] / (alpha[last] * after[order]).sum(1, keepdims=True)
         beta = beta.astype(np.float32)
         gamma[last] *= beta
-    for t in range(longest - 2, -1, -1):
+    for t in range(len(running) - 2, -1, -1):
         k = running[t + 1]
-        ahead[t + 1, :k] = emit[tokens[t + 1, :k]] * beta[:k] / scale[t + 1, :k, None]
-        beta[:k] = ahead[t + 1, :k] @ step.T
-        gamma[t, :k] *= beta[:k]
-    alive = np.arange(n)[None, :] < running[:, None]
-    seen, weights = tokens[alive], gamma[alive]
-    weights /= weights.sum(1, keepdims=True)
+        here = slice(at[t + 1], at[t + 1] + k)
+        ahead[here] = emit[tokens[here]] * beta[:k] / scale[here, None]
+        beta[:k] = ahead[here] @ step.T
+        gamma[at[t]:at[t] + k] *= beta[:k]
+    weights = gamma / gamma.sum(1, keepdims=True)
     size = len(model.emit)
-    emitted = np.stack([np.bincount(seen, weights[:, i], size) for i in range(s)], axis=1)
-    moved = (alpha[:-1].reshape(-1, s).T.astype(np.float64) @ ahead[1:].reshape(-1, s)) * model.step
-    begun = gamma[0].astype(np.float64)
+    emitted = np.stack([np.bincount(tokens, weights[:, i], size) for i in range(s)], axis=1)
+    # The token before a token of the same sequence lies as far back as sequences ran then.
+    previous = np.arange(at[1], len(tokens)) - np.repeat(running[:-1], running[1:])
+    moved = (alpha[previous].T.astype(np.float64) @ ahead[at[1]:]) * model.step
+    begun = gamma[:n].astype(np.float64)
     begun /= begun.sum(1, keepdims=True)
     if before is not None:
         moved += (before[~first].T @ (begun[~first] / begin[~first])) * model.step
-    likelihood = float(np.log10(scale[alive].astype(np.float64)).sum())
+    likelihood = float(np.log10(scale.astype(np.float64)).sum())
     return emitted, moved, begun[first].sum(0), begun[~first].sum(0), likelihood
 
 
@@ -348,12 +355,11 @@ def _training_batches(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarr
 
 def _advance(model: Hmm, state: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Runs rows of scaled state weights (sequences x rows x states) on over sequences: (state, log10 of the scale)."""
-    order, tokens, running = _lanes(sequences)
+    order, tokens, running, at = _lanes(sequences)
     now, logs = state[order], np.zeros(len(sequences))
     s = now.shape[2]
-    for t in range(len(tokens)):
-        k = running[t]
-        part = (now[:k].reshape(-1, s) @ model.step).reshape(k, -1, s) * model.emit[tokens[t, :k]][:, None, :]
+    for t, k in enumerate(running):
+        part = (now[:k].reshape(-1, s) @ model.step).reshape(k, -1, s) * model.emit[tokens[at[t]:at[t] + k]][:, None, :]
         scale = part.sum((1, 2))
         now[:k] = part / scale[:, None, None]
         logs[:k] += np.log10(scale)
