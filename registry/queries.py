@@ -293,6 +293,43 @@ def q_kmeans_ml(spark, sf):
     return cl.cell_counts(cl.attach_cells(base(spark, sf), model), FINE)
 
 
+def _cost(rows, centroids):
+    """Sum of the squared distances of rows from the centroid of their cell."""
+    center = F.broadcast(centroids.withColumnRenamed("cell", "_cell"))
+    gap = l2_distance("features", "centroid")
+    return rows.join(center, F.col("cell") == F.col("_cell")).agg(F.sum(gap * gap)).first()[0]
+
+
+def _fit_checked(rows, centroids, labelled, name):
+    """What holds for any fit: rows of `labelled` off their nearest centroid, and whether means cost more.
+
+    The means of the cells are the best centroids for them, so the cost of one more step is never above the fit's.
+    """
+    nearest = cl.assign_cells(rows.select("id", "features"), centroids, column="near").select("id", "near")
+    off = labelled.join(nearest, "id").where("cell <> near").count()
+    better = cl.kmeans_lloyd(rows, centroids, 1)
+    return labelled.agg(
+        F.lit(name).alias("level"), F.count("*").alias("rows"), F.lit(centroids.count()).alias("cells"),
+        F.lit(off).cast("long").alias("off_nearest"),
+        F.lit(_cost(labelled, better) <= _cost(labelled, centroids) * (1 + 1e-9)).alias("step_costs_no_more"),
+    )
+
+
+def q_kmeans_ml_checked(spark, sf):
+    """The library fit on all rows, by the properties that any fit has."""
+    rows = base(spark, sf)
+    model = cl.fit_kmeans(rows, FINE, seed=0)
+    return _fit_checked(rows, cl.centroid_table(spark, model.clusterCenters()), cl.attach_cells(rows, model), "fine")
+
+
+def q_two_level_fit_checked(spark, sf):
+    """Both levels fitted on the training prefix, and the cells of all rows under them."""
+    rows = base(spark, sf)
+    fine, coarse = cl.fit_two_levels(rows, 2, 10)
+    return _fit_checked(rows, fine, cl.assign_cells(rows, fine), "fine").unionByName(
+        _fit_checked(rows, coarse, cl.assign_cells(rows, coarse), "coarse"))
+
+
 def q_two_level_cells(spark, sf):
     """The cell of every row under both sets of centroids."""
     rows = cl.assign_cells(base(spark, sf), fine_cells(spark, sf))
@@ -494,6 +531,12 @@ def q_pruned_search_fitted(spark, sf):
     return shown(plan.pruned_search(base(spark, sf), asked(spark, sf), config))
 
 
+def q_pruned_search_fitted_all(spark, sf):
+    """Fitted centroids and every partition probed: whatever the fit, the result is the exact one."""
+    config = plan.replace(CONFIG, cells_per_part=3, n_probes=PARTS)
+    return shown(plan.pruned_search(base(spark, sf), asked(spark, sf), config))
+
+
 # Evaluation
 
 
@@ -567,6 +610,8 @@ QUERIES = {
     "cell_counts": q_cell_counts,
     "kmeans_lloyd": q_kmeans_lloyd,
     "kmeans_ml": q_kmeans_ml,
+    "kmeans_ml_checked": q_kmeans_ml_checked,
+    "two_level_fit_checked": q_two_level_fit_checked,
     "two_level_cells": q_two_level_cells,
     "two_level_fit": q_two_level_fit,
     "centroid_rank": q_centroid_rank,
@@ -601,6 +646,7 @@ QUERIES = {
     "search_reopened_index": q_search_reopened_index,
     "search_exact": q_search_exact,
     "pruned_search_fitted": q_pruned_search_fitted,
+    "pruned_search_fitted_all": q_pruned_search_fitted_all,
     "recall_at_k": q_recall_at_k,
     "positional_match": q_positional_match,
     "recall_first_nn": q_recall_first_nn,

@@ -15,6 +15,24 @@ from vecframe.operators import packing, sampling
 def test_train_prefix(make):
     kept = sampling.train_prefix(make(np.ones((45, 2))), 0.05)
     assert sorted(r.id for r in kept.collect()) == [0, 1]
+    assert sampling.train_prefix(make(np.ones((45, 2))), 0.01).count() == 0
+    assert sampling.train_prefix(make({}), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("ids", [
+    [1_000_000 + 7 * i for i in range(200)],
+    [1_000_000 + i * i for i in range(150)] + [1_000_100] * 50,
+    [5] * 40 + [6], [-(2**63), -3, 0, 4, 2**63 - 1], [3, None, 9, None, 1, 2],
+])
+@pytest.mark.parametrize("rate", [0.05, 0.5, 1.0])
+def test_train_prefix_over_gaps_and_repeats(spark, ids, rate):
+    table = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    present = sorted(i for i in ids if i is not None)
+    n = int(len(present) * rate)
+    wanted = [i for i in present if n and i <= present[n - 1]]
+    assert sorted(r.id for r in sampling.train_prefix(table, rate).collect()) == wanted
+    if n:
+        assert sampling.nth_id(table, n, present[0], present[-1], buckets=3) == present[n - 1]
 
 
 @pytest.mark.parametrize("ranked_rows", [10_000, 30, 2])
@@ -140,11 +158,58 @@ def test_zero_centroids_rank_last(spark):
     assert {r.cell: r.part for r in packed.collect()} == {2: 0, 0: 1, 1: 0}
 
 
-def test_ranking_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(cl, "MAX_RANKS", 3)
-    centers = cl.centroid_table(spark, [[1, 0], [0, 1]])
-    with pytest.raises(ValueError, match="exceed 3 pairs"):
-        cl.rank_cells(centers, centers)
+@pytest.mark.parametrize("first", [1, 3, 64])
+@pytest.mark.parametrize("bins", [1, 4, 9])
+def test_packing_looks_at_near_cells_only(spark, first, bins, monkeypatch):
+    """Rankings read as far as they are needed pack as full ones do."""
+    rng = np.random.default_rng(bins)
+    centers = rng.normal(size=(40, 5))
+    centers[7] = centers[21] = 0  # without a distance
+    anchors = rng.normal(size=(bins, 5))
+    anchors[0] = 0
+    coarse, fine = cl.centroid_table(spark, anchors), cl.centroid_table(spark, centers)
+    sizes = rng.integers(0, 50, 40)
+    counts = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "cell int, n long")
+    full = {r.cell: r.part for r in packing.balance_cells(cl.rank_cells(coarse, fine), counts).collect()}
+    asked, topk = [], packing.TopK
+    monkeypatch.setattr(packing, "TopK", lambda ids, v, k, metric: (asked.append(k), topk(ids, v, k, metric))[1])
+    near = packing.balance_near(coarse, fine, counts, first=first).collect()
+    assert {r.cell: r.part for r in near} == full and [r.n for r in sorted(near, key=lambda r: r.cell)] == sizes.tolist()
+    assert min(asked) == first and (first < 64 or max(asked) == 64)
+
+
+def test_names_of_own_columns_are_free(spark, make, blobs, monkeypatch):
+    monkeypatch.setattr(cl, "_MODEL_BYTES", 100)
+    monkeypatch.setattr(packing, "_LITERAL_CELLS", 1)
+    rows = make(blobs[0][:20]).withColumns({"_row": F.lit(1), "_pos": F.lit(2), "_cell": F.lit(3), "_parts": F.lit(4)})
+    model = cl.centroid_table(spark, blobs[0][:7])
+    assigned = cl.assign_cells(rows, model)
+    assert assigned.columns == [*rows.columns, "cell"] and assigned.where("id < 7 and id <> cell").count() == 0
+    lists = assigned.withColumn("cells", F.array("cell", "cell"))
+    cell_map = spark.createDataFrame([(i, i + 10) for i in range(7)], "cell int, part int")
+    mapped = packing.remap_cell_lists(lists, cell_map, "cells", "parts")
+    assert mapped.columns == [*lists.columns, "parts"]
+    assert mapped.where("parts <> array(cell + 10, cell + 10) or _row <> 1 or _parts <> 4").count() == 0
+
+
+def test_lloyd_of_a_large_model(spark, make, blobs, monkeypatch):
+    rows, start = make(blobs[0][:400]).repartition(5), cl.centroid_table(spark, blobs[0][:9])
+    small = {r.cell: r.centroid for r in cl.kmeans_lloyd(rows, start, 3).collect()}
+    monkeypatch.setattr(cl, "_MODEL_BYTES", 100)
+    large = {r.cell: r.centroid for r in cl.kmeans_lloyd(rows, start, 3).collect()}
+    assert small.keys() == large.keys()
+    for c, v in small.items():
+        assert np.allclose(v, large[c])
+
+
+def test_sums_are_passed_on_in_parts(make, blobs, monkeypatch):
+    rows = make(blobs[0][:300]).withColumn("g", (F.col("id") % 7).cast("int")).repartition(3)
+    whole = {r.cell: r.centroid for r in cl.mean_vectors(rows, "g").collect()}
+    monkeypatch.setattr(cl, "_SUM_BYTES", 1)
+    parts = {r.cell: r.centroid for r in cl.mean_vectors(rows, "g").collect()}
+    assert set(whole) == set(parts) == set(range(7))
+    for c in whole:
+        assert np.allclose(whole[c], parts[c]) and np.allclose(whole[c], blobs[0][:300][c::7].mean(axis=0), atol=1e-5)
 
 
 def rule(preference, sizes):

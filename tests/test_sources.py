@@ -161,8 +161,7 @@ def test_positional_rules_refuse_other_ids(make, spark, tmp_path):
     (tmp_path / "cells.csv").write_text("2\n1\n3\n")
     with pytest.raises(ValueError, match="must run from 0"):
         tables.load_assignment(shifted, str(tmp_path / "cells.csv"))
-    with pytest.raises(ValueError, match="must run from 0"):
-        train_prefix(shifted, 0.5)
+    assert sorted(r.id for r in train_prefix(shifted, 0.5).collect()) == [100, 101]
     with pytest.raises(ValueError, match="must run from 0"):
         tables.save_centroids(centroid_table(spark, np.ones((2, 2)), [0, 2]), str(tmp_path / "c"))
 
@@ -204,3 +203,13 @@ def test_plain_format_without_conditions(spark, tmp_path):
     dump(tmp_path / "a.fvecs", np.ones((6, 3)), "<f4")
     vecs.register(spark)
     assert spark.read.format("fvecs").load(str(tmp_path / "a.fvecs")).where("id < 2").count() == 2
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 1, 3], [0, 0, 2], [0, 2, 2, 2, 4, 5, 5], [0, 1, None, 3]])
+def test_repeated_positions_are_noticed(spark, ids):
+    with pytest.raises(ValueError, match="must run from 0"):
+        tables.check_dense(spark.createDataFrame([(i,) for i in ids], "id int"))
+
+
+def test_positions_once_each(spark):
+    assert tables.check_dense(spark.range(1000)) == 1000 and tables.check_dense(spark.range(0)) == 0

@@ -12,18 +12,13 @@ from pyspark.sql import functions as F
 from vecframe.operators.kernel import CellSums, list_matrix, nearest, squares, usable
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.sampling import train_prefix
-from vecframe.session import ship, write_and_read
+from vecframe.session import free_name, ship, write_and_read
 
 CENTROIDS = "cell int, centroid array<double>"
 # Centroids that may be sent to every task.
 _MODEL_ROWS, _MODEL_BYTES = 50_000, 64 << 20
-# Pairs of coarse and fine cells a ranking may hold; one packing looks at all of them in one task.
-MAX_RANKS = 20_000_000
-
-
-def check_ranks(n_coarse: int, n_fine: int) -> None:
-    if n_coarse * n_fine > MAX_RANKS:
-        raise ValueError(f"{n_coarse} x {n_fine} cells exceed {MAX_RANKS} pairs; use fewer cells")
+# Bytes of sums that a task holds before it passes them on.
+_SUM_BYTES = 64 << 20
 
 
 def centroid_table(spark: SparkSession, centers, cells=None) -> DataFrame:
@@ -36,13 +31,13 @@ def centroid_table(spark: SparkSession, centers, cells=None) -> DataFrame:
 
 
 def _centers(centroids: DataFrame):
-    """(cells, matrix) on the driver if the model is small enough to send around, else None."""
-    n, values = centroids.agg(F.count("*"), F.sum(F.size("centroid"))).first()
-    if n == 0:
+    """(cells, matrix) on the driver if the model is small enough to send around, else None; computed once."""
+    rows = centroids.select(F.col("cell").cast("long"), "centroid").limit(_MODEL_ROWS + 1).toArrow()
+    if rows.num_rows == 0:
         raise ValueError("no centroids")
-    if n > _MODEL_ROWS or 8 * values > _MODEL_BYTES:
+    if rows.num_rows > _MODEL_ROWS or rows.nbytes > _MODEL_BYTES:
         return None
-    rows = centroids.select(F.col("cell").cast("long"), "centroid").toArrow().sort_by("cell")
+    rows = rows.sort_by("cell")
     return rows.column("cell").to_numpy(), list_matrix(rows.column("centroid"))
 
 
@@ -73,43 +68,44 @@ def assign_cells(
 
 def _assign_by_join(df, centroids, features, column):
     # Rows get a number of their own, stored, so that repeated or missing ids make no difference.
-    rows = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "unassigned")
-    vectors = rows.select("_row", F.col(features).alias("vector"))
+    row = free_name(df, "_row")
+    rows = write_and_read(df.withColumn(row, F.monotonically_increasing_id()), "unassigned")
+    vectors = rows.select(F.col(row).alias("row"), F.col(features).alias("vector"))
     centers = centroids.select("cell", F.col("centroid").alias("vector"))
-    found = knn_join(vectors, centers, 1, "l2", query_id="_row", base_id="cell", features="vector")
-    cells = found.select(F.col("qid").alias("_row"), F.col("neighbor").cast("int").alias(column))
-    return rows.drop(column).join(cells, "_row", "left").drop("_row")
+    found = knn_join(vectors, centers, 1, "l2", query_id="row", base_id="cell", features="vector")
+    cells = found.select(F.col("qid").alias(row), F.col("neighbor").cast("int").alias(column))
+    return rows.drop(column).join(cells, row, "left").drop(row)
 
 
 def _mean_values(df: DataFrame, columns: list, cells_of) -> DataFrame:
-    """`cell, pos, mean`: tasks sum their rows, one short row per task and cell is shuffled."""
+    """`cell, centroid`: tasks sum their rows and pass one array per cell on, which one task per cell adds up."""
 
-    def sums(batches):
+    def by_task(batches):
         total = CellSums()
         for batch in batches:
             vectors = list_matrix(batch.column("vec"))
             if len(vectors):
                 total.add(cells_of(batch, vectors), vectors)
+            if total.bytes() > _SUM_BYTES:
+                yield total.batch()
+                total = CellSums()
         yield total.batch()
 
-    partial = df.select(*columns).where("vec is not null").mapInArrow(
-        sums, "cell int, n long, sums array<double>"
-    )
-    by_value = partial.select("cell", "n", F.posexplode("sums").alias("pos", "value"))
-    return by_value.groupBy("cell", "pos").agg((F.sum("value") / F.sum("n")).alias("mean"))
+    def by_cell(batches):
+        total = CellSums()
+        for batch in batches:
+            total.merge(batch)
+        yield total.means()
+
+    partial = df.select(*columns).where("vec is not null").mapInArrow(by_task, "cell int, n long, sums array<double>")
+    return partial.repartition("cell").mapInArrow(by_cell, CENTROIDS)
 
 
 def mean_vectors(df: DataFrame, key: str, features: str = "features") -> DataFrame:
     """`cell, centroid`: the mean vector of every value of a non-negative integer column."""
     ship(df.sparkSession)
     columns = [F.col(features).alias("vec"), F.coalesce(F.col(key).cast("int"), F.lit(-1)).alias("key")]
-    means = _mean_values(
-        df, columns, lambda batch, _: batch.column("key").to_numpy(zero_copy_only=False)
-    )
-    pair = F.struct("pos", "mean")
-    return means.groupBy("cell").agg(
-        F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["mean"]).alias("centroid")
-    )
+    return _mean_values(df, columns, lambda batch, _: batch.column("key").to_numpy(zero_copy_only=False))
 
 
 def kmeans_lloyd(
@@ -119,12 +115,13 @@ def kmeans_lloyd(
 
     Each step is one pass over the vectors: tasks assign and sum their rows, and one short row per
     task and cell is shuffled. Only centroids visit the driver. A cell that loses all its rows
-    keeps its centroid.
+    keeps its centroid. A model too large to send around stays a table: its steps assign rows by
+    the nearest-neighbour join, and centroids are stored from step to step.
     """
     spark = ship(df.sparkSession)
     model = _centers(initial)
     if model is None:
-        raise ValueError("too many centroids for a Lloyd step; cluster in two levels")
+        return _lloyd_by_join(df, initial, iterations, features)
     cells, centers = model
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast((cells, centers))
@@ -133,11 +130,24 @@ def kmeans_lloyd(
             lambda batch, vectors, model=shared: nearest(vectors, *model.value),
         ).toArrow()
         centers = np.array(centers, dtype=np.float64)
-        row = np.searchsorted(cells, step.column("cell").to_numpy())
-        centers[row, step.column("pos").to_numpy()] = step.column("mean").to_numpy()
+        if step.num_rows:
+            row = np.searchsorted(cells, step.column("cell").to_numpy())
+            centers[row] = list_matrix(step.column("centroid"))
     return centroid_table(spark, centers, cells)
 
 
+def _lloyd_by_join(df, initial, iterations, features):
+    current = write_and_read(initial.select(F.col("cell").cast("int").alias("cell"), "centroid"), "centroids")
+    for _ in range(iterations):
+        assigned = _assign_by_join(df.select(features), current, features, "cell")
+        moved = mean_vectors(assigned, "cell", features).withColumnRenamed("centroid", "moved")
+        current = write_and_read(
+            current.join(moved, "cell", "left").select("cell", F.coalesce("moved", "centroid").alias("centroid")),
+            "centroids",
+        )
+    return current
+
+
 def fit_kmeans(
     df: DataFrame,
     k: int,
@@ -197,12 +207,12 @@ def rank_cells(
 ) -> DataFrame:
     """`coarse, cell, distance, rank`: all fine cells in order of distance from each coarse one.
 
+    A packing needs no such table: `balance_near` ranks cells as far as it looks at them.
     Pairs without a distance (a zero centroid under cosine) come last, in cell order.
     """
     anchors, cells = _centers(coarse), _centers(fine)
     if anchors is None or cells is None:
         raise ValueError("the centroids are too many to be ranked")
-    check_ranks(len(anchors[0]), len(cells[0]))
     ranked = knn_join(
         coarse, fine, len(cells[0]), metric,
         query_id="cell", base_id="cell", features="centroid", limits=limits,

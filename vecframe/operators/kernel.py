@@ -239,6 +239,26 @@ class CellSums:
             held[0] += len(rows)
             held[1] += vectors[rows].sum(axis=0, dtype=np.float64)
 
+    def merge(self, batch):
+        """Adds rows of `batch()`."""
+        if not batch.num_rows:
+            return
+        sums, n = list_matrix(batch.column("sums")), batch.column("n").to_numpy(zero_copy_only=False)
+        for cell, rows in groups(batch.column("cell").to_numpy(zero_copy_only=False)):
+            held = self.total.setdefault(int(cell), [0, np.zeros(sums.shape[1])])
+            held[0] += int(n[rows].sum())
+            held[1] += sums[rows].sum(axis=0)
+
+    def bytes(self):
+        return sum(v.nbytes for _, v in self.total.values())
+
+    def means(self):
+        cells = sorted(self.total)
+        return pa.RecordBatch.from_pydict({
+            "cell": pa.array(cells, pa.int32()),
+            "centroid": pa.array([self.total[c][1] / self.total[c][0] for c in cells], pa.list_(pa.float64())),
+        })
+
     def batch(self):
         cells = sorted(self.total)
         return pa.RecordBatch.from_pydict({

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.session import ship, write_and_read
+from vecframe.operators.clustering import _centers
+from vecframe.operators.kernel import TopK, squares, usable
+from vecframe.session import free_name, ship, write_and_read
 
 
 # Cells whose partitions fit an array literal in a plan.
 _LITERAL_CELLS = 50_000
 
 
-def pack(preference: list[list[int]], sizes: list[int]) -> list[int]:
-    """The bin of every cell.
+def pack(preference: list[Iterable[int]], sizes: list[int]) -> list[int]:
+    """The bin of every cell. A preference may be a generator, which is read only as far as it is needed.
 
     Bins are served in turn. A bin that holds fewer rows than an even share (rounded down) takes
     the cell it ranks first among those still free; it may overshoot by that one cell. When a
@@ -72,6 +78,44 @@ def balance_cells(ranks: DataFrame, counts: DataFrame, config: str | None = None
     return packed.select(*keys, "part", "cell", "n")
 
 
+def balance_near(
+    coarse: DataFrame, fine: DataFrame, counts: DataFrame, metric: str = "cosine", first: int = 64
+) -> DataFrame:
+    """`part, cell, n` as `balance_cells` gives it from a full ranking, without one.
+
+    A bin sees the `first` cells nearest to it, and four times as many each time it has looked at them all, so of
+    k1 x k2 distances only rankings of the length that the packing needs are held. `counts` has every cell of `fine`.
+    """
+    anchors, cells = _centers(coarse), _centers(fine)
+    if anchors is None or cells is None:
+        raise ValueError("the centroids are too many to be packed on one machine")
+    size = {r["cell"]: r["n"] for r in counts.select("cell", "n").collect()}
+    numbers, centers = cells
+    sizes = [size[c] for c in numbers.tolist()]
+    place = np.arange(len(numbers))
+    # Cells without a distance come last, in order.
+    apart = place[~usable(squares(centers), metric)]
+
+    def nearest_first(anchor):
+        m, seen = first, 0
+        while True:
+            lists = TopK(np.zeros(1), anchor[None], m, metric)
+            lists.update(None, place, centers)
+            found = lists.result()[1]
+            yield from found[seen:].tolist()
+            if len(found) < m:
+                # All that have a distance were seen. A zero anchor has a distance to none.
+                yield from apart.tolist() if len(found) else place.tolist()
+                return
+            m, seen = 4 * m, len(found)
+
+    packed = pack([nearest_first(a) for a in anchors[1]], sizes)
+    rows = pa.table({
+        "part": pa.array(packed, pa.int32()), "cell": pa.array(numbers, pa.int32()), "n": pa.array(sizes, pa.int64())
+    })
+    return fine.sparkSession.createDataFrame(rows, "part int, cell int, n long")
+
+
 def cell_to_part(packed: DataFrame, n_cells: int) -> DataFrame:
     """`cell, part` for every cell 0..n_cells-1; a cell that no bin took belongs to bin 0."""
     cells = packed.sparkSession.range(n_cells).select(F.col("id").cast("int").alias("cell"))
@@ -101,14 +145,17 @@ def remap_cell_lists(df: DataFrame, cell_map: DataFrame, column: str, out: str)
     parts = _as_literal(cell_map)
     if parts is not None:
         return df.withColumn(out, F.transform(column, lambda c: F.get(parts, c)))
-    rows = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "unmapped")
-    cells = rows.select("_row", F.posexplode(column).alias("_pos", "_cell"))
-    lookup = cell_map.select(F.col("cell").alias("_cell"), F.col("part").alias("_part"))
-    lists = cells.join(lookup, "_cell", "left").groupBy("_row").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_part"))), lambda x: x["_part"]).alias("_parts")
+    row = free_name(df, "_row")
+    rows = write_and_read(df.withColumn(row, F.monotonically_increasing_id()), "unmapped")
+    cells = rows.select(F.col(row).alias("row"), F.posexplode(column).alias("pos", "cell"))
+    lookup = cell_map.select("cell", "part")
+    lists = cells.join(lookup, "cell", "left").groupBy("row").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]).alias("parts")
     )
+    parts = free_name(rows, "_parts")
+    lists = lists.select(F.col("row").alias(row), F.col("parts").alias(parts))
     none = F.when(F.col(column).isNotNull(), F.array().cast("array<int>"))
-    return rows.join(lists, "_row", "left").withColumn(out, F.coalesce("_parts", none)).drop("_row", "_parts")
+    return rows.join(lists, row, "left").withColumn(out, F.coalesce(parts, none)).drop(row, parts)
 
 
 def _as_literal(cell_map: DataFrame):

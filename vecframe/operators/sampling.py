@@ -8,18 +8,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecframe.session import model_table
-from vecframe.sources.tables import check_dense
 
 # Rows of one cell that may be ranked exactly in one task when a sample is cut.
 _RANKED_ROWS = 200_000
 
 
 def train_prefix(df: DataFrame, rate: float, id_col: str = "id") -> DataFrame:
-    """The first int(rows * rate) rows by their positional id; ids must run from 0 to rows - 1.
+    """The first int(rows * rate) rows in the order of their ids, which may have gaps, or start anywhere.
 
-    One pass over the id column counts the rows and checks that; on Parquet the id filter reaches the scan.
+    Where ids are repeated, all rows of the last id come along. Rows without an id are in no prefix and not counted.
+    The last id is found by counts alone, without sorting; on Parquet the id filter reaches the scan.
     """
-    return df.where(F.col(id_col) < int(check_dense(df, id_col) * rate))
+    rows, least, most = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
+    wanted = int(rows * rate)
+    if wanted == 0:
+        return df.limit(0)
+    return df.where(F.col(id_col) <= nth_id(df, wanted, least, most, id_col))
+
+
+def nth_id(df: DataFrame, n: int, least: int, most: int, id_col: str = "id", buckets: int = 4096) -> int:
+    """The n-th smallest of the ids (n from 1), which lie between `least` and `most`.
+
+    Ids without gaps are recognized by one count. Otherwise a histogram of equal steps between the two ends finds the
+    step that holds the n-th id, and the next one looks inside; 64-bit ids take six of them at most.
+    """
+    id_ = F.col(id_col)
+    guess = least + n - 1
+    below, upto = df.agg(F.count_if(id_ < guess), F.count_if(id_ <= guess)).first()
+    if below < n <= upto:
+        return guess
+    while least < most:
+        step = -(-(most - least + 1) // buckets)
+        # The distance from the lowest id may pass the range of a long.
+        gap = id_.cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")
+        at = F.call_function("div", gap, F.lit(step).cast("decimal(20,0)"))
+        inside = df.where(id_.between(least, most)).groupBy(at.alias("at")).count()
+        # At most `buckets` rows.
+        for row in sorted(inside.collect()):
+            if n <= row["count"]:
+                break
+            n -= row["count"]
+        least, most = least + row["at"] * step, min(most, least + (row["at"] + 1) * step - 1)
+    return least
 
 
 def sample_per_cell(

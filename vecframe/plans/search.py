@@ -12,16 +12,14 @@ from pyspark.sql.types import StructType
 from vecframe.operators.clustering import (
     assign_cells,
     cell_counts,
-    check_ranks,
     fit_levels,
     fit_two_levels,
-    rank_cells,
 )
 from vecframe.operators.exact_cells import cell_radii, knn_cells_exact
 from vecframe.operators.evaluate import neighbor_lists, sweep_recall
 from vecframe.operators.knn import Limits, knn_join
 from vecframe.operators.packing import (
-    balance_cells,
+    balance_near,
     cell_to_part,
     part_sizes,
     remap_cells,
@@ -92,11 +90,10 @@ def build_index(
     fine, coarse = model_table(fine), model_table(coarse)
     n_cells = check_dense(fine, "cell")
     config = replace(config, n_parts=check_dense(coarse, "cell"))
-    check_ranks(config.n_parts, n_cells)
     path = path or fresh_path(base.sparkSession, "cells")
     stored = _store(base, fine, path, n_cells)
     counts = model_table(cell_counts(stored, n_cells))
-    packed = balance_cells(rank_cells(coarse, fine, limits=config.limits), counts)
+    packed = balance_near(coarse, fine, counts)
     return _finish(config, fine, stored, model_table(cell_to_part(packed, n_cells)), counts, path)
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A table is treated as model-sized (collected, sent to every task) up to this many rows.
 MODEL_ROWS = 100_000
+# And up to this size in Arrow.
+MODEL_BYTES = 256 << 20
 # Search results (a few numbers per row) may be sent to every task up to this many rows.
 RESULT_ROWS = 1_000_000
 
@@ -62,12 +64,24 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores added until `df` has no such column (names compare in lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def model_table(df: DataFrame, max_rows: int = MODEL_ROWS) -> DataFrame:
-    """`df` computed once and marked for broadcast if it has at most `max_rows` rows.
+    """`df` computed once and marked for broadcast if it has at most `max_rows` rows and `MODEL_BYTES`.
 
-    A larger table comes back unchanged and takes part in ordinary shuffle joins.
+    A larger table comes back unchanged and takes part in ordinary shuffle joins. The width of the
+    first row tells how many rows of a wide table may come to the driver at all.
     """
+    first = df.limit(1).toArrow() if any("array" in t or "map" in t for _, t in df.dtypes) else None
+    if first is not None and first.num_rows:
+        max_rows = min(max_rows, max(1, MODEL_BYTES // first.nbytes))
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > MODEL_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))

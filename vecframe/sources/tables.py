@@ -86,10 +86,20 @@ def with_row_id(scan: DataFrame, column: str = "id") -> DataFrame:
 
 
 def check_dense(df: DataFrame, column: str = "id") -> int:
-    """The number of rows; an error unless `column` runs from 0 to that number less one, as positional rules need."""
-    n, least, most = df.agg(F.count("*"), F.min(column), F.max(column)).first()
-    if n and (least != 0 or most != n - 1):
+    """The number of rows; an error unless `column` holds 0 to that number less one, once each, as positional rules need.
+
+    Sums and sums of squares tell repeated numbers, in one pass without a shuffle of the column.
+    """
+    exact = F.col(column).cast("decimal(19,0)")
+    n, least, most, total, square = df.agg(
+        F.count("*"), F.min(column), F.max(column), F.sum(exact), F.sum((exact * exact).cast("decimal(38,0)"))
+    ).first()
+    if not n:
+        return 0
+    if least != 0 or most != n - 1:
         raise ValueError(f"`{column}` must run from 0 to {n - 1}, not from {least} to {most}; see with_row_id")
+    if total != n * (n - 1) // 2 or square != n * (n - 1) * (2 * n - 1) // 6:
+        raise ValueError(f"`{column}` must run from 0 to {n - 1}, but some numbers are repeated or null")
     return n
 
 
