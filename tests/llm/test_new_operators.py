@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vecframe.llm import centroid_clusters, language_model, queries, token_alignment, window_packing
+from vecframe.llm import centroid_clusters, language_model, near_dedup, queries, token_alignment, window_packing
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(n) for n in (queries.WORDS, queries.VOCABULARY, queries.PIECES))
 SCHEMA = "doc_id long, text string, length string, task int, nth int, copies int, pairs int, digest string"
@@ -321,3 +321,62 @@ def test_counts_of_mixed_lengths_are_sums_of_single_texts():
     alone = [language_model.text_counts(model, [t]) for t in texts]
     for got, parts in zip(together, zip(*alone, strict=True), strict=True):
         assert np.allclose(got, sum(parts), rtol=1e-4, atol=1e-5)
+
+
+# ---- near de-duplication: large buckets --------------------------------------------------------------------------
+
+
+def crowd(chance, n):
+    """Texts around a few originals, many of them just above or just below 0.8 of each other."""
+    words = ["w%d" % i for i in range(3000)]
+    originals = [chance.choices(words, k=chance.choice([40, 90, 160])) for _ in range(3)]
+    rows = []
+    for _ in range(n):
+        text = list(chance.choice(originals[:1] * 6 + originals))
+        for _ in range(chance.randrange(0, 4)):
+            text[chance.randrange(len(text))] = chance.choice(words)
+        rows.append(" ".join(text + text[:chance.choice([0, 0, 30])]))
+    return rows
+
+
+def test_bulk_similarities_are_those_of_pairs():
+    chance = random.Random(10)
+    texts = crowd(chance, 60) + ["a b c d e f a b c d e f a b c d e f", "one", "one one one one one one one"]
+    counts = near_dedup.Frequencies(np.random.default_rng(1).integers(0, 50, (2, near_dedup.WIDTH)), 60)
+    sets = [(h, counts.weights(h, n), n) for h, n in map(near_dedup.shingles, texts)]
+    bulk = near_dedup._similarities(sets, sets[:40], counts)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:40]):
+            assert bulk[i, j] == pytest.approx(near_dedup.similarity(a, b), abs=1e-12)
+
+
+@pytest.mark.parametrize("small, tile", [(64, 1024), (2, 1024), (2, 17), (10**9, 1024)])
+def test_classes_of_a_dense_crowd(spark, monkeypatch, small, tile):
+    """Classes by tiles, by listed pairs, and by all pairs of texts that share a bucket are the same."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    chance = random.Random(11)
+    texts = crowd(chance, 260)
+    texts += [texts[0], texts[0], "", None, "no words like these"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup.link_classes, "__defaults__", (near_dedup.SIMILAR, small))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(table).collect()}
+    found, sampler = near_dedup.frequencies(table), near_dedup.Sampler()
+    sets = [(h, found.weights(h, n)) for h, n in map(near_dedup.shingles, texts)]
+    drawn = [sampler.sample(*s) if len(s[0]) else None for s in sets]
+    keys = [set() if d is None else set(sampler.buckets(d).tolist()) for d in drawn]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (texts[i] or "") == (texts[j] or "")
+            if not near and keys[i] & keys[j] and sum(a >> np.uint64(48) == b >> np.uint64(48) for a, b in zip(drawn[i], drawn[j], strict=True)) >= near_dedup.ALIKE:
+                near = near_dedup.similarity(sets[i], sets[j]) >= near_dedup.SIMILAR - near_dedup.ROUNDING
+            if near and root(i) != root(j):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert 20 < len(set(got.values())) < 250

@@ -6,10 +6,12 @@ a shingle's frequency is off by about its bucket's load, a fixed fraction of the
 Improved consistent weighted sampling draws samples that two sets share with the probability of their weighted
 Jaccard similarity; samples are banded, and texts that share a band are candidates, verified by that similarity.
 
-In a bucket, texts are compared with a few leaders, not with each other. After each round the classes (connected
-components of the links so far) are brought up to date, and only texts of a bucket that are not yet in one class
-meet again, with new leaders, until every two texts of a bucket are in one class or have been compared. So no pairs
-are listed within large groups of near copies, and no link of a bucket is lost for the classes.
+In a bucket, texts are first compared with one leader, not with each other, and the classes (connected components
+of these links) are found. What is left are texts outside of the largest class of their bucket; each is compared with
+all texts of the bucket that are not of its class. Small buckets list those pairs. Large ones are cut into tiles of
+a bounded number of texts and shingles, spread over the tasks: a tile compares the samples of its texts as arrays,
+verifies what is alike in bulk, and hands on only links that join two classes, fewer than it has texts. So pairs are
+never rows within large groups, and every two texts of a bucket are in one class or have been compared.
 
 Defined results: equal texts are one class (null is the empty text); a text without words is near no other text;
 one of fewer than five words is a single shingle; null ids lose against any id; an empty table gives no rows.
@@ -41,8 +43,12 @@ BANDS, ROWS = 12, 4
 WIDTH, PARTS = 1 << 20, 32
 # Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.0003; such pairs are left out.
 ALIKE = 28
-# A quarter as many leaders a bucket has in the second round; every round has four times as many as the one before.
-FEW = 4
+# Texts of a bucket whose pairs are listed; texts and shingles of either side of a tile of a larger one, on average.
+SMALL, TILE, TILE_SHINGLES = 64, 1024, 1_000_000
+# Shingles that a tile weighs at once.
+COLUMNS = 2048
+# What rounding may take from a similarity.
+ROUNDING = 1e-9
 # Shingles of texts that a task keeps while it verifies pairs.
 HELD = 2_000_000
 
@@ -204,9 +210,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, text_hash (half a SHA-256), buckets (empty without words), print (16 bits of every sample)."""
+    """doc_id, row, text_hash (half a SHA-256), buckets (none without words), print (16 bits a sample), size (shingles)."""
 
-    @F.pandas_udf("buckets array<long>, print array<short>")
+    @F.pandas_udf("buckets array<long>, print array<short>, size int")
     def run(texts: pd.Series) -> pd.DataFrame:
         sampler, found = Sampler(), sent.value
         rows = []
@@ -214,15 +220,15 @@ def signatures(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
             hashes, times = shingles(text)
             if len(hashes):
                 drawn = sampler.sample(hashes, found.weights(hashes, times))
-                rows.append((sampler.buckets(drawn), (drawn >> np.uint64(48)).astype(np.uint16).view(np.int16)))
+                rows.append((sampler.buckets(drawn), (drawn >> np.uint64(48)).astype(np.uint16).view(np.int16), len(hashes)))
             else:
-                rows.append(([], []))
-        return pd.DataFrame(rows, columns=["buckets", "print"])
+                rows.append(([], [], 0))
+        return pd.DataFrame(rows, columns=["buckets", "print", "size"])
 
     return docs.select(
         col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
         _text_hash(text_col).alias("text_hash"), run(text_or_empty(text_col)).alias("drawn"),
-    ).select("doc_id", "row", "text_hash", "drawn.buckets", "drawn.print")
+    ).select("doc_id", "row", "text_hash", "drawn.buckets", "drawn.print", "drawn.size")
 
 
 def _text_hash(text_col: str):
@@ -303,41 +309,169 @@ def _merged(left: DataFrame, edges: DataFrame) -> DataFrame:
     return left.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
+def _in_tiles(held: DataFrame, nodes: DataFrame, texts: DataFrame, sent, similar: float) -> DataFrame:
+    """Links (a, b) that join classes, of texts outside of their bucket's main class with all others of the bucket.
+
+    `held`: bucket, node, label, outside (of the main class) of whole buckets.
+    """
+    rows = write_and_read(held.join(nodes.select("node", "print", "buckets", "size"), "node"), "large-buckets")
+
+    def parts(some):
+        n, cells = F.count(F.when(some, 1)), F.sum(F.when(some, F.col("size")).otherwise(0))
+        return F.greatest(F.ceil(n / F.lit(TILE)), F.ceil(cells / F.lit(TILE_SHINGLES)), F.lit(1)).cast("int")
+
+    cut = rows.groupBy("bucket").agg(parts(F.col("outside")).alias("down"), parts(F.lit(True)).alias("across"))
+    placed = rows.join(cut, "bucket")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    left = placed.filter("outside").withColumn("i", F.pmod(F.xxhash64("node"), F.col("down")).cast("int")).withColumn(
+        "j", every("across")).withColumn("side", F.lit(0))
+    right = placed.withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("across")).cast("int")).withColumn(
+        "i", every("down")).withColumn("side", F.lit(1))
+    names = ["bucket", "i", "j", "side", "node", "label", "outside", "print", "buckets"]
+    tiles = left.select(*names).unionByName(right.select(*names)).join(texts, "node")
+    tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key = [], None
+        for batch in batches:
+            for new, rows in batch.groupby(["bucket", "i", "j"], sort=False):
+                if new != key and held:
+                    yield _tile_links(pd.concat(held), sent.value, similar)
+                    held = []
+                key = new
+                held.append(rows)
+        if held:
+            yield _tile_links(pd.concat(held), sent.value, similar)
+
+    return tiles.select(*names, "text").mapInPandas(run, "a long, b long")
+
+
+def _tile_links(rows: pd.DataFrame, found: Frequencies, similar: float) -> pd.DataFrame:
+    """Links between the two sides of a tile that join classes."""
+    down, across = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    alike = _candidates(down, across)
+    links, joined = [], _Sets()
+    if alike.any():
+        down, across, alike = down[alike.any(1)], across[alike.any(0)], alike[alike.any(1)][:, alike.any(0)]
+        sets = [[(h, found.weights(h, n), n) for h, n in map(shingles, side["text"])] for side in (down, across)]
+        nodes, labels = ([side[c].to_numpy() for side in (down, across)] for c in ("node", "label"))
+        few = alike.sum() <= 4 * sum(alike.shape)
+        if not few:
+            alike &= _similarities(*sets, found) >= similar - ROUNDING
+        for i, j in np.argwhere(alike).tolist():
+            ends = joined.find(labels[0][i]), joined.find(labels[1][j])
+            if ends[0] != ends[1] and (not few or similarity(sets[0][i], sets[1][j]) >= similar - ROUNDING):
+                joined.join(*ends)
+                links.append((nodes[0][i], nodes[1][j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _candidates(down: pd.DataFrame, across: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a tile are to be verified: enough samples in common, classes apart, and not met elsewhere."""
+    (pa, pb), (ba, bb) = ([np.stack(side[c].to_numpy()) for side in (down, across)] for c in ("print", "buckets"))
+    same = np.zeros((len(down), len(across)), dtype=np.uint8)
+    for k in range(pa.shape[1]):
+        same += pa[:, k, None] == pb[None, :, k]
+    alike = same >= ALIKE
+    alike &= down["label"].to_numpy()[:, None] != across["label"].to_numpy()
+    # Two texts outside of the main class meet in two tiles: the one in which the lower node is on this side counts.
+    alike &= ~across["outside"].to_numpy() | (down["node"].to_numpy()[:, None] < across["node"].to_numpy())
+    # Texts that share several buckets are compared in the first of them.
+    band = int(np.flatnonzero(ba[0] == down["bucket"].iloc[0])[0])
+    for k in range(band):
+        alike &= ba[:, k, None] != bb[None, :, k]
+    return alike
+
+
+def _similarities(down: list, across: list, found: Frequencies) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of two lists of (hashes, weights, times).
+
+    What two texts share of a shingle is the lesser number of times: the first, second, ... occurrence of a shingle
+    are things of their own, of equal weight, that a text has or has not. Only things on both sides are weighed.
+    """
+    def things(sets):
+        n = np.concatenate([t for *_, t in sets])
+        hashes, text = np.repeat(np.concatenate([h for h, *_ in sets]), n), np.repeat(np.arange(len(sets)), [t.sum() for *_, t in sets])
+        nth = (np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+        return hashes, _mix(hashes + nth * _ODD[4]), text
+
+    (hashes, keys, text_a), (_, others, text_b) = things(down), things(across)
+    shared, first = np.unique(keys[np.isin(keys, others)], return_index=True)
+    weight = found.weights(hashes[np.isin(keys, others)][first], np.ones(len(first)))
+    inner = np.zeros((len(down), len(across)))
+    at = []
+    for k, text in ((keys, text_a), (others, text_b)):
+        place = np.minimum(np.searchsorted(shared, k), max(0, len(shared) - 1))
+        fits = shared[place] == k if len(shared) else np.zeros(len(k), dtype=bool)
+        place, text = place[fits], text[fits]
+        order = np.argsort(place, kind="stable")
+        at.append((place[order], text[order]))
+    for start in range(0, len(shared), COLUMNS):
+        stop = min(start + COLUMNS, len(shared))
+        sides = []
+        for (place, text), n in zip(at, inner.shape, strict=True):
+            few = slice(*np.searchsorted(place, [start, stop]))
+            side = np.zeros((n, stop - start))
+            side[text[few], place[few] - start] = 1
+            sides.append(side)
+        inner += (sides[0] * weight[start:stop]) @ sides[1].T
+    total = [np.array([w.sum() for _, w, _ in side]) for side in (down, across)]
+    return inner / (total[0][:, None] + total[1] - inner)
+
+
+class _Sets:
+    """Union-find over labels."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.parent.get(root, root)) != root:
+            root = up
+        while (up := self.parent.get(x, x)) != root:
+            self.parent[x], x = root, up
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[max(x, y)] = min(x, y)
+
+
 def link_classes(
-    members: DataFrame, nodes: DataFrame, texts: DataFrame, sent, similar: float = SIMILAR, few: int = FEW
+    members: DataFrame, nodes: DataFrame, texts: DataFrame, sent, similar: float = SIMILAR, small: int = SMALL
 ) -> DataFrame:
     """node, label of the classes of near texts. `members`: bucket and node, in buckets of two at least."""
+
+    def near(pairs):
+        compared = _verified(write_and_read(_alike(pairs, nodes), "pairs"), texts, sent)
+        return write_and_read(compared.filter(F.col("similarity") >= similar - ROUNDING).select("a", "b"), "links")
+
+    def ordered(x, y):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
     labels = write_and_read(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    left, seen, step = members, None, 0
-    while True:
-        left = left.join(labels, "node")
-        parts = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"))
-        state = parts.groupBy("bucket").agg(
-            F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"), F.min("least").alias("least")
-        ).withColumn("outside", F.col("n") - F.col("main.m")).filter("outside > 0")
-        held = left.join(state, "bucket")
-        # One leader at first. Later: all that lie outside the bucket's largest class, if they are few, else some of all.
-        now = few << 2 * step
-        some = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.col("n")) < now)
-        leads = F.col("node") == F.col("least") if not step else F.when(
-            F.col("outside") <= now, F.col("label") != F.col("main.label")
-        ).otherwise(some)
-        held = write_and_read(held.select("bucket", "node", "label", leads.alias("leads")), "buckets")
-        if held.isEmpty():
-            return labels
-        leaders = held.filter("leads").select("bucket", F.col("node").alias("leader"), F.col("label").alias("its"))
-        pairs = held.join(leaders, "bucket").filter("label != its").select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
-        ).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = write_and_read(_alike(pairs, nodes), "pairs")
-        compared = write_and_read(_verified(pairs, texts, sent), "compared")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        labels = write_and_read(_merged(labels, compared.filter(F.col("similarity") >= similar)), "labels")
-        # A leader has met all of its bucket that were not of its class: it need not be met again.
-        left = held.filter("not leads").select("bucket", "node")
-        step += 1
+    # A leader for each bucket, the least node.
+    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
+    met = members.join(leaders, "bucket").filter("node != leader").select(*ordered("node", "leader")).distinct()
+    met = write_and_read(met, "leaders")
+    labels = write_and_read(_merged(labels, near(met)), "labels")
+    # Buckets that are not all of one class.
+    left = members.join(labels, "node")
+    main = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(
+        F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main")
+    ).filter(F.col("n") > F.col("main.m"))
+    left = write_and_read(left.join(main, "bucket").select(
+        "bucket", "node", "label", "n", (F.col("label") != F.col("main.label")).alias("outside")
+    ), "buckets")
+    few = left.filter(F.col("n") <= small)
+    outside = few.filter("outside").select("bucket", F.col("node").alias("other"), F.col("label").alias("its"))
+    pairs = few.join(outside, "bucket").filter("label != its").select(*ordered("node", "other")).distinct()
+    links = near(pairs.join(met, ["a", "b"], "left_anti"))
+    many = _in_tiles(left.filter(F.col("n") > small).drop("n"), nodes, texts, sent, similar)
+    return write_and_read(_merged(labels, links.unionByName(write_and_read(many, "links"))), "labels")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -350,7 +484,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rows = write_and_read(signatures(docs, sent, id_col, text_col), "signatures")
     # Equal texts are one node.
     nodes = write_and_read(
-        rows.groupBy("text_hash").agg(F.first("buckets").alias("buckets"), F.first("print").alias("print"))
+        rows.groupBy("text_hash").agg(F.first("buckets").alias("buckets"), F.first("print").alias("print"),
+                                       F.first("size").alias("size"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes"
     )
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
