@@ -60,7 +60,10 @@ class ToxicityModel:
         return found, plain
 
     def score(self, text: str | None) -> float:
-        found, plain = self.sentences(text)
+        return self.combined(*self.sentences(text))
+
+    def combined(self, found: list[tuple[int, int, float]], plain: int) -> float:
+        """The noisy-or of all sentences of a text."""
         clean = plain * math.log1p(-_logistic(self.bias))
         for _, _, p in found:
             clean += math.log1p(-min(p, 1 - 1e-12))
@@ -181,9 +184,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> tupl
         model = sent.value
         rows = []
         for text in texts:
-            found, _ = model.sentences(text)
+            found, plain = model.sentences(text)
             bad = [{"start": a, "end": b, "p": p} for a, b, p in found if p >= THRESHOLD]
-            rows.append((min(1.0, max(0.0, model.score(text))), bad))
+            rows.append((min(1.0, max(0.0, model.combined(found, plain))), bad))
         return pd.DataFrame(rows, columns=["score", "sentences"])
 
     name = free_name(docs, "toxicity")
