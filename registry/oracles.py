@@ -226,6 +226,17 @@ SELECT id, bin::INT AS bin, round(sqrt(re * re + im * im), 6) + 0.0 AS magnitude
     FROM (SELECT id, v, j, 8 + j - 16 AS i FROM e, range(32) r(j))), range(17) b(bin)
   GROUP BY id, bin)"""
 
+
+def sweep(order):
+    return with_(
+        *PLACED, *routed(order, probes=max(SWEEP_PROBES)), EXACT,
+        "asked AS MATERIALIZED (SELECT qid, unnest(probes) AS part, generate_subscripts(probes, 1) - 1 AS pos FROM routed)",
+        f"""found AS MATERIALIZED (SELECT s.qid, s.pos, b.id AS neighbor, {dist("cosine", "e.v", "b.v")} AS d
+  FROM asked s JOIN e ON e.id = s.qid JOIN base b ON b.part = s.part)""",
+        recursive=True,
+    ) + _SWEEP
+
+
 ORACLES = {
     "dist_cosine": _distance("cosine"),
     "dist_l2": _distance("l2"),
@@ -347,12 +358,7 @@ LEFT JOIN found f ON f.qid = t.qid AND f.neighbor = t.neighbor AND f.rank <= dep
     ) + f"""SELECT rank::INT AS rank, count(*) FILTER (n > 0) AS nonzero, sum(n)::BIGINT AS neighbors,
   round(sum(n) / ((SELECT count(*) FROM e) * {K}), 6) AS share
 FROM (SELECT n, row_number() OVER (PARTITION BY qid ORDER BY n, part) AS rank FROM grid) GROUP BY rank""",
-    "recall_sweep": with_(
-        *PLACED, *routed("distance", probes=max(SWEEP_PROBES)), EXACT,
-        "asked AS MATERIALIZED (SELECT qid, unnest(probes) AS part, generate_subscripts(probes, 1) - 1 AS pos FROM routed)",
-        f"""found AS MATERIALIZED (SELECT s.qid, s.pos, b.id AS neighbor, {dist("cosine", "e.v", "b.v")} AS d
-  FROM asked s JOIN e ON e.id = s.qid JOIN base b ON b.part = s.part)""",
-        recursive=True,
-    ) + _SWEEP,
+    "recall_sweep": sweep("distance"),
+    "recall_sweep_by_id": sweep("id"),
     "frame_spectrum": with_(E) + _SPECTRUM,
 }

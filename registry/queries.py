@@ -573,6 +573,13 @@ def q_recall_sweep(spark, sf):
     return out.withColumn("recall", F.round("recall", 6))
 
 
+def q_recall_sweep_by_id(spark, sf):
+    """The sweep with the lowest partition numbers first."""
+    built = index(spark, sf, plan.replace(CONFIG, probe_order="id"))
+    out = plan.recall_sweep(built, asked(spark, sf), truth(spark, sf), list(SWEEP_K), list(SWEEP_PROBES))
+    return out.withColumn("recall", F.round("recall", 6))
+
+
 # Signals
 
 
@@ -652,5 +659,6 @@ QUERIES = {
     "recall_first_nn": q_recall_first_nn,
     "partition_coverage": q_partition_coverage,
     "recall_sweep": q_recall_sweep,
+    "recall_sweep_by_id": q_recall_sweep_by_id,
     "frame_spectrum": q_frame_spectrum,
 }

@@ -55,6 +55,23 @@ def test_recall_rises_with_probes(index, data):
     assert single == pytest.approx(recall[10, 2])
 
 
+@pytest.mark.parametrize("order", ["id", "distance"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_every_search_follows_from_the_lists(make, blobs, order, exclude_self):
+    """Each setting of a sweep is the search with that setting, in both probe orders."""
+    base = make(blobs[0][:400])
+    queries = make(blobs[0][:40], id_col="qid")
+    built = plan.build_index(base, plan.replace(CONFIG, probe_order=order, exclude_self=exclude_self, sample_rate=0.3))
+    truth = ev.neighbor_lists(plan.exact_search(base, queries, plan.replace(CONFIG, exclude_self=exclude_self)))
+    swept = {(r.k, r.probes): r.recall for r in plan.recall_sweep(built, queries, truth, [3, 10], [2, 3, 6]).collect()}
+    for k, n in swept:
+        alone = plan.search(built, queries, plan.replace(built.config, k=k, n_probes=n))
+        assert swept[k, n] == pytest.approx(ev.recall_at_k(ev.neighbor_lists(alone), truth, k).first().recall)
+    lists, _ = plan.sweep_lists(built, queries, 10, 6, 2)
+    free, _ = plan.sweep_lists(built, queries, 10, 6, 1)
+    assert lists.count() <= free.count() < 40 * 6 * 10
+
+
 def test_one_level(data):
     found = plan.pruned_search_1level(*data, plan.replace(CONFIG, n_probes=6))
     exact = plan.exact_search(*data, CONFIG)

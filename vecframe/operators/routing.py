@@ -21,6 +21,7 @@ def route_queries(
     probe_order: str = "id",
     truncate: bool = False,
     bound_k: int | None = None,
+    bound_probes: int | None = None,
     cells: str | None = None,
     strategy: str = "auto",
     limits: Limits = Limits(),
@@ -32,7 +33,8 @@ def route_queries(
     whose best sample row is nearest. Missing ones are filled with the lowest unused ids.
     `truncate` drops the fractions of the sample vectors first. With `bound_k`, a column `bound`
     is added: the distance of the query's bound_k-th nearest sample row that lies in one of its
-    probed partitions. Sample rows are base rows, so no true bound_k-th neighbour is farther.
+    probed partitions (of the first `bound_probes` if given). Sample rows are base rows, so no true
+    bound_k-th neighbour is farther.
     `cells` names a query column with the fine cells whose sample rows are looked at; without it
     the whole sample is, which grows with the base.
     """
@@ -54,7 +56,8 @@ def route_queries(
     routed = best.withColumn("probes", probes)
     columns = ["qid", "probes"]
     if bound_k is not None and not truncate:
-        inside = F.filter("hits", lambda h: F.array_contains(F.col("probes"), h["part"]))
+        asked = F.col("probes") if bound_probes is None else F.slice("probes", 1, bound_probes)
+        inside = F.filter("hits", lambda h: F.array_contains(asked, h["part"]))
         routed = routed.withColumn(
             "bound", F.get(F.transform(F.array_sort(inside), lambda h: h["distance"]), F.lit(bound_k - 1))
         )

@@ -213,8 +213,13 @@ def load_index(spark: SparkSession, path: str) -> SearchIndex:
 # ---- searches
 
 
-def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None = None) -> DataFrame:
-    """`queries` (`qid, features`) with the partitions each is searched in, stored once."""
+def route(
+    index: SearchIndex, queries: DataFrame, config: SearchConfig | None = None, bound_probes: int | None = None
+) -> DataFrame:
+    """`queries` (`qid, features`) with the partitions each is searched in, stored once.
+
+    The bound on the k-th distance holds for a search of the first `bound_probes` partitions, by default of all.
+    """
     c = config or index.config
     near = None
     if c.route_cells is not None:
@@ -224,7 +229,7 @@ def route(index: SearchIndex, queries: DataFrame, config: SearchConfig | None =
         queries, index.sample, index.config.n_parts, c.n_probes, c.route_neighbors, c.metric,
         c.probe_order, c.truncate_sample,
         # Without the query's own row, the k-th of the others is the (k + 1)-th of all at most.
-        bound_k=c.k + int(c.exclude_self), cells=near,
+        bound_k=c.k + int(c.exclude_self), bound_probes=bound_probes, cells=near,
         strategy=c.strategy, limits=c.limits,
     )
     return write_and_read(routed, "routed")
@@ -347,19 +352,30 @@ def knn_cells(
     return knn_join(probing, base, k, metric, probes="cells", part="cell", **options)
 
 
+def sweep_lists(
+    index: SearchIndex, queries: DataFrame, k: int, most_probes: int, least_probes: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """(`qid, part, neighbor, distance, rank`: the k nearest rows per query and partition; the routed queries), stored.
+
+    From these lists follows every search with `least_probes` to `most_probes` partitions and up to k neighbours: in
+    either probe order fewer partitions are the first of more. Rows farther than a query's k-th sample row within its
+    first `least_probes` partitions are in no such result and left out, so lists do not grow with the tasks.
+    """
+    widest = replace(index.config, k=k, n_probes=most_probes)
+    routed = route(index, queries, widest, bound_probes=least_probes)
+    found = knn_join(
+        routed, index.base, k, widest.metric, probes="probes", per_part=True,
+        bound="bound" if "bound" in routed.columns else None, exclude_self=widest.exclude_self, clustered=True,
+        strategy=widest.strategy, limits=widest.limits,
+    )
+    return write_and_read(found, "sweep-lists"), routed
+
+
 def recall_sweep(
     index: SearchIndex, queries: DataFrame, truth: DataFrame, ks: list[int], probe_counts: list[int]
 ) -> DataFrame:
     """Recall and compared rows for every (k, number of probes), from a single search."""
-    if index.config.probe_order != "distance":
-        raise ValueError("a sweep needs probe_order='distance': only then is the search with few probes part of it")
-    widest = replace(index.config, k=max(ks), n_probes=max(probe_counts))
-    routed = route(index, queries, widest)
-    found = knn_join(
-        routed, index.base, widest.k, widest.metric, probes="probes", per_part=True,
-        exclude_self=widest.exclude_self, clustered=True,
-        strategy=widest.strategy, limits=widest.limits,
-    )
+    found, routed = sweep_lists(index, queries, max(ks), max(probe_counts), min(probe_counts))
     sizes = part_sizes(remap_cells(index.counts, index.cell_map).select(
         "part", F.col("n")
     ), index.config.n_parts, weight="n")
