@@ -332,6 +332,8 @@ QUALIFY rank <= {K}""",
     + listed("list_transform(probes, lambda x: x::INT)", "routed", key="qid", out="part"),
     "route_queries_by_distance": with_(*PLACED, *routed("distance"), recursive=True)
     + listed("list_transform(probes, lambda x: x::INT)", "routed", key="qid", out="part"),
+    "route_queries_tree": with_(*PLACED, *routed("distance"), recursive=True)
+    + listed("list_transform(probes, lambda x: x::INT)", "routed", key="qid", out="part"),
     "pruned_search": with_(*PLACED, *routed("distance"), recursive=True) + SEARCH,
     "pruned_search_by_id": with_(*PLACED, *routed("id"), recursive=True) + SEARCH,
     "pruned_search_1level": with_(*ONE_LEVEL, *routed("distance")) + SEARCH,

@@ -478,6 +478,13 @@ def _routed(order):
     return query
 
 
+def q_route_queries_tree(spark, sf):
+    """Routing through a tree of centroids; with every branch in the beam and every cell looked at, as without it."""
+    config = plan.replace(CONFIG, route_cells=FINE, route_beam=FINE)
+    routed = plan.route(index(spark, sf), asked(spark, sf), config)
+    return values(routed, "qid", "probes", "part")
+
+
 def q_pruned_search(spark, sf):
     return shown(plan.pruned_search(
         base(spark, sf), asked(spark, sf), CONFIG, fine_cells(spark, sf), coarse_cells(spark, sf)
@@ -645,6 +652,7 @@ QUERIES = {
     "lookup_labels": q_lookup_labels,
     "route_queries": _routed("id"),
     "route_queries_by_distance": _routed("distance"),
+    "route_queries_tree": q_route_queries_tree,
     "pruned_search": q_pruned_search,
     "pruned_search_by_id": q_pruned_search_by_id,
     "pruned_search_1level": q_pruned_search_1level,

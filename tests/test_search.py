@@ -101,6 +101,33 @@ def test_routing_through_cells(index, data):
     assert all(len(r.probes) == 2 for r in narrow)
 
 
+def test_routing_through_a_tree(spark, index, data, blobs):
+    branches, cells = plan.cell_tree(index.centroids)
+    assert branches.count() == 5 and cells.count() == 24  # the root of 24, rounded up
+    hung = {r.cell: r.branch for r in cells.collect()}
+    centers = {r.cell: np.array(r.centroid) for r in index.centroids.collect()}
+    tops = {r.cell: np.array(r.centroid) for r in branches.collect()}
+    for c, b in hung.items():
+        assert b == min(tops, key=lambda t: (round(np.linalg.norm(tops[t] - centers[c]), 9), t))
+    flat = {r.qid: r.cells for r in plan.nearest_cells(data[1], index.centroids, 4).collect()}
+    whole = plan.nearest_cells(data[1], index.centroids, 4, tree=(branches, cells), beam=5)
+    assert {r.qid: r.cells for r in whole.collect()} == flat
+    narrow = {r.qid: r.cells for r in plan.nearest_cells(data[1], index.centroids, 4, tree=(branches, cells), beam=2).collect()}
+    found = np.mean([len(set(narrow[q]) & set(flat[q])) / 4 for q in flat])
+    assert found > 0.6 and all(len({hung[c] for c in cs}) <= 2 for cs in narrow.values())
+    # Recall of the whole search: through two of five branches against the flat routing.
+    truth = ev.neighbor_lists(plan.exact_search(*data, CONFIG))
+
+    def recall(**options):
+        got = plan.search(index, data[1], plan.replace(CONFIG, **options))
+        return ev.recall_at_k(ev.neighbor_lists(got), truth, 10).first().recall
+
+    assert recall(route_cells=4, route_beam=2) > recall() - 0.1
+    for n in (1, 2):
+        tops, hung = plan.cell_tree(index.centroids.where(f"cell < {n}"))
+        assert tops.count() == n and hung.count() == n
+
+
 def test_knn_cells(index, data, blobs):
     got = as_lists(plan.knn_cells(data[1], index.base, index.centroids, 10, n_cells=3))
     centers = np.array([r.centroid for r in sorted(index.centroids.collect())])

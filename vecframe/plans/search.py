@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,6 +15,7 @@ from vecframe.operators.clustering import (
     cell_counts,
     fit_levels,
     fit_two_levels,
+    kmeans_lloyd,
 )
 from vecframe.operators.exact_cells import cell_radii, knn_cells_exact
 from vecframe.operators.evaluate import neighbor_lists, sweep_recall
@@ -44,6 +46,7 @@ class SearchConfig:
     sample_seed: int = 42
     route_neighbors: int = 30
     route_cells: int | None = None  # search the sample only in this many nearest fine cells
+    route_beam: int | None = None  # find those cells among the children of this many branches of a tree of centroids
     metric: str = "cosine"
     probe_order: str = "distance"  # "id" keeps the lowest partition ids instead
     truncate_sample: bool = False
@@ -223,7 +226,8 @@ def route(
     c = config or index.config
     near = None
     if c.route_cells is not None:
-        queries = _near(queries, index.centroids, c.route_cells, c.metric)
+        tree = None if c.route_beam is None else cell_tree(index.centroids)
+        queries = _near(queries, index.centroids, c.route_cells, c.metric, tree=tree, beam=c.route_beam)
         near = "cells"
     routed = route_queries(
         queries, index.sample, index.config.n_parts, c.n_probes, c.route_neighbors, c.metric,
@@ -323,12 +327,44 @@ def search_exact(index: SearchIndex, queries: DataFrame, config: SearchConfig |
     )
 
 
+def cell_tree(centroids: DataFrame, branches: int | None = None, steps: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(branches: `cell, centroid`; cells with their branch: `cell, centroid, branch`) of a tree over the cells.
+
+    The branches, by default the square root of the number of cells, start from cells at even steps and move to the
+    means of the cells nearest to them a few times. Every cell hangs from the branch nearest to it.
+    """
+    cells = centroids.select("cell", F.col("centroid").alias("features"))
+    numbered = cells.withColumn("place", F.row_number().over(Window.orderBy("cell")) - 1)  # one row per cell
+    n = cells.count()
+    branches = min(n, branches or math.isqrt(n - 1) + 1)
+    step = F.lit(n / branches)
+    chosen = F.floor(F.ceil(F.col("place") / step) * step) == F.col("place")
+    start = numbered.where(chosen).select(
+        (F.row_number().over(Window.orderBy("cell")) - 1).alias("cell"), F.col("features").alias("centroid")
+    )
+    moved = write_and_read(kmeans_lloyd(cells, write_and_read(start, "branches"), steps), "branches")
+    hung = assign_cells(cells, moved, column="branch").withColumnRenamed("features", "centroid")
+    return moved, write_and_read(hung, "cell-tree")
+
+
 def nearest_cells(
-    queries: DataFrame, centroids: DataFrame, n_cells: int, metric: str = "cosine", **options
+    queries: DataFrame, centroids: DataFrame, n_cells: int, metric: str = "cosine",
+    tree: tuple[DataFrame, DataFrame] | None = None, beam: int | None = None, **options,
 ) -> DataFrame:
-    """`qid, cells`: the `n_cells` cells whose centroids are nearest each query, nearest first."""
-    centers = centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("features"))
-    found = knn_join(queries, centers, n_cells, metric, **options)
+    """`qid, cells`: the `n_cells` cells whose centroids are nearest each query, nearest first.
+
+    With a `tree` (of `cell_tree`) a query meets the branches and the cells of its `beam` nearest branches only, and
+    may miss cells of others; with all branches in the beam it misses none.
+    """
+    if tree is None:
+        centers = centroids.select(F.col("cell").alias("id"), F.col("centroid").alias("features"))
+        found = knn_join(queries, centers, n_cells, metric, **options)
+    else:
+        branches, cells = tree
+        ahead = nearest_cells(queries, branches, beam or 1, metric, **options).withColumnRenamed("cells", "branches")
+        asked = write_and_read(queries.select("qid", "features").join(ahead, "qid"), "branches-to-search")
+        centers = cells.select(F.col("cell").alias("id"), F.col("centroid").alias("features"), "branch")
+        found = knn_join(asked, centers, n_cells, metric, probes="branches", part="branch", **options)
     return neighbor_lists(found).withColumnRenamed("neighbors", "cells")
 
 
