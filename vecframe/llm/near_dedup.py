@@ -6,12 +6,12 @@ a shingle's frequency is off by about its bucket's load, a fixed fraction of the
 Improved consistent weighted sampling draws samples that two sets share with the probability of their weighted
 Jaccard similarity; samples are banded, and texts that share a band are candidates, verified by that similarity.
 
-In a bucket, texts are first compared with one leader, not with each other, and the classes (connected components
-of these links) are found. What is left are texts outside of the largest class of their bucket; each is compared with
-all texts of the bucket that are not of its class. Small buckets list those pairs. Large ones are cut into tiles of
-a bounded number of texts and shingles, spread over the tasks: a tile compares the samples of its texts as arrays,
-verifies what is alike in bulk, and hands on only links that join two classes, fewer than it has texts. So pairs are
-never rows within large groups, and every two texts of a bucket are in one class or have been compared.
+Small buckets list their pairs. In large ones, texts are first compared with one leader, not with each other, and the
+classes (connected components of all links so far) are found. What is left there are texts outside of the largest
+class of their bucket; each is compared with all texts of the bucket that are not of its class, in tiles of a bounded
+number of texts and shingles, spread over the tasks: a tile compares the samples of its texts as arrays, verifies what
+is alike in bulk, and hands on only links that join two classes, fewer than it has texts. So pairs are never rows
+within large groups, and every two texts of a bucket are in one class or have been compared.
 
 Defined results: equal texts are one class (null is the empty text); a text without words is near no other text;
 one of fewer than five words is a single shingle; null ids lose against any id; an empty table gives no rows.
@@ -44,7 +44,7 @@ WIDTH, PARTS = 1 << 20, 32
 # Of 48 samples, a pair of similarity 0.8 shares fewer than this with a probability of 0.0003; such pairs are left out.
 ALIKE = 28
 # Texts of a bucket whose pairs are listed; texts and shingles of either side of a tile of a larger one, on average.
-SMALL, TILE, TILE_SHINGLES = 64, 1024, 1_000_000
+SMALL, TILE, TILE_SHINGLES = 16, 1024, 1_000_000
 # Shingles that a tile weighs at once.
 COLUMNS = 2048
 # What rounding may take from a similarity.
@@ -452,26 +452,25 @@ def link_classes(
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    labels = write_and_read(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    # A leader for each bucket, the least node.
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"))
-    met = members.join(leaders, "bucket").filter("node != leader").select(*ordered("node", "leader")).distinct()
-    met = write_and_read(met, "leaders")
-    labels = write_and_read(_merged(labels, near(met)), "labels")
-    # Buckets that are not all of one class.
-    left = members.join(labels, "node")
-    main = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(
-        F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main")
-    ).filter(F.col("n") > F.col("main.m"))
-    left = write_and_read(left.join(main, "bucket").select(
-        "bucket", "node", "label", "n", (F.col("label") != F.col("main.label")).alias("outside")
-    ), "buckets")
-    few = left.filter(F.col("n") <= small)
-    outside = few.filter("outside").select("bucket", F.col("node").alias("other"), F.col("label").alias("its"))
-    pairs = few.join(outside, "bucket").filter("label != its").select(*ordered("node", "other")).distinct()
-    links = near(pairs.join(met, ["a", "b"], "left_anti"))
-    many = _in_tiles(left.filter(F.col("n") > small).drop("n"), nodes, texts, sent, similar)
-    return write_and_read(_merged(labels, links.unionByName(write_and_read(many, "links"))), "labels")
+    labels = members.select("node").distinct().withColumn("label", F.col("node"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
+    sized = write_and_read(members.join(sizes, "bucket"), "buckets")
+    few, many = sized.filter(F.col("n") <= small), sized.filter(F.col("n") > small)
+    # All pairs of small buckets; of large ones each text with a leader, the least node.
+    pairs = few.join(few.select("bucket", F.col("node").alias("other")), "bucket").filter("node < other").select(
+        *ordered("node", "other")
+    ).unionByName(many.filter("node != leader").select(*ordered("node", "leader"))).distinct()
+    labels = write_and_read(_merged(labels, near(pairs)), "labels")
+    # Large buckets that are not all of one class.
+    left = many.select("bucket", "node", "n").join(labels, "node")
+    main = left.groupBy("bucket", "n", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket", "n").agg(
+        F.max(F.struct("m", "label")).alias("main")
+    ).filter(F.col("n") > F.col("main.m")).select("bucket", "main")
+    left = left.join(main, "bucket").select(
+        "bucket", "node", "label", (F.col("label") != F.col("main.label")).alias("outside")
+    )
+    links = write_and_read(_in_tiles(left, nodes, texts, sent, similar), "links")
+    return write_and_read(_merged(labels, links), "labels")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
