@@ -269,6 +269,7 @@ UNION ALL SELECT 'truth', count(DISTINCT qid), sum(neighbor)::DOUBLE FROM exact"
     "save_load_model": with_(*FINE_CELLS, *coarse()) + " UNION ALL ".join(
         f"""SELECT '{name}' AS level, cell, (generate_subscripts(c, 1) - 1)::INT AS pos,
   round(unnest(c), 6) AS value FROM {name}""" for name in ("fine", "coarse")),
+    "load_model_cells": with_(*ASSIGNED) + "SELECT id, cell FROM a",
     "train_prefix": "SELECT vec_id AS id FROM embeddings WHERE vec_id < (SELECT floor(count(*) * 0.05) FROM embeddings)",
     "sample_bernoulli": """SELECT vec_id AS id, label FROM embeddings
         WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT < floor(0.2 * 4294967296)""",

@@ -244,6 +244,14 @@ def q_save_load_model(spark, sf):
     return rows.select("level", "cell", "pos", F.round("item", 6).alias("value"))
 
 
+def q_load_model_cells(spark, sf):
+    """The cells of a saved clustering, attached to the rows by position."""
+    path = fresh_path(spark, "model")
+    fine = fine_cells(spark, sf)
+    tables.save_model(path, cl.assign_cells(base(spark, sf), fine), fine, coarse_cells(spark, sf))
+    return tables.load_model(base(spark, sf), path)[0].select("id", "cell")
+
+
 # Sampling
 
 
@@ -615,6 +623,7 @@ QUERIES = {
     "zip_join": q_zip_join,
     "load_assignment": q_load_assignment,
     "save_load_model": q_save_load_model,
+    "load_model_cells": q_load_model_cells,
     "train_prefix": q_train_prefix,
     "sample_per_cell": q_sample_per_cell,
     "sample_bernoulli": q_sample_bernoulli,

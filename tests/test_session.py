@@ -29,3 +29,19 @@ def test_model_table_is_broadcast_only_within_its_limit(spark):
 def test_write_and_read(spark):
     rows = spark.range(7).withColumnRenamed("id", "n")
     assert sorted(session.write_and_read(rows, "t").collect()) == sorted(rows.collect())
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from vecframe import session
+
+    before = list(session._own)
+    session._own.clear()
+    first = session.write_and_read(spark.range(5), "one")
+    assert first.count() == 5
+    path = session._own[0]
+    assert session.remove_intermediate(spark) == 1 and session.remove_intermediate(spark) == 0
+    assert session.fresh_path(spark, "two") != path
+    assert session.remove_intermediate(spark) == 0  # named, never written
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(path)
+    session._own.extend(before)

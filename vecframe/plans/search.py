@@ -289,9 +289,11 @@ def build_and_save(
 
 
 def build_many(base: DataFrame, path: str, part_counts: list[int], config: SearchConfig = SearchConfig()) -> None:
-    """Save one clustering per number of partitions, under `path/<n>`."""
-    for n in part_counts:
-        build_and_save(base, f"{path}/{n}", replace(config, n_parts=n))
+    """Save one clustering per number of partitions, under `path/<n>`; all are fitted on one training prefix."""
+    sizes = [size for n in part_counts for size in (n * config.cells_per_part, n)]
+    models = fit_levels(base, sizes, config.train_rate, config.seed, config.max_iter)
+    for i, n in enumerate(part_counts):
+        build_and_save(base, f"{path}/{n}", replace(config, n_parts=n), models[2 * i], models[2 * i + 1])
 
 
 def pruned_search_saved(

@@ -18,6 +18,8 @@ MODEL_BYTES = 256 << 20
 RESULT_ROWS = 1_000_000
 
 _shipped: set[str] = set()
+# Folders that this process has named in the shared folder.
+_own: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -51,7 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/vecframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vecframe/{name}-{uuid.uuid4().hex}"
+    _own.append(path)
+    return path
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that this process has put into the shared folder; how many there were.
+
+    Results read them lazily, so this comes after the last result was written or collected. An index that
+    `build_index` stored without a path is one of them; one that was given a path, or saved, is not.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    for path in _own:
+        place = files.Path(path)
+        removed += bool(place.getFileSystem(conf).delete(place, True))
+    _own.clear()
+    return removed
 
 
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
