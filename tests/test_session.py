@@ -45,3 +45,18 @@ def test_intermediate_tables_can_be_removed(spark):
     with pytest.raises(Exception, match="(?i)exist"):
         spark.read.parquet(path)
     session._own.extend(before)
+
+
+def test_wide_tables_stay_distributed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    table = spark.range(3000).select("id", F.array_repeat("id", 100).alias("v"))
+
+    def sent(*limits):
+        return "broadcast" in session.model_table(table, *limits)._jdf.queryExecution().logical().toString().lower()
+
+    assert sent() and not sent(2999) and not sent(10)
+    monkeypatch.setattr(session, "MODEL_BYTES", 1_000_000)  # of 2.4 million
+    assert not sent()
+    monkeypatch.setattr(session, "MODEL_BYTES", 4_000_000)
+    assert sent()

@@ -205,10 +205,10 @@ def test_plain_format_without_conditions(spark, tmp_path):
     assert spark.read.format("fvecs").load(str(tmp_path / "a.fvecs")).where("id < 2").count() == 2
 
 
-@pytest.mark.parametrize("ids", [[0, 1, 1, 3], [0, 0, 2], [0, 2, 2, 2, 4, 5, 5], [0, 1, None, 3]])
+@pytest.mark.parametrize("ids", [[0, 1, 1, 3], [0, 0, 2], [0, 2, 2, 2, 4, 5, 5], [0, 1, None, 3], [2**62, 2**62 + 1, 2**62 + 2]])
 def test_repeated_positions_are_noticed(spark, ids):
     with pytest.raises(ValueError, match="must run from 0"):
-        tables.check_dense(spark.createDataFrame([(i,) for i in ids], "id int"))
+        tables.check_dense(spark.createDataFrame([(i,) for i in ids], "id long"))
 
 
 def test_positions_once_each(spark):

@@ -93,15 +93,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def model_table(df: DataFrame, max_rows: int = MODEL_ROWS) -> DataFrame:
-    """`df` computed once and marked for broadcast if it has at most `max_rows` rows and `MODEL_BYTES`.
+    """`df` computed and marked for broadcast if it has at most `max_rows` rows and `MODEL_BYTES`.
 
-    A larger table comes back unchanged and takes part in ordinary shuffle joins. The width of the
-    first row tells how many rows of a wide table may come to the driver at all.
+    A larger table comes back unchanged and takes part in ordinary shuffle joins. Of a table with
+    arrays a thousand rows come first; only a longer one is computed again, as far as their width allows.
     """
-    first = df.limit(1).toArrow() if any("array" in t or "map" in t for _, t in df.dtypes) else None
-    if first is not None and first.num_rows:
-        max_rows = min(max_rows, max(1, MODEL_BYTES // first.nbytes))
-    head = df.limit(max_rows + 1).toArrow()
+    wide = any("array" in kind or "map" in kind for _, kind in df.dtypes)
+    first = min(max_rows, 1000) if wide else max_rows
+    head = df.limit(first + 1).toArrow()
+    if first < head.num_rows <= max_rows:
+        max_rows = min(max_rows, MODEL_BYTES * head.num_rows // head.nbytes)
+        head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows or head.nbytes > MODEL_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))

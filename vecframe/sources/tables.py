@@ -92,7 +92,7 @@ def check_dense(df: DataFrame, column: str = "id") -> int:
     """
     exact = F.col(column).cast("decimal(19,0)")
     n, least, most, total, square = df.agg(
-        F.count("*"), F.min(column), F.max(column), F.sum(exact), F.sum((exact * exact).cast("decimal(38,0)"))
+        F.count("*"), F.min(column), F.max(column), F.try_sum(exact), F.try_sum(exact * exact)
     ).first()
     if not n:
         return 0
