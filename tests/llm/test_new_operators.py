@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vecframe.llm import centroid_clusters, language_model, near_dedup, queries, token_alignment, window_packing
+from vecframe.llm import centroid_clusters, html_text, language_model, near_dedup, queries, token_alignment, window_packing
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(n) for n in (queries.WORDS, queries.VOCABULARY, queries.PIECES))
 SCHEMA = "doc_id long, text string, length string, task int, nth int, copies int, pairs int, digest string"
@@ -380,3 +380,31 @@ def test_classes_of_a_dense_crowd(spark, monkeypatch, small, tile):
                 label[max(root(i), root(j))] = min(root(i), root(j))
     assert got == {i: root(i) for i in range(len(texts))}
     assert 20 < len(set(got.values())) < 250
+
+
+# ---- pages as browsers read them ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ("<html><head><title>x</title><body><article><p>One two three.</p></article>", ["One two three."]),
+    ("<head><meta charset=utf-8><title>x</title><p>No body either.", ["No body either."]),
+    ("<head><title>x</title>Plain text at once", ["Plain text at once"]),
+    ("<head><style>p > a {}</style><script>if (a < b) {}</script></head><p>Kept", ["Kept"]),
+    ('<p class="a"">First<p>Second', ["First", "Second"]),
+    ("<p title='it's'>Third</p>", ["Third"]),
+    ('<p title="a > b" class=x>Fourth</p>', ["Fourth"]),
+    ("<p title='a > b'>Fifth <a href=/x?y=\"z\">link</a></p>", ["Fifth link"]),
+    ('<a href="x>Sixth</a> more', ["Sixth more"]),
+    ("<p a = \"x>y\" b= 'u>v' c =w =d>Seventh</p>", ["Seventh"]),
+    ("<p>Eighth<p class=\"", ["Eighth"]),
+])
+def test_tags_end_where_browsers_end_them(page, wanted):
+    assert [b[0] for b in html_text.blocks(page)] == wanted
+
+
+def test_many_stray_quotes_take_no_time():
+    import time
+
+    start = time.time()
+    html_text.blocks("<p a=\"'" * 20_000 + "<p " + "a" * 200_000 + "\"" * 50_000 + ">end")
+    assert time.time() - start < 5

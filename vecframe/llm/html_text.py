@@ -129,8 +129,13 @@ APART_NAMES = re.compile(
     r"signin|signup|search|pagination|pager|copyright|legal|disclaimer|toolbar|skip|paywall)(?:$|[\s_\d-])", re.I)
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:page-?header|site-?header|masthead|topbar|header)(?:$|[\s_\d-])", re.I)
 
+# Fixed value: elements that a head may hold; any other one, and text, ends it.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+
+# A quote counts where a value begins; elsewhere it is part of a name, and the tag ends at the next ">".
 _MARKUP = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|$)",
+    r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)"""
+    r"""((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)(>|$)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -174,6 +179,8 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
 
     def text(piece: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and piece and not piece.isspace():
+            stack.pop()
         if piece and not stack[-1][3]:
             piece = html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
@@ -204,6 +211,8 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
             if depth:
                 del stack[depth:]
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            stack.pop()
         if name == "a":
             in_link = 1
         if name in BLOCK:
