@@ -37,8 +37,8 @@ CAPACITY, END = 2048, 0
 BLOCK, ISLANDS, ROUNDS, CROSSOVERS, POPULATION = 4096, 3, 2, 4, 4
 # Bins that are filled less than this are dissolved in the end, and packed anew together with some of the others.
 POOR = 0.97
-# Texts' characters that are tokenized at once.
-CHARS = 2_000_000
+# Texts' characters that are tokenized at once, and chunks of texts that a worker remembers.
+CHARS, REMEMBERED = 1_000_000, 400_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -61,7 +61,7 @@ def _encoder(path: str):
         return [struct.pack(f"<{len(i)}I", *i) for i in map(quick.encode_ordinary, parts)]
 
     special = {s: np.array([tokenizer.token_to_id(s)], dtype="<u4").tobytes() for s in merger.special}
-    return merger, special, ChunkTable(ids)
+    return merger, special, ChunkTable(ids, REMEMBERED)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
