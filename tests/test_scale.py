@@ -111,6 +111,25 @@ def test_a_hot_pair_of_blocks_has_a_task_of_its_own(spark):
     assert max(r.first_task for r in dealt.values()) < 40
 
 
+def block_layout(spark, rows, limits, parts=1, rows_held=10**6):
+    sizes = spark.createDataFrame([(p, rows, 2 * rows) for p in range(parts)], "part long, n_base long, n_query long")
+    return knn._layout(sizes, limits, rows_held)
+
+
+def test_copies_of_rows_follow_the_cores(spark):
+    """Blocks of a few rows do not copy every row thousands of times: copies per row stay as the table grows."""
+    copied = []
+    for rows in (10_000, 100_000, 1_000_000):
+        r = block_layout(spark, rows, Limits(base_block_rows=150, query_block_rows=250)).first()
+        copied.append((rows * r.query_blocks + 2 * rows * r.base_blocks) / rows)
+    assert len(set(copied)) == 1 and copied[0] <= 3 * 8
+    # Queries that a task cannot hold are cut further; a hot partition gets most of the blocks.
+    assert block_layout(spark, 1_000_000, Limits(), rows_held=20_000).first().query_blocks == 100
+    sizes = spark.createDataFrame([(0, 90_000, 90_000), (1, 900, 900)], "part long, n_base long, n_query long")
+    hot, cold = knn._layout(sizes, Limits(base_block_rows=150, query_block_rows=250), 10**6).sort("part").collect()
+    assert hot.base_blocks == hot.query_blocks == 8 and cold.base_blocks == cold.query_blocks == 1
+
+
 def test_no_queries_and_no_base(make):
     base, none = make([[1, 2], [3, 4]]), make({}, id_col="qid")
     for strategy in LARGE_FORMS:

@@ -12,10 +12,12 @@ all three give the same rows:
   is sent to the base in turn, which is read in place, never shuffled or copied; under pruning a
   group holds queries of the same partitions, and its pass reads those partitions only.
 * ``blocks``: neither side is small. Rows are counted per partition, a partition is cut into as
-  many base blocks and query blocks as its size asks for (a partition that holds a third of all
-  rows simply gets more blocks), and each pair of blocks is one shuffle group. Pairs are numbered
-  and dealt to tasks by their work. Queries of a group are held in memory, its base rows stream
-  past them in sorted order and may spill.
+  many base blocks and query blocks as its size and its share of the work ask for (a partition that
+  holds a third of all rows simply gets more blocks), and each pair of blocks is one shuffle group.
+  A row is copied once per block of the other side, so the number of blocks follows the cores, not
+  the rows, until a task could not hold its queries. Pairs are numbered and dealt to tasks by their
+  work. Queries of a group are held in memory, its base rows stream past them in sorted order and
+  may spill.
 
 Lists of tasks meet in a shuffle. Without more, k rows per query and task would travel, however
 many tasks read the base. A search of the whole base therefore bounds every query's k-th distance
@@ -45,6 +47,10 @@ STRATEGIES = ("auto", "broadcast_queries", "broadcast_base", "query_groups", "bl
 _NAMED_PARTS = 50_000
 # Groups of tasks whose lists are merged before the lists of a query meet.
 _MERGE_GROUPS = 16
+# Pairs of blocks that the work is cut into at least, and for each core.
+_PAIRS, _PAIRS_PER_CORE = 64, 4
+# Bytes of queries and their lists that a task holds at once.
+_HELD_BYTES = 96 << 20
 
 
 @dataclass(frozen=True)
@@ -52,8 +58,8 @@ class Limits:
     """Sizes that steer the choice of a physical form."""
 
     broadcast_bytes: int = 32 << 20  # Arrow size up to which one side is sent to every task
-    base_block_rows: int = 500_000  # base rows streamed per shuffle group
-    query_block_rows: int = 16_384  # query rows held in memory per shuffle group
+    base_block_rows: int = 500_000  # base rows streamed per shuffle group, at least where a side has so many
+    query_block_rows: int = 16_384  # query rows held in memory per shuffle group, likewise
     max_shuffle_partitions: int = 100_000
     query_groups: int = 64  # groups of queries, each of broadcast size, that are sent to the base in turn
     bound_share: int = 64  # one base row in so many bounds the k-th distances
@@ -193,6 +199,13 @@ class _Job:
                 own = None if tags is None else tags[rows]
                 lists.update(searchers[key], ids[rows], vectors[rows], own)
 
+    def held_bytes(self, queries: pa.Table) -> int:
+        """About how many bytes a task needs to hold these queries: vectors, prepared vectors, lists."""
+        lists = queries.num_rows
+        if self.per_part and "parts" in queries.schema.names:
+            lists = pc.sum(pc.list_value_length(queries.column("parts"))).as_py() or 0
+        return 2 * queries.nbytes + lists * (24 * self.k + 32)
+
     def tags(self, base):
         return _numpy(base.column("tag")) if self.tagged else None
 
@@ -378,6 +391,36 @@ def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
     return queries.mapInArrow(search, job.schema)
 
 
+def _rows_held(job: _Job, queries: DataFrame) -> int:
+    """How many of these queries a task can hold, judged by the first thousand."""
+    head = queries.limit(1000).toArrow()
+    return _HELD_BYTES * head.num_rows // max(1, job.held_bytes(head)) or 1
+
+
+def _pairs(spark) -> int:
+    return max(_PAIRS, _PAIRS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def _layout(sizes: DataFrame, limits: Limits, rows_held: int) -> DataFrame:
+    """`part, n_base, n_query, base_blocks, query_blocks` for a table of the first three.
+
+    A row of one side is copied for every block of the other. With blocks of fixed size copies would grow with the
+    square of the rows; therefore a partition is cut as its share of the work asks for, about `_pairs` pairs in all,
+    into blocks that may be larger than the limits say. Only blocks of more queries than a task holds are cut further.
+    """
+    work = F.col("n_base").cast("double") * F.col("n_query")
+    total = sizes.agg(F.sum(work)).first()[0] or 1.0
+    cuts = F.ceil(F.sqrt(work * (_pairs(sizes.sparkSession) / total)))
+    held = max(rows_held, limits.query_block_rows)
+    return model_table(sizes.select(
+        "part", "n_base", "n_query",
+        F.least(F.ceil(F.col("n_base") / limits.base_block_rows), cuts).cast("int").alias("base_blocks"),
+        F.greatest(
+            F.least(F.ceil(F.col("n_query") / limits.query_block_rows), cuts), F.ceil(F.col("n_query") / held)
+        ).cast("int").alias("query_blocks"),
+    ))
+
+
 def _block_tasks(layout: DataFrame, limits: Limits) -> int:
     """Shuffle partitions for the block pairs: about one full pair of blocks, and no more shuffled
     rows than a base block, per task. Small pairs share tasks."""
@@ -430,11 +473,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
     # How many blocks each partition is cut into: counts only, no vectors are read for it.
     n_base = base.groupBy("part").agg(F.count("*").alias("n_base"))
     n_query = queries.groupBy("part").agg(F.count("*").alias("n_query"))
-    layout = model_table(n_base.join(n_query, "part").select(
-        "part", "n_base", "n_query",
-        F.ceil(F.col("n_base") / limits.base_block_rows).cast("int").alias("base_blocks"),
-        F.ceil(F.col("n_query") / limits.query_block_rows).cast("int").alias("query_blocks"),
-    ))
+    layout = _layout(model_table(n_base.join(n_query, "part")), limits, _rows_held(job, queries))
     n_tasks = _block_tasks(layout, limits)
     if job.pruned:
         base = _only_parts(base, [r["part"] for r in layout.select("part").limit(_NAMED_PARTS + 1).collect()])
@@ -486,7 +525,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
                     table = pa.Table.from_batches(held)
                     lists = TopK(_numpy(table.column("id")), list_matrix(table.column("vec")), job.k,
                                  job.metric, job.exclude_self, _numpy(table.column("bound")))
-                    held = []
+                    held = table = []
                 if lists is not None:
                     lists.update(None, _numpy(run.column("id")), list_matrix(run.column("vec")),
                                  job.tags(run))
