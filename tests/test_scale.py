@@ -130,6 +130,14 @@ def test_copies_of_rows_follow_the_cores(spark):
     assert hot.base_blocks == hot.query_blocks == 8 and cold.base_blocks == cold.query_blocks == 1
 
 
+def test_small_blocks_share_tasks(spark):
+    limits = Limits(base_block_rows=150, query_block_rows=250)
+    sizes = [(p, 12_000, 24_000, 80, 96) for p in range(10)]  # cut as the limits say: 76,800 pairs of blocks
+    layout = spark.createDataFrame(sizes, "part long, n_base long, n_query long, base_blocks int, query_blocks int")
+    assert knn._block_tasks(layout, limits) < 1000
+    assert 64 <= knn._block_tasks(block_layout(spark, 12_000, limits, parts=10), limits) < 200
+
+
 def test_no_queries_and_no_base(make):
     base, none = make([[1, 2], [3, 4]]), make({}, id_col="qid")
     for strategy in LARGE_FORMS:

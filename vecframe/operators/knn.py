@@ -49,6 +49,8 @@ _NAMED_PARTS = 50_000
 _MERGE_GROUPS = 16
 # Pairs of blocks that the work is cut into at least, and for each core.
 _PAIRS, _PAIRS_PER_CORE = 64, 4
+# Compared pairs of rows, and shuffled rows, from which on a task of their own pays.
+_TASK_WORK, _TASK_ROWS = 10**9, 50_000
 # Bytes of queries and their lists that a task holds at once.
 _HELD_BYTES = 96 << 20
 
@@ -423,7 +425,8 @@ def _layout(sizes: DataFrame, limits: Limits, rows_held: int) -> DataFrame:
 
 def _block_tasks(layout: DataFrame, limits: Limits) -> int:
     """Shuffle partitions for the block pairs: about one full pair of blocks, and no more shuffled
-    rows than a base block, per task. Small pairs share tasks."""
+    rows than a base block, per task. Small pairs share tasks; blocks of a few rows do not ask for
+    more tasks than the cores and the work can use."""
     n_base, n_query, s, t = (
         F.col(c).cast("double") for c in ("n_base", "n_query", "base_blocks", "query_blocks")
     )
@@ -439,7 +442,8 @@ def _block_tasks(layout: DataFrame, limits: Limits) -> int:
         total["rows"] / limits.base_block_rows,
         layout.sparkSession.sparkContext.defaultParallelism,
     )
-    return int(min(math.ceil(tasks), total["pairs"], limits.max_shuffle_partitions))
+    most = max(total["work"] / _TASK_WORK, total["rows"] / _TASK_ROWS, _pairs(layout.sparkSession))
+    return int(min(math.ceil(tasks), math.ceil(most), total["pairs"], limits.max_shuffle_partitions))
 
 
 def _dealt(layout: DataFrame, n_tasks: int, limits: Limits) -> DataFrame:
