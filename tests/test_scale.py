@@ -89,6 +89,32 @@ def test_groups_read_the_base_in_place(data):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("probes", [None, "probes"])
+def test_groups_grow_rather_than_multiply(make, blobs, monkeypatch, probes):
+    """Twice the queries do not make twice the passes, and no stage holds more than some passes."""
+    portions, together, run, merge = [], [], knn._portions, knn._Job._top
+    monkeypatch.setattr(knn, "_PASSES", 4)
+    monkeypatch.setattr(knn, "_portions", lambda job, table, most: portions.append(table.num_rows) or run(job, table, most))
+
+    def watched(self, lists, keys):
+        together.append(lists._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return merge(self, lists, keys)
+
+    monkeypatch.setattr(knn._Job, "_top", watched)
+    limits = Limits(100, bound_rows=10**9, query_groups=6)
+    part = [i % 7 for i in range(len(blobs[0]))]
+    base = make(blobs[0], part=part)
+    for times in (1, 3):
+        asked = np.repeat(blobs[1], times, axis=0)
+        lists = [[i % 7, (i + 3) % 7] for i in range(len(asked))]
+        queries = make(asked, id_col="qid", probes=lists)
+        portions.clear()
+        got = knn_join(queries, base, 5, probes=probes, strategy="query_groups", limits=limits)
+        assert as_lists(got) == brute(asked, blobs[0], 5, allowed=lambda i, j: probes is None or part[j] in lists[i])
+        assert 2 <= len(portions) <= 6 and sum(portions) == len(asked)
+    assert 1 < max(together) <= 4
+
+
 def test_groups_by_partition_read_few_partitions(spark, make, blobs, tmp_path):
     part = [i % 8 for i in range(len(blobs[0]))]
     make(blobs[0], part=part).write.partitionBy("part").parquet(str(tmp_path / "b"))

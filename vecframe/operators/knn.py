@@ -10,7 +10,8 @@ all three give the same rows:
   share of the base once, without a shuffle of the base, and emits its top-k per query.
 * ``query_groups``: the queries fit into a moderate number of groups of broadcast size. Each group
   is sent to the base in turn, which is read in place, never shuffled or copied; under pruning a
-  group holds queries of the same partitions, and its pass reads those partitions only.
+  group holds queries of the same partitions, and its pass reads those partitions only. Asked for
+  by name, the form takes larger groups rather than more of them, as far as a task can hold them.
 * ``blocks``: neither side is small. Rows are counted per partition, a partition is cut into as
   many base blocks and query blocks as its size and its share of the work ask for (a partition that
   holds a third of all rows simply gets more blocks), and each pair of blocks is one shuffle group.
@@ -49,6 +50,8 @@ _NAMED_PARTS = 50_000
 _MERGE_GROUPS = 16
 # Pairs of blocks that the work is cut into at least, and for each core.
 _PAIRS, _PAIRS_PER_CORE = 64, 4
+# Passes over the base that run in one job.
+_PASSES = 16
 # Compared pairs of rows, and shuffled rows, from which on a task of their own pays.
 _TASK_WORK, _TASK_ROWS = 10**9, 50_000
 # Bytes of queries and their lists that a task holds at once.
@@ -63,7 +66,7 @@ class Limits:
     base_block_rows: int = 500_000  # base rows streamed per shuffle group, at least where a side has so many
     query_block_rows: int = 16_384  # query rows held in memory per shuffle group, likewise
     max_shuffle_partitions: int = 100_000
-    query_groups: int = 64  # groups of queries, each of broadcast size, that are sent to the base in turn
+    query_groups: int = 64  # groups of queries, of broadcast size or larger, that are sent to the base in turn
     bound_share: int = 64  # one base row in so many bounds the k-th distances
     bound_rows: int = 2_000_000  # base rows from which on that is done: fewer are read by few tasks
 
@@ -126,8 +129,8 @@ def _run(job: _Job, q: DataFrame, b: DataFrame, strategy: str, limits: Limits, l
     if strategy == "blocks":
         return _blocks(job, _with_bound(job, q, b, limits, level), b, limits)
     if strategy == "query_groups":
-        groups = math.ceil((_bytes(q, "qid", None) or 1) / limits.broadcast_bytes)
-        return _query_groups(job, _with_bound(job, q, b, limits, level), b, groups, limits)
+        size = _bytes(q, "qid", None)
+        return _query_groups(job, _with_bound(job, q, b, limits, level), b, size, limits)
     few_queries = _bounded(q, "qid", limits.broadcast_bytes)
     if strategy == "broadcast_queries":
         return _broadcast_queries(job, _with_bound(job, q, b, limits, level, _required(few_queries)), b)
@@ -143,7 +146,7 @@ def _run(job: _Job, q: DataFrame, b: DataFrame, strategy: str, limits: Limits, l
     size = _bytes(q, "qid", limits.query_groups * limits.broadcast_bytes)
     q = _with_bound(job, q, b, limits, level)
     if size is not None:
-        return _query_groups(job, q, b, math.ceil(size / limits.broadcast_bytes), limits)
+        return _query_groups(job, q, b, size, limits)
     return _blocks(job, q, b, limits)
 
 
@@ -235,6 +238,10 @@ class _Job:
             partial = self._top(tasks.repartition("qid", "_tasks"), [*self.keys, "_tasks"]).drop("_tasks", "rank")
         return self._top(partial.repartition("qid"), self.keys).drop("key")
 
+    def shortened(self, partial: DataFrame) -> DataFrame:
+        """Per-task lists, merged to one per query that can be merged further."""
+        return self._top(partial.repartition("qid"), self.keys).drop("rank")
+
     def _top(self, lists: DataFrame, keys: list[str]) -> DataFrame:
         order = Window.partitionBy(*keys).orderBy("key", "neighbor")
         return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
@@ -357,26 +364,57 @@ def _in_place(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
     return base.mapInArrow(search, job.partial_schema)
 
 
-def _query_groups(job: _Job, queries: DataFrame, base: DataFrame, groups: int, limits: Limits) -> DataFrame:
-    """The queries in groups of broadcast size, each sent to the base in turn.
+def _query_groups(job: _Job, queries: DataFrame, base: DataFrame, size: int, limits: Limits) -> DataFrame:
+    """The queries, about `size` bytes, in groups of broadcast size, each sent to the base in turn.
 
-    Under pruning, queries that begin with the same partition come together, so that a pass
-    reads few partitions; a partition that many queries begin with fills several groups.
+    A pass costs a read of the base, so beyond `limits.query_groups` groups they grow instead, up to what a task can
+    hold. Under pruning, queries that begin with the same partition come together, so that a pass reads few
+    partitions; a partition that many queries begin with fills several groups.
     """
+    groups = min(math.ceil(size / limits.broadcast_bytes), limits.query_groups)
+    groups = max(1, groups, math.ceil(size * _held_share(job, queries) / _HELD_BYTES))
     near = [F.get("parts", F.lit(0))] if job.pruned else []
     placed = queries.repartitionByRange(groups, *near, F.xxhash64("qid")).withColumn("_group", F.spark_partition_id())
     path = fresh_path(queries.sparkSession, "query-groups")
     placed.write.partitionBy("_group").parquet(path)
     stored = queries.sparkSession.read.schema(placed.schema).parquet(path)
-    partial = []
-    for group in range(groups):
-        table = stored.where(F.col("_group") == group).drop("_group").toArrow()
-        # A group that came out larger than meant makes several passes.
-        step = math.ceil(table.num_rows / max(1, math.ceil(table.nbytes / (2 * limits.broadcast_bytes))))
-        partial += [_in_place(job, table.slice(i, step), base) for i in range(0, table.num_rows, max(1, step))]
+    most = max(2 * limits.broadcast_bytes, math.ceil(2 * size / groups))
+    passes = (
+        _in_place(job, portion, base)
+        for group in sorted(r[0] for r in stored.select("_group").distinct().collect())
+        for portion in _portions(job, stored.where(F.col("_group") == group).drop("_group").toArrow(), most)
+    )
+    return _merged(job, passes, "bound" in queries.columns, queries.sparkSession)
+
+
+def _held_share(job: _Job, queries: DataFrame) -> float:
+    """Bytes that a task needs to hold queries, per byte of theirs, judged by the first thousand."""
+    head = queries.limit(1000).toArrow()
+    return job.held_bytes(head) / max(1, head.nbytes)
+
+
+def _portions(job: _Job, queries: pa.Table, most: int) -> list[pa.Table]:
+    """Queries in slices of `most` bytes, and no more than a task can hold twice over (sizes are estimates)."""
+    n = max(1, math.ceil(queries.nbytes / most), math.ceil(job.held_bytes(queries) / (2 * _HELD_BYTES)))
+    step = max(1, math.ceil(queries.num_rows / n))
+    return [queries.slice(i, step) for i in range(0, queries.num_rows, step)]
+
+
+def _merged(job: _Job, passes, bounded: bool, spark) -> DataFrame:
+    """Final lists of several passes over the base. Of more than `_PASSES` so many run at a time, and their lists are
+    stored: in one stage, every task would report on the operators of all passes, whose number grows likewise."""
+    partial, stored = [], []
+    for one in passes:
+        if len(partial) == _PASSES:
+            stored.append(write_and_read(job.shortened(reduce(DataFrame.unionByName, partial)), "lists"))
+            partial = []
+        partial.append(one)
     if not partial:
-        return queries.sparkSession.createDataFrame([], job.schema)
-    return job.merge(reduce(DataFrame.unionByName, partial), "bound" in queries.columns)
+        return spark.createDataFrame([], job.schema)
+    if stored:
+        stored.append(write_and_read(job.shortened(reduce(DataFrame.unionByName, partial)), "lists"))
+    # Stored lists hold k rows per query, so they meet at once.
+    return job.merge(reduce(DataFrame.unionByName, stored or partial), bounded or bool(stored))
 
 
 def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
