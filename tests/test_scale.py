@@ -89,6 +89,14 @@ def test_groups_read_the_base_in_place(data):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("rows", [0, 10**9])
+def test_many_queries_are_broadcast_in_turns(data, blobs, rows):
+    base, queries = data
+    got = knn_join(queries, base, 5, strategy="broadcast_queries", limits=Limits(2000, bound_rows=rows, bound_share=8))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") > 1
+    assert as_lists(got) == brute(blobs[1], blobs[0], 5)
+
+
 @pytest.mark.parametrize("probes", [None, "probes"])
 def test_groups_grow_rather_than_multiply(make, blobs, monkeypatch, probes):
     """Twice the queries do not make twice the passes, and no stage holds more than some passes."""

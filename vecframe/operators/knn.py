@@ -7,7 +7,8 @@ all three give the same rows:
 * ``broadcast_base``: the base is small (a sample, centroids; measured, in bytes). Every task
   streams queries and emits final lists, so nothing is shuffled at all.
 * ``broadcast_queries``: the query side is small (measured likewise). Every task streams its
-  share of the base once, without a shuffle of the base, and emits its top-k per query.
+  share of the base once, without a shuffle of the base, and emits its top-k per query. Asked for
+  by name, the form sends a larger query side in turns, unless a turn holds hardly any queries.
 * ``query_groups``: the queries fit into a moderate number of groups of broadcast size. Each group
   is sent to the base in turn, which is read in place, never shuffled or copied; under pruning a
   group holds queries of the same partitions, and its pass reads those partitions only. Asked for
@@ -50,6 +51,8 @@ _NAMED_PARTS = 50_000
 _MERGE_GROUPS = 16
 # Pairs of blocks that the work is cut into at least, and for each core.
 _PAIRS, _PAIRS_PER_CORE = 64, 4
+# Queries that a broadcast holds at least: fewer are not worth a read of the base.
+_LEAST_SENT = 16
 # Passes over the base that run in one job.
 _PASSES = 16
 # Compared pairs of rows, and shuffled rows, from which on a task of their own pays.
@@ -133,7 +136,10 @@ def _run(job: _Job, q: DataFrame, b: DataFrame, strategy: str, limits: Limits, l
         return _query_groups(job, _with_bound(job, q, b, limits, level), b, size, limits)
     few_queries = _bounded(q, "qid", limits.broadcast_bytes)
     if strategy == "broadcast_queries":
-        return _broadcast_queries(job, _with_bound(job, q, b, limits, level, _required(few_queries)), b)
+        if few_queries is None:
+            size = _in_turn(q, limits)
+            return _query_groups(job, _with_bound(job, q, b, limits, level), b, size, limits)
+        return _broadcast_queries(job, _with_bound(job, q, b, limits, level, few_queries), b)
     if level == 0 and few_queries is not None and few_queries.num_rows < 100:
         return _broadcast_queries(job, _with_bound(job, q, b, limits, level, few_queries), b)
     few_rows = _bounded(b, "id", limits.broadcast_bytes)
@@ -341,6 +347,14 @@ def _required(table: pa.Table | None) -> pa.Table:
     return table
 
 
+def _in_turn(queries: DataFrame, limits: Limits) -> int:
+    """About how many bytes these queries take, which are too many to be sent at once."""
+    size, rows = _bytes(queries, "qid", None), queries.count()
+    if rows * limits.broadcast_bytes < _LEAST_SENT * size:
+        raise ValueError(f"{_LEAST_SENT} rows of the side to broadcast are larger than limits.broadcast_bytes")
+    return size
+
+
 def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
     return job.merge(_in_place(job, queries, base), "bound" in queries.schema.names)
 
