@@ -89,6 +89,31 @@ def test_groups_read_the_base_in_place(data):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_tasks_hold_and_hand_on_lists_in_portions(make, blobs, monkeypatch):
+    """Lists of many partitions weigh more than their queries: what a task holds is bounded with them."""
+    held, merged = [], knn._in_place
+    monkeypatch.setattr(knn, "_HELD_BYTES", 20_000)
+    monkeypatch.setattr(knn, "_in_place", lambda job, q, b: held.append(job.held_bytes(q)) or merged(job, q, b))
+    part = [i % 7 for i in range(len(blobs[0]))]
+    base = make(blobs[0], part=part)
+    queries = make(blobs[1], id_col="qid", probes=[list(range(7))] * len(blobs[1]))
+    limits = Limits(8_000, bound_rows=10**9)  # the queries fit, the base does not
+    for strategy in ("broadcast_queries", "auto", "query_groups"):
+        got = knn_join(queries, base, 4, probes="probes", part="part", per_part=True, strategy=strategy, limits=limits)
+        rows = {}
+        for r in sorted(got.collect(), key=lambda r: (r.qid, r.part, r.rank)):
+            rows.setdefault((r.qid, r.part), []).append(r.neighbor)
+        want = {p: brute(blobs[1], blobs[0], 4, allowed=lambda i, j, p=p: part[j] == p) for p in range(7)}
+        assert rows == {(i, p): want[p][i] for p in range(7) for i in range(len(blobs[1]))}
+    assert len(held) > 6 and max(held) <= 2 * 20_000
+    lists = knn.TopK(np.arange(60), blobs[1], 4)
+    lists.update(None, np.arange(len(blobs[0])), blobs[0])
+    monkeypatch.setattr(knn, "_EMIT_ROWS", 40)
+    batches = list(knn._Job(4, "cosine", False, False, False, False, False).emit(lists))
+    assert [b.num_rows for b in batches] == [40] * 6
+    assert [x for b in batches for x in b["qid"].to_pylist()] == np.repeat(np.arange(60), 4).tolist()
+
+
 @pytest.mark.parametrize("rows", [0, 10**9])
 def test_many_queries_are_broadcast_in_turns(data, blobs, rows):
     base, queries = data

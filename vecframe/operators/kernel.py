@@ -203,9 +203,10 @@ class TopK:
         self.distance[touched], self.neighbor[touched] = np.inf, _NO_ID
         self.distance[at], self.neighbor[at], self.tag[at] = distance[order], ids[order], tags[order]
 
-    def result(self):
-        """Arrays (query row, neighbour id, distance, rank from 1, tag) of all entries held."""
-        row, place = np.nonzero(np.isfinite(self.distance))
+    def result(self, start=0, stop=None):
+        """Arrays (query row, neighbour id, distance, rank from 1, tag) of all entries held, or of some query rows."""
+        row, place = np.nonzero(np.isfinite(self.distance[start:stop]))
+        row += start
         at = (row, place)
         return row, self.neighbor[at], self.distance[at], place + 1, self.tag[at]
 

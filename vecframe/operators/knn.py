@@ -51,6 +51,8 @@ _NAMED_PARTS = 50_000
 _MERGE_GROUPS = 16
 # Pairs of blocks that the work is cut into at least, and for each core.
 _PAIRS, _PAIRS_PER_CORE = 64, 4
+# Rows of lists that are handed to Spark at once.
+_EMIT_ROWS = 100_000
 # Queries that a broadcast holds at least: fewer are not worth a read of the base.
 _LEAST_SENT = 16
 # Passes over the base that run in one job.
@@ -221,19 +223,23 @@ class _Job:
         return _numpy(base.column("tag")) if self.tagged else None
 
     def emit(self, lists, part=None, final=False):
-        row, neighbor, distance, rank, tag = lists.result()
-        columns = {"qid": pa.array(lists.query_ids[row], pa.int64())}
-        if self.per_part:
-            columns["part"] = pa.array(np.broadcast_to(part, len(lists.query_ids))[row], pa.int64())
-        columns["neighbor"] = pa.array(neighbor, pa.int64())
-        if self.tagged:
-            columns["tag"] = pa.array(tag, pa.int64())
-        columns["distance"] = pa.array(distance, pa.float64())
-        if final:
-            columns["rank"] = pa.array(rank, pa.int32())
-        else:
-            columns["key"] = pa.array(rounded(distance), pa.float64())
-        return pa.RecordBatch.from_pydict(columns)
+        """Batches of the lists, with so few rows that their columns are small beside the lists themselves."""
+        part = np.broadcast_to(part, len(lists.query_ids)) if self.per_part else None
+        step = max(1, _EMIT_ROWS // self.k)
+        for start in range(0, len(lists.query_ids), step):
+            row, neighbor, distance, rank, tag = lists.result(start, start + step)
+            columns = {"qid": pa.array(lists.query_ids[row], pa.int64())}
+            if self.per_part:
+                columns["part"] = pa.array(part[row], pa.int64())
+            columns["neighbor"] = pa.array(neighbor, pa.int64())
+            if self.tagged:
+                columns["tag"] = pa.array(tag, pa.int64())
+            columns["distance"] = pa.array(distance, pa.float64())
+            if final:
+                columns["rank"] = pa.array(rank, pa.int32())
+            else:
+                columns["key"] = pa.array(rounded(distance), pa.float64())
+            yield pa.RecordBatch.from_pydict(columns)
 
     def merge(self, partial: DataFrame, bounded: bool) -> DataFrame:
         """Final lists from per-task lists. A task's lists hold k rows per query at most, so ranking
@@ -356,7 +362,8 @@ def _in_turn(queries: DataFrame, limits: Limits) -> int:
 
 
 def _broadcast_queries(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
-    return job.merge(_in_place(job, queries, base), "bound" in queries.schema.names)
+    passes = (_in_place(job, portion, base) for portion in _portions(job, queries, max(1, queries.nbytes)))
+    return _merged(job, passes, "bound" in queries.schema.names, base.sparkSession)
 
 
 def _in_place(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
@@ -373,7 +380,7 @@ def _in_place(job: _Job, queries: pa.Table, base: DataFrame) -> DataFrame:
         lists, searchers, part = job.open(shared.value)
         for batch in batches:
             job.offer(lists, searchers, batch)
-        yield job.emit(lists, part)
+        yield from job.emit(lists, part)
 
     return base.mapInArrow(search, job.partial_schema)
 
@@ -440,7 +447,7 @@ def _broadcast_base(job: _Job, queries: DataFrame, base: pa.Table) -> DataFrame:
             lists, searchers, part = job.open(batch)
             for chunk in rows:
                 job.offer(lists, searchers, chunk)
-            yield job.emit(lists, part, final=True)
+            yield from job.emit(lists, part, final=True)
 
     return queries.mapInArrow(search, job.schema)
 
@@ -572,7 +579,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
                 group, side = tuple(marks[:3, start]), marks[3, start]
                 if group != current:
                     if lists is not None:
-                        yield job.emit(lists, current[0])
+                        yield from job.emit(lists, current[0])
                     current, held, lists = group, [], None
                 if side == 0:
                     held.append(run)
@@ -586,7 +593,7 @@ def _blocks(job: _Job, queries: DataFrame, base: DataFrame, limits: Limits) -> D
                     lists.update(None, _numpy(run.column("id")), list_matrix(run.column("vec")),
                                  job.tags(run))
         if lists is not None:
-            yield job.emit(lists, current[0])
+            yield from job.emit(lists, current[0])
 
     return job.merge(placed.mapInArrow(search, job.partial_schema), bounded)
 
