@@ -313,6 +313,21 @@ def test_one_long_text_beside_many_short_ones_takes_its_own_room():
     assert both[0].sum() == pytest.approx(713, rel=1e-4)
 
 
+def test_a_token_takes_few_arrays():
+    """Forward weights and emissions of a batch are reused on the way back."""
+    import tracemalloc
+
+    chance = np.random.default_rng(8)
+    texts = [chance.integers(0, 50, 200) for _ in range(500)]
+    model = language_model.random_model(np.full(52, 1 / 52), 8)
+    tracemalloc.start()
+    counts = language_model.text_counts(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * 100_000
+    assert counts[0].sum() == pytest.approx(100_000, rel=1e-4)
+
+
 def test_counts_of_mixed_lengths_are_sums_of_single_texts():
     chance = np.random.default_rng(9)
     texts = [chance.integers(0, 20, n) for n in (1, 7, 3, 1, 40, 2, 7)]

@@ -190,45 +190,49 @@ def expected_counts(
     order, tokens, running, at = _lanes(sequences)
     first = first[order]
     n, s = len(sequences), len(model.start)
-    emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
-    alpha = np.empty((len(tokens), s), dtype=np.float32)
-    ahead = np.empty((len(tokens), s), dtype=np.float32)
+    step = model.step.astype(np.float32)
+    back = np.ascontiguousarray(step.T)
+    # All arrays are states by tokens: sums over the few states then add whole rows.
+    ahead = np.ascontiguousarray(model.emit.astype(np.float32).take(tokens, axis=0).T)
+    alpha = np.empty_like(ahead)
     scale = np.empty(len(tokens), dtype=np.float32)
-    begin = np.repeat(model.start[None], n, 0)
+    begin = np.repeat(model.start[:, None], n, 1)
     if before is not None:
-        before = before[order]
-        begin[~first] = before[~first] @ model.step
+        before = before[order].T
+        begin[:, ~first] = model.step.T @ before[:, ~first]
     for t, k in enumerate(running):
         here = slice(at[t], at[t] + k)
-        now = begin if t == 0 else alpha[at[t - 1]:at[t - 1] + k] @ step
-        now = now * emit[tokens[here]]
-        scale[here] = now.sum(1)
-        alpha[here] = now / scale[here, None]
-    beta = np.ones((n, s), dtype=np.float32)
-    gamma = alpha.copy()
+        now = (begin if t == 0 else back @ alpha[:, at[t - 1]:at[t - 1] + k]) * ahead[:, here]
+        scale[here] = now.sum(0)
+        alpha[:, here] = now / scale[here]
+    beta = np.ones((s, n), dtype=np.float32)
     if after is not None:
         last = at[np.array([len(x) for x in sequences])[order] - 1] + np.arange(n)
-        beta = after[order] / (alpha[last] * after[order]).sum(1, keepdims=True)
-        beta = beta.astype(np.float32)
-        gamma[last] *= beta
+        ends = after[order].T
+        beta = (ends / (alpha[:, last] * ends).sum(0)).astype(np.float32)
+        ends = beta.copy()
+    # From behind, emissions turn into what lies ahead of a token, and forward weights into those of both directions.
+    ahead /= scale
+    moved = np.zeros((s, s))
     for t in range(len(running) - 2, -1, -1):
         k = running[t + 1]
-        here = slice(at[t + 1], at[t + 1] + k)
-        ahead[here] = emit[tokens[here]] * beta[:k] / scale[here, None]
-        beta[:k] = ahead[here] @ step.T
-        gamma[at[t]:at[t] + k] *= beta[:k]
-    weights = gamma / gamma.sum(1, keepdims=True)
+        part, previous = ahead[:, at[t + 1]:at[t + 1] + k], alpha[:, at[t]:at[t] + k]
+        part *= beta[:, :k]
+        moved += previous @ part.T
+        beta[:, :k] = step @ part
+        previous *= beta[:, :k]
+    if after is not None:
+        alpha[:, last] *= ends
+    alpha /= alpha.sum(0)
     size = len(model.emit)
-    emitted = np.stack([np.bincount(tokens, weights[:, i], size) for i in range(s)], axis=1)
-    # The token before a token of the same sequence lies as far back as sequences ran then.
-    previous = np.arange(at[1], len(tokens)) - np.repeat(running[:-1], running[1:])
-    moved = (alpha[previous].T.astype(np.float64) @ ahead[at[1]:]) * model.step
-    begun = gamma[:n].astype(np.float64)
-    begun /= begun.sum(1, keepdims=True)
+    emitted = np.stack([np.bincount(tokens, weights, size) for weights in alpha], axis=1)
+    moved *= model.step
+    begun = alpha[:, :n].astype(np.float64)
+    begun /= begun.sum(0)
     if before is not None:
-        moved += (before[~first].T @ (begun[~first] / begin[~first])) * model.step
+        moved += (before[:, ~first] @ (begun[:, ~first] / begin[:, ~first]).T) * model.step
     likelihood = float(np.log10(scale.astype(np.float64)).sum())
-    return emitted, moved, begun[first].sum(0), begun[~first].sum(0), likelihood
+    return emitted, moved, begun[:, first].sum(1), begun[:, ~first].sum(1), likelihood
 
 
 def text_counts(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, far: int = FAR_SEGMENT) -> tuple:
