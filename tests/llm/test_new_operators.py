@@ -423,3 +423,25 @@ def test_many_stray_quotes_take_no_time():
     start = time.time()
     html_text.blocks("<p a=\"'" * 20_000 + "<p " + "a" * 200_000 + "\"" * 50_000 + ">end")
     assert time.time() - start < 5
+
+
+# ---- language model and packing: what a worker holds ---------------------------------------------------------------
+
+
+def test_transfer_matrices_run_on_in_groups():
+    """Running many segments on takes their result and a group's arrays, not several copies of all state weights."""
+    import tracemalloc
+
+    chance = np.random.default_rng(11)
+    model = language_model.random_model(np.full(52, 1 / 52), 8)
+    segments = [chance.integers(0, 50, 4) for _ in range(5000)]
+    start = np.repeat(np.eye(8)[None], len(segments), 0)
+    tracemalloc.start()
+    done, logs = language_model._advance(model, start, segments)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * start.nbytes
+    plain = np.eye(8)
+    for token in segments[7]:
+        plain = (plain @ model.step) * model.emit[token]
+    assert np.allclose(done[7], plain / plain.sum()) and logs[7] == pytest.approx(np.log10(plain.sum()))

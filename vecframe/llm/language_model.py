@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,9 @@ TOLERANCE = 1e-3 / math.log(10)
 DIRECT, FAR_SEGMENT = 2048, 128
 # Tokens that are held as arrays at once; distinct words that a task counts before it hands them on.
 TOKENS, DISTINCT = 400_000, 500_000
+# State weights that run on over texts at once, and tokens between two scalings of them: far fewer than would leave the
+# range of double precision.
+GROUPED, RESCALED = 20_000, 8
 # Weight of the corpus shares in every state's emissions, and of even transitions.
 PRIOR, EVEN = 20.0, 1.0
 
@@ -139,14 +143,14 @@ def encode(docs: DataFrame, vocabulary, held_out: Column, id_col: str, text_col:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = vocabulary.value
-        get, tail, end = words.head.get, words.tail, [words.end]
+        get, tail, end = words.head.get, words.tail, (words.end,)
         for batch in batches:
             ids, rest = [], []
             for text in batch["text"]:
                 split = words_of(text)
-                coded = [get(w, tail) for w in split]
-                rest.append([w.decode("utf-8", "surrogatepass") for w, i in zip(split, coded) if i == tail])
-                ids.append(np.array(coded + end, dtype="<u2").tobytes())
+                coded = np.fromiter(chain(map(get, split, repeat(tail)), end), dtype="<u2", count=len(split) + 1)
+                rest.append([split[i].decode("utf-8", "surrogatepass") for i in np.flatnonzero(coded == tail).tolist()])
+                ids.append(coded.tobytes())
             yield batch[["row", "id", "held_out"]].assign(ids=ids, tail=rest)
 
     given = docs.select(
@@ -192,42 +196,51 @@ def expected_counts(
     n, s = len(sequences), len(model.start)
     step = model.step.astype(np.float32)
     back = np.ascontiguousarray(step.T)
-    # All arrays are states by tokens: sums over the few states then add whole rows.
-    ahead = np.ascontiguousarray(model.emit.astype(np.float32).take(tokens, axis=0).T)
-    alpha = np.empty_like(ahead)
-    scale = np.empty(len(tokens), dtype=np.float32)
+    emit = np.ascontiguousarray(model.emit.T, dtype=np.float32)
     begin = np.repeat(model.start[:, None], n, 1)
     if before is not None:
         before = before[order].T
         begin[:, ~first] = model.step.T @ before[:, ~first]
+    # A block of states by running sequences for each time, one after the other in memory; sums over the few states
+    # then add whole rows, and all that is done to a block finds it in the cache.
+    ahead, alpha = _blocks(s, running, at), _blocks(s, running, at)
+    scale = np.empty(len(tokens), dtype=np.float32)
     for t, k in enumerate(running):
-        here = slice(at[t], at[t] + k)
-        now = (begin if t == 0 else back @ alpha[:, at[t - 1]:at[t - 1] + k]) * ahead[:, here]
-        scale[here] = now.sum(0)
-        alpha[:, here] = now / scale[here]
+        here, now, share = ahead[t], alpha[t], scale[at[t]:at[t + 1]]
+        emit.take(tokens[at[t]:at[t + 1]], axis=1, out=here, mode="clip")
+        now[:] = begin if t == 0 else back @ alpha[t - 1][:, :k]
+        now *= here
+        now.sum(0, out=share)
+        # From behind, emissions are to turn into what lies ahead of a token, so they are scaled like the weights.
+        part = 1 / share
+        now *= part
+        here *= part
     beta = np.ones((s, n), dtype=np.float32)
     if after is not None:
-        last = at[np.array([len(x) for x in sequences])[order] - 1] + np.arange(n)
+        last = np.empty((s, n), dtype=np.float32)
+        for t, ending in _endings(running):
+            last[:, ending] = alpha[t][:, ending]
         ends = after[order].T
-        beta = (ends / (alpha[:, last] * ends).sum(0)).astype(np.float32)
-        ends = beta.copy()
-    # From behind, emissions turn into what lies ahead of a token, and forward weights into those of both directions.
-    ahead /= scale
+        beta = (ends / (last * ends).sum(0)).astype(np.float32)
+        for t, ending in _endings(running):
+            alpha[t][:, ending] *= beta[:, ending]
+    # Forward weights turn into those of both directions.
     moved = np.zeros((s, s))
     for t in range(len(running) - 2, -1, -1):
         k = running[t + 1]
-        part, previous = ahead[:, at[t + 1]:at[t + 1] + k], alpha[:, at[t]:at[t] + k]
+        part, previous = ahead[t + 1], alpha[t][:, :k]
         part *= beta[:, :k]
         moved += previous @ part.T
         beta[:, :k] = step @ part
         previous *= beta[:, :k]
-    if after is not None:
-        alpha[:, last] *= ends
-    alpha /= alpha.sum(0)
+    for weights in alpha:
+        weights /= weights.sum(0)
     size = len(model.emit)
-    emitted = np.stack([np.bincount(tokens, weights, size) for weights in alpha], axis=1)
+    emitted = np.stack(
+        [np.bincount(tokens, np.concatenate([weights[i] for weights in alpha]), size) for i in range(s)], axis=1
+    )
     moved *= model.step
-    begun = alpha[:, :n].astype(np.float64)
+    begun = alpha[0].astype(np.float64)
     begun /= begun.sum(0)
     if before is not None:
         moved += (before[:, ~first] @ (begun[:, ~first] / begin[:, ~first]).T) * model.step
@@ -235,6 +248,18 @@ def expected_counts(
     return emitted, moved, begun[:, first].sum(1), begun[:, ~first].sum(1), likelihood
 
 
+def _blocks(states: int, running: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """An array of states by running sequences for each time."""
+    room = np.empty(states * int(at[-1]), dtype=np.float32)
+    return [room[states * a:states * (a + k)].reshape(states, k) for a, k in zip(at.tolist(), running.tolist())]
+
+
+def _endings(running: np.ndarray) -> list[tuple[int, slice]]:
+    """(time, sequences whose last token it has), where there are any."""
+    left = np.append(running[1:], 0)
+    return [(t, slice(int(left[t]), int(running[t]))) for t in np.flatnonzero(left < running).tolist()]
+
+
 def text_counts(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, far: int = FAR_SEGMENT) -> tuple:
     """`expected_counts` of whole texts (none is empty); those beyond `direct` tokens in segments with carried weights."""
     total = None
@@ -261,23 +286,26 @@ def carried(model: Hmm, texts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.n
     heads, _ = _advance(model, (now / now.sum(1, keepdims=True))[:, None, :], [parts[0][1:] for parts in texts])
     rest = [part for parts in texts for part in parts[1:]]
     moves, _ = _advance(model, np.repeat(np.eye(s)[None], len(rest), 0), rest)
-    n = sum(map(len, texts))
-    before, after = np.zeros((n, s)), np.ones((n, s))
-    at = 0
-    for k, parts in enumerate(texts):
-        mine, end = moves[at - k:], at + len(parts)
-        now = heads[k, 0] / heads[k, 0].sum()
-        for i in range(1, len(parts)):
-            before[at + i] = now
-            now = now @ mine[i - 1]
-            now /= now.sum()
-        for i in range(len(parts) - 1, 0, -1):
-            back = mine[i - 1] @ after[at + i]
-            after[at + i - 1] = back / back.sum()
-        at = end
+    parts = np.array([len(t) for t in texts])
+    start = np.cumsum(parts) - parts
+    before, after = np.zeros((parts.sum(), s)), np.ones((parts.sum(), s))
+    now = _scaled(heads[:, 0])
+    for i in range(1, parts.max()):  # of all texts at once
+        live = np.flatnonzero(parts > i)
+        at = start[live] + i
+        before[at] = now[live]
+        now[live] = _scaled(np.einsum("ks,ksj->kj", now[live], moves[at - live - 1]))
+    for i in range(parts.max() - 1, 0, -1):
+        live = np.flatnonzero(parts > i)
+        at = start[live] + i
+        after[at - 1] = _scaled(np.einsum("ksj,kj->ks", moves[at - live - 1], after[at]))
     return before, after
 
 
+def _scaled(weights: np.ndarray) -> np.ndarray:
+    return weights / weights.sum(1, keepdims=True)
+
+
 def new_model(counts: tuple, shares: np.ndarray) -> Hmm:
     """The model of expected counts. Emissions lean on the corpus shares, transitions on even ones."""
     emitted, moved, start, inner = (np.asarray(c, dtype=np.float64) for c in counts[:4])
@@ -358,17 +386,35 @@ def _training_batches(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarr
 
 
 def _advance(model: Hmm, state: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Runs rows of scaled state weights (sequences x rows x states) on over sequences: (state, log10 of the scale)."""
-    order, tokens, running, at = _lanes(sequences)
-    now, logs = state[order], np.zeros(len(sequences))
-    s = now.shape[2]
-    for t, k in enumerate(running):
-        part = (now[:k].reshape(-1, s) @ model.step).reshape(k, -1, s) * model.emit[tokens[at[t]:at[t] + k]][:, None, :]
-        scale = part.sum((1, 2))
-        now[:k] = part / scale[:, None, None]
-        logs[:k] += np.log10(scale)
-    back = np.argsort(order)
-    return now[back], logs[back]
+    """Runs rows of scaled state weights (sequences x rows x states) on over sequences: (state, log10 of the scale).
+
+    Sequences go in groups whose weights stay in a core's cache, and weights are scaled every few tokens.
+    """
+    n, rows, s = state.shape
+    order = np.argsort([-len(x) for x in sequences], kind="stable")
+    done, logs = np.empty_like(state), np.empty(n)
+    back, emit = np.ascontiguousarray(model.step.T), np.ascontiguousarray(model.emit.T)
+    group = max(1, GROUPED // (rows * s))
+    for first in range(0, n, group):
+        mine = order[first:first + group]
+        _, tokens, running, at = _lanes([sequences[i] for i in mine])
+        # States by rows by sequences, so that all steps work on long rows.
+        now = np.ascontiguousarray(state[mine].transpose(2, 1, 0))
+        log, ended = np.zeros(len(mine)), np.empty_like(now)
+        for t, k in enumerate(running.tolist()):
+            if k < now.shape[2]:
+                ended[:, :, k:now.shape[2]] = now[:, :, k:]
+                now = np.ascontiguousarray(now[:, :, :k])
+            now = (back @ now.reshape(s, -1)).reshape(s, rows, k)
+            now *= emit.take(tokens[at[t]:at[t + 1]], axis=1)[:, None, :]
+            if t % RESCALED == RESCALED - 1:
+                scale = now.reshape(-1, k).sum(0)
+                now *= 1 / scale
+                log[:k] += np.log10(scale)
+        ended[:, :, :now.shape[2]] = now
+        scale = ended.sum((0, 1))
+        done[mine], logs[mine] = (ended / scale).transpose(2, 1, 0), log + np.log10(scale)
+    return done, logs
 
 
 def log_likelihoods(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, far: int = FAR_SEGMENT) -> np.ndarray:
