@@ -11,7 +11,9 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from vecframe.llm import centroid_clusters, html_text, language_model, near_dedup, queries, token_alignment, window_packing
+from vecframe.llm import (
+    centroid_clusters, html_text, language_model, near_dedup, packing, queries, token_alignment, window_packing,
+)
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(n) for n in (queries.WORDS, queries.VOCABULARY, queries.PIECES))
 SCHEMA = "doc_id long, text string, length string, task int, nth int, copies int, pairs int, digest string"
@@ -445,3 +447,17 @@ def test_transfer_matrices_run_on_in_groups():
     for token in segments[7]:
         plain = (plain @ model.step) * model.emit[token]
     assert np.allclose(done[7], plain / plain.sum()) and logs[7] == pytest.approx(np.log10(plain.sum()))
+
+
+def test_packing_workers_remember_few_chunks():
+    """The table of a worker stays small over many portions of unlike texts, and the ids are the same."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packing._encoder.cache_clear()
+    texts = [" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(120)]
+    found = [ids for text in texts for ids in packing.encode([text], path)]
+    assert len(packing._encoder(path)[2].known) <= 110_000
+    library = Tokenizer.from_file(path)
+    for i in (0, 119):
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        assert found[i] == np.array(ids, dtype="<u4").tobytes()
+    packing._encoder.cache_clear()

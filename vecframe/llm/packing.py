@@ -38,7 +38,7 @@ BLOCK, ISLANDS, ROUNDS, CROSSOVERS, POPULATION = 4096, 3, 2, 4, 4
 # Bins that are filled less than this are dissolved in the end, and packed anew together with some of the others.
 POOR = 0.97
 # Texts' characters that are tokenized at once, and chunks of texts that a worker remembers.
-CHARS, REMEMBERED = 1_000_000, 400_000
+CHARS, REMEMBERED = 250_000, 100_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
