@@ -461,3 +461,27 @@ def test_packing_workers_remember_few_chunks():
         ids = library.encode(texts[i], add_special_tokens=False).ids
         assert found[i] == np.array(ids, dtype="<u4").tobytes()
     packing._encoder.cache_clear()
+
+
+def test_packing_tokenizes_new_chunks_together():
+    """Thousands of new words take a few calls of the tokenizer, and texts of any shape have the library's ids."""
+    packing._encoder.cache_clear()
+    table, library, calls = packing._encoder(BYTES)[2], Tokenizer.from_file(BYTES), []
+    tokenize = table.tokenize
+    table.tokenize = lambda text: calls.append(text) or tokenize(text)
+    plain = " ".join(f"n{i}'s-{i * i}\nLine" for i in range(5000))
+    texts = [plain, "", "a\tb c\r d\xa0e", " x", "x ", "\n", "\ny", "z\n", "a  b\n\n", *invented(random.Random(4), 400)]
+
+    def agree(some):
+        for text, ids in zip(some, packing.encode(some, BYTES), strict=True):
+            assert ids == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+    agree([plain])
+    assert len(calls) <= 3
+    agree(texts)
+    agree(texts[::-1])
+    table.most = 0  # nothing more is remembered
+    agree([f"w{i} {t}" for i, t in enumerate(texts)])
+    packing._encoder.cache_clear()
+    assert packing.encode([], BYTES) == []
+    packing._encoder.cache_clear()

@@ -14,11 +14,11 @@ table gives no rows.
 from __future__ import annotations
 
 import random
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vecframe.llm.common import col, free_name
-from vecframe.llm.token_counts import PRETOKENS, ChunkTable, RankMerger, byte_letters, chunks
+from vecframe.llm.token_counts import PRETOKENS, RankMerger, byte_letters, chunks, whole
 from vecframe.session import ship, write_and_read
 
 CAPACITY, END = 2048, 0
@@ -44,9 +44,53 @@ CHARS, REMEMBERED = 250_000, 100_000
 # ---- tokens -------------------------------------------------------------------------------------------------
 
 
+class IdTable:
+    """Token ids of chunks; the first `most` chunks met are remembered. `begins`: ids that begin with a blank or line end."""
+
+    def __init__(self, tokenize: Callable[[str], list[int]], begins: np.ndarray, most: int):
+        self.tokenize, self.begins, self.most, self.known = tokenize, begins, most, {}
+        self.ids, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def look_up(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of every text, which comes in chunks. All new chunks are tokenized at once."""
+        for t in texts:
+            t[0] = "\r\r" + t[0]
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        holes = np.flatnonzero(at < 0).tolist()
+        fresh: dict[str, int] = {}
+        for i in holes:
+            fresh.setdefault(flat[i], len(self.ends) - 1 + len(fresh))
+        at[holes] = [fresh[flat[i]] for i in holes]
+        more, lengths = self.computed(list(fresh))
+        ids, ends = np.concatenate([self.ids, more]), np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
+        if len(self.known) < self.most:
+            self.known.update(fresh)
+            self.ids, self.ends = ids, ends
+        # The ids of all chunks in a row: what lies before a chunk here, and where its ids lie in the table.
+        n = ends[at + 1] - ends[at]
+        upto = np.cumsum(n)
+        out = ids[np.arange(upto[-1]) + np.repeat(ends[at] - upto + n, n)].tobytes()
+        cut = [0, *(4 * upto[np.cumsum([len(t) for t in texts]) - 1]).tolist()]
+        return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def computed(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them are each chunk's) of chunks."""
+        # Whose only white space is the blank or line end before them: such ones tokenize alike behind each other.
+        plain = np.array([c.split() == [c.removeprefix("\n")] for c in new], dtype=bool)
+        row = np.array(self.tokenize("".join(map(whole, compress(new, plain.tolist())))), dtype="<u4")
+        rest = [self.tokenize(c[2:] if c[:2] == "\r\r" else whole(c)) for c in compress(new, (~plain).tolist())]
+        lengths = np.empty(len(new), dtype=np.int64)
+        lengths[plain] = np.diff(np.flatnonzero(self.begins[row]), append=len(row))
+        lengths[~plain] = list(map(len, rest))
+        ids, own = np.empty(lengths.sum(), dtype="<u4"), np.repeat(plain, lengths)
+        ids[own], ids[~own] = row, list(chain.from_iterable(rest))
+        return ids, lengths
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """(splitter at special strings, ids of special strings, table of the ids of chunks as little-endian bytes)."""
+    """(splitter at special strings, ids of special strings, table of the ids of chunks)."""
     merger, tokenizer = RankMerger(path), Tokenizer.from_file(path)
     letters = {c: b for b, c in byte_letters().items()}
     ranks = {
@@ -56,12 +100,10 @@ def _encoder(path: str):
     }
     # The file's own vocabulary and merges, whose ranks follow its ids, in a quicker encoder.
     quick = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
-
-    def ids(parts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(i)}I", *i) for i in map(quick.encode_ordinary, parts)]
-
+    begins = np.zeros(max(ranks.values()) + 1, dtype=bool)
+    begins[[i for token, i in ranks.items() if token[:1] in (b" ", b"\n")]] = True
     special = {s: np.array([tokenizer.token_to_id(s)], dtype="<u4").tobytes() for s in merger.special}
-    return merger, special, ChunkTable(ids, REMEMBERED)
+    return merger, special, IdTable(quick.encode_ordinary, begins, REMEMBERED)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -70,15 +112,14 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     split, marks = [], []
     for text in texts:
         found = [s for s in merger.special if s in text]
-        parts = merger.split_special(text) if found else [text]
-        split.append([chunks(p) for p in parts])
+        split += [chunks(p) for p in (merger.split_special(text) if found else [text])]
         marks.append(_specials(text, merger.special) if found else [])
-    found = iter(table.look_up([c for parts in split for c in parts]))
+    found = iter(table.look_up(split) if split else [])
     out = []
     for between in marks:
-        ids = next(found)
+        ids = [next(found)]
         for name in between:
-            ids = [*ids, special[name], *next(found)]
+            ids += special[name], next(found)
         out.append(b"".join(ids))
     return out
 
