@@ -126,6 +126,30 @@ def test_toxicity(spark, docs, none):
     assert empty.score("anything at all") < 1e-6 and empty.score(None) == 0
 
 
+def test_toxic_words_in_many_forms(spark):
+    """Insults whose forms are each too rare to be learnt are known by how they begin, in forms never seen as well."""
+    chance = random.Random(8)
+
+    def letters(n):
+        return "".join(chance.choice("abcdefgh") for _ in range(n))
+
+    rows, labels = [], []
+    for i in range(600):
+        body = [" ".join(letters(chance.randrange(2, 8)) for _ in range(6)) for _ in range(4)]
+        if i % 5 == 0:
+            body[chance.randrange(4)] += " " + chance.choice(["Zwoll", "vrenk"]) + letters(6)
+        rows.append((i, ". ".join(body)))
+        labels.append((i, int(i % 5 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(toxicity.labelled(table, marks, usable=F.col("doc_id") < 450))
+    assert {"zwoll*", "vrenk*"} <= model.weights.keys()
+    scored, name = toxicity.score(table, model)
+    held = [(r[name]["score"] >= 0.5, r["doc_id"] % 5 == 0) for r in scored.collect() if r["doc_id"] >= 450]
+    assert sum(found for found, toxic in held if toxic) >= 29 and sum(found for found, toxic in held if not toxic) <= 1
+    assert model.score("zwoll") > 0.5 > model.score("zwo")
+
+
 def test_secrets(docs):
     text = 'token = "abcdef123" AKIA' + "A" * 16 + " " + "0f" * 12 + ' password: short pwd: xK9$mQ2vLp4! login: aaaaaaaa'
     found = secret_scan.scan(text)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vecframe.llm import near_dedup, toxicity
+from vecframe.llm import decontamination, near_dedup, toxicity
 
 WORDS = ["w%03d" % i for i in range(400)]
 
@@ -106,3 +106,14 @@ def test_stages_of_an_empty_table(spark, corpus):
         out = stage(spark, none, folder)
         assert out.count() == 0
         assert name == "packing" or out.columns == docs.columns
+
+
+def test_a_stage_scans_for_passages_once(spark, corpus, capsys):
+    """Each Python step within a task is one more worker that stays: one scan for all chunks of items, cutting included."""
+    docs, folder, _ = corpus
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    one, many = (decontamination.decontaminate(docs, items, chunk_words=n) for n in (10_000, 20))
+    for out in (one, many):
+        out.explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert kept(one) == kept(many) != kept(docs)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -179,11 +178,12 @@ def _chunks(items: DataFrame, id_col: str, text_col: str, chunk_words: int) -> I
 
 def mark(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id",
-    item_text: str = "text", chunk_words: int = CHUNK_WORDS,
+    item_text: str = "text", chunk_words: int = CHUNK_WORDS, cut_above: int | None = None,
 ) -> tuple[DataFrame, str]:
     """`docs` with a struct column more: n_words, spans (array of first and end word), items (array of ids).
 
-    Also returns the name of that column. One pass without a shuffle for each chunk of items.
+    Also returns the name of that column. One pass without a shuffle for all chunks of items. With `cut_above` the
+    struct has rest too: the text without its spans of more words than that, null where it has none.
     """
     spark = ship(docs.sparkSession)
     name = free_name(docs, "contamination")
@@ -192,33 +192,37 @@ def mark(
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ])
-    out = docs
+    if cut_above is not None:
+        kind = kind.add("rest", T.StringType())
+    automata = []
     for chunk in _chunks(items, item_id, item_text, chunk_words):
         automaton = SuffixAutomaton(window)
         for words, id_ in chunk:
             automaton.add(words, id_)
-        sent = spark.sparkContext.broadcast(automaton.finish())
-        before = [col(name)] if name in out.columns else []
-        out = out.withColumn(name, _scan(sent, kind)(col(text_col), *before))
-    return out, name
+        automata.append(spark.sparkContext.broadcast(automaton.finish()))
+    return docs.withColumn(name, _scan(automata, kind, cut_above)(col(text_col))), name
 
 
-def _scan(automaton, kind: T.StructType):
+def _scan(automata: list, kind: T.StructType, cut_above: int | None):
     @F.pandas_udf(kind)
-    def scan(texts: pd.Series, *before: pd.DataFrame) -> pd.DataFrame:
-        found = automaton.value
-        earlier = zip(before[0]["spans"], before[0]["items"], strict=True) if before else repeat(((), ()))
+    def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, (spans, items) in zip(texts, earlier):
+        for text in texts:
             words = words_of(text)
-            now, names = found.find(words)
-            if len(spans):
-                now = merge_spans(now + [(int(a), int(b)) for a, b in spans])
-            names = {n for n in names if n is not None}.union(items)
-            rows.append((len(words), [list(s) for s in now], sorted(names)))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
-    return scan
+            spans, items = [], set()
+            for automaton in automata:
+                now, names = automaton.value.find(words)
+                spans = merge_spans(spans + now) if spans else now
+                items |= names
+            rest = ()
+            if cut_above is not None:
+                long = [s for s in spans if s[1] - s[0] > cut_above]
+                rest = (cut_words(text, long) if long else None,)
+            rows.append((len(words), [list(s) for s in spans], sorted(n for n in items if n is not None), *rest))
+        return pd.DataFrame(rows, columns=kind.names)
+
+    # Else a filter on the result is moved below it, and all texts are scanned once more there, by more workers.
+    return scan.asNondeterministic()
 
 
 def decontaminate(
@@ -231,22 +235,13 @@ def decontaminate(
     last of the last. A document goes when more than `max_coverage` of its words lie in such spans.
     `chars_col`, where there is one, is brought up to date for texts that were cut. Others stay as they are.
     """
-    marked, name = mark(docs, items, window, text_col, **names)
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
+    marked, name = mark(docs, items, window, text_col, cut_above=max_span, **names)
     spans = F.filter(col(name)["spans"], lambda s: s[1] - s[0] > max_span)
     covered = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    over = free_name(marked, "over")
-    marked = marked.withColumn(over, spans).filter(
-        (F.size(spans) == 0) | (covered <= max_coverage * col(name)["n_words"])
-    )
-    hit = F.size(col(over)) > 0
-    out = marked.withColumn(
-        text_col, F.when(hit, cut(F.when(hit, col(text_col)), F.when(hit, col(over)))).otherwise(col(text_col))
-    )
+    out = marked.filter((F.size(spans) == 0) | (covered <= max_coverage * col(name)["n_words"]))
+    rest = col(name)["rest"]
+    hit = rest.isNotNull()
+    out = out.withColumn(text_col, F.coalesce(rest, col(text_col)))
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(hit, F.char_length(col(text_col)).cast(kind)).otherwise(col(chars_col)))

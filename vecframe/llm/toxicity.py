@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence has a logistic score over selected words; a document is toxic if any sentence is, so its score is
-the noisy-or 1 - prod(1 - p). The weights are trained from document labels alone, through the noisy-or.
+A sentence has a logistic score over selected words and beginnings of words, as an insult may be inflected in more
+forms than the labels can show one by one; a document is toxic if any sentence is, so its score is the noisy-or
+1 - prod(1 - p). The weights are trained from document labels alone, through the noisy-or.
 
 Training sees at most `SAMPLE` labelled documents (those with the smallest hash of their id). Word counts by
 label are a Spark aggregation; the fit gets, for each of these documents, the selected words of its sentences.
@@ -15,9 +16,11 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ from vecframe.session import ship
 
 # Labelled documents that a fit may see.
 SAMPLE = 20_000
-# Words a model may weigh, and the least likelihood ratio statistic of a word's link to toxic sentences.
+# Words and beginnings a model may weigh, and the least likelihood ratio statistic of their link to toxic sentences.
 WORDS, SURE = 2_000, 25.0
+# Letters of the beginnings of words; a beginning is written with a "*" after it, which no word has.
+STEMS = (3, 4, 5, 6)
 # A document is rejected from this score on.
 THRESHOLD = 0.5
 # Steps of the fit, its step length, and the pull of all weights towards 0.
@@ -39,20 +44,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class ToxicityModel:
-    """Word weights and the bias of a sentence's logit."""
+    """Weights of words and beginnings, and the bias, of a sentence's logit."""
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._near = starts(self.weights)
+
     def sentences(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         """(start, end, probability) of the sentences with a weighted word, and how many have none."""
         found, plain, text = [], 0, text or ""
-        get = self.weights.get
+        get, near = self.weights.get, self._near
         for m in _SENTENCE.finditer(text):
             words = set(_WORD.findall(m[0].lower()))
             if not words:
                 continue
-            hits = [w for w in map(get, words) if w is not None]
+            hits = [w for w in map(get, marks(words, near)) if w is not None]
             if hits:
                 found.append((m.start(), m.end(), _logistic(self.bias + sum(hits))))
             else:
@@ -74,9 +82,42 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def _words(text: Column) -> Column:
-    """Distinct lower-case words of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)))
+def starts(chosen) -> frozenset[str]:
+    """The first letters of words that can have any of the chosen words and beginnings."""
+    return frozenset(m.rstrip("*")[:STEMS[0]] for m in chosen)
+
+
+def marks(words: set[str], near: frozenset[str]) -> set[str]:
+    """Those words that begin as `near` (see `starts`) says, and their beginnings."""
+    first = STEMS[0]
+    some = {w for w in words if w[:first] in near}
+    return some.union(w[:k] + "*" for w in some for k in STEMS if len(w) >= k)
+
+
+def distinct_marks(found: list[tuple[str, int, int]]) -> list[str]:
+    """Of (mark, toxic sentences, sentences): the marks, but of nested ones that occur as often only the longest beginning."""
+    have = set(found)
+
+    def within(mark: str, *counts: int) -> bool:
+        longer = (o for o, *others in by_start[mark[:STEMS[0]]] if others == list(counts) and o.endswith("*"))
+        stem = mark.rstrip("*")
+        return any(o != mark and (mark.startswith(o[:-1]) if mark == stem else o.startswith(stem)) for o in longer)
+
+    by_start: dict[str, list] = {}
+    for one in have:
+        by_start.setdefault(one[0][:STEMS[0]], []).append(one)
+    return [mark for mark, *counts in found if not within(mark, *counts)]
+
+
+def _marks(text: Column) -> Column:
+    """Distinct lower-case words of a text, and their beginnings."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1)))
+
+    def begun(size: int) -> Column:
+        long = F.filter(words, lambda w: F.char_length(w) >= size)
+        return F.transform(long, lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *map(begun, STEMS)))
 
 
 def _evidence(c1: Column, c: Column, share: float) -> Column:
@@ -111,48 +152,50 @@ def fit(train: DataFrame, words: int = WORDS, sure: float = SURE) -> ToxicityMod
         .groupBy("sentence").agg(F.min("label").alias("label"))
     )
     counts = (
-        sentences.select("label", F.explode(_words(F.col("sentence"))).alias("word"))
+        sentences.select("label", F.explode(_marks(F.col("sentence"))).alias("word"))
         .groupBy("word").agg(F.sum("label").alias("c1"), F.count(F.lit(1)).alias("c"))
     )
     n = {r["label"]: r["count"] for r in sentences.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel()
-    chosen = [
-        r["word"]
-        for r in counts.withColumn("g", _evidence(F.col("c1"), F.col("c"), n1 / (n1 + n0)))
+    sure_ones = (
+        counts.withColumn("g", _evidence(F.col("c1"), F.col("c"), n1 / (n1 + n0)))
         .filter(F.col("g") >= sure).orderBy(F.desc("g"), "word").limit(words).collect()
-    ]
-    place = {w: i for i, w in enumerate(chosen)}
+    )
+    chosen = distinct_marks([(r["word"], r["c1"], r["c"]) for r in sure_ones])
+    place, near = {w: i for i, w in enumerate(chosen)}, starts(chosen)
 
-    @F.pandas_udf("array<array<int>>")
-    def bags(texts: pd.Series) -> pd.Series:
-        """For each sentence with words: the places of its chosen words; sentences without any as one number."""
+    @F.pandas_udf("plain int, sizes binary, places binary")
+    def bags(texts: pd.Series) -> pd.DataFrame:
+        """Sentences with words but no chosen one; how many chosen ones each other sentence has, and their places."""
         out = []
         for text in texts:
             found, plain = [], 0
             for m in _SENTENCE.finditer(text):
                 split = set(_WORD.findall(m[0].lower()))
-                hit = sorted(place[w] for w in split if w in place)
+                hit = sorted(place[w] for w in marks(split, near) if w in place)
                 if hit:
                     found.append(hit)
                 else:
                     plain += bool(split)
-            out.append([[plain], *found])
-        return pd.Series(out)
+            sizes, places = map(len, found), chain.from_iterable(found)
+            out.append((plain, *(np.fromiter(some, dtype="<u4").tobytes() for some in (sizes, places))))
+        return pd.DataFrame(out, columns=["plain", "sizes", "places"])
 
     ship(train.sparkSession)
-    rows = train.select("label", bags("text").alias("bags")).collect()
-    bias, weights = _noisy_or([r["bags"] for r in rows], np.array([r["label"] for r in rows]), len(chosen))
+    rows = train.select("label", bags("text").alias("bags")).select("label", "bags.*").toArrow()
+    bias, weights = _noisy_or(rows, len(chosen))
     return ToxicityModel(bias, dict(zip(chosen, weights.tolist(), strict=True)))
 
 
-def _noisy_or(bags: list, labels: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+def _noisy_or(bags: pa.Table, size: int) -> tuple[float, np.ndarray]:
     """Bias and weights that fit the labels best, by Adam on the noisy-or's log-likelihood."""
-    plain = np.array([b[0][0] for b in bags], dtype=float)
-    doc = np.array([i for i, b in enumerate(bags) for _ in b[1:]], dtype=np.int64)
-    sentence = np.array([j for j, s in enumerate(s for b in bags for s in b[1:]) for _ in s], dtype=np.int64)
-    word = np.array([w for b in bags for s in b[1:] for w in s], dtype=np.int64)
+    plain, labels = (bags.column(c).to_numpy().astype(float) for c in ("plain", "label"))
+    sizes, places = ([np.frombuffer(b.as_py(), dtype="<u4") for b in bags.column(c)] for c in ("sizes", "places"))
+    doc = np.repeat(np.arange(len(sizes)), list(map(len, sizes)))
+    sizes, word = (np.concatenate(some).astype(np.int64) for some in (sizes, places))
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
     theta = np.zeros(size + 1)
     theta[-1] = -6.0
     theta[:-1] = 4.0
@@ -161,10 +204,10 @@ def _noisy_or(bags: list, labels: np.ndarray, size: int) -> tuple[float, np.ndar
         z = theta[-1] + np.bincount(sentence, theta[word], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         base = 1 / (1 + np.exp(-theta[-1]))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)) + plain * math.log1p(-base)
+        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)) + plain * math.log1p(-base)
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         # d(log-likelihood) / d(sum of logits' p): -1 for a clean document, (1 - toxic) / toxic for a toxic one.
-        outer = np.where(labels > 0, (1 - toxic) / toxic, -1.0) / len(bags)
+        outer = np.where(labels > 0, (1 - toxic) / toxic, -1.0) / len(labels)
         inner = outer[doc] * p
         slope = np.append(np.bincount(word, inner[sentence], size), inner.sum() + (outer * plain).sum() * base)
         slope[:-1] -= PULL * theta[:-1]
