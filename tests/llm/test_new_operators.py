@@ -330,6 +330,36 @@ def test_a_token_takes_few_arrays():
     assert counts[0].sum() == pytest.approx(100_000, rel=1e-4)
 
 
+def test_training_calls_few_functions_for_each_time():
+    """Scaling, lookups and sums are done for many token times at once; only the recursions go time by time."""
+    import sys
+
+    chance = np.random.default_rng(8)
+    texts = [chance.integers(0, 50, 1000 + i % 3) for i in range(20)]
+    model = language_model.random_model(np.full(52, 1 / 52), 8)
+    called = []
+    sys.setprofile(lambda frame, event, what: called.append(what) if event == "c_call" and what is not len else None)
+    try:
+        counts = language_model.text_counts(model, texts)
+    finally:
+        sys.setprofile(None)
+    assert len(called) < 1000
+    assert counts[0].sum() == pytest.approx(sum(map(len, texts)), rel=1e-4)
+
+
+def test_training_holds_weights_that_single_precision_would_lose():
+    """Each next token is all but impossible in the state that the last one tells."""
+    step = np.array([[1 - 1e-9, 1e-9], [1e-9, 1 - 1e-9]])
+    emit = np.array([[1, 1e-9], [1e-9, 1], [0.5, 0.5]])
+    model = language_model.Hmm(np.full(2, 0.5), np.full(2, 0.5), step, emit / emit.sum(0))
+    texts = [np.array([0, 1] * 20 + [2]), np.array([2, 1, 0]), np.array([0, 1] * 90)]
+    for direct, far in ((2048, 128), (50, 16)):
+        got = language_model.text_counts(model, texts, direct, far)
+        assert got[4] == pytest.approx(language_model.log_likelihoods(model, texts).sum(), rel=1e-6)
+        assert got[0].sum(1) == pytest.approx(np.bincount(np.concatenate(texts)), rel=1e-4)
+        assert got[1].sum() + got[2].sum() == pytest.approx(sum(map(len, texts)), rel=1e-4)
+
+
 def test_counts_of_mixed_lengths_are_sums_of_single_texts():
     chance = np.random.default_rng(9)
     texts = [chance.integers(0, 20, n) for n in (1, 7, 3, 1, 40, 2, 7)]

@@ -21,6 +21,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -38,10 +39,12 @@ TOLERANCE = 1e-3 / math.log(10)
 # Tokens of a text that one lane runs over, and of a segment of a longer text.
 DIRECT, FAR_SEGMENT = 2048, 128
 # Tokens that are held as arrays at once; distinct words that a task counts before it hands them on.
-TOKENS, DISTINCT = 400_000, 500_000
+TOKENS, DISTINCT = 800_000, 500_000
 # State weights that run on over texts at once, and tokens between two scalings of them: far fewer than would leave the
-# range of double precision.
-GROUPED, RESCALED = 20_000, 8
+# range of double precision. In single precision, weights that fall below `SMALLEST` in between are scaled at each token.
+GROUPED, RESCALED, SMALLEST = 40_000, 8, 1e-25
+# Tokens that are worked on at once, as far as that is no recursion.
+PORTION = 4096
 # Weight of the corpus shares in every state's emissions, and of even transitions.
 PRIOR, EVEN = 20.0, 1.0
 
@@ -90,6 +93,12 @@ class Hmm:
     step: np.ndarray
     emit: np.ndarray
 
+    @cached_property
+    def relative(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions as shares of each token's largest, in single precision, and log10 of that largest."""
+        most = self.emit.max(1)
+        return (self.emit / most[:, None]).astype(np.float32), np.log10(most)
+
 
 # ---- counts -----------------------------------------------------------------------------------------------------
 
@@ -175,89 +184,95 @@ def _lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     running = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
     at = np.concatenate([[0], np.cumsum(running)])
     flat = np.concatenate([sequences[i] for i in order]) if len(order) else np.empty(0, dtype=np.int64)
-    time = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    tokens = np.empty(len(flat), dtype=np.int64)
-    tokens[at[time] + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    tokens, place = np.empty(len(flat), dtype=np.int64), np.cumsum(lengths) - lengths
+    for start, stop in _portions(at):
+        if running[start] > running[stop - 1]:
+            found = [flat.take(place[:running[t]] + t) for t in range(start, stop)]
+        else:
+            found = flat.take(place[:running[start]] + np.arange(start, stop)[:, None])
+        np.concatenate(found, out=tokens[at[start]:at[stop]])
     return order, tokens, running, at
 
 
 def expected_counts(
     model: Hmm, sequences: list[np.ndarray], first: np.ndarray, before: np.ndarray | None = None,
-    after: np.ndarray | None = None,
+    after: np.ndarray | None = None, every: int = RESCALED,
 ) -> tuple:
     """Baum-Welch counts of segments: (emissions, transitions, starts of texts, states after cuts, log10 likelihood).
 
     `first` says which segments begin a text. `before` has the state weights at the token before each of the others,
     `after` the backward weights at each segment's last token (absent: every segment is a whole text). No segment is
-    empty.
+    empty. Weights are scaled every so many tokens, or at each where single precision would not hold them until then.
     """
     order, tokens, running, at = _lanes(sequences)
-    first = first[order]
+    begins = first[order]
     n, s = len(sequences), len(model.start)
-    step = model.step.astype(np.float32)
+    step, ones = model.step.astype(np.float32), np.ones(s, dtype=np.float32)
     back = np.ascontiguousarray(step.T)
-    emit = np.ascontiguousarray(model.emit.T, dtype=np.float32)
-    begin = np.repeat(model.start[:, None], n, 1)
+    emit, most = model.relative
+    begin = np.repeat(model.start[None], n, 0)
     if before is not None:
-        before = before[order].T
-        begin[:, ~first] = model.step.T @ before[:, ~first]
-    # A block of states by running sequences for each time, one after the other in memory; sums over the few states
-    # then add whole rows, and all that is done to a block finds it in the cache.
-    ahead, alpha = _blocks(s, running, at), _blocks(s, running, at)
-    scale = np.empty(len(tokens), dtype=np.float32)
-    for t, k in enumerate(running):
-        here, now, share = ahead[t], alpha[t], scale[at[t]:at[t + 1]]
-        emit.take(tokens[at[t]:at[t + 1]], axis=1, out=here, mode="clip")
-        now[:] = begin if t == 0 else back @ alpha[t - 1][:, :k]
-        now *= here
-        now.sum(0, out=share)
-        # From behind, emissions are to turn into what lies ahead of a token, so they are scaled like the weights.
-        part = 1 / share
-        now *= part
-        here *= part
-    beta = np.ones((s, n), dtype=np.float32)
-    if after is not None:
-        last = np.empty((s, n), dtype=np.float32)
-        for t, ending in _endings(running):
-            last[:, ending] = alpha[t][:, ending]
-        ends = after[order].T
-        beta = (ends / (last * ends).sum(0)).astype(np.float32)
-        for t, ending in _endings(running):
-            alpha[t][:, ending] *= beta[:, ending]
-    # Forward weights turn into those of both directions.
-    moved = np.zeros((s, s))
-    for t in range(len(running) - 2, -1, -1):
-        k = running[t + 1]
-        part, previous = ahead[t + 1], alpha[t][:, :k]
-        part *= beta[:, :k]
-        moved += previous @ part.T
-        beta[:, :k] = step @ part
-        previous *= beta[:, :k]
-    for weights in alpha:
-        weights /= weights.sum(0)
-    size = len(model.emit)
-    emitted = np.stack(
-        [np.bincount(tokens, np.concatenate([weights[i] for weights in alpha]), size) for i in range(s)], axis=1
-    )
+        carried_in = before[order][~begins]
+        begin[~begins] = carried_in @ model.step
+    # A block of running sequences by states for each time, one after the other in memory: the emissions of a token
+    # are read at once. Blocks go in portions that stay in a core's cache, so what is not a recursion is done to many.
+    alpha, by_state = np.empty((len(tokens), s), dtype=np.float32), np.empty((s, len(tokens)), dtype=np.float32)
+    at, portions = at.tolist(), _portions(at)
+    shares = {}
+    now = None
+    for start, stop in portions:
+        emitted = emit.take(tokens[at[start]:at[stop]], axis=0)
+        for t in range(start, stop):
+            last, now = now, alpha[at[t]:at[t + 1]]
+            if t:
+                np.matmul(last[:len(now)], step, out=now)
+            else:
+                now[:] = begin
+            now *= emitted[at[t] - at[start]:at[t + 1] - at[start]]
+            if t % every == every - 1:
+                shares[t] = now @ ones
+                now /= shares[t][:, None]
+    lengths = np.array([len(sequences[i]) for i in order])
+    last = alpha[np.array(at)[lengths - 1] + np.arange(n)].astype(np.float64)
+    ends = np.ones((n, s)) if after is None else after[order]
+    scales = np.concatenate([last.sum(1), *shares.values()])
+    likelihood = float(np.bincount(tokens, minlength=len(most)) @ most + np.log10(scales).sum())
+    ends = (ends / (last * ends).sum(1, keepdims=True)).astype(np.float32)
+    # Backward weights, and what lies ahead of a token: emissions by backward weights of the next, 0 after the last.
+    moved, beta = np.zeros((s, s)), ends[:0]
+    for start, stop in reversed(portions):
+        rows = slice(at[start], at[stop])
+        emitted = emit.take(tokens[at[start + 1]:at[min(stop + 1, len(running))]], axis=0)
+        ahead, behind = np.empty((2, at[stop] - at[start], s), dtype=np.float32)
+        for t in range(stop - 1, start - 1, -1):
+            a, k = at[t] - at[start], len(beta)
+            part, b = ahead[a:a + k], at[t + 1] - at[start + 1]
+            np.multiply(emitted[b:b + k], beta, out=part)
+            if t + 1 in shares:
+                part /= shares[t + 1][:, None]
+            beta = behind[a:at[t + 1] - at[start]]
+            np.matmul(part, back, out=beta[:k])
+            if k < len(beta):
+                ahead[a + k:a + len(beta)], beta[k:] = 0, ends[k:len(beta)]
+        # Forward weights turn into those of both directions.
+        both = alpha[rows]
+        moved += both.T @ ahead
+        both *= behind
+        np.multiply(both.T, 1 / (both @ ones), out=by_state[:, rows])
+    if every > 1 and not (scales.min() > SMALLEST and np.isfinite(moved).all()):
+        return expected_counts(model, sequences, first, before, after, 1)
+    emitted = np.stack([np.bincount(tokens, weights, len(emit)) for weights in by_state], axis=1)
     moved *= model.step
-    begun = alpha[0].astype(np.float64)
-    begun /= begun.sum(0)
+    begun = by_state[:, :n].T.astype(np.float64)
+    begun /= begun.sum(1, keepdims=True)
     if before is not None:
-        moved += (before[:, ~first] @ (begun[:, ~first] / begin[:, ~first]).T) * model.step
-    likelihood = float(np.log10(scale.astype(np.float64)).sum())
-    return emitted, moved, begun[:, first].sum(1), begun[:, ~first].sum(1), likelihood
-
-
-def _blocks(states: int, running: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """An array of states by running sequences for each time."""
-    room = np.empty(states * int(at[-1]), dtype=np.float32)
-    return [room[states * a:states * (a + k)].reshape(states, k) for a, k in zip(at.tolist(), running.tolist())]
+        moved += (carried_in.T @ (begun[~begins] / begin[~begins])) * model.step
+    return emitted, moved, begun[begins].sum(0), begun[~begins].sum(0), likelihood
 
 
-def _endings(running: np.ndarray) -> list[tuple[int, slice]]:
-    """(time, sequences whose last token it has), where there are any."""
-    left = np.append(running[1:], 0)
-    return [(t, slice(int(left[t]), int(running[t]))) for t in np.flatnonzero(left < running).tolist()]
+def _portions(at: np.ndarray) -> list[tuple[int, int]]:
+    """(first time, after the last) of portions of about `PORTION` tokens, or of single times."""
+    return _runs(at[:-1] // PORTION)
 
 
 def text_counts(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, far: int = FAR_SEGMENT) -> tuple:
@@ -283,9 +298,11 @@ def carried(model: Hmm, texts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.n
     """The state weights before, and the backward weights at the last token of, each segment of each cut text."""
     s = len(model.start)
     now = model.start * model.emit[[parts[0][0] for parts in texts]]
-    heads, _ = _advance(model, (now / now.sum(1, keepdims=True))[:, None, :], [parts[0][1:] for parts in texts])
+    now = (now / now.sum(1, keepdims=True))[:, None, :].astype(np.float32)
+    heads, _ = _advance(model, now, [parts[0][1:] for parts in texts])
     rest = [part for parts in texts for part in parts[1:]]
-    moves, _ = _advance(model, np.repeat(np.eye(s)[None], len(rest), 0), rest)
+    moves, _ = _advance(model, np.repeat(np.eye(s, dtype=np.float32)[None], len(rest), 0), rest)
+    heads, moves = heads.astype(np.float64), moves.astype(np.float64)
     parts = np.array([len(t) for t in texts])
     start = np.cumsum(parts) - parts
     before, after = np.zeros((parts.sum(), s)), np.ones((parts.sum(), s))
@@ -388,32 +405,41 @@ def _training_batches(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarr
 def _advance(model: Hmm, state: np.ndarray, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Runs rows of scaled state weights (sequences x rows x states) on over sequences: (state, log10 of the scale).
 
-    Sequences go in groups whose weights stay in a core's cache, and weights are scaled every few tokens.
+    Sequences go in groups whose weights stay in a core's cache, and weights are scaled every few tokens. They have the
+    precision of `state`; single precision turns into double where it would not hold them until they are scaled.
     """
     n, rows, s = state.shape
+    narrow = state.dtype == np.float32
     order = np.argsort([-len(x) for x in sequences], kind="stable")
     done, logs = np.empty_like(state), np.empty(n)
-    back, emit = np.ascontiguousarray(model.step.T), np.ascontiguousarray(model.emit.T)
+    emit, most = model.relative if narrow else (model.emit, np.zeros(len(model.emit)))
+    step = model.step.astype(state.dtype)
     group = max(1, GROUPED // (rows * s))
     for first in range(0, n, group):
         mine = order[first:first + group]
         _, tokens, running, at = _lanes([sequences[i] for i in mine])
-        # States by rows by sequences, so that all steps work on long rows.
-        now = np.ascontiguousarray(state[mine].transpose(2, 1, 0))
+        # Rows by sequences by states: the emissions of a token are read at once and go with each row.
+        now = np.ascontiguousarray(state[mine].transpose(1, 0, 2))
         log, ended = np.zeros(len(mine)), np.empty_like(now)
         for t, k in enumerate(running.tolist()):
-            if k < now.shape[2]:
-                ended[:, :, k:now.shape[2]] = now[:, :, k:]
-                now = np.ascontiguousarray(now[:, :, :k])
-            now = (back @ now.reshape(s, -1)).reshape(s, rows, k)
-            now *= emit.take(tokens[at[t]:at[t + 1]], axis=1)[:, None, :]
+            if k < now.shape[1]:
+                ended[:, k:now.shape[1]] = now[:, k:]
+                now = np.ascontiguousarray(now[:, :k])
+            now = (now.reshape(-1, s) @ step).reshape(rows, k, s)
+            now *= emit.take(tokens[at[t]:at[t + 1]], axis=0)
             if t % RESCALED == RESCALED - 1:
-                scale = now.reshape(-1, k).sum(0)
-                now *= 1 / scale
+                scale = now.sum(0).sum(1)
+                if narrow and not scale.min() > SMALLEST:
+                    return _advance(model, state.astype(np.float64), sequences)
+                now /= scale[:, None]
                 log[:k] += np.log10(scale)
-        ended[:, :, :now.shape[2]] = now
-        scale = ended.sum((0, 1))
-        done[mine], logs[mine] = (ended / scale).transpose(2, 1, 0), log + np.log10(scale)
+            if narrow:
+                log[:k] += most[tokens[at[t]:at[t + 1]]]
+        ended[:, :now.shape[1]] = now
+        scale = ended.sum(0).sum(1)
+        if narrow and not scale.min() > SMALLEST:
+            return _advance(model, state.astype(np.float64), sequences)
+        done[mine], logs[mine] = (ended / scale[:, None]).transpose(1, 0, 2), log + np.log10(scale)
     return done, logs
 
 
@@ -425,14 +451,18 @@ def log_likelihoods(model: Hmm, texts: list[np.ndarray], direct: int = DIRECT, f
     out = np.log10(scale)
     now, logs = _advance(model, (now / scale[:, None])[:, None, :], [t[1:direct] for t in texts])
     out += logs
-    cut = [(i, part) for i, t in enumerate(texts) for part in segments(t[direct:], far)]
+    parts = [segments(t[direct:], far) for t in texts]
+    cut = [part for of_text in parts for part in of_text]
     if cut:
-        moves, logs = _advance(model, np.repeat(np.eye(s)[None], len(cut), 0), [p for _, p in cut])
-        for (i, _), move, log in zip(cut, moves, logs, strict=True):
-            ahead = now[i, 0] @ move
-            total = ahead.sum()
-            now[i, 0] = ahead / total
-            out[i] += math.log10(total) + log
+        moves, logs = _advance(model, np.repeat(np.eye(s)[None], len(cut), 0), cut)
+        many = np.array([len(of_text) for of_text in parts])
+        start, now = np.cumsum(many) - many, now[:, 0]
+        for i in range(many.max()):  # of all texts at once
+            live = np.flatnonzero(many > i)
+            ahead = np.einsum("ks,ksj->kj", now[live], moves[start[live] + i])
+            total = ahead.sum(1)
+            now[live] = ahead / total[:, None]
+            out[live] += np.log10(total) + logs[start[live] + i]
     return out
 
 
